@@ -12,4 +12,4 @@ def load():
     return QUERIES, ORACLE
 
 
-MODULES = ["q_metrics", "q_rank"]
+MODULES = ["q_metrics", "q_rank", "q_schema", "q_quality"]
