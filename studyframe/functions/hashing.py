@@ -16,11 +16,14 @@ from studyframe.functions.columns import join_small
 PREFIX_DIGITS = 3
 
 
-def hash_cuts(df: DataFrame, part: Sequence[str], hash_col: str, positions: Column, digits: int = PREFIX_DIGITS) -> DataFrame:
+def hash_cuts(
+    df: DataFrame, part: Sequence[str], hash_col: str, positions: Column, digits: int = PREFIX_DIGITS, extra: DataFrame | None = None
+) -> DataFrame:
     """Hashes at given ranks, per part.
 
-    ``positions`` is an array expression over the column ``n`` (rows in the part) and any column of
-    ``part``: the wanted 1-based ranks in hash order; ranks < 1 yield no cut. Returns
+    ``positions`` is an array expression over the column ``n`` (rows in the part), the columns of
+    ``part`` and those of ``extra`` (one line per part): the wanted 1-based ranks in hash order; ranks
+    < 1 yield no cut. Returns
     ``part, n, cuts`` with ``cuts`` the sorted array of hashes; hashes must be unique within a part.
     """
     part = list(part)
@@ -29,6 +32,8 @@ def hash_cuts(df: DataFrame, part: Sequence[str], hash_col: str, positions: Colu
     within = W.partitionBy(*part) if part else W.partitionBy(F.lit(0))
     counts = counts.withColumn("_upto", F.sum("_c").over(within.orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)))
     counts = counts.withColumn("n", F.sum("_c").over(within))
+    if extra is not None:
+        counts = join_small(counts, extra, part)
     wanted = counts.withColumn("_rank", F.explode(positions)).where(
         (F.col("_rank") > F.col("_upto") - F.col("_c")) & (F.col("_rank") <= F.col("_upto"))
     )
@@ -40,9 +45,11 @@ def hash_cuts(df: DataFrame, part: Sequence[str], hash_col: str, positions: Colu
     return cuts.groupBy(*part, "n").agg(F.array_sort(F.collect_set("_h")).alias("cuts"))
 
 
-def pieces_by_hash(df: DataFrame, part: Sequence[str], hash_col: str, positions: Column, out: str) -> DataFrame:
-    """Add ``out`` = number of cuts below the row's hash (0 for the first piece) and ``n`` is dropped."""
-    cuts = hash_cuts(df, part, hash_col, positions)
+def pieces_by_hash(
+    df: DataFrame, part: Sequence[str], hash_col: str, positions: Column, out: str, extra: DataFrame | None = None
+) -> DataFrame:
+    """Add ``out`` = number of cuts below the row's hash (0 for the first piece)."""
+    cuts = hash_cuts(df, part, hash_col, positions, extra=extra)
     joined = join_small(df, cuts.select(*part, "cuts"), list(part), "left")
     piece = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(hash_col))), F.lit(0))
-    return joined.withColumn(out, F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(piece).cast("int")).drop("cuts")
+    return joined.withColumn(out, piece.cast("int")).drop("cuts")
