@@ -12,4 +12,4 @@ def load():
     return QUERIES, ORACLE
 
 
-MODULES = ["q_metrics", "q_rank", "q_schema", "q_quality", "q_stats", "q_split"]
+MODULES = ["q_metrics", "q_rank", "q_schema", "q_quality", "q_stats", "q_split", "q_models", "q_reports"]
