@@ -96,6 +96,14 @@ def _value(pred: DataFrame, metric: str, c: Candidate) -> float:
     return float(row["score"]) if row is not None and row["score"] is not None else math.nan
 
 
+def _both(pred: DataFrame, held_out, metric: str, c: Candidate) -> tuple[float, float, int, int]:
+    """Train score, held-out score and the row counts of both, from one pass over the predictions."""
+    found = {r["_out"]: r for r in score(pred.withColumn("_out", held_out), metric, c.label, c.n_classes, ["_out"]).collect()}
+    value = lambda side: float(found[side]["score"]) if side in found and found[side]["score"] is not None else math.nan
+    count = lambda side: int(found[side]["n"]) if side in found else 0
+    return value(False), value(True), count(False), count(True)
+
+
 class MacroF1(Evaluator):
     """Macro-F1 over a fixed label list, for use with Spark's own tuning classes."""
 
@@ -136,13 +144,26 @@ def _weighted(df: DataFrame, c: Candidate, params: Mapping) -> DataFrame:
     return class_weights(df, c.label) if params.get("class_weight") == "balanced" else df
 
 
+# Models whose penalty depends on the number of rows.
+SIZED = {"RIDGE", "LOGREG", "SVC"}
+
+
+def _kept(df: DataFrame, c: Candidate, extra: Sequence[str] = ()) -> DataFrame:
+    """Ready rows with only the needed columns, kept while several jobs read them."""
+    names = list(dict.fromkeys([*extra, *c.features, c.label]))
+    return _ready(df.select(*[F.col(f"`{n}`") for n in names]), c).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit(df: DataFrame, c: Candidate, params: Mapping | None = None) -> PipelineModel:
     """Preprocessing and model fitted on all rows of ``df``."""
     params = dict(params or {})
-    rows = _weighted(_ready(df, c), c, params)
+    kept = _kept(df, c)
+    rows = _weighted(kept, c, params)
     stages, names = _prep(c, rows)
-    n = rows.count()
-    return Pipeline(stages=[*stages, _estimator(c, params, n, len(names))]).fit(rows)
+    n = rows.count() if c.name in SIZED else 1
+    model = Pipeline(stages=[*stages, _estimator(c, params, n, len(names))]).fit(rows)
+    kept.unpersist()
+    return model
 
 
 def grid_search_cv(
@@ -153,28 +174,26 @@ def grid_search_cv(
     The table has ``params`` (map), ``mean_train, std_train, mean_test, std_test``.
     """
     metric = metric or ("r2" if c.task == "regression" else "macro_f1")
-    rows = _ready(df, c)
+    rows = _kept(df, c, [fold])
     train_scores = np.full((len(grid), k), math.nan)
     test_scores = np.full((len(grid), k), math.nan)
     for f in range(k):
-        inside, outside = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
+        inside = rows.where(F.col(fold) != f)
         stages, names = _prep(c, inside)
         prepared = Pipeline(stages=stages).fit(inside)
-        keep = ["features", c.label]
-        train = prepared.transform(inside).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
-        test = prepared.transform(outside).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
-        n = train.count()
+        ready = prepared.transform(rows).select("features", c.label, fold).persist(StorageLevel.MEMORY_AND_DISK)
+        train = ready.where(F.col(fold) != f)
+        n = train.count() if c.name in SIZED else 1
 
         def run(i: int) -> None:
             params = grid[i]
             model = _estimator(c, params, n, len(names)).fit(_weighted(train, c, params))
-            train_scores[i, f] = _value(model.transform(train), metric, c)
-            test_scores[i, f] = _value(model.transform(test), metric, c)
+            train_scores[i, f], test_scores[i, f], _, _ = _both(model.transform(ready), F.col(fold) == f, metric, c)
 
         with ThreadPool(min(parallelism, len(grid))) as pool:
             pool.map(run, range(len(grid)))
-        train.unpersist()
-        test.unpersist()
+        ready.unpersist()
+    rows.unpersist()
     mean = np.nanmean(test_scores, axis=1)
     lines = [
         (
@@ -194,25 +213,28 @@ def nested_cv(
     """Outer folds with a search inside each: (fold rows, held-out predictions).
 
     ``inner(rows, seed)`` adds the column ``inner_fold`` to the training rows of an outer fold. Error if
-    a group is found on both sides of an outer fold.
+    a group is found in more than one outer fold.
     """
     metric = metric or ("r2" if c.task == "regression" else "macro_f1")
+    extra = [key, outer, *([group] if group else [])]
+    rows = _kept(df, c, extra)
+    if group:
+        shared = rows.groupBy(group).agg(F.min(outer).alias("a"), F.max(outer).alias("b")).where("a <> b").limit(1).count()
+        if shared:
+            raise ValueError("a group is in more than one outer fold")
     held_out, lines = [], []
     for f in range(outer_k):
-        train, test = df.where(F.col(outer) != f), df.where(F.col(outer) == f)
-        if group:
-            shared = train.select(group).intersect(test.select(group)).limit(1).count()
-            if shared:
-                raise ValueError(f"a group is on both sides of outer fold {f}")
+        train = rows.where(F.col(outer) != f)
         best = dict(grid[0])
         if len(grid) > 1:
             best, _ = grid_search_cv(inner(train, c.seed + f), c, grid, "inner_fold", inner_k, metric, parallelism)
         model = fit(train, c, best)
-        pred = model.transform(_ready(test, c))
-        n_train, n_test = train.count(), test.count()
-        train_score = _value(model.transform(_ready(train, c)), metric, c)
-        lines.append((f, n_train, n_test, train_score, _value(pred, metric, c), json.dumps(best, default=str)))
-        held_out.append(pred.select(key, F.lit(f).alias("fold"), *([group] if group else []), F.col(c.label).alias("y_true"), F.col("prediction").alias("y_pred")))
+        pred = model.transform(rows)
+        train_score, outer_score, n_train, n_test = _both(pred, F.col(outer) == f, metric, c)
+        lines.append((f, n_train, n_test, train_score, outer_score, json.dumps(best, default=str)))
+        held = pred.where(F.col(outer) == f)
+        held_out.append(held.select(key, F.lit(f).alias("fold"), *([group] if group else []), F.col(c.label).alias("y_true"), F.col("prediction").alias("y_pred")))
+    rows.unpersist()
     folds = df.sparkSession.createDataFrame(
         lines, f"outer_fold int, n_inner_train bigint, n_outer_validation bigint, train_{metric} double, outer_{metric} double, best_params string"
     ).withColumn("train_outer_gap", F.col(f"train_{metric}") - F.col(f"outer_{metric}"))
@@ -281,22 +303,26 @@ def learning_curve(
 ) -> DataFrame:
     """``fraction, train_size, train_mean, train_sd, cv_mean, cv_sd`` from fits on growing group subsets."""
     metric = metric or ("r2" if c.task == "regression" else "macro_f1")
-    rows = _ready(df, c)
+    rows = _kept(df, c, [fold, group])
     sets = subsets.persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(job: tuple[int, float]) -> tuple:
         f, fraction = job
-        chosen = sets.where((F.col("fold") == f) & (F.col("fraction") == fraction)).select(F.col("group").alias(group))
-        train = join_small(rows.where(F.col(fold) != f), chosen, [group])
-        test = rows.where(F.col(fold) == f)
-        n = train.count()
-        if n < 2:
-            return f, fraction, n, None, None
+        chosen = sets.where((F.col("fold") == f) & (F.col("fraction") == fraction)).select(F.col("group").alias(group), F.lit(False).alias("_out"))
+        marked = join_small(rows, chosen, [group], "left")
+        out = F.when(F.col(fold) == f, True).otherwise(F.col("_out"))
+        marked = marked.withColumn("_out", out).where(F.col("_out").isNotNull())
+        train = marked.where(~F.col("_out"))
+        if train.limit(2).count() < 2:
+            return f, fraction, 0, None, None
         model = fit(train, c, params)
-        return f, fraction, n, _value(model.transform(train), metric, c), _value(model.transform(test), metric, c)
+        train_score, cv_score, n, _ = _both(model.transform(marked), F.col("_out"), metric, c)
+        return f, fraction, n, train_score, cv_score
 
     with ThreadPool(parallelism) as pool:
         lines = pool.map(run, [(f, float(x)) for f in range(k) for x in fractions])
+    rows.unpersist()
+    sets.unpersist()
     table = df.sparkSession.createDataFrame(lines, "fold int, fraction double, n bigint, train double, cv double")
     return table.groupBy("fraction").agg(
         F.round(F.avg("n")).cast("bigint").alias("train_size"), F.avg("train").alias("train_mean"), F.stddev_samp("train").alias("train_sd"),

@@ -96,25 +96,25 @@ class Scaler(_SqlStage):
 # ------------------------------------------------------------------ power transforms
 
 LAMBDA_RANGE = (-5.0, 5.0)
-LAMBDA_POINTS = 21
-LAMBDA_ROUNDS = 6
+LAMBDA_POINTS = 11
+LAMBDA_ROUNDS = 3
 
 
-def _yeo_johnson(x: str, lam: float) -> str:
-    up = f"ln(1 + {x})" if abs(lam) < 1e-12 else f"(power(1 + {x}, {_lit(lam)}) - 1) / {_lit(lam)}"
-    other = 2.0 - lam
-    down = f"-ln(1 - {x})" if abs(other) < 1e-12 else f"-(power(1 - {x}, {_lit(other)}) - 1) / {_lit(other)}"
+def _yeo_johnson(x: str, lam: str) -> str:
+    up = f"CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (power(1 + {x}, {lam}) - 1) / {lam} END"
+    down = f"CASE WHEN abs(2 - {lam}) < 1e-12 THEN -ln(1 - {x}) ELSE -(power(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END"
     return f"CASE WHEN {x} >= 0 THEN {up} WHEN {x} < 0 THEN {down} END"
 
 
-def _box_cox(x: str, lam: float) -> str:
-    return f"ln({x})" if abs(lam) < 1e-12 else f"(power({x}, {_lit(lam)}) - 1) / {_lit(lam)}"
+def _box_cox(x: str, lam: str) -> str:
+    return f"CASE WHEN abs({lam}) < 1e-12 THEN ln({x}) ELSE (power({x}, {lam}) - 1) / {lam} END"
 
 
 class PowerTransform(_SqlStage):
     """Yeo-Johnson or Box-Cox with the most likely exponent, then standardised.
 
-    All candidate exponents of all columns are scored by one aggregation; a few rounds narrow the range.
+    Each round scores a row of candidate exponents for all columns in one aggregation and narrows the
+    range; a parabola through the best three candidates of the last round gives the exponent.
     """
 
     def __init__(self, cols: Sequence[str], kind: str):
@@ -128,26 +128,33 @@ class PowerTransform(_SqlStage):
             bad = [c for c in self.cols if low[c]["lo"] is not None and low[c]["lo"] <= 0]
             if bad:
                 raise ValueError(f"box-cox needs positive values: {bad}")
-        x = lambda c: f"CAST({_q(c)} AS DOUBLE)"
-        jac = lambda c: f"sum(sign({x(c)}) * ln(abs({x(c)}) + 1))" if self.kind == "yeo-johnson" else f"sum(ln({x(c)}))"
+        long = _long(df, self.cols)
+        jacobian = F.expr("sum(sign(value) * ln(abs(value) + 1))" if self.kind == "yeo-johnson" else "sum(ln(value))")
         ranges = {c: LAMBDA_RANGE for c in self.cols}
         for _ in range(LAMBDA_ROUNDS):
             tried = {c: [lo + (hi - lo) * i / (LAMBDA_POINTS - 1) for i in range(LAMBDA_POINTS)] for c, (lo, hi) in ranges.items()}
-            exprs = []
-            for j, c in enumerate(self.cols):
-                exprs += [F.expr(f"count({x(c)})").alias(f"n{j}"), F.expr(jac(c)).alias(f"j{j}")]
-                exprs += [F.expr(f"var_pop({shape(x(c), lam)})").alias(f"v{j}_{i}") for i, lam in enumerate(tried[c])]
-            row = df.agg(*exprs).first()
-            for j, c in enumerate(self.cols):
-                def likelihood(i):
-                    v = row[f"v{j}_{i}"]
-                    return -math.inf if v is None or not v > 0 else -row[f"n{j}"] / 2.0 * math.log(v) + (tried[c][i] - 1.0) * row[f"j{j}"]
-
-                best = max(range(LAMBDA_POINTS), key=likelihood)
+            table = F.create_map(*[v for c in self.cols for v in (F.lit(c), F.array(*[F.lit(x) for x in tried[c]]))])
+            rows = long.select("column", "value", F.posexplode(table[F.col("column")]).alias("i", "lam"))
+            found = rows.groupBy("column", "i").agg(F.count("value").alias("n"), jacobian.alias("j"), F.expr(f"var_pop({shape('value', 'lam')})").alias("v")).collect()
+            fit = {
+                (r["column"], r["i"]): -math.inf if r["v"] is None or not r["v"] > 0 else -r["n"] / 2.0 * math.log(r["v"]) + (tried[r["column"]][r["i"]] - 1.0) * r["j"]
+                for r in found
+            }
+            peaks = {}
+            for c in self.cols:
+                values = [fit.get((c, i), -math.inf) for i in range(LAMBDA_POINTS)]
+                best = max(range(LAMBDA_POINTS), key=values.__getitem__)
                 step = tried[c][1] - tried[c][0]
                 ranges[c] = (tried[c][best] - step, tried[c][best] + step)
-        self.lambdas = {c: (lo + hi) / 2.0 for c, (lo, hi) in ranges.items()}
-        shaped = {c: shape(x(c), self.lambdas[c]) for c in self.cols}
+                peaks[c] = tried[c][best]
+                if 0 < best < LAMBDA_POINTS - 1:
+                    left, mid, right = values[best - 1 : best + 2]
+                    bend = left - 2 * mid + right
+                    if math.isfinite(bend) and bend < 0:
+                        peaks[c] += step * (left - right) / (2 * bend)
+        self.lambdas = peaks
+        x = lambda c: f"CAST({_q(c)} AS DOUBLE)"
+        shaped = {c: shape(x(c), _lit(self.lambdas[c])) for c in self.cols}
         row = df.agg(*[F.expr(f"{f}({e})").alias(f"{f}{j}") for j, e in enumerate(shaped.values()) for f in ("avg", "stddev_pop")]).first()
         return _replace({c: f"(({e}) - {_lit(row[f'avg{j}'])}) / {_lit(row[f'stddev_pop{j}'] or 1.0)}" for j, (c, e) in enumerate(shaped.items())})
 
@@ -197,11 +204,18 @@ class QuantileTransform(_SqlStage):
         m = max(2, min(self.knots, df.limit(self.knots).count()))
         found = _quantiles(df, self.cols, [i / (m - 1) for i in range(m)])
         exprs = {}
+        step = max(2, math.isqrt(m))
         for c in self.cols:
             table = "array(" + ", ".join(f"{v!r}D" for v in found[c]) + ")"
+            marks = "array(" + ", ".join(f"{v!r}D" for v in found[c][step - 1 :: step]) + ")"
             x = f"CAST({_q(c)} AS DOUBLE)"
-            at = f"size(filter({table}, k -> k <= {x}))"
-            below = f"size(filter({table}, k -> k < {x}))"
+
+            def place(op: str) -> str:
+                """Number of knots k with ``k op x``: coarse marks first, then one stretch of knots."""
+                skip = f"size(filter({marks}, k -> k {op} {x})) * {step}"
+                return f"({skip} + size(filter(slice({table}, {skip} + 1, {step}), k -> k {op} {x})))"
+
+            at, below = place("<="), place("<")
             low, high = f"get({table}, {at} - 1)", f"get({table}, {at})"
             share = (
                 f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {_lit(found[c][0])} THEN 0D WHEN {x} >= {_lit(found[c][-1])} THEN 1D "
