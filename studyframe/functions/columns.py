@@ -16,21 +16,30 @@ COPIES_PER_TASK = 100_000
 NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def rounded(column: Column | str, digits: int = 6) -> Column:
+# Moves exact decimal ties (means of prices, say) off the rounding edge, where the order of a sum decides.
+NUDGE = 3.1415927e-9
+
+
+def rounded(column: Column | str, digits: int = 6, nudge: float = 0.0) -> Column:
     """Round and turn -0.0 into 0.0, so that values compare equal across engines."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column, digits) + F.lit(0.0)
+    return F.round(column + F.lit(nudge) if nudge else column, digits) + F.lit(0.0)
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+def round_doubles(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
     return df.select(
         *[
-            rounded(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+            rounded(F.col(f"`{f.name}`"), digits, nudge).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )
 
 
+def steady(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Rounding for columns that may hold exact decimal ties."""
+    return round_doubles(df, digits, NUDGE)
+
+
 def finite(column: Column) -> Column:
     """NULL for NaN and both infinities."""
     return F.when(F.isnan(column) | (F.abs(column) == F.lit(float("inf"))), None).otherwise(column)
@@ -74,10 +83,22 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     the caller's join becomes a shuffled one (adaptive execution splits its skewed partitions).
     The frame is kept so that the check and the join compute it once; lost parts are recomputed.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    return kept
+    held = kept(df)
+    return F.broadcast(held) if held.limit(max_rows + 1).count() <= max_rows else held
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan that has fewer parts than the cluster has cores over all cores.
+
+    Large tables arrive in many parts and are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Keep a frame that several jobs read, in memory and else on disk; lost parts are recomputed."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def join_small(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from studyframe.functions.columns import join_small
+from studyframe.functions.columns import join_small, kept
 
 # Rows of one key up to which one ordered window is used; also the aimed size of a bucket.
 ROWS_PER_BUCKET = 2_000_000
@@ -55,11 +55,13 @@ def running_totals(
     sums: Mapping[str, Column] | None = None,
     ascending: bool = True,
     rows_per_bucket: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per distinct (keys, value) with totals at the value and before it.
 
     ``sums`` maps names to per-row amounts (default: ``cnt`` = 1). The result has ``<name>`` and
-    ``before_<name>``; rows whose value is NULL are left out.
+    ``before_<name>``; rows whose value is NULL are left out. ``largest`` may give a known upper bound
+    of the rows per key and saves counting them.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     amounts = dict(sums) if sums else {"cnt": F.lit(1).cast("bigint")}
@@ -67,7 +69,7 @@ def running_totals(
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, value, *[amount.alias(name) for name, amount in amounts.items()]
     )
-    largest = largest_group(rows, keys)
+    largest = largest_group(rows, keys) if largest is None else largest
     totals = [F.sum(name).alias(name) for name in amounts]
     order = F.col(value).asc() if ascending else F.col(value).desc()
     if largest <= rows_per_bucket:
@@ -117,11 +119,18 @@ def exact_quantiles(
     limit = PERCENTILE_ROWS if limit is None else limit
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    plain = lambda part: part.groupBy(*keys).agg(
+        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(out), F.count("_v").alias("n")
+    )
     if largest_group(rows, keys) <= limit:
-        return rows.groupBy(*keys).agg(
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(out), F.count("_v").alias("n")
-        )
-    margin = 2.0 / BRACKET_ACCURACY
+        return plain(rows)
+    small = None
+    if keys:
+        sizes = kept(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")))
+        small = plain(join_small(rows, sizes.where(F.col("_size") <= limit).drop("_size"), keys))
+        rows = join_small(rows, sizes.where(F.col("_size") > limit).drop("_size"), keys)
+    # Wide enough for the error of the approximation and for the neighbouring ranks.
+    margin = 2.0 / BRACKET_ACCURACY + 2.0 / limit
     lows = [max(0.0, p - margin) for p in probs]
     highs = [min(1.0, p + margin) for p in probs]
     brackets = rows.groupBy(*keys).agg(
@@ -151,6 +160,7 @@ def exact_quantiles(
         F.max(position - F.floor(position)).alias("_f"),
     )
     answer = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_f")
-    return picked.groupBy(*keys, "n").agg(
+    large = picked.groupBy(*keys, "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("_p").alias("p"), answer.alias("v")))), lambda s: s["v"]).alias(out)
     ).select(*keys, out, "n")
+    return large if small is None else small.select(*keys, out, "n").unionByName(large)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from studyframe.functions.columns import join_small, joined_sorted
+from studyframe.functions.columns import join_small, joined_sorted, kept
 from studyframe.operators.metrics import _pairs, _r2, classification_metrics, confusion_long
 
 
@@ -92,7 +92,7 @@ def fold_summary(pred: DataFrame, keys: Sequence[str], fold: str = "fold", group
     )
     if group is None:
         return out
-    seen = pred.groupBy(*names, group).agg(F.count(F.lit(1)).alias("_c"))
+    seen = kept(pred.groupBy(*names, group).agg(F.count(F.lit(1)).alias("_c")))
     folds_of = seen.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_f"), F.min(fold).alias("_only"))
     total = folds_of.groupBy(*keys).agg(F.count(F.lit(1)).alias("_groups"))
     own = folds_of.where(F.col("_f") == 1).groupBy(*keys, F.col("_only").alias(fold)).agg(F.count(F.lit(1)).alias("_own"))

@@ -133,10 +133,22 @@ def _prep(c: Candidate, df: DataFrame):
     return build_preprocessor(config, list(c.features), df, impute=c.task == "classification")
 
 
-def _estimator(c: Candidate, params: Mapping, n_rows: int, width: int):
+# Models whose penalty depends on the number of rows or the spread of the label.
+SIZED = {"RIDGE", "EN", "LOGREG", "SVC"}
+
+
+def _size(rows: DataFrame, c: Candidate) -> tuple[int, float]:
+    """Rows and label sd, read only for models that need them."""
+    if c.name not in SIZED:
+        return 1, 1.0
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(c.label).alias("sd")).first()
+    return int(row["n"]), float(row["sd"] or 1.0)
+
+
+def _estimator(c: Candidate, params: Mapping, size: tuple[int, float], width: int):
     balanced = params.get("class_weight") == "balanced"
     return make_estimator(
-        c.task, c.name, params, n_rows, width, c.n_classes, c.seed, c.label, "weight" if balanced else None
+        c.task, c.name, params, size[0], width, c.n_classes, c.seed, c.label, "weight" if balanced else None, size[1]
     )
 
 
@@ -144,10 +156,6 @@ def _weighted(df: DataFrame, c: Candidate, params: Mapping) -> DataFrame:
     return class_weights(df, c.label) if params.get("class_weight") == "balanced" else df
 
 
-# Models whose penalty depends on the number of rows.
-SIZED = {"RIDGE", "LOGREG", "SVC"}
-
-
 def _kept(df: DataFrame, c: Candidate, extra: Sequence[str] = ()) -> DataFrame:
     """Ready rows with only the needed columns, kept while several jobs read them."""
     names = list(dict.fromkeys([*extra, *c.features, c.label]))
@@ -160,8 +168,7 @@ def fit(df: DataFrame, c: Candidate, params: Mapping | None = None) -> PipelineM
     kept = _kept(df, c)
     rows = _weighted(kept, c, params)
     stages, names = _prep(c, rows)
-    n = rows.count() if c.name in SIZED else 1
-    model = Pipeline(stages=[*stages, _estimator(c, params, n, len(names))]).fit(rows)
+    model = Pipeline(stages=[*stages, _estimator(c, params, _size(rows, c), len(names))]).fit(rows)
     kept.unpersist()
     return model
 
@@ -183,11 +190,11 @@ def grid_search_cv(
         prepared = Pipeline(stages=stages).fit(inside)
         ready = prepared.transform(rows).select("features", c.label, fold).persist(StorageLevel.MEMORY_AND_DISK)
         train = ready.where(F.col(fold) != f)
-        n = train.count() if c.name in SIZED else 1
+        size = _size(train, c)
 
         def run(i: int) -> None:
             params = grid[i]
-            model = _estimator(c, params, n, len(names)).fit(_weighted(train, c, params))
+            model = _estimator(c, params, size, len(names)).fit(_weighted(train, c, params))
             train_scores[i, f], test_scores[i, f], _, _ = _both(model.transform(ready), F.col(fold) == f, metric, c)
 
         with ThreadPool(min(parallelism, len(grid))) as pool:

@@ -46,11 +46,11 @@ _IMPURITY = {"criterion": ("impurity", lambda v, n: "gini" if v == "gini" else "
 _ITER = {"max_iter": ("maxIter", lambda v, n: min(int(v), 1000))}
 REGRESSORS: dict[str, tuple[Callable[[int], Estimator], dict]] = {
     "MLR": (lambda seed: R.LinearRegression(solver="normal"), {}),
-    "RIDGE": (lambda seed: R.LinearRegression(elasticNetParam=0.0, standardization=False), {"alpha": ("regParam", lambda v, n: float(v) / n)}),
+    "RIDGE": (lambda seed: R.LinearRegression(elasticNetParam=0.0, standardization=False), {"alpha": ("alpha", None)}),
     "LASSO": (lambda seed: R.LinearRegression(elasticNetParam=1.0, standardization=False), {"alpha": ("regParam", lambda v, n: float(v)), **_ITER}),
     "EN": (
         lambda seed: R.LinearRegression(elasticNetParam=0.5, standardization=False),
-        {"alpha": ("regParam", lambda v, n: float(v)), "l1_ratio": ("elasticNetParam", lambda v, n: float(v)), **_ITER},
+        {"alpha": ("alpha", None), "l1_ratio": ("l1_ratio", None), **_ITER},
     ),
     "DT": (lambda seed: R.DecisionTreeRegressor(maxDepth=10, seed=seed), _TREE),
     "RF": (lambda seed: R.RandomForestRegressor(seed=seed, featureSubsetStrategy="all"), _FOREST),
@@ -70,6 +70,21 @@ CLASSIFIERS: dict[str, tuple[Callable[[int], Estimator], dict]] = {
 ONE_VS_REST = {"SVC", "GBC", "XGB"}
 
 
+def _penalty(name: str, params: Mapping, n: int, sd: float) -> dict[str, float]:
+    """regParam and elasticNetParam for penalties alpha * (ratio * |w| + (1 - ratio) / 2 * w²).
+
+    Ridge's alpha belongs to the sum of squares, so it is divided by the rows. Spark weighs the squared
+    part by 1 / sd of the label, which is undone here.
+    """
+    alpha = float(params.get("alpha", 1.0))
+    ratio = 0.0 if name == "RIDGE" else float(params.get("l1_ratio", 0.5))
+    if name == "RIDGE":
+        alpha /= n
+    first, second = alpha * ratio, alpha * (1.0 - ratio) * sd
+    total = first + second
+    return {"regParam": total, "elasticNetParam": first / total if total > 0 else 0.0}
+
+
 def register_model(task: str, name: str, factory: Callable[[int], Estimator], mapping: Mapping | None = None) -> None:
     """Add a model of your own: a factory that takes the seed, and how study parameters map to it."""
     (REGRESSORS if task == "regression" else CLASSIFIERS)[name] = (factory, dict(mapping or {}))
@@ -77,7 +92,7 @@ def register_model(task: str, name: str, factory: Callable[[int], Estimator], ma
 
 def make_estimator(
     task: str, name: str, params: Mapping[str, object] | None = None, n_rows: int = 1, n_features: int | None = None, n_classes: int | None = None,
-    seed: int = 42, label: str = "label", weight: str | None = None,
+    seed: int = 42, label: str = "label", weight: str | None = None, label_sd: float = 1.0,
 ) -> Estimator:
     """Unfitted Spark ML estimator of a study model; parameters without a counterpart give a warning."""
     table = REGRESSORS if task == "regression" else CLASSIFIERS
@@ -94,6 +109,9 @@ def make_estimator(
         hidden = [hidden] if isinstance(hidden, int) else list(hidden or [32])
         est.setLayers([n_features, *[int(h) for h in hidden], n_classes])
     unknown = []
+    if name in ("RIDGE", "EN"):
+        est._set(**_penalty(name, params, max(1, n_rows), label_sd))
+        params = {k: v for k, v in params.items() if k not in ("alpha", "l1_ratio")}
     for key, value in params.items():
         if key in mapping:
             spark_name, convert = mapping[key]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from studyframe.functions.columns import finite, join_small
-from studyframe.functions.running import running_totals
+from studyframe.functions.running import largest_group, running_totals
 
 EPS = 1e-12
 PROB_EPS = 2.220446049250313e-16
@@ -306,7 +306,8 @@ def auc_ovr(pred: DataFrame, labels: Sequence[int], keys: Sequence[str], y: str
     """One-vs-rest AUC: a row per class (``scope`` = the label) and macro, weighted and micro rows."""
     keys = list(keys)
     rows = _one_vs_rest(pred, labels, keys, y, proba).withColumn("_scope", F.explode(F.array(F.col("label").cast("string"), F.lit("micro"))))
-    auc = binary_auc(rows, [*keys, "_scope"], "_score", "_pos")
+    bound = largest_group(pred, keys) * len(labels)
+    auc = binary_auc(rows, [*keys, "_scope"], "_score", "_pos", largest=bound)
     own = auc.where(F.col("_scope") != "micro")
     complete = F.count("auc") == F.lit(len(labels))
     means = own.groupBy(*keys).agg(
@@ -337,9 +338,9 @@ def roc_points(
     scopes = [F.col("label").cast("string")] + ([F.lit("micro")] if micro else [])
     rows = _one_vs_rest(pred, labels, keys, y, proba).withColumn("scope", F.explode(F.array(*scopes)))
     part = [*keys, "scope"]
-    totals = running_totals(
-        rows, part, "_score", {"pos": F.col("_pos").cast("bigint"), "neg": (1 - F.col("_pos")).cast("bigint")}, ascending=False
-    )
+    bound = largest_group(pred, keys) * len(labels)
+    amounts = {"pos": F.col("_pos").cast("bigint"), "neg": (1 - F.col("_pos")).cast("bigint")}
+    totals = running_totals(rows, part, "_score", amounts, ascending=False, largest=bound)
     sizes = totals.groupBy(*part).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     points = join_small(totals, sizes, part)
     tp, fp = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")

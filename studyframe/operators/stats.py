@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from studyframe.functions.columns import join_small, small_side
+from studyframe.functions.columns import join_small, kept, small_side
 from studyframe.functions.running import average_ranks, running_totals
 from studyframe.functions.special import f_sf, norm_cdf, norm_ppf, norm_sf, normal_score_sum, score_sum_udf, shapiro_from_sums
 from studyframe.operators.quality import _long
@@ -50,32 +50,47 @@ def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _matrix(pairs, cols, _diagonal(values, cols))
 
 
-def _with_ranks(values: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Average ranks beside the values; the value -> rank table is broadcast when it is small."""
-    out = values
-    for i, c in enumerate(cols):
-        ranks = average_ranks(values.select(F.col(f"`{c}`").alias("_v")), [], "_v")
-        side = small_side(ranks.select(F.col("_v").alias(f"_v{i}"), F.col("avg_rank").alias(f"_r{i}")))
-        out = out.join(side, F.col(f"`{c}`") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
-    return out
-
-
 def corr_spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Spearman matrix. Columns without missing values are ranked once, other pairs on their common rows."""
-    values = df.select(*[_num(df, c).alias(c) for c in cols])
-    missing = values.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_{i}") for i, c in enumerate(cols)]).first()
-    whole = [c for i, c in enumerate(cols) if missing[i] == 0]
-    out = None
-    if len(whole) > 1:
-        at = {c: f"_r{i}" for i, c in enumerate(whole)}
-        out = _pair_corr(_with_ranks(values.select(*[f"`{c}`" for c in whole]), whole), list(combinations(whole, 2)), lambda c: F.col(at[c]))
-    for a, b in combinations(cols, 2):
+    """Spearman matrix with average ranks; a pair with missing values is ranked on its common rows.
+
+    All needed rankings are found by one ordering of distinct values. Each value -> rank table is joined
+    beside the values (broadcast when small), and one aggregation yields all coefficients.
+    """
+    values = df.select(*[_num(df, c).alias(f"_{i}") for i, c in enumerate(cols)])
+    index = {c: i for i, c in enumerate(cols)}
+    missing = values.agg(*[F.count_if(F.col(f"_{i}").isNull()).alias(f"m{i}") for i in range(len(cols))]).first()
+    whole = [c for c in cols if missing[index[c]] == 0]
+    pairs = list(combinations(cols, 2))
+    # Name of a ranking -> value that it ranks.
+    ranked: dict[str, Column] = {f"r{index[c]}": F.col(f"_{index[c]}") for c in cols}
+    of: dict[tuple[str, str], tuple[str, str]] = {}
+    for a, b in pairs:
+        i, j = index[a], index[b]
         if a in whole and b in whole:
+            of[a, b] = (f"r{i}", f"r{j}")
             continue
-        common = values.select(F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-        pair = _with_ranks(common, ["x", "y"]).agg(F.corr("_r0", "_r1").alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
-        out = pair if out is None else out.unionByName(pair)
-    return _matrix(out, cols, _diagonal(values, cols))
+        # A column is ranked anew only where the other one has gaps; else its own ranking serves.
+        sides = []
+        for own, other, other_name in ((i, j, b), (j, i, a)):
+            name = f"r{own}" if other_name in whole else f"r{own}_{other}"
+            if name not in ranked:
+                ranked[name] = F.when(F.col(f"_{other}").isNotNull(), F.col(f"_{own}"))
+            sides.append(name)
+        of[a, b] = (sides[0], sides[1])
+    long = values.select(F.inline(F.array(*[F.struct(F.lit(n).alias("ranking"), v.alias("value")) for n, v in ranked.items()])))
+    ranks = kept(average_ranks(long, ["ranking"], "value").select("ranking", "value", "avg_rank"))
+    wide = values.select("*", *[v.alias(f"v_{n}") for n, v in ranked.items()])
+    for name in ranked:
+        side = small_side(ranks.where(F.col("ranking") == name).select(F.col("value").alias(f"k_{name}"), F.col("avg_rank").alias(name)))
+        wide = wide.join(side, F.col(f"v_{name}") == F.col(f"k_{name}"), "left").drop(f"k_{name}", f"v_{name}")
+    out = None
+    for start in range(0, len(pairs), PAIRS_PER_JOB):
+        block = pairs[start : start + PAIRS_PER_JOB]
+        row = wide.agg(*[F.corr(*of[p]).alias(f"c{i}") for i, p in enumerate(block)])
+        lines = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(block)]
+        part = row.select(F.inline(F.array(*lines)))
+        out = part if out is None else out.unionByName(part)
+    return _matrix(out, cols, _diagonal(df, cols))
 
 
 # ------------------------------------------------------------------ moments

@@ -15,16 +15,16 @@ from studyframe.sources.tables import read_table
 SMALL = ["quantity", "retail"]
 
 
-def _rows(spark, sf):
-    """Samples with row identity, label, whole-group folds and a target that depends on the features."""
-    rows = samples(spark, sf, identity=True)
+def _rows(spark, sf, identity=True):
+    """Samples with label, whole-group folds and a target that depends on the features."""
+    rows = samples(spark, sf, identity)
     signal = F.col("y") * 0.2 + F.col("quantity") * 1.5 + F.col("retail") * 0.01 - F.col("size") * 0.3
-    rows = rows.select("row_id", "grp", *FEATURES, "discount_n", signal.alias("label"))
+    rows = rows.select(*(["row_id"] if identity else []), "grp", *FEATURES, "discount_n", signal.alias("label"))
     return rows.withColumn("fold", (draw32(F.lit(5), "grp") % 3).cast("int"))
 
 
 def _class_rows(spark, sf):
-    rows = class_from_thresholds(_rows(spark, sf), "label", 40.0, 65.0, "cls")
+    rows = class_from_thresholds(_rows(spark, sf, False), "label", 40.0, 65.0, "cls")
     return rows.drop("label").withColumnRenamed("cls", "label")
 
 
@@ -168,7 +168,7 @@ def build_preprocessor(spark, sf):
 
 
 def _fit_scores(spark, sf, c, params):
-    rows = _class_rows(spark, sf) if c.task == "classification" else _rows(spark, sf)
+    rows = _class_rows(spark, sf) if c.task == "classification" else _rows(spark, sf, False)
     train, test = rows.where("fold <> 0"), rows.where("fold = 0")
     pred = cv.fit(train, c, params).transform(cv._ready(test, c))
     metric = "r2" if c.task == "regression" else "macro_f1"
@@ -260,7 +260,7 @@ def param_grid(spark, sf):
 @query("grid_search_cv")
 def grid_search_cv(spark, sf):
     c = cv.Candidate("regression", "DT", FEATURES)
-    best, table = cv.grid_search_cv(_rows(spark, sf), c, cv.param_grid(GRID), "fold", 3)
+    best, table = cv.grid_search_cv(_rows(spark, sf, False), c, cv.param_grid(GRID), "fold", 3)
     return rd(table.withColumn("params", F.to_json("params")))
 
 

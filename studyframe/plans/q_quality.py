@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from studyframe.functions.columns import round_doubles as rd
+from studyframe.functions.columns import round_doubles as rd, steady
 from studyframe.operators import aggregates as a, quality as q, ranking, selection as sel, schema as sc
 from studyframe.plans.fixtures import CLB, F1, F2, F3, FEATURES, KEYS, LABELS, LB, class_metric_sql, class_predictions, fold_scores, leaderboard, predictions, samples
-from studyframe.plans.registry import query
+from studyframe.plans.registry import query, steady_sql
 from studyframe.sources.tables import read_table
 
 NUM = [*FEATURES, "discount_n", "y"]
@@ -61,14 +61,14 @@ _DESC = """round(avg({c}), 8) AS mean, round(stddev_samp({c}), 8) AS std, round(
  round(quantile_cont({c}, 0.5), 8) AS p50, round(quantile_cont({c}, 0.75), 8) AS p75, round(max({c}), 8) AS max"""
 
 
-@query("describe_table", f"WITH {F1} " + _per_column("SELECT '{c}' AS \"column\", count({c}) AS \"count\", " + _DESC + " FROM f1"))
+@query("describe_table", steady_sql(f"WITH {F1} " + _per_column("SELECT '{c}' AS \"column\", count({c}) AS \"count\", " + _DESC + " FROM f1")))
 def describe_table(spark, sf):
-    return rd(q.describe_table(samples(spark, sf), NUM), 8)
+    return steady(q.describe_table(samples(spark, sf), NUM), 8)
 
 
-@query("group_describe", f"WITH {F1}, b AS (SELECT *, unnest([label, 'full']) AS split FROM f1) " + _per_column("SELECT split, '{c}' AS \"column\", count({c}) AS \"count\", " + _DESC + " FROM b GROUP BY split", ["quantity", "discount_n", "y"]))
+@query("group_describe", steady_sql(f"WITH {F1}, b AS (SELECT *, unnest([label, 'full']) AS split FROM f1) " + _per_column("SELECT split, '{c}' AS \"column\", count({c}) AS \"count\", " + _DESC + " FROM b GROUP BY split", ["quantity", "discount_n", "y"])))
 def group_describe(spark, sf):
-    return rd(q.group_describe(samples(spark, sf).withColumnRenamed("label", "split"), ["quantity", "discount_n", "y"], "split"), 8)
+    return steady(q.group_describe(samples(spark, sf).withColumnRenamed("label", "split"), ["quantity", "discount_n", "y"], "split"), 8)
 
 
 @query("class_counts", f"WITH {F3} SELECT split, y_true AS label, count(*) AS n FROM (SELECT y_true, unnest([part, 'full']) AS split FROM f3) GROUP BY ALL")
@@ -92,13 +92,13 @@ def histogram_auto(spark, sf):
 # ------------------------------------------------------------------ groups and folds
 
 
-@query("group_diagnostics_reg", f"""WITH {F2} SELECT target, fold, grp, count(*) AS n_samples, round(avg(y_true), 6) AS target_mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(y_true) ELSE 0 END, 6) AS target_std,
+@query("group_diagnostics_reg", steady_sql(f"""WITH {F2} SELECT target, fold, grp, count(*) AS n_samples, round(avg(y_true), 6) AS target_mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(y_true) ELSE 0 END, 6) AS target_std,
  round(min(y_true), 6) AS target_min, round(max(y_true), 6) AS target_max, round(avg(y_pred), 6) AS prediction_mean, round(avg(abs(y_pred-y_true)), 6) AS mae,
  round(sqrt(avg((y_pred-y_true)^2)), 6) AS rmse, round(avg(y_pred-y_true), 6) AS bias, string_agg(DISTINCT feature_set, ' | ' ORDER BY feature_set) AS feature_set,
- round(CASE WHEN count(*) >= 2 THEN 1 - sum((y_pred-y_true)^2) / (var_pop(y_true)*count(*)) END, 6) AS r2 FROM f2 WHERE part = 'cv' GROUP BY target, fold, grp""")
+ round(CASE WHEN count(*) >= 2 THEN 1 - sum((y_pred-y_true)^2) / (var_pop(y_true)*count(*)) END, 6) AS r2 FROM f2 WHERE part = 'cv' GROUP BY target, fold, grp"""))
 def group_diagnostics_reg(spark, sf):
     out = a.group_diagnostics_reg(predictions(spark, sf).where("part = 'cv'"), "fold", "grp", ["feature_set"], ["target"])
-    return rd(out)
+    return steady(out)
 
 
 @query("group_diagnostics_class", f"""WITH {F3}, cv AS (SELECT * FROM f3 WHERE part = 'cv'), s AS (SELECT * FROM {class_metric_sql('cv', 'target, fold, grp')}),
@@ -109,7 +109,7 @@ def group_diagnostics_class(spark, sf):
     return rd(a.group_diagnostics_class(class_predictions(spark, sf).where("part = 'cv'"), "fold", "grp", LABELS, ["target"]))
 
 
-@query("fold_summary", f"""WITH {F2}, cv AS (SELECT * FROM f2 WHERE part = 'cv'), fo AS (SELECT DISTINCT target, model, fold FROM cv),
+@query("fold_summary", steady_sql(f"""WITH {F2}, cv AS (SELECT * FROM f2 WHERE part = 'cv'), fo AS (SELECT DISTINCT target, model, fold FROM cv),
 i AS (SELECT fo.target, fo.model, fo.fold, count(*) AS n_inner_train, avg(y_true) AS m, stddev_samp(y_true) AS sd, count(DISTINCT grp) AS n_train_groups
   FROM fo JOIN cv ON fo.target = cv.target AND fo.model = cv.model AND fo.fold <> cv.fold GROUP BY ALL),
 o AS (SELECT target, model, fold, count(*) AS n, count(DISTINCT grp) AS g, 1 - sum((y_pred-y_true)^2)/(var_pop(y_true)*count(*)) AS r2, avg(abs(y_pred-y_true)) AS mae, sqrt(avg((y_pred-y_true)^2)) AS rmse,
@@ -117,9 +117,9 @@ o AS (SELECT target, model, fold, count(*) AS n, count(DISTINCT grp) AS g, 1 - s
 ov AS (SELECT a.target, a.model, a.fold, count(DISTINCT a.grp) AS k FROM cv a JOIN (SELECT DISTINCT target, model, fold, grp FROM cv) b ON a.target = b.target AND a.model = b.model AND a.grp = b.grp AND a.fold <> b.fold GROUP BY ALL)
 SELECT target, model, fold, n_inner_train, n AS n_outer_validation, round(r2, 6) AS outer_r2, round(mae, 6) AS outer_mae, round(rmse, 6) AS outer_rmse, round(bias, 6) AS outer_bias,
  round(o.m, 6) AS outer_target_mean, round(o.sd, 6) AS outer_target_std, round(lo, 6) AS outer_target_min, round(hi, 6) AS outer_target_max, round(i.m, 6) AS inner_target_mean, round(i.sd, 6) AS inner_target_std,
- g AS n_validation_groups, n_train_groups, coalesce(k, 0) AS group_overlap_count FROM o JOIN i USING (target, model, fold) LEFT JOIN ov USING (target, model, fold)""")
+ g AS n_validation_groups, n_train_groups, coalesce(k, 0) AS group_overlap_count FROM o JOIN i USING (target, model, fold) LEFT JOIN ov USING (target, model, fold)"""))
 def fold_summary(spark, sf):
-    return rd(a.fold_summary(predictions(spark, sf).where("part = 'cv'"), ["target", "model"], "fold", "grp"))
+    return steady(a.fold_summary(predictions(spark, sf).where("part = 'cv'"), ["target", "model"], "fold", "grp"))
 
 
 @query("nested_summary", f"WITH {LB} SELECT target, feature_set, model, count(*) AS folds, round(avg(r2), 6) AS mean_score, round(stddev_samp(r2), 6) AS sd_score, round(avg(sqrt(mse)), 6) AS secondary_mean FROM sc WHERE part = 'cv' GROUP BY ALL")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from studyframe.functions.columns import round_doubles as rd, safe_file_name
+from studyframe.functions.columns import round_doubles as rd, safe_file_name, steady
 from studyframe.operators import joins as j, labels as lab, schema as sc, selection as sel
 from studyframe.operators.metrics import prediction_columns
 from studyframe.plans.fixtures import CLB, F1, F2, F3, FEATURES, KEYS, LB, class_fold_scores, class_leaderboard, class_predictions, leaderboard, predictions, samples
-from studyframe.plans.registry import query
+from studyframe.plans.registry import query, steady_sql
 from studyframe.sources.tables import read_table
 from studyframe.spec import StudySpec
 
@@ -52,15 +52,15 @@ def numeric_ratio(spark, sf):
     return rd(sc.numeric_ratio(_texts(spark, sf), ["mixed", "nearly", "words", "price"]))
 
 
-@query("detect_numeric", f"""WITH {TXT}, r AS ({_RATIO}), d AS (SELECT "column" FROM r WHERE ratio >= 0.90)
+@query("detect_numeric", steady_sql(f"""WITH {TXT}, r AS ({_RATIO}), d AS (SELECT "column" FROM r WHERE ratio >= 0.90)
 SELECT 'nearly' AS "column", count({_D.format('nearly')}) AS n, round(avg({_D.format('nearly')}), 6) AS mean FROM tx WHERE 'nearly' IN (SELECT * FROM d)
-UNION ALL SELECT 'price', count(price), round(avg(price), 6) FROM tx WHERE 'price' IN (SELECT * FROM d)""")
+UNION ALL SELECT 'price', count(price), round(avg(price), 6) FROM tx WHERE 'price' IN (SELECT * FROM d)"""))
 def detect_numeric(spark, sf):
     """Mean of every column that counts as numeric."""
     table = _texts(spark, sf).drop("id")
     found = sc.detect_numeric(table)
     facts = {c: {"n": F.count(sc._num(table, c)), "mean": F.avg(sc._num(table, c))} for c in found}
-    return rd(sc.column_facts(table, facts))
+    return steady(sc.column_facts(table, facts))
 
 
 # ------------------------------------------------------------------ study specification
@@ -139,10 +139,10 @@ def leakage_guard(spark, sf):
     )
 
 
-@query("derive_difference", f"WITH {F1} SELECT grp, count(*) AS n, round(avg(retail - y), 6) AS mean_margin FROM f1 GROUP BY grp")
+@query("derive_difference", steady_sql(f"WITH {F1} SELECT grp, count(*) AS n, round(avg(retail - y), 6) AS mean_margin FROM f1 GROUP BY grp"))
 def derive_difference(spark, sf):
     out = sc.derive_difference(samples(spark, sf), "margin", "retail", "y")
-    return rd(out.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("margin").alias("mean_margin")))
+    return steady(out.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("margin").alias("mean_margin")))
 
 
 @query("drop_empty_rows", """WITH z AS (SELECT nullif(l_discount, 0) AS a, nullif(l_tax, 0) AS b, CASE WHEN l_quantity <> 1 THEN 1 / (l_quantity - 2) END AS c0 FROM lineitem),
@@ -156,10 +156,10 @@ def drop_empty_rows(spark, sf):
     return sc.drop_empty_rows(table).agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in "abc"])
 
 
-@query("complete_cases", f"WITH {F1} SELECT label, count(*) AS n, round(sum(y), 4) AS sum_y FROM f1 WHERE discount_n IS NOT NULL AND y IS NOT NULL GROUP BY label")
+@query("complete_cases", steady_sql(f"WITH {F1} SELECT label, count(*) AS n, round(avg(y), 6) AS mean_y FROM f1 WHERE discount_n IS NOT NULL AND y IS NOT NULL GROUP BY label"))
 def complete_cases(spark, sf):
     out = sc.complete_cases(samples(spark, sf), ["y", "discount_n", "quantity"])
-    return rd(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sum_y")), 4)
+    return steady(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
 
 
 @query("validate_groups", """SELECT event_id, CASE event_id % 997 WHEN 0 THEN ' ' WHEN 1 THEN 'NaN' WHEN 2 THEN ' None ' ELSE ' u' || user_id END AS grp FROM events
@@ -259,14 +259,14 @@ def attach_rank(spark, sf):
     return rows.groupBy(*KEYS, "selection_rank").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("attach_split", f"""WITH {F1}, sp AS (SELECT grp, CASE WHEN CAST('0x' || substr(md5('7|' || grp), 1, 8) AS BIGINT) % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM (SELECT DISTINCT grp FROM f1))
-SELECT split, label, count(*) AS n, round(avg(y), 6) AS mean_y FROM f1 JOIN sp USING (grp) GROUP BY ALL""")
+@query("attach_split", steady_sql(f"""WITH {F1}, sp AS (SELECT grp, CASE WHEN CAST('0x' || substr(md5('7|' || grp), 1, 8) AS BIGINT) % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM (SELECT DISTINCT grp FROM f1))
+SELECT split, label, count(*) AS n, round(avg(y), 6) AS mean_y FROM f1 JOIN sp USING (grp) GROUP BY ALL"""))
 def attach_split(spark, sf):
     from studyframe.functions.columns import draw32
 
     table = samples(spark, sf)
     split = table.select("grp").distinct().withColumn("split", F.when(draw32(F.lit(7), "grp") % 5 == 0, "test").otherwise("train"))
-    return rd(j.attach_split(table, split, "grp", by_group=True).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
+    return steady(j.attach_split(table, split, "grp", by_group=True).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
 
 
 @query("group_overlap", "SELECT o_custkey AS \"group\" FROM (SELECT o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders) GROUP BY o_custkey HAVING count(DISTINCT split) > 1")

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from studyframe.functions.columns import round_doubles as rd
+from studyframe.functions.columns import kept, round_doubles as rd, steady
 from studyframe.operators import labels as lab, split as sp
 from studyframe.plans.fixtures import F1, samples
-from studyframe.plans.registry import query
+from studyframe.plans.registry import query, steady_sql
 from studyframe.sources.tables import read_table
 
 H = "md5(concat_ws('|', 42, '{p}', {k}))"
 
 
 def _rows(spark, sf):
-    return samples(spark, sf, identity=True)
+    """Row identities with what the splits need; several passes read them, so they are kept."""
+    return kept(samples(spark, sf, identity=True).select("row_id", "label"))
 
 
 @query("auto_boundaries", f"WITH {F1} SELECT round(quantile_cont(y, 1.0/3), 6) AS lower, round(quantile_cont(y, 2.0/3), 6) AS upper, 'quantile' AS method FROM f1")
@@ -64,17 +65,17 @@ rn AS (SELECT f1.*, row_number() OVER (PARTITION BY label ORDER BY {HOLD}) AS rn
 
 @query("split_stratified", f"WITH {F1}, {STRAT} SELECT row_id, rn.label, CASE WHEN rn <= take THEN 'test' ELSE 'train' END AS split FROM rn JOIN tk ON rn.label = tk.label")
 def split_stratified(spark, sf):
-    return sp.split_stratified(_rows(spark, sf).select("row_id", "label"), "row_id", "label", 0.2)
+    return sp.split_stratified(_rows(spark, sf), "row_id", "label", 0.2)
 
 
 GRP = f"""gs AS (SELECT grp, row_number() OVER (ORDER BY {H.format(p='holdout', k='grp')}) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM f1)),
 sg AS (SELECT f1.*, CASE WHEN rn <= ceil(0.2::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM f1 JOIN gs USING (grp))"""
 
 
-@query("split_grouped", f"WITH {F1}, {GRP} SELECT grp, split, count(*) AS n, round(avg(y), 6) AS mean_y FROM sg GROUP BY ALL")
+@query("split_grouped", steady_sql(f"WITH {F1}, {GRP} SELECT grp, split, count(*) AS n, round(avg(y), 6) AS mean_y FROM sg GROUP BY ALL"))
 def split_grouped(spark, sf):
     out = sp.split_grouped(samples(spark, sf), "grp", 0.2)
-    return rd(out.groupBy("grp", "split").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
+    return steady(out.groupBy("grp", "split").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
 
 
 @query("validate_split", f"""WITH {F1}, {GRP} SELECT 'rows' AS "check", count(*) AS "value", 20 AS "limit", count(*) >= 20 AS ok FROM sg UNION ALL SELECT 'rows in ' || split, count(*), 10, count(*) >= 10 FROM sg GROUP BY split
@@ -83,11 +84,11 @@ def validate_split(spark, sf):
     return sp.validate_split(sp.split_grouped(samples(spark, sf), "grp", 0.2), label="label")
 
 
-@query("split_report", f"""WITH {F1}, {GRP}, a AS (SELECT split, count(*)::DOUBLE AS n, avg(y) AS mean, stddev_samp(y) AS std, min(y) AS min, max(y) AS max, count(DISTINCT grp)::DOUBLE AS groups, count(*)::DOUBLE / (SELECT count(*) FROM sg) AS share FROM sg GROUP BY split)
+@query("split_report", steady_sql(f"""WITH {F1}, {GRP}, a AS (SELECT split, count(*)::DOUBLE AS n, avg(y) AS mean, stddev_samp(y) AS std, min(y) AS min, max(y) AS max, count(DISTINCT grp)::DOUBLE AS groups, count(*)::DOUBLE / (SELECT count(*) FROM sg) AS share FROM sg GROUP BY split)
 SELECT 'part' AS section, split, unnest(['n', 'mean', 'std', 'min', 'max', 'groups', 'share']) AS key, round(unnest([n, mean, std, min, max, groups, share]), 6) AS value FROM a
-UNION ALL SELECT 'class', split, label, count(*)::DOUBLE FROM sg GROUP BY split, label""")
+UNION ALL SELECT 'class', split, label, count(*)::DOUBLE FROM sg GROUP BY split, label"""))
 def split_report(spark, sf):
-    return rd(sp.split_report(sp.split_grouped(samples(spark, sf), "grp", 0.2), "y", "label", "grp"))
+    return steady(sp.split_report(sp.split_grouped(samples(spark, sf), "grp", 0.2), "y", "label", "grp"))
 
 
 DRAW = "CAST('0x' || substr(md5(concat_ws('|', 42, 'fold', {r}, row_id)), 1, 8) AS BIGINT)"
@@ -122,7 +123,7 @@ def group_kfold_greedy(spark, sf):
 @query("stratified_kfold", f"""WITH {F1}, x AS (SELECT row_id, label, unnest([0, 1]) AS repeat FROM f1), r AS (SELECT *, row_number() OVER (PARTITION BY repeat, label ORDER BY md5(concat_ws('|', 42, 'fold', repeat, row_id))) AS rn, count(*) OVER (PARTITION BY repeat, label) AS n FROM x)
 SELECT row_id, label, repeat, {' + '.join(f'(rn > ceil(n*{i}/5))::INTEGER' for i in range(1, 5))} AS fold FROM r""")
 def stratified_kfold(spark, sf):
-    return sp.stratified_kfold(_rows(spark, sf).select("row_id", "label"), "row_id", "label", 5, 2)
+    return sp.stratified_kfold(_rows(spark, sf), "row_id", "label", 5, 2)
 
 
 @query("stratified_group_kfold")

@@ -22,3 +22,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return function
 
     return register
+
+
+def steady_sql(sql: str) -> str:
+    """The SQL form of ``steady``: every rounding of the text gets the same small offset."""
+    from studyframe.functions.columns import NUDGE
+
+    return sql.replace("round(", f"round({NUDGE!r}::DOUBLE + ")
