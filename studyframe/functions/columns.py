@@ -101,9 +101,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def join_small(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join rows to a (usually small) frame on null-safe equal keys."""
-    side = small_side(small)
+def join_small(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", width: int = 1) -> DataFrame:
+    """Join rows to a (usually small) frame on null-safe equal keys.
+
+    ``width`` tells how many values an array column of ``small`` holds; the row bound shrinks with it.
+    """
+    side = small_side(small, max(1, SMALL_ROWS // width))
     names = list(on)
     if not names:
         # ``small`` holds one row of totals: attach it as a constant key.

@@ -40,7 +40,7 @@ def _with_bucket(df: DataFrame, keys: Sequence[str], value: str, buckets: int) -
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 4 * total).alias("_cuts"))
     coarse = F.transform(F.sequence(F.lit(1), F.lit(steps - 1)), lambda i: F.element_at("_cuts", i * steps))
     cuts = cuts.select(*keys, "_cuts", coarse.alias("_coarse"))
-    placed = join_small(df, cuts, keys)
+    placed = join_small(df, cuts, keys, width=2 * total)
     v = F.col(value)
     outer = F.size(F.filter("_coarse", lambda c: c < v))
     placed = placed.withColumn("_outer", outer)
@@ -138,7 +138,7 @@ def exact_quantiles(
         F.percentile_approx("_v", lows, BRACKET_ACCURACY).alias("_lo"),
         F.percentile_approx("_v", highs, BRACKET_ACCURACY).alias("_hi"),
     )
-    placed = join_small(rows, brackets, keys)
+    placed = join_small(rows, brackets, keys, width=2 * len(probs))
     below = placed.groupBy(*keys).agg(
         F.array(*[F.count_if(F.col("_v") < F.get("_lo", F.lit(i))) for i in range(len(probs))]).alias("_below")
     )
@@ -149,7 +149,7 @@ def exact_quantiles(
     inside = placed.select(*keys, "n", "_v", F.explode(which).alias("_p"))
     counted = inside.groupBy(*keys, "n", "_p", "_v").agg(F.count(F.lit(1)).alias("_c"))
     before = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    ordered = join_small(counted.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))), below, keys)
+    ordered = join_small(counted.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))), below, keys, width=len(probs))
     start = F.col("_b") + F.get("_below", F.col("_p"))
     prob = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_p"))
     position = prob * (F.col("n") - 1)

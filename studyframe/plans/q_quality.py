@@ -137,7 +137,7 @@ def cv_distribution(spark, sf):
 # ------------------------------------------------------------------ importances
 
 IMP = F1 + """, im AS (""" + " UNION ALL ".join(
-    f"SELECT 'regression' AS task, 'GL' AS family, status AS target, label AS feature_set, brand AS model, '{c}' AS feature, round(corr({c}, y), 6) AS mean_importance FROM f1 GROUP BY status, label, brand" for c in FEATURES
+    f"SELECT 'regression' AS task, 'GL' AS family, status AS target, label AS feature_set, brand AS model, '{c}' AS feature, ROUND(corr({c}, y), 6) AS mean_importance FROM f1 GROUP BY status, label, brand" for c in FEATURES
 ) + ")"
 
 
@@ -159,23 +159,23 @@ def importance_summary(spark, sf):
     return rd(a.importance_summary(importances(spark, sf)))
 
 
-@query("relative_contribution", f"""WITH {IMP} SELECT target, feature_set, model, feature, mean_importance, round(CASE WHEN sum(greatest(mean_importance, 0)) OVER w > 0 THEN greatest(mean_importance, 0) / sum(greatest(mean_importance, 0)) OVER w * 100
- WHEN sum(abs(mean_importance)) OVER w > 0 THEN abs(mean_importance) / sum(abs(mean_importance)) OVER w * 100 END, 6) + 0.0::DOUBLE AS relative_contribution_pct FROM im WINDOW w AS (PARTITION BY target, feature_set, model)""")
+@query("relative_contribution", steady_sql(f"""WITH {IMP} SELECT target, feature_set, model, feature, mean_importance, round(CASE WHEN sum(greatest(mean_importance, 0)) OVER w > 0 THEN greatest(mean_importance, 0) / sum(greatest(mean_importance, 0)) OVER w * 100
+ WHEN sum(abs(mean_importance)) OVER w > 0 THEN abs(mean_importance) / sum(abs(mean_importance)) OVER w * 100 END, 6) + 0.0::DOUBLE AS relative_contribution_pct FROM im WINDOW w AS (PARTITION BY target, feature_set, model)"""))
 def relative_contribution(spark, sf):
     out = a.relative_contribution(importances(spark, sf), KEYS)
-    return rd(out.select(*KEYS, "feature", "mean_importance", "relative_contribution_pct"))
+    return steady(out.select(*KEYS, "feature", "mean_importance", "relative_contribution_pct"))
 
 
-@query("abs_contribution", f"""WITH {IMP} SELECT target, feature_set, model, feature, abs(mean_importance) AS absolute_importance, round(CASE WHEN sum(abs(mean_importance)) OVER w > 0 THEN abs(mean_importance) / sum(abs(mean_importance)) OVER w * 100 ELSE 0 END, 6) AS relative_contribution_percent
-FROM im WINDOW w AS (PARTITION BY target, feature_set, model)""")
+@query("abs_contribution", steady_sql(f"""WITH {IMP} SELECT target, feature_set, model, feature, abs(mean_importance) AS absolute_importance, round(CASE WHEN sum(abs(mean_importance)) OVER w > 0 THEN abs(mean_importance) / sum(abs(mean_importance)) OVER w * 100 ELSE 0 END, 6) AS relative_contribution_percent
+FROM im WINDOW w AS (PARTITION BY target, feature_set, model)"""))
 def abs_contribution(spark, sf):
     out = a.abs_contribution(importances(spark, sf), KEYS)
-    return rd(out.select(*KEYS, "feature", "absolute_importance", "relative_contribution_percent"))
+    return steady(out.select(*KEYS, "feature", "absolute_importance", "relative_contribution_percent"))
 
 
-@query("window_share", f"WITH {IMP} SELECT target, feature_set, model, feature, round(abs(mean_importance) / sum(abs(mean_importance)) OVER (PARTITION BY target, feature_set, model) * 100, 6) AS share FROM im")
+@query("window_share", steady_sql(f"WITH {IMP} SELECT target, feature_set, model, feature, round(abs(mean_importance) / sum(abs(mean_importance)) OVER (PARTITION BY target, feature_set, model) * 100, 6) AS share FROM im"))
 def window_share(spark, sf):
-    return rd(importances(spark, sf).select(*KEYS, "feature", ranking.window_share(F.abs("mean_importance"), KEYS).alias("share")))
+    return steady(importances(spark, sf).select(*KEYS, "feature", ranking.window_share(F.abs("mean_importance"), KEYS).alias("share")))
 
 
 @query("rank_dense", f"WITH {IMP} SELECT target, feature_set, model, feature, dense_rank() OVER (PARTITION BY target, feature_set, model ORDER BY round(mean_importance, 2) DESC) AS place FROM im")
