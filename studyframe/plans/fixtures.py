@@ -130,9 +130,11 @@ KEYS = ["target", "feature_set", "model"]
 # One row per (target, feature set, model): train, CV and test scores, rounded so ranks are repeatable.
 LB = F2 + """, sc AS (
   SELECT target, feature_set, model, part, CASE WHEN part = 'cv' THEN fold ELSE -1 END AS fold, count(*) AS n,
-         1 - sum((y_true-y_pred)^2) / (var_pop(y_true) * count(*)) AS r2, avg(abs(y_true-y_pred)) AS mae,
-         avg((y_true-y_pred)^2) AS mse, 100.0 * avg(CASE WHEN abs(y_pred-y_true) <= 0.2*(abs(y_true)+1e-12) THEN 1.0 ELSE 0.0 END) AS p20,
-         1 - sum((y_true-y_pred)^2) / sum((abs(y_pred-ym)+abs(y_true-ym))^2) AS ioa, 1 - sqrt(avg((y_true-y_pred)^2)) / stddev_pop(y_true) AS ios
+         CASE WHEN count(*) >= 2 THEN 1 - sum((y_true-y_pred)^2) / (var_pop(y_true) * count(*)) END AS r2,
+         CASE WHEN count(*) >= 2 THEN avg(abs(y_true-y_pred)) END AS mae, CASE WHEN count(*) >= 2 THEN avg((y_true-y_pred)^2) END AS mse,
+         CASE WHEN count(*) >= 2 THEN 100.0 * avg(CASE WHEN abs(y_pred-y_true) <= 0.2*(abs(y_true)+1e-12) THEN 1.0 ELSE 0.0 END) END AS p20,
+         CASE WHEN count(*) >= 2 THEN 1 - sum((y_true-y_pred)^2) / sum((abs(y_pred-ym)+abs(y_true-ym))^2) END AS ioa,
+         CASE WHEN count(*) >= 2 THEN 1 - sqrt(avg((y_true-y_pred)^2)) / stddev_pop(y_true) END AS ios
   FROM (SELECT *, avg(y_true) OVER (PARTITION BY target, feature_set, model, part, CASE WHEN part = 'cv' THEN fold ELSE -1 END) AS ym FROM f2)
   GROUP BY ALL),
 lb AS (

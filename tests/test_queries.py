@@ -11,6 +11,7 @@ from studyframe.operators.labels import class_from_thresholds
 from studyframe.plans.fixtures import KEYS, predictions, samples
 
 SMALL = "/root/testdata/sf0.001"
+COMPARED = "/root/testdata/sf0.01"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 # A cross-section by default; ORACLE_ALL=1 runs every query that has SQL.
 SOME = [
@@ -23,12 +24,12 @@ NAMES = sorted(ORACLE) if os.environ.get("ORACLE_ALL") else SOME
 
 @pytest.fixture(scope="module")
 def duck():
-    return connect(SMALL)
+    return connect(COMPARED)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, duck, name):
-    verdict = check(spark, duck, name, QUERIES[name], ORACLE[name], SMALL)
+    verdict = check(spark, duck, name, QUERIES[name], ORACLE[name], COMPARED)
     assert verdict.startswith("ok") and "types" not in verdict, verdict
 
 
@@ -48,13 +49,21 @@ def plan(df):
 def test_row_level_plans_stay_distributed(spark):
     rows = samples(spark, SMALL)
     for df in (
-        sp.kfold(rows, "partkey", 5), class_from_thresholds(rows, "y", 20.0, 60.0), sp.split_grouped(rows, "grp", 0.2),
+        sp.kfold(rows, "partkey", 5), class_from_thresholds(rows, "y", 20.0, 60.0),
         metrics.regression_metrics(predictions(spark, SMALL), KEYS), metrics.r2_eps(predictions(spark, SMALL), KEYS),
     ):
         text = plan(df)
         assert "SinglePartition" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_only_prefix_counts_meet_in_one_task(spark):
+    """An exact-size split brings together nothing but the (at most 4096) counts per hash prefix."""
+    text = plan(sp.split_grouped(samples(spark, SMALL), "grp", 0.2))
+    before = text.split("SinglePartition")[1:]
+    assert all(part.lstrip(", ENSURE_REQUIREMENTS").find("keys=[_prefix") >= 0 for part in before)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
 def test_scans_read_only_needed_columns_and_push_filters(spark):
     from studyframe.sources.tables import read_table
 
