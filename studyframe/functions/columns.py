@@ -106,11 +106,15 @@ def join_small(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str =
 
     ``width`` tells how many values an array column of ``small`` holds; the row bound shrinks with it.
     """
-    side = small_side(small, max(1, SMALL_ROWS // width))
     names = list(on)
     if not names:
-        # ``small`` holds one row of totals: attach it as a constant key.
-        return rows.withColumn("_one", F.lit(1)).join(side.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
+        # ``small`` holds one row of totals: its values become constants, so no join is planned.
+        found = small.limit(1).collect()
+        if not found and how == "inner":
+            return rows.where(F.lit(False)).withColumns({f.name: F.lit(None).cast(f.dataType) for f in small.schema.fields})
+        value = lambda f: F.lit(found[0][f.name]) if found else F.lit(None)
+        return rows.withColumns({f.name: value(f).cast(f.dataType) for f in small.schema.fields})
+    side = small_side(small, max(1, SMALL_ROWS // width))
     renamed = side
     for name in names:
         renamed = renamed.withColumnRenamed(name, f"_k_{name}")
