@@ -37,6 +37,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a Parquet table in the shared folder. For loops: what the planner infers about a checkpoint grows with
+    every round, and a file's size is known when the next join is planned."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else. In texts without other letters, which are most, that is lower()."""
     plain = F.octet_length(text) == F.char_length(text)

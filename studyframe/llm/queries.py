@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyframe.llm import mixing, quality, secrets
+from studyframe.llm import line_dedup, mixing, ngram_join, quality, secrets
 from studyframe.llm.exact_dedup import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,13 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_secret_scans")
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+@_query("op3_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+@_query("op8_line_dedup")
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
