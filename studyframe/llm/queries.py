@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyframe.llm import line_dedup, mixing, ngram_join, quality, secrets
+from studyframe.llm import line_dedup, mixing, ngram_join, quality, secrets, warc
+from studyframe.llm.common import new_folder
 from studyframe.llm.exact_dedup import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,18 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_line_dedup")
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
+@_query(
+    "op2_warc",
+    """
+    WITH rows AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    groups AS (SELECT payload_digest, max(page_id) AS largest FROM rows WHERE payload_bytes >= 1000 GROUP BY 1)
+    SELECT r.page_id, r.payload_bytes::BIGINT AS payload_bytes, r.payload_digest,
+        CASE WHEN r.payload_bytes >= 1000 AND r.page_id < g.largest THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN r.payload_bytes >= 1000 AND r.page_id < g.largest THEN g.largest END AS refers_to
+    FROM rows r LEFT JOIN groups g ON r.payload_digest = g.payload_digest AND r.payload_bytes >= 1000
+    """,
+)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
