@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyframe.llm import line_dedup, mixing, ngram_join, quality, secrets, warc
+from studyframe.llm import html_extract, licenses, line_dedup, mixing, ngram_join, quality, secrets, sentencepiece_codec, warc
 from studyframe.llm.common import new_folder
 from studyframe.llm.exact_dedup import DigestIndex
 
@@ -132,3 +132,20 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+
+
+@_query("op4_sentencepiece")
+def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, the text that they decode to, and whether that is the document's own."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode_and_decode(docs)
+
+
+@_query("op7_license_scans", licenses.duckdb_sql())
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(_table(spark, sf_dir, "pages"))
