@@ -176,7 +176,8 @@ def plan_mix(docs: DataFrame, levels: int = LEVELS, seed: str = "mix", weights:
 
     def copy(epoch: Column) -> Column:
         draw = epoch * F.col("filled") + F.element_at(ranks, (epoch + 1).cast("int"))
-        shard = F.element_at(F.filter("stretch", lambda x: x["upto"] > draw), 1)["shard"]
+        # a document drawn to close a gap may stand behind the quota: it goes with the last blocks
+        shard = F.coalesce(F.get(F.filter("stretch", lambda x: x["upto"] > draw), F.lit(0)), F.element_at("stretch", -1))["shard"]
         return F.struct(shard.alias("shard"), epoch.alias("epoch"), _order(seed, "place", epoch, F.col("doc_id")).alias("place"))
 
     found = _closer(kept(found.withColumn("copies", copies).drop("blocks", "before", "words", "running")))
