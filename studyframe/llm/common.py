@@ -67,3 +67,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     both = first.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
     return both.select(*(F.col(c) for c in rows.columns), *(found[c].alias(c) for c in more))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """_row, _key: whole rows in one column, and their doc_id, so that no column's name is in the way of a join."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_key"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **instead: Column) -> DataFrame:
+    """The columns of packed rows, some of them replaced."""
+    return rows.select(*(instead[c].alias(c) if c in instead else F.col("_row")[c].alias(c) for c in columns))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from studyframe.llm.common import WORD, kept
+from studyframe.llm.common import WORD, kept, packed, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -191,6 +191,6 @@ def mix(docs: DataFrame, levels: int = LEVELS, seed: str = "mix", **options) ->
     Documents that repeat an id count as one draw for each of the repeated rows.
     """
     plan = plan_mix(docs, levels, seed, **options).where(F.size("draws") > 0).groupBy("doc_id").agg(F.first("draws").alias("_draws"))
-    copies = docs.join(plan.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id").cast("long") == F.col("_doc_id")).withColumn("_draw", F.explode("_draws"))
-    placed = copies.repartition(2**levels, F.col("_draw")["shard"]).sortWithinPartitions(F.col("_draw")["shard"], F.col("_draw")["place"], F.col("_draw")["epoch"])
-    return placed.select(*docs.columns)
+    rows = packed(docs).join(plan, F.col("_key").eqNullSafe(F.col("doc_id"))).select("_row", F.explode("_draws").alias("_draw"))
+    placed = rows.repartition(2**levels, F.col("_draw")["shard"]).sortWithinPartitions(F.col("_draw")["shard"], F.col("_draw")["place"], F.col("_draw")["epoch"])
+    return unpacked(placed, docs.columns)

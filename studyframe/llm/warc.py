@@ -60,24 +60,23 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def plan_records(pages: DataFrame, page_id: str = "page_id", payload: str = "html") -> DataFrame:
-    """pages with refers_to: of equal payloads of REVISIT_BYTES or more, all but the largest id refer to that one.
+def plan_records(pages: DataFrame) -> DataFrame:
+    """page_id, url, html of pages, and refers_to: of equal payloads of REVISIT_BYTES or more, all but the largest id refer to that one.
 
     Rows without id are responses, and so are all rows with the largest id.
     """
-    body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    marks = pages.select(F.col(page_id).cast("long").alias("_id"), F.when(F.octet_length(body) >= REVISIT_BYTES, F.sha2(body, 256)).alias("_digest"))
-    groups = marks.where("_digest is not null").groupBy("_digest").agg(F.max("_id").alias("_largest"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    groups = kept(groups)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    body = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     rows = pages.withColumn("_digest", F.when(F.octet_length(body) >= REVISIT_BYTES, F.sha2(body, 256)))
-    total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    groups = kept(rows.where("_digest is not null").groupBy("_digest").agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    total = groups.agg(F.sum("_n")).first()[0]
     if not total:
-        return rows.drop("_digest").withColumn("refers_to", F.lit(None).cast("long"))
-    out = join_groups(rows, groups, "_digest", "_n", total, page_id)
-    return out.withColumn("refers_to", F.when(F.col(page_id).cast("long") < F.col("_largest"), F.col("_largest"))).select(*pages.columns, "refers_to")
+        return pages.withColumn("refers_to", F.lit(None).cast("long"))
+    out = join_groups(rows, groups, "_digest", "_n", total, "page_id")
+    return out.select(*pages.columns, F.when(F.col("page_id") < F.col("_largest"), F.col("_largest")).alias("refers_to"))
 
 
-def write_archives(planned: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def write_archives(planned: DataFrame, folder: str) -> DataFrame:
     """Write planned pages to *.warc.gz below folder; the manifest: path, bytes, records.
 
     A task writes files of its own under a new name each time it runs. The manifest is written by Spark once all
@@ -109,7 +108,7 @@ def write_archives(planned: DataFrame, folder: str, page_id: str = "page_id", ur
             done.append((path, size, records))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], ["path", "bytes", "records"])
 
-    rows = planned.select(F.col(page_id).cast("long"), F.col(url).cast("string"), F.col(payload).cast("binary"), F.col("refers_to").cast("long"))
+    rows = planned.select("page_id", F.col("url").cast("string"), F.col("html").cast("binary"), F.col("refers_to").cast("long"))
     rows.mapInArrow(run, "path string, bytes long, records long").write.parquet(f"{folder}/manifest")
     return planned.sparkSession.read.parquet(f"{folder}/manifest").withColumn("path", F.concat(F.lit(f"{folder}/"), "path"))
 
@@ -241,7 +240,7 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     their record says. Further columns are ignored; an empty table gives no archive and no lines.
     """
     spark = pages.sparkSession
-    records = read_archives(spark, write_archives(plan_records(pages.select("page_id", "url", "html")), folder))
+    records = read_archives(spark, write_archives(plan_records(pages), folder))
 
     def page(c: str):
         return F.regexp_extract(c, f"^{_PAGE}(-?[0-9]+)$", 1).try_cast("long")
