@@ -56,6 +56,8 @@ def _lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Starts and ends of the \\n-split lines of all texts, empty lines left out."""
     start = np.union1d(np.flatnonzero(data == 10) + 1, bounds[:-1])
     start = start[start < len(data)]
+    if not len(start):
+        return start, start
     end = np.append(start[1:], len(data))
     end = end - (data[end - 1] == 10)
     return start[end > start], end[end > start]
@@ -120,6 +122,8 @@ def _features(data: np.ndarray, bounds: np.ndarray, words: tk.Words) -> Iterator
 
 
 BLOCKS = 5
+#: Entries of the sample that one step of the fit works on at once.
+RUN = 1 << 20
 
 
 class Model:
@@ -154,7 +158,15 @@ def _rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(texts: pa.Array, good: np.ndarray, rounds: int = 150, ridge: float = 1e-5, rate: float = 1.0) -> Model:
     """Fit on the even rows by adaptive gradient steps with class-balanced loss; calibrate on the odd rows."""
     starts, cols, vals = _rows(texts)
-    owner = np.repeat(np.arange(len(good)), np.diff(starts))
+    owner = np.repeat(np.arange(len(good), dtype=np.int32), np.diff(starts))
+    runs = [slice(a, a + RUN) for a in range(0, len(cols), RUN)]
+
+    def scores() -> np.ndarray:
+        out = np.full(len(good), bias)
+        for r in runs:
+            out += np.bincount(owner[r], weights[cols[r]] * vals[r], minlength=len(good))
+        return out
+
     fitted = np.arange(len(good)) % 2 == 0
     if len(set(good[fitted])) < 2 or len(set(good[~fitted])) < 2:
         fitted[:] = True
@@ -162,14 +174,16 @@ def fit(texts: pa.Array, good: np.ndarray, rounds: int = 150, ridge: float = 1e-
     balance = np.where(good, 0.5 / max(1, (good & fitted).sum()), 0.5 / max(1, (~good & fitted).sum())) * fitted
     weights, bias, seen, seen_bias = np.zeros(BLOCKS * BUCKETS + 1), 0.0, np.full(BLOCKS * BUCKETS + 1, 1e-10), 1e-10
     for _ in range(rounds):
-        score = np.bincount(owner, weights[cols] * vals, minlength=len(good)) + bias
+        score = scores()
         error = balance * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - y)
-        slope = np.bincount(cols, error[owner] * vals, minlength=len(weights)) + ridge * weights
+        slope = ridge * weights
+        for r in runs:
+            slope += np.bincount(cols[r], error[owner[r]] * vals[r], minlength=len(weights))
         seen += slope * slope
         seen_bias += error.sum() ** 2
         weights -= rate * slope / np.sqrt(seen)
         bias -= 0.1 * rate * error.sum() / np.sqrt(seen_bias)
-    score = np.bincount(owner, weights[cols] * vals, minlength=len(good)) + bias
+    score = scores()
     held = ~fitted if not fitted.all() else fitted
     return Model(weights, bias, *_platt(score[held], good[held]))
 
