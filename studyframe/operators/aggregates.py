@@ -53,8 +53,8 @@ def group_diagnostics_class(
 def fold_summary(pred: DataFrame, keys: Sequence[str], fold: str = "fold", group: str | None = None, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Per outer fold: sizes, held-out scores, target statistics inside and outside, group counts.
 
-    The statistics of the rows outside a fold come from the totals minus the fold's own sums, so rows
-    are read once and no fold is compared with the others.
+    The statistics of the rows outside a fold are the merged counts, means and squared deviations of all folds
+    with the fold's own taken out, so rows are read once and large means cost no digits.
     """
     keys = list(keys)
     names = [*keys, fold]
@@ -68,13 +68,15 @@ def fold_summary(pred: DataFrame, keys: Sequence[str], fold: str = "fold", group
     w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     n = F.col("n_outer_validation")
     mean = F.col("outer_target_mean")
-    all_n, all_sum = F.sum(n).over(w), F.sum(n * mean).over(w)
-    all_sq = F.sum(n * F.col("_var") + n * mean * mean).over(w)
-    per = per.withColumns({"_an": all_n, "_as": all_sum, "_aq": all_sq})
+    shift = F.min(mean).over(w)
+    per = per.withColumn("_shift", shift)
+    off = mean - F.col("_shift")
+    per = per.withColumns({"_an": F.sum(n).over(w), "_as": F.sum(n * off).over(w), "_aq": F.sum(n * F.col("_var") + n * off * off).over(w)})
     inner_n = F.col("_an") - n
-    inner_mean = (F.col("_as") - n * mean) / F.nullif(inner_n, F.lit(0))
-    inner_sq = F.col("_aq") - n * F.col("_var") - n * mean * mean
-    inner_var = (inner_sq - inner_n * inner_mean * inner_mean) / F.nullif(inner_n - 1, F.lit(0))
+    inner_off = (F.col("_as") - n * off) / F.nullif(inner_n, F.lit(0))
+    inner_mean = F.col("_shift") + inner_off
+    inner_sq = F.col("_aq") - n * F.col("_var") - n * off * off
+    inner_var = (inner_sq - inner_n * inner_off * inner_off) / F.nullif(inner_n - 1, F.lit(0))
     out = per.select(
         *names,
         inner_n.alias("n_inner_train"),

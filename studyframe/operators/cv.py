@@ -10,6 +10,7 @@ import hashlib
 import itertools
 import json
 import math
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -28,8 +29,12 @@ from studyframe.operators.prep import build_preprocessor
 from studyframe.operators.schema import _num
 from studyframe.operators.selection import best_per_feature_set
 
-GRID_CAP = {"regression": 50, "classification": 100}
+#: Combinations of a quick search, and those of a random search: drawn if the grid has more than the threshold.
 QUICK_CAP = 20
+RANDOM_SEARCH = {"threshold": 100, "n_iter": 40}
+# Words of configuration files.
+CONFIG_WORDS = {"none": None, "null": None, "true": True, "yes": True, "false": False, "no": False}
+_INTEGER, _DECIMAL = re.compile(r"[+-]?\d+"), re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 
 
 @dataclass
@@ -45,29 +50,29 @@ class Candidate:
     seed: int = 42
 
 
-def convert_scalar(value):
-    """Config texts such as "none", "true", "3" or "0.1" as values."""
-    if not isinstance(value, str):
-        return value
-    word = value.strip().lower()
-    if word in ("none", "null"):
-        return None
-    if word in ("true", "yes", "false", "no"):
-        return word in ("true", "yes")
-    for kind in (int, float):
-        try:
-            return kind(value)
-        except ValueError:
-            pass
-    return value
-
-
-def param_grid(raw: Mapping[str, object] | None, task: str = "regression", seed: int = 42, cap: int | None = None, quick: bool = False) -> list[dict]:
-    """All combinations of the listed values; above the cap a repeatable subset in hash order."""
+def plain_value(text):
+    """What a scalar of a configuration file stands for; texts of no known form stay texts."""
+    bare = text.strip() if isinstance(text, str) else None
+    if bare is None:
+        return text
+    forms = ((_INTEGER, int), (_DECIMAL, float))
+    return CONFIG_WORDS.get(bare.lower(), next((read(bare) for form, read in forms if form.fullmatch(bare)), text))
+
+
+def param_grid(
+    raw: Mapping[str, object] | None, task: str = "regression", seed: int = 42, cap: int | None = None, quick: bool = False, random_search: bool = False,
+) -> list[dict]:
+    """All combinations of the listed values.
+
+    Fewer only on demand: the first `cap` in hash order (QUICK_CAP of a quick search), or a random search of a
+    classification grid beyond its threshold.
+    """
     lists = {k: v if isinstance(v, list) else [v] for k, v in (raw or {}).items() if not k.startswith("_")}
-    lists = {k: [convert_scalar(v) for v in vs] for k, vs in lists.items()}
+    lists = {k: [plain_value(v) for v in vs] for k, vs in lists.items()}
     combos = [dict(zip(lists, values)) for values in itertools.product(*lists.values())]
-    cap = cap or (QUICK_CAP if quick else GRID_CAP[task])
+    if cap is None and random_search and task == "classification" and len(combos) > RANDOM_SEARCH["threshold"]:
+        cap = RANDOM_SEARCH["n_iter"]
+    cap = cap or (QUICK_CAP if quick else len(combos))
     if len(combos) > cap:
         combos.sort(key=lambda c: hashlib.md5(f"{seed}|{json.dumps(c, sort_keys=True, default=str)}".encode()).hexdigest())
         combos = combos[:cap]

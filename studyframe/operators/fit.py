@@ -16,7 +16,9 @@ from studyframe.functions.columns import join_small
 
 
 def _depth(value) -> int:
-    """Spark trees stop at depth 30; no limit in the study means that."""
+    """Spark trees stop at depth 30; no limit in the study means that, and a deeper one gives a warning."""
+    if value is not None and int(value) > 30:
+        warnings.warn(f"Spark trees stop at depth 30; max_depth {value} is out of reach", stacklevel=2)
     return 30 if value is None else min(30, int(value))
 
 
@@ -43,7 +45,7 @@ _BOOST = {
     "subsample": ("subsamplingRate", lambda v, n: float(v)),
 }
 _IMPURITY = {"criterion": ("impurity", lambda v, n: "gini" if v == "gini" else "entropy")}
-_ITER = {"max_iter": ("maxIter", lambda v, n: min(int(v), 1000))}
+_ITER = {"max_iter": ("maxIter", lambda v, n: int(v))}
 REGRESSORS: dict[str, tuple[Callable[[int], Estimator], dict]] = {
     "MLR": (lambda seed: R.LinearRegression(solver="normal"), {}),
     "RIDGE": (lambda seed: R.LinearRegression(elasticNetParam=0.0, standardization=False), {"alpha": ("alpha", None)}),

@@ -132,18 +132,25 @@ def band_metrics(
 
 
 def confusion_long(pred: DataFrame, labels: Sequence[int], keys: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """Every (true, predicted) cell of the label list, zeros included."""
+    """Every (true, predicted) cell of the label list, zeros included.
+
+    Rows with a label outside the list, or none, are counted in cells whose label is NULL; those cells are
+    there only if they hold rows.
+    """
     keys, labels = list(keys), [int(v) for v in labels]
-    rows = pred.where(F.col(y).isin(labels) & F.col(p).isin(labels))
-    counts = rows.groupBy(*keys, F.col(y).cast("int").alias("_t"), F.col(p).cast("int").alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    listed = lambda c: F.when(F.col(c).isin(labels), F.col(c).cast("int"))
+    counts = pred.groupBy(*keys, listed(y).alias("_t"), listed(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    named = lambda t, q: F.concat(F.coalesce(t.cast("string"), F.lit("other")), F.lit("|"), F.coalesce(q.cast("string"), F.lit("other")))
     cells = counts.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "_t", "_p"), F.col("_n")))).alias("_cells")
+        F.map_from_entries(F.collect_list(F.struct(named(F.col("_t"), F.col("_p")), F.col("_n")))).alias("_cells")
+    )
+    cell = lambda a, b: F.struct(F.lit(a).cast("int").alias("t"), F.lit(b).cast("int").alias("p"))
+    grid = F.array(*[cell(a, b) for a in labels for b in labels])
+    others = F.filter(
+        F.array(*[cell(a, None) for a in [*labels, None]], *[cell(None, b) for b in labels]), lambda g: F.map_contains_key("_cells", named(g["t"], g["p"]))
     )
-    grid = F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("p")) for a in labels for b in labels])
-    cells = cells.select(*keys, "_cells", F.explode(grid).alias("_g"))
-    at = F.concat_ws("|", F.col("_g.t"), F.col("_g.p"))
+    cells = cells.select(*keys, "_cells", F.explode(F.concat(grid, others)).alias("_g"))
+    at = named(F.col("_g.t"), F.col("_g.p"))
     return cells.select(
         *keys,
         F.col("_g.t").alias("true_label"),
@@ -169,7 +176,7 @@ def _per_class(confusion: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def class_report(confusion: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Precision, recall, F1 and support per class, and the macro and weighted average rows."""
-    per = _per_class(confusion, keys)
+    per = _per_class(confusion, keys).where("label is not null")
     score = ("precision", "recall", "f1")
     lines = per.select(*keys, F.col("label").cast("string").alias("row"), *score, "support")
     both = per.groupBy(*keys).agg(
@@ -190,17 +197,21 @@ def class_report(confusion: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def classification_metrics(confusion: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Scores of hard labels. Macro averages run over the whole label list, empty classes score 0."""
+    """Scores of hard labels. Macro averages run over the whole label list, empty classes score 0.
+
+    Rows with a label outside the list count in n, accuracy, MCC and kappa, as one more class without hits.
+    """
     per = _per_class(confusion, keys)
+    listed = lambda c: F.when(F.col("label").isNotNull(), F.col(c))
     d = lambda c: F.col(c).cast("double")
     out = per.groupBy(*keys).agg(
         F.sum("support").alias("n"),
         F.sum(d("tp")).alias("_c"),
-        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
-        F.avg("precision").alias("macro_precision"),
-        F.avg("recall").alias("macro_recall"),
-        F.avg("f1").alias("macro_f1"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
+        F.avg(F.when(F.col("support") > 0, listed("recall"))).alias("balanced_accuracy"),
+        F.avg(listed("precision")).alias("macro_precision"),
+        F.avg(listed("recall")).alias("macro_recall"),
+        F.avg(listed("f1")).alias("macro_f1"),
+        (F.sum(listed("f1") * F.col("support")) / F.nullif(F.sum(listed("support")), F.lit(0))).alias("weighted_f1"),
         F.sum(d("support") * d("predicted")).alias("_tp"),
         F.sum(d("support") * d("support")).alias("_tt"),
         F.sum(d("predicted") * d("predicted")).alias("_pp"),
@@ -231,7 +242,7 @@ def ovr_points(confusion: DataFrame, keys: Sequence[str]) -> DataFrame:
     fp = F.col("predicted") - F.col("tp")
     tn = F.col("_n") - F.col("support") - fp
     spec = F.when(tn + fp > 0, tn / (tn + fp))
-    return per.select(
+    return per.where("label is not null").select(
         *keys,
         "label",
         (1 - spec).alias("fpr"),

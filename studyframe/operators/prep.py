@@ -95,7 +95,9 @@ class Scaler(_SqlStage):
 
 # ------------------------------------------------------------------ power transforms
 
+#: Where the search for an exponent begins; it widens while the best one is at an end.
 LAMBDA_RANGE = (-5.0, 5.0)
+LAMBDA_WIDEST = 1e6
 LAMBDA_POINTS = 11
 LAMBDA_ROUNDS = 3
 
@@ -113,8 +115,10 @@ def _box_cox(x: str, lam: str) -> str:
 class PowerTransform(_SqlStage):
     """Yeo-Johnson or Box-Cox with the most likely exponent, then standardised.
 
-    Each round scores a row of candidate exponents for all columns in one aggregation and narrows the
-    range; a parabola through the best three candidates of the last round gives the exponent.
+    Each round scores a row of candidate exponents for all columns in one aggregation. A column whose best
+    candidate is at an end of its range goes on with a range three times as wide, the others narrow theirs; a
+    parabola through the best three candidates of the last round gives the exponent. Box-Cox works on values
+    over their geometric mean, which changes neither exponent nor result and keeps large powers finite.
     """
 
     def __init__(self, cols: Sequence[str], kind: str):
@@ -128,10 +132,16 @@ class PowerTransform(_SqlStage):
             bad = [c for c in self.cols if low[c]["lo"] is not None and low[c]["lo"] <= 0]
             if bad:
                 raise ValueError(f"box-cox needs positive values: {bad}")
+        unit = {c: 1.0 for c in self.cols}
+        if self.kind == "box-cox":
+            unit |= {c: math.exp(f["g"]) for c, f in _facts(df, self.cols, g=lambda v: F.avg(F.log(v))).items() if f["g"] is not None}
         long = _long(df, self.cols)
+        long = long.withColumn("value", F.col("value") / F.create_map(*[v for c in self.cols for v in (F.lit(c), F.lit(unit[c]))])[F.col("column")])
         jacobian = F.expr("sum(sign(value) * ln(abs(value) + 1))" if self.kind == "yeo-johnson" else "sum(ln(value))")
         ranges = {c: LAMBDA_RANGE for c in self.cols}
-        for _ in range(LAMBDA_ROUNDS):
+        left_over = {c: LAMBDA_ROUNDS for c in self.cols}
+        peaks: dict[str, float] = {}
+        while any(left_over.values()):
             tried = {c: [lo + (hi - lo) * i / (LAMBDA_POINTS - 1) for i in range(LAMBDA_POINTS)] for c, (lo, hi) in ranges.items()}
             table = F.create_map(*[v for c in self.cols for v in (F.lit(c), F.array(*[F.lit(x) for x in tried[c]]))])
             rows = long.select("column", "value", F.posexplode(table[F.col("column")]).alias("i", "lam"))
@@ -140,11 +150,17 @@ class PowerTransform(_SqlStage):
                 (r["column"], r["i"]): -math.inf if r["v"] is None or not r["v"] > 0 else -r["n"] / 2.0 * math.log(r["v"]) + (tried[r["column"]][r["i"]] - 1.0) * r["j"]
                 for r in found
             }
-            peaks = {}
-            for c in self.cols:
+            for c in [c for c in self.cols if left_over[c]]:
                 values = [fit.get((c, i), -math.inf) for i in range(LAMBDA_POINTS)]
                 best = max(range(LAMBDA_POINTS), key=values.__getitem__)
                 step = tried[c][1] - tried[c][0]
+                lo, hi = tried[c][0], tried[c][-1]
+                at_end = best in (0, LAMBDA_POINTS - 1) and math.isfinite(values[best]) and left_over[c] == LAMBDA_ROUNDS
+                if at_end and hi - lo < LAMBDA_WIDEST:
+                    ranges[c] = (lo - 2 * (hi - lo), hi) if best == 0 else (lo, hi + 2 * (hi - lo))
+                    peaks[c] = tried[c][best]
+                    continue
+                left_over[c] -= 1
                 ranges[c] = (tried[c][best] - step, tried[c][best] + step)
                 peaks[c] = tried[c][best]
                 if 0 < best < LAMBDA_POINTS - 1:
@@ -153,7 +169,7 @@ class PowerTransform(_SqlStage):
                     if math.isfinite(bend) and bend < 0:
                         peaks[c] += step * (left - right) / (2 * bend)
         self.lambdas = peaks
-        x = lambda c: f"CAST({_q(c)} AS DOUBLE)"
+        x = lambda c: f"(CAST({_q(c)} AS DOUBLE) / {_lit(unit[c])})" if unit[c] != 1.0 else f"CAST({_q(c)} AS DOUBLE)"
         shaped = {c: shape(x(c), _lit(self.lambdas[c])) for c in self.cols}
         row = df.agg(*[F.expr(f"{f}({e})").alias(f"{f}{j}") for j, e in enumerate(shaped.values()) for f in ("avg", "stddev_pop")]).first()
         return _replace({c: f"(({e}) - {_lit(row[f'avg{j}'])}) / {_lit(row[f'stddev_pop{j}'] or 1.0)}" for j, (c, e) in enumerate(shaped.items())})
@@ -303,10 +319,11 @@ class CategoryEncoder(_SqlStage):
         return [f"{c}={v}" for c in self.cols for v in self.categories[c][1 if self.drop_first else 0 :]]
 
     def _fit(self, df: DataFrame) -> SQLTransformer:
-        present = {
-            c: {r[0] for r in df.select(F.col(_q(c)).cast("string")).where(F.col(_q(c)).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()}
-            for c in self.cols
-        }
+        present = {}
+        for c in self.cols:  # as many as were given, however many values the column has
+            given = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(self.categories[c])], "v string")
+            values = df.select(F.col(_q(c)).cast("string").alias("v")).distinct()
+            present[c] = {r[0] for r in given.join(values, "v", "left_semi").collect()}
         exprs = {}
         for c in self.cols:
             seen = [v for v in self.categories[c] if v in present[c]]

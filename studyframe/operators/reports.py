@@ -74,14 +74,6 @@ def research_summary(sections: Mapping[str, DataFrame], key_columns: Sequence[st
     return out
 
 
-def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """Text of a small result for a report document."""
-    rows = df.limit(limit).collect()
-    head = "| " + " | ".join(df.columns) + " |"
-    rule = "|" + "---|" * len(df.columns)
-    return "\n".join([head, rule, *["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in rows]])
-
-
 def final_ranking(
     lb: DataFrame, scenarios: Mapping[str, Sequence[float]] = s.THREE_SCENARIOS, simulations: int = 1000, seed: int = 42, part: Sequence[str] = ("target",),
     key: Sequence[str] = ("feature_set", "model"),

@@ -184,12 +184,13 @@ def stratified_group_kfold(df: DataFrame, group: str, label: str, k: int, seed:
     """Whole groups to folds with an even class mix.
 
     k is lowered to the smallest number of groups that hold a class; when a class has a single group,
-    plain group folds are used. Beyond the driver limit, groups are dealt within their main class.
+    plain group folds are used, as many as there are groups at most. Beyond the driver limit, groups are dealt within their main class.
     """
     cells = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
     spread = cells.groupBy(label).agg(F.count(F.lit(1)).alias("g")).agg(F.min("g")).first()[0]
     if spread < 2:
-        return group_kfold(df, group, k, seed=seed, key=key)
+        groups = len(cells.select(group).distinct().limit(k).collect())
+        return group_kfold(df, group, max(2, min(k, groups)), seed=seed, key=key)
     k = max(2, min(k, spread))
     known = cells.limit(GREEDY_GROUPS + 1).collect()
     if len(known) <= GREEDY_GROUPS:

@@ -234,8 +234,8 @@ def normality_table(df: DataFrame, cols: Sequence[str], alpha: float = 0.05) ->
     )
 
 
-def qq_points(df: DataFrame, col: str, k: int = 200) -> DataFrame:
-    """About k points of the normal Q-Q plot, with slope, intercept and r of the line through all points."""
+def qq_points(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
+    """All points of the normal Q-Q plot, or about k of them, with slope, intercept and r of the line through all points."""
     shift, extra = 0.3175, 0.365
     rows = _ordered(df.select(_num(df, col).alias("value"), F.lit(0).alias("_g")), ["_g"]).drop("_g")
     score = score_sum_udf(shift, extra)(F.col("before_cnt"), F.col("cnt"), F.col("n"))
@@ -247,7 +247,7 @@ def qq_points(df: DataFrame, col: str, k: int = 200) -> DataFrame:
     plain, outer = NormalDist().inv_cdf((n - shift) / (n + extra)), NormalDist().inv_cdf(0.5 ** (1.0 / n))
     cross = sums["s"] + (outer - plain) * (sums["hi"] - sums["lo"])
     square = normal_score_sum(1, n, n, shift, extra, 2) + 2 * (outer * outer - plain * plain)
-    step = max(1, n // k)
+    step = max(1, n // k) if k else 1
     first = F.ceil((F.col("before_cnt") + 1) / F.lit(step)) * step
     ranks = F.filter(
         F.array_distinct(F.concat(F.when(F.col("before_cnt") == 0, F.array(F.lit(1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")),

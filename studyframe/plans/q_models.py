@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from studyframe.functions.columns import draw32, round_doubles as rd
+from studyframe.functions.columns import draw32, round_doubles as rd, steady
 from studyframe.operators import cv, fit as ft, prep, split as sp
 from studyframe.operators.labels import class_from_thresholds, encode_labels
 from studyframe.operators.metrics import regression_metrics
 from studyframe.plans.fixtures import F1, FEATURES, samples
-from studyframe.plans.registry import query
+from studyframe.plans.registry import query, steady_sql
 from studyframe.sources.tables import read_table
 
 SMALL = ["quantity", "retail"]
@@ -40,7 +40,7 @@ def _profile(df, cols):
     from studyframe.operators.schema import column_facts
 
     facts = {c: {"n": F.count(f"`{c}`"), "mean": F.avg(f"`{c}`"), "sd": F.stddev_pop(f"`{c}`"), "min": F.min(f"`{c}`"), "max": F.max(f"`{c}`")} for c in cols}
-    return rd(column_facts(df, facts), 5)
+    return steady(column_facts(df, facts), 5)
 
 
 def _scaled_sql(expr, cols=FEATURES):
@@ -51,7 +51,7 @@ def _scaled_sql(expr, cols=FEATURES):
     stats = ", ".join(
         f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s, min({c}) AS {c}_lo, max({c}) AS {c}_hi, quantile_cont({c}, 0.5) AS {c}_q2, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS {c}_iqr, max(abs({c})) AS {c}_top" for c in {*cols}
     )
-    return f"WITH {F1}, st AS (SELECT {stats} FROM f1) " + " UNION ALL ".join(parts)
+    return steady_sql(f"WITH {F1}, st AS (SELECT {stats} FROM f1) " + " UNION ALL ".join(parts))
 
 
 _SCALE = {
@@ -97,9 +97,9 @@ for _kind in _NORM:
     _norm_query(_kind)
 
 
-@query("polynomial", f"""WITH {F1} SELECT 'quantity*quantity' AS "column", count(*) AS n, round(avg(quantity*quantity), 5) AS mean, round(stddev_pop(quantity*quantity), 5) AS sd, round(min(quantity*quantity), 5) AS min, round(max(quantity*quantity), 5) AS max FROM f1
+@query("polynomial", steady_sql(f"""WITH {F1} SELECT 'quantity*quantity' AS "column", count(*) AS n, round(avg(quantity*quantity), 5) AS mean, round(stddev_pop(quantity*quantity), 5) AS sd, round(min(quantity*quantity), 5) AS min, round(max(quantity*quantity), 5) AS max FROM f1
 UNION ALL SELECT 'quantity*size', count(*), round(avg(quantity*size), 5), round(stddev_pop(quantity*size), 5), round(min(quantity*size), 5), round(max(quantity*size), 5) FROM f1
-UNION ALL SELECT 'size*size', count(*), round(avg(size*size), 5), round(stddev_pop(size*size), 5), round(min(size*size), 5), round(max(size*size), 5) FROM f1""")
+UNION ALL SELECT 'size*size', count(*), round(avg(size*size), 5), round(stddev_pop(size*size), 5), round(min(size*size), 5), round(max(size*size), 5) FROM f1"""))
 def polynomial(spark, sf):
     _, out = _prepared(spark, sf, prep.polynomial(["quantity", "size"], 2), [])
     return _profile(out, list(prep.polynomial_terms(["quantity", "size"], 2)))
@@ -137,8 +137,8 @@ def power_quantile_normal(spark, sf):
     return _profile(out, SMALL)
 
 
-@query("encode_onehot", """SELECT 'p_type=' || p_type AS "column", sum(count(*)) OVER ()::BIGINT AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 5) AS mean,
- round(sqrt(count(*)::DOUBLE / sum(count(*)) OVER () * (1 - count(*)::DOUBLE / sum(count(*)) OVER ())), 5) AS sd, 0.0::DOUBLE AS min, 1.0::DOUBLE AS max FROM part GROUP BY p_type ORDER BY p_type OFFSET 1""")
+@query("encode_onehot", steady_sql("""SELECT 'p_type=' || p_type AS "column", sum(count(*)) OVER ()::BIGINT AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 5) AS mean,
+ round(sqrt(count(*)::DOUBLE / sum(count(*)) OVER () * (1 - count(*)::DOUBLE / sum(count(*)) OVER ())), 5) AS sd, 0.0::DOUBLE AS min, 1.0::DOUBLE AS max FROM part GROUP BY p_type ORDER BY p_type OFFSET 1"""))
 def encode_onehot(spark, sf):
     part = read_table(spark, sf, "part").select("p_type")
     stage = prep.encoder("onehot", ["p_type"], prep.categories_of(part, ["p_type"]), drop_first=True)

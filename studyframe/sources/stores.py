@@ -14,13 +14,13 @@ from studyframe.functions.columns import safe_name
 def write_split(df: DataFrame, path: str, target: str, feature_set: str, features: Sequence[str], y: str, key: str = "row_id", group: str | None = None) -> None:
     """Rows of one study pair below ``data/target=/feature_set=/split=`` and its line in the manifest.
 
-    Only the partitions of this pair are replaced, so other pairs stay and a repeated run is harmless.
+    The folder of this pair is replaced as a whole, so a part that the new run lacks is gone too; other pairs stay.
     """
     rows = df.select(
         F.col(key).alias("source_row_index"), *[F.col(f"`{f}`") for f in features], F.col(y).cast("double").alias("y"), *([F.col(group).alias("group_key")] if group else []),
         F.lit(target).alias("target"), F.lit(feature_set).alias("feature_set"), F.col("split"),
     )
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
     writer.partitionBy("target", "feature_set", "split").parquet(f"{path}/data/{safe_name(target)}__{safe_name(feature_set)}")
     sizes = rows.groupBy("target", "feature_set").agg(
         F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"), F.lit("|".join(features)).alias("features"),
@@ -73,7 +73,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
     part = lambda start: F.conv(F.substring(row, start, 15), 16, 10).cast("bigint")
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor(part(1)), F.lit(0)).alias("xor_hash"),
-        F.coalesce(F.sum(F.pmod(part(16), F.lit(2**31))), F.lit(0)).cast("bigint").alias("sum_hash"), F.lit(",".join(names)).alias("columns"),
+        F.coalesce(F.sum(F.pmod(part(16), F.lit(2**31)).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("sum_hash"), F.lit(",".join(names)).alias("columns"),
     )
 
 

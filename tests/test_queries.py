@@ -17,7 +17,7 @@ QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 SOME = [
     "regression_metrics", "classification_metrics", "auc_ovr", "roc_points", "band_metrics", "diagnose", "rank_selection", "rank_ensemble", "scenario_sensitivity",
     "rank_recommended", "constraint_checks", "quality_status", "fold_summary", "importance_summary", "learning_summary", "corr_spearman", "dagostino_k2",
-    "mann_whitney_median", "kruskal_wallis", "anova_type2", "split_stratified", "stratified_kfold", "learning_subsets", "scale_robust", "knn_classify", "final_ranking", "stream_quality",
+    "mann_whitney_median", "kruskal_wallis", "anova_type2", "split_stratified", "stratified_kfold", "learning_subsets", "scale_robust", "scale_minmax", "scale_maxabs", "impute_median", "encode_onehot", "target_mode", "class_report", "confusion_long", "ovr_points", "knn_classify", "final_ranking", "stream_quality",
 ]
 NAMES = sorted(ORACLE) if os.environ.get("ORACLE_ALL") else SOME
 
