@@ -75,20 +75,33 @@ def research_summary(sections: Mapping[str, DataFrame], key_columns: Sequence[st
 
 
 def final_ranking(
-    lb: DataFrame, scenarios: Mapping[str, Sequence[float]] = s.THREE_SCENARIOS, simulations: int = 1000, seed: int = 42, part: Sequence[str] = ("target",),
-    key: Sequence[str] = ("feature_set", "model"),
+    lb: DataFrame, scenarios: Mapping[str, Sequence[float]] | None = None, simulations: int = 1000, seed: int = 42, part: Sequence[str] = ("target",),
+    key: Sequence[str] = ("feature_set", "model"), task: str = "regression", validation: bool = True,
 ) -> DataFrame:
-    """Leaderboard with gaps, verdict, all rank families, scenario and Monte-Carlo columns."""
+    """Leaderboard with gaps, verdict, all rank families, scenario and Monte-Carlo columns.
+
+    Classifiers are ranked with their validation scores; without ``validation`` by cross-validation alone.
+    """
     names = [*part, *key]
-    out = diagnose(gaps(lb), "reg_report")
-    out = r.rank_generalization(r.rank_test(r.score_0_1(r.rank_selection(out, "reg", part), part=part), "reg", part), "reg", part)
-    out = r.rank_stability(out, s.REG_CRITERIA)
-    wide = s.scenario_ranks(out, scenarios, s.REG_CRITERIA, part, key).groupBy(*names).agg(
+    if task == "regression":
+        verdict, weights, test, general, criteria, usual = "reg_report", "reg", "reg", "reg", s.REG_CRITERIA, s.THREE_SCENARIOS
+    elif validation:
+        verdict, weights, test, general, criteria, usual = "cls_report", "cls_val", "cls", "cls", s.CLS_VAL_CRITERIA, s.FIVE_SCENARIOS
+    else:
+        verdict, weights, test, general, criteria, usual = "cls_report", "cls_cv", "cls", "cls_no_val", s.CLS_CRITERIA, s.THREE_SCENARIOS
+    scenarios = scenarios or usual
+    out = r.rank_selection(diagnose(gaps(lb, task), verdict), weights, part)
+    if task == "regression":
+        out = r.score_0_1(out, part=part)
+    out = r.rank_generalization(r.rank_test(out, test, part), general, part)
+    out = r.rank_stability(out, criteria)
+    wide = s.scenario_ranks(out, scenarios, criteria, part, key).groupBy(*names).agg(
         *[F.max(F.when(F.col("scenario") == n, F.col("rank"))).alias(f"{n}_rank") for n in scenarios]
     )
-    summary = s.scenario_sensitivity(out, scenarios, s.REG_CRITERIA, part, key)
+    summary = s.scenario_sensitivity(out, scenarios, criteria, part, key)
     out = join_small(join_small(out, wide, names, "left"), summary, names, "left")
-    out = s.monte_carlo(out, s.REG_CRITERIA, simulations, seed, part=part, key=key)
+    limits = {"perf_idx": (0, 1), "max_single": 0.5} if criteria is s.CLS_VAL_CRITERIA else {}
+    out = s.monte_carlo(out, criteria, simulations, seed, part=part, key=key, **limits)
     first = [*names, "recommended_rank", "selection_rank", "test_performance_rank", "generalization_rank", "robustness_rank"]
     return out.select(*first, *[c for c in out.columns if c not in first])
 

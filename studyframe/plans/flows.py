@@ -8,10 +8,21 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from studyframe.operators import aggregates, cv, diagnose, joins, labels, quality, rank, reports, schema, selection, split as sp
-from studyframe.operators.metrics import regression_metrics
+from studyframe.operators.metrics import classification_metrics, confusion_long
 from studyframe.spec import StudySpec
 
 KEYS = ["target", "feature_set", "model"]
+# Per task: the score, the leaderboard's columns, verdict, selection weights, and the order of the choice.
+STUDY = {
+    "regression": {
+        "metric": "r2", "columns": ("r2_train", "cv_r2_mean", "cv_r2_std"), "verdict": "reg_train", "weights": "reg",
+        "order": (("cv_r2_mean", False), ("cv_r2_std", True), ("abs_train_cv_gap", True)),
+    },
+    "classification": {
+        "metric": "macro_f1", "columns": ("train_macro_f1", "cv_macro_f1", "cv_macro_f1_std", "cv_balanced_accuracy", "cv_accuracy"), "verdict": "cls_train", "weights": "cls_train",
+        "order": (("cv_macro_f1", False), ("cv_macro_f1_std", True), ("abs_train_cv_gap", True)),
+    },
+}
 BEST = [("selection_rank", True), ("cv_r2_mean", False), ("cv_r2_std", True), ("model", True)]
 
 
@@ -69,8 +80,11 @@ def prepare(
     return out
 
 
-def folds(df: DataFrame, spec: StudySpec, key: str, k: int, seed: int, out: str = "fold") -> DataFrame:
-    """Whole groups when the study is grouped and has enough of them, else rows."""
+def folds(df: DataFrame, spec: StudySpec, key: str, k: int, seed: int, out: str = "fold", label: str | None = None) -> DataFrame:
+    """Whole groups when the study is grouped and has enough of them, else rows; with a label, of an even class mix."""
+    if label is not None:
+        parts = sp.stratified_group_kfold(df, spec.group_column, label, k, seed, key) if spec.grouped else sp.stratified_kfold(df, key, label, k, seed=seed).drop("repeat")
+        return parts.withColumnRenamed("fold", out)
     if spec.grouped:
         return sp.group_kfold(df, spec.group_column, k, seed=seed, key=key).withColumnRenamed("fold", out)
     return sp.kfold(df, key, k, seed).withColumnRenamed("fold", out)
@@ -82,9 +96,13 @@ def train_and_select(
 ) -> tuple[DataFrame, DataFrame, dict[str, PipelineModel]]:
     """Nested CV of every (feature set, model), choice by CV scores, then one look at the holdout.
 
-    ``prepared`` maps feature sets to split tables. Returns leaderboard, holdout scores, fitted models.
+    ``prepared`` maps feature sets to split tables. Returns leaderboard, holdout scores, fitted models. A
+    classification study has folds of an even class mix, and verdicts, weights and columns of its own.
     """
-    metric = "r2" if task == "regression" else "macro_f1"
+    names = STUDY[task]
+    metric, stratify = names["metric"], y if task == "classification" else None
+    if stratify and n_classes is None:
+        n_classes = max(int(t.agg(F.max(y)).first()[0]) + 1 for t in prepared.values())
     lines, fitted, candidates = [], {}, {}
     tests = {}
     for name, table in prepared.items():
@@ -94,9 +112,11 @@ def train_and_select(
             c = cv.Candidate(task, model, features, y, dict(preprocessing or {}), n_classes, spec.seed)
             k = spec.folds_for(model)
             grid = cv.param_grid(spec.grids.get(model), task, spec.seed)
-            outer = folds(train, spec, key, k, spec.seed)
-            inner = lambda rows, seed: folds(rows, spec, key, k, seed, "inner_fold")
-            scores, _ = cv.nested_cv(outer, c, grid, "fold", k, inner, k, key, spec.group_column if spec.grouped else None, metric)
+            outer = folds(train, spec, key, k, spec.seed, label=stratify)
+            inner = lambda rows, seed: folds(rows, spec, key, k, seed, "inner_fold", stratify)
+            if stratify:  # small classes allow fewer folds
+                k = int(outer.agg(F.max("fold")).first()[0]) + 1
+            scores, held_out = cv.nested_cv(outer, c, grid, "fold", k, inner, k, key, spec.group_column if spec.grouped else None, metric)
             best = dict(grid[0])
             if len(grid) > 1:
                 best, _ = cv.grid_search_cv(outer, c, grid, "fold", k, metric)
@@ -105,13 +125,18 @@ def train_and_select(
             summary = scores.agg(
                 F.avg(f"train_{metric}").alias("t"), F.avg(f"outer_{metric}").alias("m"), F.stddev_samp(f"outer_{metric}").alias("s")
             ).first()
-            lines.append((target, name, model, file, summary["t"], summary["m"], summary["s"]))
+            more = ()
+            if stratify:
+                per_fold = classification_metrics(confusion_long(held_out, list(range(n_classes)), ["fold"]), ["fold"])
+                more = tuple(per_fold.agg(F.avg("balanced_accuracy"), F.avg("accuracy")).first())
+            lines.append((target, name, model, file, summary["t"], summary["m"], summary["s"], *more))
     spark = next(iter(prepared.values())).sparkSession
-    lb = spark.createDataFrame(lines, "target string, feature_set string, model string, file string, r2_train double, cv_r2_mean double, cv_r2_std double")
-    ranked = rank.rank_selection(diagnose.diagnose(diagnose.gaps(lb), "reg_train"), "reg")
+    columns = ["target string", "feature_set string", "model string", "file string", *[f"{c} double" for c in names["columns"]]]
+    lb = spark.createDataFrame(lines, ", ".join(columns))
+    ranked = rank.rank_selection(diagnose.diagnose(diagnose.gaps(lb, task), names["verdict"]), names["weights"])
     held = None
     for name, table in tests.items():
         part = ranked.where(F.col("feature_set") == name)
-        scored = cv.select_then_test(part, fitted, table, candidates).withColumn("feature_set", F.lit(name))
+        scored = cv.select_then_test(part, fitted, table, candidates, names["order"]).withColumn("feature_set", F.lit(name))
         held = scored if held is None else held.unionByName(scored)
     return ranked, held, fitted

@@ -165,6 +165,21 @@ def final_ranking(spark, sf):
     return out.select(*KEYS, "recommended_rank", "selection_rank", "test_performance_rank", "generalization_rank", "robustness_rank", *_SHOWN, "mc_verdict")
 
 
+_FIVE = [f"{n}_rank" for n in s.FIVE_SCENARIOS]
+
+
+@query("final_ranking_class", f"""WITH {CLB}, {q_rank.CGAP}, {q_rank.selection_sql('cls_val')}, {q_rank.scenario_sql(s.FIVE_SCENARIOS, s.CLS_VAL_CRITERIA)},
+sw AS (SELECT target, feature_set, model, {', '.join(f"max(CASE WHEN scenario = '{n[:-5]}' THEN rank END) AS {n}" for n in _FIVE)} FROM sn GROUP BY ALL),
+t1 AS (SELECT *, round(0.50::DOUBLE * {q_rank._avg_rank('test_macro_f1', False)} + 0.30::DOUBLE * {q_rank._avg_rank('test_balanced_accuracy', False)} + 0.20::DOUBLE * {q_rank._avg_rank('test_mcc', False)}, 9) AS ts,
+ round(0.45::DOUBLE * {q_rank._avg_rank('abs_train_cv_gap')} + 0.35::DOUBLE * {q_rank._avg_rank('cv_macro_f1_std')} + 0.20::DOUBLE * {q_rank._avg_rank('abs_cv_val_gap')}, 9) AS gs FROM sel)
+SELECT target, feature_set, model, selection_rank, {q_rank._min_rank('ts')} AS test_performance_rank, {q_rank._min_rank('gs')} AS generalization_rank, {', '.join(_FIVE)}
+FROM t1 JOIN sw USING (target, feature_set, model)""")
+def final_ranking_class(spark, sf):
+    """Ranks of classifiers; weights written out in the SQL."""
+    out = rp.final_ranking(class_leaderboard(spark, sf), task="classification", simulations=50)
+    return out.select(*KEYS, "selection_rank", "test_performance_rank", "generalization_rank", *_FIVE)
+
+
 @query("failures", f"""WITH {F2}, e AS (SELECT DISTINCT target, feature_set, model FROM f2), c AS (SELECT DISTINCT target, feature_set, model FROM f2 WHERE part = 'test' AND y_pred > 104)
 SELECT target, feature_set, model, CASE WHEN feature_set = 'R' THEN 'no file' ELSE 'not scored' END AS reason FROM e ANTI JOIN c USING (target, feature_set, model)""")
 def failures(spark, sf):

@@ -208,3 +208,18 @@ def test_study_flow(data):
     best = lb.orderBy("selection_rank").first()
     assert best["feature_set"] == "fs2" and set(fitted) == {"MLR_fs1_label", "MLR_fs2_label"}
     assert held.where("NOT test_used_for_selection").count() == held.count() == 4
+
+
+def test_classification_study_flow(data):
+    _, df = data
+    rows = df.drop("fold").withColumn("label", (F.col("label") > 0).cast("int"))
+    spec = StudySpec(targets={"label": {"fs1": ["a"], "fs2": ["a", "b"]}}, cv_splits=3)
+    prepared = {name: flows.prepare(rows, spec, "label", name, stratify=None) for name in ("fs1", "fs2")}
+    lb, held, fitted = flows.train_and_select(prepared, spec, "label", ["LOGREG"], "label", task="classification")
+    best = lb.orderBy("selection_rank").first()
+    assert best["feature_set"] == "fs2" and best["cv_macro_f1"] > 0.8 and best["cv_accuracy"] > 0.8 and len(fitted) == 2
+    assert {"cv_balanced_accuracy", "rank_cv_accuracy", "train_cv_gap"} <= set(lb.columns)
+    assert held.count() == 4 and held.where("macro_f1 is null").count() == 0
+    train = prepared["fs2"].where("split = 'train'")
+    share = flows.folds(train, spec, "row_id", 3, 1, label="label").groupBy("fold").agg(F.avg("label").alias("m")).toPandas().m
+    assert share.max() - share.min() < 0.05
