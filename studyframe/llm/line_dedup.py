@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 
 from studyframe.llm import textkernel as tk
 from studyframe.llm.bits import Filter
-from studyframe.llm.common import join_groups, kept
+from studyframe.llm.common import join_groups, kept, packed, unpacked
 from studyframe.llm.components import connected, forest, per_task, tasks_of
 
 #: Lines with fewer words are never removed.
@@ -46,7 +46,7 @@ def normalise(line: bytes) -> bytes:
 class Lines:
     """The \\n-split lines of one text with LEAST_WORDS words: position among all its lines, digest, SimHash, bounds."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, hashed: bool = True):
         start = np.union1d(np.flatnonzero(data == 10) + 1, bounds[:-1])
         text = np.searchsorted(bounds, start, side="right") - 1
         # an empty text begins where the next one does, and a text that ends in \n has an empty last line: neither counts
@@ -57,31 +57,34 @@ class Lines:
         use = np.flatnonzero(n >= LEAST_WORDS)
         self.text, self.number, self.start = text[use], number[use], start[use]
         self.end = end[use] - ((end[use] > start[use]) & (data[np.maximum(end[use] - 1, 0)] == 10))
-        self.digests, self.simhash = self._marks(words, use)
+        self.digests, self.simhash = self._marks(words, use, hashed)
 
     @staticmethod
-    def _marks(words: tk.Words, use: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    def _marks(words: tk.Words, use: np.ndarray, hashed: bool) -> tuple[list[bytes], np.ndarray]:
         first, n = words.offsets[use], np.diff(words.offsets)[use]
-        simhash, digests, at = np.zeros(len(use), dtype=_U), [], 0
-        two = np.zeros((len(use), 2), dtype=_U)
+        upto, at = np.cumsum(n), 0
+        two, simhash = np.zeros((len(use), 2), dtype=_U), np.zeros(len(use), dtype=_U)
         while at < len(use):  # some lines at a time: a word takes 64 votes
-            upto = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 16_384)) + at)
-            count, begin = n[at:upto], first[at:upto]
-            total = int(count.sum())
-            local = np.repeat(np.cumsum(count) - count, count)
-            place = (np.arange(total) - local).astype(_U)
-            h = words.hashes[np.repeat(begin, count) + place.astype(np.int64)]
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] - n[at] + 16_384)))
+            count = n[at:end]
             cuts = np.cumsum(count) - count
-            votes = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-            more = 2 * np.add.reduceat(votes, cuts, axis=0) > count[:, None]
-            simhash[at:upto] = np.packbits(more, axis=1, bitorder="little").view("<u8").ravel()
+            place = np.arange(int(count.sum())) - np.repeat(cuts, count)
+            h = words.hashes[np.repeat(first[at:end], count) + place]
+            if hashed:
+                kind = np.int16 if count.max() < 32_768 else np.int64
+                line = np.repeat(np.arange(len(count)), count)
+                order = np.lexsort((h, line))
+                once = np.append(True, (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1]))
+                votes = np.unpackbits(h[order][once].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(kind)
+                voters = np.bincount(line[order][once], minlength=len(count))
+                more = 2 * np.add.reduceat(votes, np.cumsum(voters) - voters, axis=0).astype(np.int64) > voters[:, None]
+                simhash[at:end] = np.packbits(more, axis=1, bitorder="little").view("<u8").ravel()
             with np.errstate(over="ignore"):
                 for k, seed in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-                    two[at:upto, k] = tk.mix(np.add.reduceat(tk.mix(h + tk.mix(place + _U(seed))), cuts) + count.astype(_U))
-            at = upto
+                    two[at:end, k] = tk.mix(np.add.reduceat(tk.mix(h + tk.mix(place.astype(_U) + _U(seed))), cuts) + count.astype(_U))
+            at = end
         raw = two.astype("<u8").tobytes()
-        digests = [raw[16 * i : 16 * i + 16] for i in range(len(use))]
-        return digests, simhash
+        return [raw[16 * i : 16 * i + 16] for i in range(len(use))], simhash
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -169,20 +172,19 @@ def _settle(table: pa.Table) -> pa.RecordBatch:
     """A spanning forest of the links among the lines of a task, tried in order of SimHash distance."""
     simhash, digest = table["simhash"].to_numpy(), table["digest"].to_pylist()
     lines, part = [x.decode("utf-8", "replace") for x in table["text"].to_pylist()], table["part"].to_numpy()
-    root, links = list(range(len(lines))), []
+    size, links = np.array([len(x) for x in lines]), []
+    root, members = np.arange(len(lines)), {i: [i] for i in range(len(lines))}
     across = len(set(part.tolist())) > 1
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     for i in range(1, len(lines)):
-        near = np.flatnonzero(np.bitwise_count(simhash[:i] ^ simhash[i]) <= DISTANCE)
-        for j in near[np.argsort(np.bitwise_count(simhash[near] ^ simhash[i]), kind="stable")].tolist():
-            if (not across or part[i] != part[j]) and (x := find(i)) != (y := find(j)) and similar_lines(lines[i], lines[j]):
-                root[x] = y
+        due = (root[:i] != root[i]) & (size[:i] >= SIMILAR * size[i] - 1) & (SIMILAR * size[:i] - 1 <= size[i])
+        near = np.flatnonzero(due & (part[:i] != part[i]) if across else due)
+        apart = np.bitwise_count(simhash[near] ^ simhash[i])
+        for j in near[np.argsort(apart, kind="stable")[: (apart <= DISTANCE).sum()]].tolist():
+            if root[i] != root[j] and similar_lines(lines[i], lines[j]):
+                keep, gone = sorted((int(root[i]), int(root[j])), key=lambda r: -len(members[r]))
+                moved = members.pop(gone)
+                root[moved] = keep
+                members[keep] += moved
                 links.append((digest[i], digest[j]))
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -195,7 +197,7 @@ def _line_texts(docs: DataFrame, carriers: Filter) -> DataFrame:
         seen: set[bytes] = set()
         for batch in batches:
             for _, _, data, bounds in tk.texts(batch.column(1).filter(pa.array(sent.value.has(batch.column(0))))):
-                x, got = Lines(data, bounds), {}
+                x, got = Lines(data, bounds, hashed=False), {}
                 for digest, a, b in zip(x.digests, x.start.tolist(), x.end.tolist()):
                     if digest not in seen:
                         seen.add(digest)
@@ -251,7 +253,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Linked are lines whose SimHashes differ in DISTANCE bits at most and whose edit similarity, 1 - Levenshtein
     distance / longer length, is SIMILAR or more. A column n_removed of docs is replaced.
     """
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    out = docs.drop("n_removed").join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    text = _without(F.col("text").cast("string"), F.col("_gone"))
-    return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_removed"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))
+    out = packed(docs).join(gone, F.col("_key").eqNullSafe(F.col("doc_id")), "left").withColumn("_text", _without(F.col("_row")["text"].cast("string"), F.col("_gone")))
+    out = out.withColumn("_n", F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)))
+    columns = [c for c in docs.columns if c != "n_removed"]
+    return unpacked(out, [*columns, "n_removed"], text=F.col("_text"), n_removed=F.col("_n"))
