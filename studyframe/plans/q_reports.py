@@ -36,11 +36,11 @@ def read_delimited(spark, sf):
 
 
 def _written_folds(spark, sf):
-    """Fold scores of two models as report files of a study folder."""
+    """Fold scores of all models and targets as report files of a study folder, one per feature set."""
     root = scratch_path(spark, "study")
-    scores = fold_scores(predictions(spark, sf).where("part = 'cv' AND target = 'priceF'"), agreement=False)
+    scores = fold_scores(predictions(spark, sf), agreement=False)
     picked = scores.groupBy("feature_set", "fold").agg(F.avg("r2").alias("outer_r2"), F.avg("rmse").alias("outer_rmse")).persist()
-    for fs in ("A", "N"):
+    for fs in ("A", "N", "R"):
         part = picked.where(F.col("feature_set") == fs).select("fold", "outer_r2", *(["outer_rmse"] if fs == "A" else []))
         # One small report file per model, named as the study names it.
         target = f"{root}/regression/nested_cv/priceF/fs_{fs}"
@@ -60,7 +60,7 @@ def collect_reports(spark, sf):
 @query("collect_importances")
 def collect_importances(spark, sf):
     root = scratch_path(spark, "study")
-    imp = q_quality.importances(spark, sf).where("target = 'F'").groupBy("feature_set", "feature").agg(F.avg("mean_importance").alias("Mean Importance")).persist()
+    imp = q_quality.importances(spark, sf).groupBy("feature_set", "feature").agg(F.avg("mean_importance").alias("Mean Importance")).persist()
     for i, fs in enumerate(("A", "N", "R"), 1):
         imp.where(F.col("feature_set") == fs).select("feature", "Mean Importance").coalesce(1).write.option("header", True).csv(f"{root}/AC/fs{i}/mlr_permutation_sensitivity.csv")
     out = src.collect_importances(spark, root, "regression", "GL", "*.csv")

@@ -84,7 +84,7 @@ def anderson_darling_normal(spark, sf):
 
 @query("ad_residual")
 def ad_residual(spark, sf):
-    return rd(st.ad_residual(predictions(spark, sf).where("part = 'test'"), KEYS))
+    return rd(st.ad_residual(predictions(spark, sf), [*KEYS, "part"]))
 
 
 @query("shapiro_wilk")
@@ -102,18 +102,18 @@ def qq_points(spark, sf):
     return st.qq_points(samples(spark, sf), "y")
 
 
-@query("residual_diagnostics", f"""WITH {F2}, r AS (SELECT target, feature_set, model, y_true - y_pred AS e FROM f2 WHERE part = 'test')
-SELECT target, feature_set, model, count(*) AS n, round(avg(e), 6) AS residual_bias, round(stddev_samp(e), 6) AS residual_sd, round(skewness(e), 6) AS residual_skewness, round(kurtosis(e), 6) AS residual_kurtosis FROM r GROUP BY ALL""")
+@query("residual_diagnostics", f"""WITH {F2}, r AS (SELECT target, feature_set, model, part, y_true - y_pred AS e FROM f2)
+SELECT target, feature_set, model, part, count(*) AS n, round(avg(e), 6) AS residual_bias, round(stddev_samp(e), 6) AS residual_sd, round(skewness(e), 6) AS residual_skewness, round(kurtosis(e), 6) AS residual_kurtosis FROM r GROUP BY ALL""")
 def residual_diagnostics(spark, sf):
     """The columns SQL can express; A² and Shapiro-Wilk of the same groups are in the next query."""
-    out = st.residual_diagnostics(predictions(spark, sf).where("part = 'test'"), KEYS)
-    return rd(out.select(*KEYS, "n", "residual_bias", "residual_sd", "residual_skewness", "residual_kurtosis"))
+    out = st.residual_diagnostics(predictions(spark, sf), [*KEYS, "part"])
+    return rd(out.select(*KEYS, "part", "n", "residual_bias", "residual_sd", "residual_skewness", "residual_kurtosis"))
 
 
 @query("residual_normality")
 def residual_normality(spark, sf):
-    out = st.residual_diagnostics(predictions(spark, sf).where("part = 'test'"), KEYS)
-    return out.select(*KEYS, "n", "ad_stat", "shapiro_w", "shapiro_p")
+    out = st.residual_diagnostics(predictions(spark, sf), [*KEYS, "part"])
+    return out.select(*KEYS, "part", "n", "ad_stat", "shapiro_w", "shapiro_p")
 
 
 MWU_COLS = ["quantity", "discount", "size", "retail"]
