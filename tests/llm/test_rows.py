@@ -267,6 +267,8 @@ def test_sentencepiece_parity_and_round_trip(spark, docs, doubled, empty):
     assert sp.encode_and_decode(corpus).where("not whole").count() == 0
     back = {r["doc_id"]: r["text"] for r in sp.decode(sp.encode(frame)).collect()}
     assert all(back[200 + i] == t for i, t in enumerate(odd) if "▁" not in t) and back[3] == ""
+    told = {r["doc_id"]: r["whole"] for r in sp.encode_and_decode(frame).collect()}
+    assert all(told[200 + i] == (back[200 + i] == t) for i, t in enumerate(odd)) and told[4]
     assert sp.encode(doubled).count() == 2 * len(TEXTS) and sp.encode(empty).count() == 0
     assert {r["n_tokens"] for r in sp.encode(docs).where("doc_id in (3, 4)").collect()} == {0}
 
