@@ -9,6 +9,8 @@ permuted blocks, so shards are disjoint, and orders its copies by hash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -53,35 +55,54 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return sums.withColumn("level", level).select("source", "source_size", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), cap).alias("target"))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once: inside lambdas the planner shares nothing."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """The number of marked among `drawn` of `total`: the inverse distribution function at u.
 
     Weights are taken relative to the mode, within ten standard deviations of it, by the ratio of neighbours.
     """
-    t, m, d = (x.cast("double") for x in (total, marked, drawn))
-    low, high = F.greatest(F.lit(0.0), d + m - t), F.least(m, d)
-    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (m + 1) / (t + 2)).cast("double")))
-    sd = F.sqrt(F.greatest(F.lit(0.0), d * (m / F.greatest(t, F.lit(1.0))) * (1 - m / F.greatest(t, F.lit(1.0))) * (t - d) / F.greatest(t - 1, F.lit(1.0))))
-    reach = F.ceil(sd * 10) + 2
-    first, last = F.greatest(low, mode - reach).cast("long"), F.least(high, mode + reach).cast("long")
-    # upwards from k to k + 1 the weight is multiplied by (m - k)(d - k) / ((k + 1)(t - m - d + k + 1))
-    climb = lambda k: (m - k) * (d - k) / ((k + 1) * (t - m - d + k + 1))
-
-    def walk(ks: Column, ratio) -> Column:
-        start = F.struct(F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("ws"))
-        return F.aggregate(ks, start, lambda s, k: F.struct((s["w"] * ratio(k.cast("double"))).alias("w"), F.concat(s["ws"], F.array(s["w"] * ratio(k.cast("double")))).alias("ws")))["ws"]
-
-    none = F.array().cast("array<bigint>")
-    up = F.when(last > mode, F.sequence(mode.cast("long"), last - 1)).otherwise(none)
-    down = F.when(first < mode, F.sequence(mode.cast("long") - 1, first, F.lit(-1))).otherwise(none)
-    weights = F.concat(F.reverse(walk(down, lambda k: 1 / climb(k))), F.array(F.lit(1.0)), walk(up, climb))
-    total_weight = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
-    passed = F.aggregate(
-        weights,
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")),
-        lambda s, w: F.struct((s["sum"] + w).alias("sum"), (s["n"] + F.when(s["sum"] + w < u * total_weight, 1).otherwise(0)).alias("n")),
-    )["n"]
-    return F.least(last, first + passed)
+
+    def bounded(x: Column) -> Column:
+        t, m, d = x["t"], x["m"], x["d"]
+        low, high = F.greatest(F.lit(0.0), d + m - t), F.least(m, d)
+        mode = F.least(high, F.greatest(low, F.floor((d + 1) * (m + 1) / (t + 2)).cast("double")))
+        part = m / F.greatest(t, F.lit(1.0))
+        sd = F.sqrt(F.greatest(F.lit(0.0), d * part * (1 - part) * (t - d) / F.greatest(t - 1, F.lit(1.0))))
+        facts = F.struct(t.alias("t"), m.alias("m"), d.alias("d"), low.alias("low"), high.alias("high"), mode.alias("mode"), (F.ceil(sd * 10) + 2).alias("reach"))
+        return _let(facts, weighted)
+
+    def weighted(x: Column) -> Column:
+        first = F.greatest(x["low"], x["mode"] - x["reach"]).cast("long")
+        last = F.least(x["high"], x["mode"] + x["reach"]).cast("long")
+        mode, none = x["mode"].cast("long"), F.array().cast("array<bigint>")
+
+        def climb(k: Column) -> Column:
+            """The weight of k + 1 over that of k."""
+            return (x["m"] - k) * (x["d"] - k) / ((k + 1) * (x["t"] - x["m"] - x["d"] + k + 1))
+
+        def walk(ks: Column, ratio: Callable[[Column], Column]) -> Column:
+            start = F.struct(F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("ws"))
+            return F.aggregate(ks, start, lambda s, k: _let(s["w"] * ratio(k.cast("double")), lambda w: F.struct(w.alias("w"), F.concat(s["ws"], F.array(w)).alias("ws"))))["ws"]
+
+        up = walk(F.when(last > mode, F.sequence(mode, last - 1)).otherwise(none), climb)
+        down = walk(F.when(first < mode, F.sequence(mode - 1, first, F.lit(-1))).otherwise(none), lambda k: 1 / climb(k))
+        weights = F.concat(F.reverse(down), F.array(F.lit(1.0)), up)
+        return _let(F.struct(first.alias("first"), last.alias("last"), weights.alias("ws")), chosen)
+
+    def chosen(x: Column) -> Column:
+        def passed(aim: Column) -> Column:
+            start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"))
+            return F.aggregate(
+                x["ws"], start, lambda s, w: _let(s["sum"] + w, lambda upto: F.struct(upto.alias("sum"), (s["n"] + F.when(upto < aim, 1).otherwise(0)).alias("n")))
+            )["n"]
+
+        return F.least(x["last"], x["first"] + _let(u * F.aggregate(x["ws"], F.lit(0.0), lambda s, w: s + w), passed))
+
+    return _let(F.struct(total.cast("double").alias("t"), marked.cast("double").alias("m"), drawn.cast("double").alias("d")), bounded)
 
 
 def splitting_tree(quotas: DataFrame, levels: int, seed: str) -> DataFrame:
@@ -99,8 +120,8 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: str) -> DataFrame:
 
         def draw(s: Column, p: Column) -> Column:
             u = _unit(_order(seed, "tree", str(level), F.col("node"), F.coalesce(p["source"], F.lit("")), p["last"]))  # noqa: B023
-            x = _hypergeometric(s["left"], p["quota"], s["room"], u)
-            return F.struct((s["left"] - p["quota"]).alias("left"), (s["room"] - x).alias("room"), F.concat(s["got"], F.array(x)).alias("got"))
+            taken = lambda x: F.struct((s["left"] - p["quota"]).alias("left"), (s["room"] - x).alias("room"), F.concat(s["got"], F.array(x)).alias("got"))
+            return _let(_hypergeometric(s["left"], p["quota"], s["room"], u), taken)
 
         nodes = nodes.withColumn("total", total).withColumn("half", half)
         nodes = nodes.withColumn("got", F.aggregate("parts", start, draw)["got"])
