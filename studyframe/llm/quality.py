@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from studyframe.llm import textkernel as tk
 
 #: At most so many labelled rows of either class are sampled, half of them to fit and half to calibrate.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 400
 #: Weights of each kind of n-gram.
 BUCKETS = 1 << 16
 #: Kept from this probability of good quality.
@@ -142,7 +142,7 @@ class Model:
 def _rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows of mean counts: row starts, indices, values."""
     starts, cols, vals = [0], [], []
-    for _, _, data, bounds in tk.texts(texts):
+    for _, _, data, bounds in tk.texts(texts, limit=1 << 18):
         blocks = list(_features(data, bounds, tk.words_of(data, bounds, True)))
         for d in range(len(bounds) - 1):
             n = 0
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         model = fit(table["text"].take(pa.array(order)).combine_chunks(), good)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.astype("<f8").tobytes()], "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
 
-    found = rows.repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").collect()
+    found = rows.repartition(1).mapInArrow(tk.resting(run), "weights binary, bias double, slope double, shift double").collect()
     return Model(np.frombuffer(bytes(found[0]["weights"]), dtype="<f8"), found[0]["bias"], found[0]["slope"], found[0]["shift"]) if found else None
 
 
@@ -256,7 +256,7 @@ def quality_rules(docs: DataFrame, model: Model | None, keep_from: float = KEEP_
                 frame = [batch.column(0).slice(first, last - first), *(pa.array(v.astype(np.int64)) for v in facts.values()), pa.array(failed), pa.array(p, pa.float64()) if model else pa.nulls(last - first, pa.float64()), pa.array(keep)]
                 yield pa.RecordBatch.from_arrays(frame, ["doc_id", *facts, "base_failed", "probability", "kept"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, FACTS)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tk.resting(run), FACTS)
 
 
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
