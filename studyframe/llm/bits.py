@@ -9,24 +9,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from studyframe.llm.textkernel import mix, resting
+
 CHUNK = 1 << 16
 
 
-def count_into(rows: DataFrame, slots: int, counts_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
-    """The sum over all tasks of how often counts_of() names each slot below `slots`, a multiple of CHUNK.
+def chunks_of(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Numbers and compressed bytes of the chunks of a task's counters."""
+    numbers = range(len(counts) // CHUNK)
+    return pa.array(numbers, pa.int32()), pa.array([zlib.compress(counts[c * CHUNK : (c + 1) * CHUNK].astype(np.uint32).tobytes(), 1) for c in numbers], pa.binary())
 
-    A task adds up its own numbers and passes on compressed chunks, which are added per chunk in the shuffle;
-    what reaches the driver has `slots` entries, whatever the input.
-    """
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_row = np.zeros(slots, dtype=np.uint32), False
-        for slot in counts_of(batches):
-            any_row = True
-            total += np.bincount(slot, minlength=slots).astype(np.uint32)
-        if any_row:
-            chunks = range(slots // CHUNK)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int32()), "counts": pa.array([zlib.compress(total[c * CHUNK : (c + 1) * CHUNK].tobytes(), 1) for c in chunks], pa.binary())})
+def sum_chunks(chunks: DataFrame, slots: int) -> np.ndarray:
+    """The sum of the counters of all tasks, from rows (chunk, counts). Chunks are added in the shuffle; what reaches
+    the driver has `slots` entries, whatever the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -38,11 +34,25 @@ def count_into(rows: DataFrame, slots: int, counts_of: Callable[[Iterator[pa.Rec
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     out = np.zeros(slots, dtype=np.uint64)
-    for row in rows.mapInArrow(fill, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
+    for row in chunks.select("chunk", "counts").repartition("chunk").mapInArrow(resting(add), "chunk int, counts binary").collect():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(row["counts"]), dtype=np.uint64)
     return out
 
 
+def count_into(rows: DataFrame, slots: int, slots_of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """How often slots_of() names each slot below `slots`, a multiple of CHUNK, over all rows."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_row = np.zeros(slots, dtype=np.uint32), False
+        for batch in batches:
+            any_row = True
+            total += np.bincount(slots_of(batch), minlength=slots).astype(np.uint32)
+        if any_row:
+            yield pa.RecordBatch.from_arrays(list(chunks_of(total)), ["chunk", "counts"])
+
+    return sum_chunks(rows.mapInArrow(resting(fill), "chunk int, counts binary"), slots)
+
+
 class Filter:
     """A set of longs that may hold more than it was given, never less."""
 
@@ -53,14 +63,12 @@ class Filter:
 
     @staticmethod
     def slot(ids: pa.Array) -> np.ndarray:
-        from studyframe.llm.textkernel import mix
-
         return (mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(Filter.SLOTS - 1)).astype(np.int64)
 
     @classmethod
     def of(cls, ids: DataFrame) -> Filter:
         """Of a frame with one column of longs."""
-        return cls(np.packbits(count_into(ids, cls.SLOTS, lambda batches: (cls.slot(b.column(0)) for b in batches)) > 0))
+        return cls(np.packbits(count_into(ids, cls.SLOTS, lambda batch: cls.slot(batch.column(0))) > 0))
 
     def has(self, ids: pa.Array) -> np.ndarray:
         slot = self.slot(ids)

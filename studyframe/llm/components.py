@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyframe.llm.common import join_groups, written
+from studyframe.llm.textkernel import resting
 
 
 def _to_lowest(pairs: DataFrame, total: int) -> DataFrame:
@@ -61,7 +62,7 @@ def connected(edges: DataFrame, rounds: int = 100, few: int = FEW_EDGES) -> Data
     pairs = written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     kind = pairs.schema["u"].dataType.simpleString()
     if pairs.count() <= few:
-        return written(pairs.select("v", "u").repartition(1).mapInArrow(_in_one_task, f"node {kind}, root {kind}"))
+        return written(pairs.select("v", "u").repartition(1).mapInArrow(resting(_in_one_task), f"node {kind}, root {kind}"))
     mark = None
     for _ in range(rounds):
         n, check = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -112,7 +113,7 @@ def per_task(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema
         if held:
             yield work(pa.Table.from_batches(held))
 
-    return rows.repartition("task_key").sortWithinPartitions("task_key").mapInArrow(run, schema)
+    return rows.repartition("task_key").sortWithinPartitions("task_key").mapInArrow(resting(run), schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:

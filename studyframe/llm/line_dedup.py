@@ -97,7 +97,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(first, last - first).take(pa.array(x.text))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(x.number.astype(np.int32)), pa.array(x.digests, pa.binary()), pa.array(x.simhash.view(np.int64)), pa.array((x.end - x.start).astype(np.int64))], ["doc_id", "line", "digest", "simhash", "chars"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, line int, digest binary, simhash long, chars long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tk.resting(run), "doc_id long, line int, digest binary, simhash long, chars long")
 
 
 def block_count(n: int) -> int:
@@ -137,7 +137,7 @@ def similar_simhashes(hashes: DataFrame, n: int) -> DataFrame:
             held = [x[upto:] for x in rows]
 
     spread = hashes.select("simhash", F.explode(F.array(*keys)).alias("k")).select(F.col("k.table").cast("long").alias("table"), F.col("k.key").alias("key"), "simhash")
-    return spread.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(run, "a long, b long")
+    return spread.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(tk.resting(run), "a long, b long")
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
@@ -204,7 +204,7 @@ def _line_texts(docs: DataFrame, carriers: Filter) -> DataFrame:
                         got[digest] = normalise(data[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.binary())], ["digest", "text"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "digest binary, text binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tk.resting(run), "digest binary, text binary")
 
 
 def removed_lines(docs: DataFrame, task_chars: int = TASK_CHARS) -> DataFrame:

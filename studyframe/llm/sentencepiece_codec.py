@@ -16,10 +16,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studyframe.llm.textkernel import resting
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of the texts that are encoded in one call.
-CALL_CHARS = 1 << 20
+CALL_CHARS = 1 << 18
 
 # Numbers of the model file's format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -129,9 +131,10 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def _calls(texts: list[str]) -> Iterator[list[str]]:
+def _calls(texts: list[str] | pa.Array) -> Iterator[list[str]]:
     call, size = [], 0
     for t in texts:
+        t = t if isinstance(t, str) else t.as_py()
         if call and size + len(t) > CALL_CHARS:
             yield call
             call, size = [], 0
@@ -157,12 +160,12 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, first = batch.column(1).fill_null(""), 0
-            for call in _calls(texts.to_pylist()):
+            for call in _calls(texts):
                 ids = encode_texts(sent.value, call)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(call)), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32())], ["doc_id", "ids", "n_tokens"])
                 first += len(call)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(resting(run), "doc_id long, ids array<int>, n_tokens int")
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -176,7 +179,7 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
             texts = iter(made.decode_batch([x for x in ids if x], skip_special_tokens=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None if x is None else next(texts) if x else "" for x in ids], pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(resting(run), "doc_id long, ids array<int>, text string")
 
 
 def piece_bytes(model: Model) -> pa.Array:
@@ -212,14 +215,14 @@ def encode_and_decode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataF
         pieces = piece_bytes(model)
         for batch in batches:
             texts, first = batch.column(1).fill_null("").cast(pa.large_string()), 0
-            for call in _calls(texts.to_pylist()):
+            for call in _calls(texts):
                 lists = encode_texts(sent.value, call)
                 ids = pa.array(lists, pa.list_(pa.int32()))
                 whole = decodes_to(ids, texts.slice(first, len(call)), pieces, model.dummy_prefix)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(call)), ids, pa.array([len(x) for x in lists], pa.int32()), pa.array(whole, pa.bool_())], ["doc_id", "ids", "n_tokens", "whole"])
                 first += len(call)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, whole boolean")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(resting(run), "doc_id long, ids array<int>, n_tokens int, whole boolean")
 
 
 def parity(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -235,4 +238,4 @@ def parity(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
             differs = [a != b for a, b in zip(encode_texts(sent.value, texts), other.encode(texts, num_threads=1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(differs, pa.bool_()))], ["doc_id"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(resting(run), "doc_id long")

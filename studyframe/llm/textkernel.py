@@ -7,7 +7,11 @@ of words, not the length of the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +62,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(_U))
 
 
+def resting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a partition's batches, after which freed memory goes back: the worker stays for later stages."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 class Words:
     """The words of some texts: hashes, and for text d the words offsets[d]:offsets[d + 1]; chars: code points of each word."""
 
