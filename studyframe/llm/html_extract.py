@@ -3,7 +3,7 @@
 The pages of a host are merged into one tree of style nodes: an element's place is the path of tags and class
 names above it. A node is important if its children come in many arrangements (presentation) or its texts differ
 from page to page (content), measured by entropy over the pages that have the node; a node repeats its site's
-frame if both are low. The branches of such nodes are cut from each page, along with elements whose role is no
+frame if both are low. Pages of a host with the same article count as one, so copies are no frame. The branches of such nodes are cut from each page, along with elements whose role is no
 article text on any page.
 """
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studyframe.llm.bits import Filter
 from studyframe.llm.common import join_groups, written
 
 #: A node is judged if so many pages of its host have it, and cut below this importance.
@@ -160,27 +161,52 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, kind, key, pages: for every node of a page its arrangement, and its texts by hash; kind 0 is the node itself."""
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Page]]:
+    for batch in batches:
+        for url, source in zip(*(c.to_pylist() for c in batch.columns)):
+            if (host := host_of(url)) and source:
+                yield host, Page(source)
+
+
+def article_digest(host: str, page: Page) -> int:
+    """Names the text that the roles of elements alone leave of a page, within its host, as a signed long."""
+    text = article_of(page.blocks)
+    return (hash_text(f"{host}\n{text}") + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: Counter = Counter()
+    for host, page in _pages(batches):
+        held[article_digest(host, page)] += 1
+        if len(held) > HELD_COUNTS:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["digest", "pages"])
+            held.clear()
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["digest", "pages"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch], copied: Filter) -> Iterator[pa.RecordBatch]:
+    """host, path, kind, key, copy, pages: for every node of a page its arrangement, and its texts by hash; kind 0 is the node itself.
+
+    copy is the digest of an article that other pages may have too, and null where there are none.
+    """
     held: Counter = Counter()
 
     def out() -> pa.RecordBatch:
         rows = list(zip(*held))
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.int32()), pa.array(rows[3]), pa.array(list(held.values()), pa.int64())], ["host", "path", "kind", "key", "pages"])
-
-    for batch in batches:
-        for url, source in zip(*(c.to_pylist() for c in batch.columns)):
-            host = host_of(url)
-            if not host or not source:
-                continue
-            page = Page(source)
-            found = {(host, path, 0, "") for path, _ in page.styles} | {(host, path, 0, "") for path, _, _ in page.blocks}
-            found |= {(host, path, 1, style) for path, style in page.styles}
-            found |= {(host, path, 2, f"{hash_text(text):016x}") for path, _, text in page.blocks}
-            held.update(found)
-            if len(held) > HELD_COUNTS:
-                yield out()
-                held.clear()
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([*(pa.array(x, kind) for x, kind in zip(rows, kinds)), pa.array(list(held.values()), pa.int64())], ["host", "path", "kind", "key", "copy", "pages"])
+
+    for host, page in _pages(batches):
+        digest = article_digest(host, page)
+        copy = digest if copied.has(pa.array([digest], pa.int64()))[0] else None
+        found = {(host, path, 0, "", copy) for path, _ in page.styles} | {(host, path, 0, "", copy) for path, _, _ in page.blocks}
+        found |= {(host, path, 1, style, copy) for path, style in page.styles}
+        found |= {(host, path, 2, f"{hash_text(text):016x}", copy) for path, _, text in page.blocks}
+        held.update(found)
+        if len(held) > HELD_COUNTS:
+            yield out()
+            held.clear()
     if held:
         yield out()
 
@@ -216,8 +242,13 @@ def _tree(nodes: pd.DataFrame) -> pd.DataFrame:
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, pages, importance of every style node of the hosts of pages."""
-    counts = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_counts, "host string, path string, kind int, key string, pages long")
-    counts = written(counts.groupBy("host", "path", "kind", "key").agg(F.sum("pages").alias("pages")), "style-counts")
+    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
+    copies = rows.mapInArrow(_digests, "digest long, pages long").groupBy("digest").agg(F.sum("pages").alias("n")).where("n > 1").select("digest")
+    sent = pages.sparkSession.sparkContext.broadcast(Filter.of(copies))
+    counts = rows.mapInArrow(lambda batches: _counts(batches, sent.value), "host string, path string, kind int, key string, copy long, pages long")
+    counts = counts.groupBy("host", "path", "kind", "key", "copy").agg(F.sum("pages").alias("pages"))
+    pages_once = F.sum(F.when(F.col("copy").isNull(), F.col("pages")).otherwise(F.lit(1)))
+    counts = written(counts.groupBy("host", "path", "kind", "key").agg(pages_once.alias("pages")), "style-counts")
     nodes = counts.where("kind = 0").select("host", "path", F.col("pages").alias("m"))
     log = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
     keys = counts.where("kind > 0").groupBy("host", "path").agg(
@@ -228,28 +259,35 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("pages"))), F.lit(0)).alias("texts"),
     )
     # entropy to the base of the pages: of arrangements, and of the pages that one text is on
-    presentation = F.when(F.col("style_pages") > 0, (F.log("style_pages") - F.col("style_log") / F.col("style_pages")) / log).otherwise(F.lit(0.0))
+    # (copies of an article may differ in their frames, and so have more arrangements than they count as pages)
+    spread = F.least(F.lit(1.0), (F.log("style_pages") - F.col("style_log") / F.col("style_pages")) / log)
+    presentation = F.when(F.col("style_pages") > 0, spread).otherwise(F.lit(0.0))
     content = F.when(F.col("texts") > 0, 1 - F.col("text_log") / F.col("texts") / log).otherwise(F.lit(1.0))
     merged = nodes.join(keys, ["host", "path"], "left").select("host", "path", F.col("m").alias("pages"), presentation.alias("presentation"), F.coalesce("styles", F.lit(0)).alias("styles"), content.alias("content"), F.coalesce("texts", F.lit(0)).alias("texts"))
     return merged.groupBy("host").applyInPandas(_tree, "host string, path string, pages long, importance double")
 
 
-def main_text(source: str | None, cut: frozenset[str] = frozenset()) -> str:
-    """The article of one page; cut: paths of branches to leave out."""
-    blocks = Page(source or "").blocks
-    if cut:
-        blocks = [b for b in blocks if not any(b[0] == c or b[0].startswith(c + "/") for c in cut)]
+def article_of(blocks: list[tuple[str, bool, str]]) -> str:
     if any(article for _, article, _ in blocks):
         blocks = [b for b in blocks if b[1]]
     return "\n".join(text for _, _, text in blocks)
 
 
+def main_text(source: str | None, cut: frozenset[str] = frozenset()) -> str:
+    """The article of one page; cut: paths of branches to leave out, save for what stands in an article or main element."""
+    blocks = Page(source or "").blocks
+    if cut:
+        blocks = [b for b in blocks if b[1] or not any(b[0] == c or b[0].startswith(c + "/") for c in cut)]
+    return article_of(blocks)
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """One line per row of pages: page_id, url, text, n_chars (code points).
 
     Null or empty html gives an empty text. Pages without a readable host, and nodes that fewer than LEAST_PAGES
-    pages of their host have, are judged by the roles of elements alone. Where a page has article or main
-    elements, only their text counts. Rows may repeat or lack an id. Further columns are ignored.
+    pages of their host with different articles have, are judged by the roles of elements alone. Where a page has
+    article or main elements, only their text counts, and only roles cut it. Rows may repeat or lack an id. Further
+    columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     low = written(style_tree(rows), "style-tree").where(f"pages >= {LEAST_PAGES} and importance < {CUT_BELOW}")

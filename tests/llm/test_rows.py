@@ -168,6 +168,23 @@ def test_style_tree_cuts_what_the_site_repeats(spark):
     assert tree["/html/body/div.story/p"] > 0.8 > 0.2 > tree["/html/body/div.box/p"]
 
 
+def test_copies_of_an_article_are_no_frame(spark):
+    copied, own = "<p>Told again</p><p>and again</p>", [f"<p>Told once {i}</p>" for i in range(10)]
+    rows = [(i, f"http://mirror.org/{i}", page(f"<div class='story'>{copied}</div>")) for i in range(12)]  # the same page
+    rows += [(100 + i, f"http://news.org/{i}", page(f"<div class='top'>Page {i}</div><article>{copied}</article>")) for i in range(190)]  # another frame
+    rows += [(300 + i, f"http://news.org/own/{i}", page(f"<article>{x}</article>")) for i, x in enumerate(own)]
+    rows += [(400 + i, f"http://mix.org/{i}", page(f"<div class='story'>{copied}</div><div class='box'><p>Terms</p></div>")) for i in range(60)]
+    rows += [(500 + i, f"http://mix.org/own/{i}", page(f"<div class='story'>{x}</div><div class='box'><p>Terms</p></div>")) for i, x in enumerate(own)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages).collect()}
+    for first, n in ((0, 12), (100, 190), (400, 60)):
+        assert {got[i] for i in range(first, first + n)} == {"Told again\nand again"}
+    for first in (300, 500):
+        assert [got[first + i] for i in range(10)] == [f"Told once {i}" for i in range(10)]
+    tree = {(r["host"], r["path"]): r["pages"] for r in html_extract.style_tree(pages).collect()}
+    assert tree["mix.org", "/html/body/div.box/p"] == 11 and tree["mirror.org", "/html/body/div.story/p"] == 1
+
+
 def test_pages_of_the_corpus(spark):
     import html
 
