@@ -33,26 +33,56 @@ HELD_COUNTS = 100_000
 
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template object xmp svg math select option button canvas audio video".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript iframe template svg annotation annotation-xml select option button canvas audio video".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation annotation-xml".split())
+INLINE = MATH | frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span object param strike strong sub sup time tt u var wbr".split())
 NO_ARTICLE = frozenset("nav footer aside form head header dialog menu fieldset".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-NO_ARTICLE_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|adv|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|respond|replies|cookie|cookies|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|"
-    r"menu|nav|navbar|navigation|footer|sidebar|side|widget|related|recommended|share|sharing|social|sponsor|sponsored|promo|promotion|masthead|pagination|pager|tags|skip)(?:$|[-_ ])"
+NO_ARTICLE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments respond replies cookie cookies consent gdpr notice popup modal newsletter subscribe signup "
+    "menu nav navbar navigation footer sidebar side widget related recommended share sharing social sponsor sponsored promo promotion masthead pagination pager tags skip".split()
 )
+#: Parts of a name that speak of another element, or of none: has-sidebar, no-comments.
+NO_ROLE = frozenset("has with without no not non is layout hide hidden".split())
+#: Roles that are often most of a page's text.
+TALK = frozenset("comment comments respond replies".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOP_AT = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)?", re.S)
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_XMP_END = re.compile(r"</xmp(?:\s[^>]*|/)?(?:>|\Z)", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
+def roles_of(called: str) -> frozenset[str]:
+    """The NO_ARTICLE_NAMES among class names and id, or among their parts: sidebar, site-footer, but not has-sidebar."""
+    if not called:
+        return frozenset()
+    parts = [re.split("[-_]+", name) for name in called.split()]
+    return frozenset(p for own in parts if NO_ROLE.isdisjoint(own) for p in own if p in NO_ARTICLE_NAMES)
+
+
 class Page:
-    """blocks: (path, in an article, text) in page order; styles: (path, arrangement of children) of every element."""
+    """blocks: (path, in an article, text) in page order; styles: (path, arrangement of children) of every element.
+
+    Elements are cut by tag, role or name. A name is no proof: one that would cut the article is passed over.
+    """
 
     def __init__(self, source: str):
+        spared: set[int] = set()
+        while True:
+            self._read(source, spared)
+            if not (more := self._mistaken()):
+                break
+            spared |= more
+
+    def _read(self, source: str, spared: set[int]) -> None:
+        self.spared, self.opened = spared, 0
+        #: Characters: outside of cut elements, of them in article elements, and by element that is cut by its name.
+        self.chars, self.article_chars = 0, 0
+        self.named: dict[int, list] = {}  # number: [characters, of them in article elements inside, whether TALK]
+        self.named_at: list[tuple[int, int]] = []  # depth and number of the element that is cut by its name around here
         self.blocks: list[tuple[str, bool, str]] = []
         self.styles: list[tuple[str, str]] = []
         self.stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]  # tag, path, cut, article, children
@@ -66,6 +96,12 @@ class Page:
                 continue
             if match[1]:
                 self._close(tag)
+            elif tag == "xmp":
+                end = _XMP_END.search(source, at)
+                self._open(tag, match[3])
+                self._chars(html.escape(source[at : end.start() if end else len(source)], quote=False))
+                self._close(tag)
+                at = end.end() if end else len(source)
             elif tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at) if not match[3].endswith("/") else None
                 if end or tag in ("script", "style", "textarea", "title"):
@@ -91,6 +127,14 @@ class Page:
             self.text = []
             if text:
                 block = next((x for x in reversed(self.stack) if x[0] not in INLINE), self.stack[0])
+                if self.named_at:
+                    depth, number = self.named_at[0]
+                    self.named[number][0] += len(text)
+                    inside = self.stack[depth + 1 :]
+                    self.named[number][1] += len(text) * any(x[0] in ("article", "main") for x in inside)
+                elif not self.stack[-1][2]:
+                    self.chars += len(text)
+                    self.article_chars += len(text) * any(x[0] == "article" for x in self.stack)
                 if not self.stack[-1][2]:
                     self.blocks.append((block[1], self.stack[-1][3], text))
                     block[4].append("#text")
@@ -102,6 +146,17 @@ class Page:
             runs = [c for i, c in enumerate(children) if not i or children[i - 1] != c]
             self.styles.append((path, " ".join(runs)))
         self.stack.pop()
+        if self.named_at and self.named_at[-1][0] == len(self.stack):
+            self.named_at.pop()
+
+    def _mistaken(self) -> set[int]:
+        """Elements that are cut by their name and hold the article, or where none is in sight most of the text."""
+        whole = self.chars + sum(x[0] for x in self.named.values())
+        return {
+            i
+            for i, (chars, article, talk) in self.named.items()
+            if article > 4 * self.article_chars or (chars * 2 > whole and not talk and not self.article_chars and not any(x[1] for x in self.named.values()))
+        }
 
     def _close(self, tag: str) -> None:
         if tag == "br":
@@ -143,11 +198,18 @@ class Page:
         called = re.sub(r"\d+", "", f"{names.get('class', '')} {names.get('id', '')}").strip()
         _, path, cut, article, children = self.stack[-1]
         role = names.get("role", "")
-        no_article = tag in NO_ARTICLE or role in NO_ARTICLE_ROLES or bool(NO_ARTICLE_NAMES.search(called))
+        no_article = tag in NO_ARTICLE or role in NO_ARTICLE_ROLES
+        named = roles_of(called)
         if tag == "header" and article and not called and not role:
             no_article = False  # the heading of an article
         if tag in ("body", "html", "main"):
-            no_article = False
+            no_article, named = False, frozenset()
+        self.opened += 1
+        if named and not no_article and self.opened not in self.spared:
+            no_article = True
+            if not cut:
+                self.named_at.append((len(self.stack), self.opened))
+                self.named[self.opened] = [0, 0, bool(named & TALK)]
         node = f"{tag}.{'.'.join(sorted(called.split()))}" if called else tag
         if tag not in INLINE:
             children.append(node)

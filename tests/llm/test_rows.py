@@ -152,6 +152,27 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (page("<div class='content has-sidebar'><article><p>a</p></article><div class='sidebar'>s</div></div>"), "a"),
+        (page("<div class='with-sidebar'><p>a</p><p>b</p></div>"), "a\nb"),
+        (page("<article class='post tags'><p>a text</p><div class='tags'>t</div></article>"), "a text"),
+        (page("<main><h1>h</h1><article class='post tags'><p>a long text</p></article></main>"), "h\na long text"),
+        (page("<div id=no-comments><p>a</p></div><p>b</p>"), "a\nb"),
+        (page("<div class='sidebar'><div class='related'>r</div><article>the article</article></div><p>x</p>"), "the article"),
+        (page("<div class='widget'><p>most of the text</p></div><p>x</p>"), "most of the text\nx"),
+        (page("<main><p>a</p><div class='comments'><p>a long talk about it</p></div></main>"), "a"),
+        (page("<article><p>a</p></article><div class='related'><article>b</article></div><div class='site-footer'>a long footer text</div>"), "a"),
+        (page("<nav class='sidebar'><article>a long menu</article></nav><p>x</p>"), "x"),
+        (page("<article><p>as <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> says</p><xmp>if a < b: <b> &amp;</xmp><p>z <object data=x><param name=y>in its place</object></p></article>"), "as E=m says\nif a < b: <b> &amp;\nz in its place"),
+        ("<p>a</p><xmp>no end <p>", "a\nno end <p>"),
+    ],
+)
+def test_names_do_not_cut_the_article(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_style_tree_cuts_what_the_site_repeats(spark):
     frame = "<div class='top'><span>Our site</span></div>"
     tail = "<div class='box'><p>Read our terms</p><p>All of them</p></div>"
