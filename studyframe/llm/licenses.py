@@ -7,6 +7,9 @@ digests of known license texts by a hash join.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +74,7 @@ _MIT = (
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, '
     "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
 )
-KNOWN = (
+_NOTICES = (
     ("MIT", f"MIT License\nCopyright (c) <year> <copyright holders>\n{_MIT}{_WARRANTY}"),
     ("MIT", f"{_MIT}{_WARRANTY}"),
     ("ISC", f"ISC License\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC}"),
@@ -90,6 +93,67 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
+#: Whole texts, one file per SPDX name.
+TEXTS = Path(__file__).with_name("license_texts")
+_APPENDIX = re.compile(r"(?<=END OF TERMS AND CONDITIONS).*", re.S)
+_BSD_TITLES = {"BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License")}
+_PROGRAM = "under the terms of the GNU {name} as published by the Free Software Foundation{sign} {version}.\n"
+_NO_WARRANTY = (
+    "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+    "See the GNU {name} for more details.\n"
+)
+
+
+def _unwrapped(text: str) -> str:
+    """Every paragraph on one line: a wrapped line that begins with "copyright" counts as a copyright line."""
+    return "\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", text))
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    """The texts of TEXTS, each as it is wrapped there and unwrapped, with and without appendix, titles or numbers."""
+    found = []
+    for file in sorted(TEXTS.glob("*.txt")):
+        name, text = file.stem, file.read_text(encoding="utf-8")
+        forms = [text, _APPENDIX.sub("", text)]
+        if name in _BSD_TITLES:
+            numbers = iter("123")
+            numbered = re.sub(r"(?m)^\* ", lambda _: f"{next(numbers)}. ", text)
+            forms = [f"{title}\n\n{x}" for x in (text, numbered) for title in ("", *_BSD_TITLES[name])]
+        found += [(name, form) for x in forms for form in (x, _unwrapped(x))]
+    return list(dict.fromkeys(found))
+
+
+def _headers() -> list[tuple[str, str]]:
+    """The notices that the texts tell to put into source files."""
+    apache = (TEXTS / "Apache-2.0.txt").read_text(encoding="utf-8")
+    mpl = (TEXTS / "MPL-2.0.txt").read_text(encoding="utf-8")
+    found = [
+        ("Apache-2.0", apache[apache.rindex("Licensed under the Apache License") :]),
+        ("MPL-2.0", mpl[mpl.rindex("This Source Code Form is subject") : mpl.rindex("If it is not possible or desirable")]),
+    ]
+    for spdx, what, name, version, sign in (
+        ("GPL-2.0", "program", "General Public License", "2", ";"),
+        ("GPL-3.0", "program", "General Public License", "3", ","),
+        ("LGPL-2.1", "library", "Lesser General Public License", "2.1", ";"),
+        ("LGPL-3.0", "program", "Lesser General Public License", "3", ","),
+        ("AGPL-3.0", "program", "Affero General Public License", "3", ","),
+    ):
+        for kind, versions in (("only", f"version {version} of the License"), ("or-later", f"either version {version} of the License, or (at your option) any later version")):
+            grant = f"This {what} is free software: you can redistribute it and/or modify it " + _PROGRAM.format(name=name, sign=sign, version=versions)
+            own = grant + _NO_WARRANTY.format(what=what, name=name)
+            received = f"You should have received a copy of the GNU {name} along with this {what}"
+            found += [(f"{spdx}-{kind}", x) for x in (own, own + f"{received}. If not, see <https://www.gnu.org/licenses/>.")]
+            found.append((f"{spdx}-{kind}", own + f"{received}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."))
+    return found
+
+
+def _spdx_lines() -> list[tuple[str, str]]:
+    names = {f.stem for f in TEXTS.glob("*.txt")} | {"ISC", "0BSD", "Zlib", "BSL-1.0", "EPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"}
+    names |= {f"{x}-or-later" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")} | {"AGPL-3.0-only"}
+    return [(name, f"SPDX-License-Identifier: {name}") for name in sorted(names)]
+
+
+KNOWN = tuple(dict.fromkeys([*_NOTICES, *_spdx_lines(), *_headers(), *_whole_texts()]))
 
 _COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 _ANY_COPYRIGHT = r"copyright|\(c\)|©|all rights reserved"

@@ -238,6 +238,19 @@ def test_licenses(spark, docs, doubled, empty):
     assert {r["license"] for r in licenses.scan_licenses(docs, own).where("doc_id = 6").collect()} == {"mine"}
 
 
+def test_whole_license_texts(spark):
+    names = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense")
+    texts = {n: (licenses.TEXTS / f"{n}.txt").read_text() for n in names}
+    rows = [(i, "Copyright 2020 Some One\n\n" + texts[n], "s") for i, n in enumerate(names)]
+    rows.append((100, texts["GPL-3.0-only"].split("How to Apply")[0].rstrip().upper(), "s"))
+    rows.append((101, "BSD 3-Clause License\n\n(c) me\n" + texts["BSD-3-Clause"].replace("* Redistributions of", "1. Redistributions of").replace("* Redistributions in", "2. Redistributions in").replace("* Neither", "3. Neither"), "s"))
+    rows.append((102, "\n".join(f"# {x.strip()}" for x in texts["Apache-2.0"][-640:].split("Licensed", 1)[1].join(("Licensed", "")).split("\n")), "s"))
+    rows.append((103, texts["MPL-2.0"] + "and one more word", "s"))
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(len(names))] == list(names)
+    assert [got[i] for i in (100, 101, 102, 103)] == ["GPL-3.0-only", "BSD-3-Clause", "Apache-2.0", None]
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     """Shares by weight, again and again for what was above the most."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
