@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyframe.llm import textkernel as tk
+from studyframe.llm.common import kept
 
 #: At most so many labelled rows of either class are sampled, half of them to fit and half to calibrate.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS = 1000
 #: Weights of each kind of n-gram.
 BUCKETS = 1 << 16
 #: Kept from this probability of good quality.
@@ -108,17 +109,15 @@ def _features(data: np.ndarray, bounds: np.ndarray, words: tk.Words) -> Iterator
     yield (pair & mask).astype(np.int64) + BUCKETS, np.searchsorted(first, words.offsets)
     with np.errstate(over="ignore"):
         for block, size in enumerate((1, 2, 4), start=2):
-            if len(data) < size:
-                yield np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-                continue
-            acc = _CHAR_SEED[data[: len(data) - size + 1]].copy()
-            for j in range(1, size):
-                acc = acc * _U(0x9E3779B97F4A7C15) + _CHAR_SEED[data[j : len(data) - size + 1 + j]]
-            index = ((acc >> _U(40)) & mask).astype(np.int64) + block * BUCKETS
             # a gram belongs to the text in which it begins and ends; those over an edge weigh nothing
-            last = np.repeat(bounds[1:], np.diff(bounds))[: len(index)]
-            index[np.arange(len(index)) + size > last] = 5 * BUCKETS
-            yield index, np.minimum(bounds, len(index))
+            n, index = max(0, len(data) - size + 1), np.full(len(data), 5 * BUCKETS)
+            if n:
+                acc = _CHAR_SEED[data[:n]].copy()
+                for j in range(1, size):
+                    acc = acc * _U(0x9E3779B97F4A7C15) + _CHAR_SEED[data[j : n + j]]
+                index[:n] = ((acc >> _U(40)) & mask).astype(np.int64) + block * BUCKETS
+            index[np.arange(len(index)) + size > np.repeat(bounds[1:], np.diff(bounds))] = 5 * BUCKETS
+            yield index, bounds
 
 
 BLOCKS = 5
@@ -155,9 +154,17 @@ def _rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(starts), np.concatenate([*cols, np.zeros(0, np.int32)]), np.concatenate([*vals, np.zeros(0, np.float32)])
 
 
-def fit(texts: pa.Array, good: np.ndarray, rounds: int = 150, ridge: float = 1e-5, rate: float = 1.0) -> Model:
-    """Fit on the even rows by adaptive gradient steps with class-balanced loss; calibrate on the odd rows."""
-    starts, cols, vals = _rows(texts)
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """by, good, cols, vals: the sparse rows of labelled texts (by, good, text)."""
+    for batch in batches:
+        if batch.num_rows:
+            starts, cols, vals = _rows(batch.column(2))
+            at = pa.array(starts, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(cols)), pa.ListArray.from_arrays(at, pa.array(vals))], ["by", "good", "cols", "vals"])
+
+
+def fit(starts: np.ndarray, cols: np.ndarray, vals: np.ndarray, good: np.ndarray, rounds: int = 150, ridge: float = 1e-5, rate: float = 1.0) -> Model:
+    """Fit on the even sparse rows by adaptive gradient steps with class-balanced loss; calibrate on the odd rows."""
     owner = np.repeat(np.arange(len(good), dtype=np.int32), np.diff(starts))
     runs = [slice(a, a + RUN) for a in range(0, len(cols), RUN)]
 
@@ -209,12 +216,14 @@ def _platt(score: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """The model from documents with a quality label; None where a class has fewer than two rows.
 
-    The sample is the sample_rows labelled ids of either class with the smallest hashes (a bounded set, so it is
-    broadcast and the bounded fit runs in one task). Labels other than 0 and 1, null ids and repeats don't count.
+    The sample is the sample_rows labelled ids of either class, among those that docs has, with the smallest hashes
+    (a bounded set, so it is broadcast). Its texts become sparse rows where they are, and the bounded fit over these
+    runs in one task. Labels other than 0 and 1, null ids and repeats don't count.
     """
     by = F.md5(F.concat(F.lit("quality|"), F.col("doc_id").cast("string")))
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_good")).where("_id is not null and _good in (0, 1)")
     own = own.groupBy("_id").agg(F.min("_good").alias("_good"), F.max("_good").alias("_most")).where("_good = _most").drop("_most").withColumnRenamed("_id", "doc_id").withColumn("_by", by)
+    own = kept(own.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"))
     wanted = own.where("_good = 0").orderBy("_by").limit(sample_rows).unionByName(own.where("_good = 1").orderBy("_by").limit(sample_rows))
     wanted = wanted.select(F.col("doc_id").alias("_id"), "_good", "_by")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("_by", "_good", F.coalesce("text", F.lit("")).alias("text"))
@@ -223,15 +232,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        table = pa.Table.from_batches(got).sort_by("_by")
-        order = np.argsort(table["_good"].to_numpy(), kind="stable")  # classes alternate between the halves
-        good = table["_good"].to_numpy()[order] == 1
+        table = pa.Table.from_batches(got)
+        good = table["good"].to_numpy() == 1
+        order = np.lexsort((table["by"].to_numpy(), good))  # classes alternate between the halves
+        good = good[order]
         if min(good.sum(), (~good).sum()) < 2:
             return
-        model = fit(table["text"].take(pa.array(order)).combine_chunks(), good)
+        cols, vals = (table[x].combine_chunks().take(pa.array(order)) for x in ("cols", "vals"))
+        del table, got
+        model = fit(cols.offsets.to_numpy().astype(np.int64), cols.values.to_numpy(), vals.values.to_numpy(), good)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.astype("<f8").tobytes()], "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
 
-    found = rows.repartition(1).mapInArrow(tk.resting(run), "weights binary, bias double, slope double, shift double").collect()
+    sparse = rows.mapInArrow(tk.resting(_sparse), "by string, good int, cols array<int>, vals array<float>")
+    found = sparse.repartition(1).mapInArrow(tk.resting(run), "weights binary, bias double, slope double, shift double").collect()
     return Model(np.frombuffer(bytes(found[0]["weights"]), dtype="<f8"), found[0]["bias"], found[0]["slope"], found[0]["shift"]) if found else None
 
 

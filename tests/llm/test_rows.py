@@ -206,6 +206,16 @@ def test_copies_of_an_article_are_no_frame(spark):
     assert tree["mix.org", "/html/body/div.box/p"] == 11 and tree["mirror.org", "/html/body/div.story/p"] == 1
 
 
+def test_quality_sample_is_drawn_among_documents(spark):
+    rows = [(i, "good words here " * 5 + str(i) if i % 2 else "junk zzz qqq " * 5 + str(i), "s") for i in range(12)]
+    labels = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")  # most have no document
+    docs = documents(spark, rows)
+    some = quality.train(docs, labels, sample_rows=6)
+    own = quality.train(docs, labels.where("doc_id < 12"))
+    assert some is not None and np.array_equal(some.weights, own.weights) and (some.bias, some.slope, some.shift) == (own.bias, own.slope, own.shift)
+    assert quality.SAMPLE_ROWS == 1000
+
+
 def test_pages_of_the_corpus(spark):
     import html
 
