@@ -10,7 +10,6 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -182,47 +181,22 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(resting(run), "doc_id long, ids array<int>, text string")
 
 
-def piece_bytes(model: Model) -> pa.Array:
-    """What each id stands for in a decoded text, in bytes."""
-    own = lambda p, kind: bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode()
-    return pa.array([own(p, kind) for p, _, kind in model.pieces], pa.large_binary())
-
-
-def decodes_to(ids: pa.ListArray, texts: pa.Array, pieces: pa.Array, dummy_prefix: bool) -> list[bool]:
-    """Whether the ids of each row decode to its text: the pieces of a call are strung together in one step."""
-    cuts = ids.offsets.to_numpy()
-    taken = pieces.take(ids.values)
-    _, offsets, data = taken.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1][cuts].tolist()
-    data = memoryview(data) if data is not None else memoryview(b"")
-    _, offsets, own = texts.buffers()
-    begin = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()
-    own = memoryview(own) if own is not None else memoryview(b"")
-    out = []
-    for i in range(len(texts)):
-        first = at[i] + (dummy_prefix and at[i] < at[i + 1] and data[at[i]] == 32)
-        out.append(data[first : at[i + 1]] == own[begin[i] : begin[i + 1]])
-    return out
-
-
 def encode_and_decode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """One line per row of docs: doc_id, ids, n_tokens, whole. whole: decoding the ids gives the text back (a model that
-    normalises, and literal markers in a text, lose something). Rows as in encode()."""
+    """One line per row of docs: doc_id, ids, n_tokens, text that the ids decode to, whole. whole: that is the text of
+    docs (a model that normalises, and literal markers in a text, lose something). Rows as in encode()."""
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(sent.value)
-        pieces = piece_bytes(model)
         for batch in batches:
-            texts, first = batch.column(1).fill_null("").cast(pa.large_string()), 0
+            texts, first = batch.column(1).fill_null(""), 0
             for call in _calls(texts):
-                lists = encode_texts(sent.value, call)
-                ids = pa.array(lists, pa.list_(pa.int32()))
-                whole = decodes_to(ids, texts.slice(first, len(call)), pieces, model.dummy_prefix)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(call)), ids, pa.array([len(x) for x in lists], pa.int32()), pa.array(whole, pa.bool_())], ["doc_id", "ids", "n_tokens", "whole"])
+                ids = encode_texts(sent.value, call)
+                back = _built(sent.value).decode_batch(ids, skip_special_tokens=False)
+                whole = [a == b for a, b in zip(call, back)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(call)), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32()), pa.array(back, pa.string()), pa.array(whole, pa.bool_())], ["doc_id", "ids", "n_tokens", "text", "whole"])
                 first += len(call)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(resting(run), "doc_id long, ids array<int>, n_tokens int, whole boolean")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(resting(run), "doc_id long, ids array<int>, n_tokens int, text string, whole boolean")
 
 
 def parity(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:

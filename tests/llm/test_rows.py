@@ -334,6 +334,14 @@ def test_sentencepiece_parity_and_round_trip(spark, docs, doubled, empty):
     assert {r["n_tokens"] for r in sp.encode(docs).where("doc_id in (3, 4)").collect()} == {0}
 
 
+def test_sentencepiece_query_decodes(spark):
+    odd = ["", "Ein  Satz.", "▁ mark", "日本\n語 \U0001f600", " lead"]
+    frame = documents(spark, [(i, t, "s") for i, t in enumerate(odd)])
+    back = {r["doc_id"]: r["text"] for r in sp.decode(sp.encode(frame)).collect()}
+    got = {r["doc_id"]: (r["text"], r["whole"]) for r in sp.encode_and_decode(frame).collect()}
+    assert got == {i: (back[i], back[i] == t) for i, t in enumerate(odd)}
+
+
 def unigram_bytes():
     """A small unigram model with byte fallback, as a model file."""
     import struct
