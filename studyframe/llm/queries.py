@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from studyframe.llm import html_extract, licenses, line_dedup, mixing, ngram_join, quality, secrets, sentencepiece_codec, warc
+from studyframe.llm import html_extract, licenses, line_dedup, merkle, mixing, ngram_join, orchard, packing, quality, secrets, sentencepiece_codec, warc
 from studyframe.llm.common import new_folder
 from studyframe.llm.exact_dedup import DigestIndex
 
@@ -165,3 +166,95 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_html_extraction")
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(_table(spark, sf_dir, "pages"))
+
+
+def _clusters_sql() -> str:
+    """Three rounds of exact means, each its own pair of views."""
+    near = """list_sum(list_transform(list_zip(k.v, c.m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"""
+    sql = """
+    WITH vectors AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS (SELECT c, m FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v AS m FROM vectors) WHERE c < 16)"""
+    for n in range(4):
+        sql += f""",
+    a{n} AS (SELECT r, min(struct_pack(d := {near}, c := c.c)) AS b FROM vectors k CROSS JOIN c{n} c GROUP BY r)"""
+        if n < 3:
+            sql += f""",
+    s{n} AS (SELECT a.b.c AS c, i, sum(k.v[i])::BIGINT AS s, count(*) AS n FROM a{n} a JOIN vectors k USING (r), range(1, 65) g(i) GROUP BY ALL),
+    c{n + 1} AS (SELECT c.c, coalesce(any_value(x.m), c.m) AS m FROM c{n} c LEFT JOIN
+        (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{n} GROUP BY c) x ON x.c = c.c GROUP BY c.c, c.m)"""
+    return sql + """
+    SELECT k.vec_id, a.b.c::INT AS cluster, a.b.d AS distance, (sum(a.b.d) OVER (PARTITION BY a.b.c))::BIGINT AS cluster_inertia,
+        (sum(a.b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.m, ',')) AS centroid_sha256
+    FROM a3 a JOIN vectors k USING (r) JOIN c3 c ON c.c = a.b.c
+    """
+
+
+@_query("op11_centroid_clusters", _clusters_sql())
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.centroid_digests(*orchard.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def _manifest_sql() -> str:
+    """Levels as lists, one list per lang and level; crc32 from its table, which eight shifts of each byte make."""
+
+    def field(x: str) -> str:
+        return f"coalesce(octet_length(encode(({x})::VARCHAR)) || ':' || ({x})::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    table = "range(0, 256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda c: xor(c >> 1, 3988292384 * (c & 1)))"
+    up = "list_transform(range(0, (len(l) + 7) // 8), lambda p: sha256(array_to_string(l[p * 8 + 1 : p * 8 + 8], '')))"
+    flanks = "array_to_string(t.l[i // 8 * 8 + 1 : i], '') AS lft, array_to_string(t.l[i + 2 : i // 8 * 8 + 8], '') AS rgt"
+    return f"""
+    WITH RECURSIVE crc AS (SELECT {table} AS t),
+    leaves AS (
+        SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN xor(list_reduce(
+            list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 3 = 0
+            THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+        FROM documents CROSS JOIN crc
+    ),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS r FROM leaves),
+    tree AS (
+        SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS l FROM placed GROUP BY lang
+        UNION ALL SELECT lang, level + 1, {up} FROM tree WHERE len(l) > 1
+    ),
+    subroots AS (SELECT lang, l[1] AS subroot, level AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM tree WHERE len(l) = 1),
+    crown AS (
+        SELECT 0 AS level, list(subroot ORDER BY place) AS l FROM subroots
+        UNION ALL SELECT level + 1, {up} FROM crown WHERE len(l) > 1
+    ),
+    steps AS (
+        SELECT r, level, {flanks} FROM (SELECT p.r, t.level, t.l, p.pos // (8 ** t.level)::BIGINT AS i FROM placed p JOIN tree t ON p.lang IS NOT DISTINCT FROM t.lang AND len(t.l) > 1) t
+        UNION ALL
+        SELECT r, level, {flanks} FROM (SELECT p.r, s.height + c.level AS level, c.l, s.place // (8 ** c.level)::BIGINT AS i FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN crown c ON len(c.l) > 1) t
+    ),
+    paths AS (SELECT r, string_agg(lft || rgt, '' ORDER BY level) AS siblings, list([lft, rgt] ORDER BY level) AS path FROM steps GROUP BY r),
+    folds AS (
+        SELECT p.r, coalesce(p.tampered, p.leaf) AS node, 0 AS done FROM placed p
+        UNION ALL SELECT f.r, sha256(x.path[f.done + 1][1] || f.node || x.path[f.done + 1][2]), f.done + 1 FROM folds f JOIN paths x ON f.r = x.r WHERE f.done < len(x.path)
+    )
+    SELECT p.doc_id, p.leaf, s.subroot, (SELECT l[1] FROM crown WHERE len(l) = 1) AS root, sha256(coalesce(x.siblings, '')) AS proof_sha256,
+        f.node AS folded_root, f.node = (SELECT l[1] FROM crown WHERE len(l) = 1) AS verified
+    FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang LEFT JOIN paths x ON p.r = x.r
+    JOIN folds f ON f.r = p.r AND f.done = coalesce(len(x.path), 0)
+    """
+
+
+@_query("op12_merkle_manifest", _manifest_sql())
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = merkle.verified(merkle.document_manifest(_table(spark, sf_dir, "documents")))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@_query("op13_packing")
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    length = F.floor(F.octet_length("ids") / 4).alias("length")
+    return found.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
