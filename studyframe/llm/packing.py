@@ -26,10 +26,10 @@ SEQUENCE, END = 4096, 2
 GROUP_DOCS, GROUP_BYTES = 2048, 8 << 20
 #: Room that may stay empty in a sequence that is full otherwise.
 SMALL_ROOM = 64
-#: Bytes of text and words that are turned into ids at once.
-CALL_BYTES, CALL_WORDS = 8 << 20, 1 << 18
-#: Words and word parts that a worker remembers; beyond that it begins anew, with the same results.
-KNOWN_WORDS = 500_000
+#: Bytes of text that are turned into ids at once.
+CALL_BYTES = 2 << 20
+#: Word parts that a worker remembers; beyond that the less used half is forgotten, and encoded again when met.
+KNOWN_PARTS = 300_000
 
 # The steps of the one kind of tokenizer file whose words can be encoded one by one.
 WORDWISE = {
@@ -42,13 +42,22 @@ WORDWISE = {
         ],
     },
 }
-#: The same cuts in lower-case words of printable ASCII.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTABLE = re.compile(r"[!-~]+")
+#: A word part that only the model needs to see: the same cuts in lower-case ASCII, without apostrophes.
+PART = re.compile(r"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Kinds of bytes: white space, letters, digits, signs, and what the tokenizer has to cut itself.
+BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
+KIND = np.full(256, OTHER, dtype=np.uint8)
+KIND[33:127], KIND[48:58], KIND[65:91], KIND[97:123], KIND[39], KIND[SPACE] = SIGN, DIGIT, LETTER, LETTER, OTHER, BLANK
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; where its steps allow that, each distinct word is encoded once."""
+    """Ids of texts by a tokenizer file; where its steps allow that, each distinct part of a word is encoded once.
+
+    White space separates in such a file, and nothing before or after a word counts. Words of ASCII and Latin-1
+    letters, digits and signs are cut here, all at once, where the kind of byte changes; others go to the tokenizer
+    whole. Parts in ASCII need no more than the model."""
 
     def __init__(self, spec: bytes):
         from tokenizers import Tokenizer
@@ -67,41 +76,71 @@ class Encoder:
         )
         self._forget()
 
-    def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.starts, self.ids = array("q", [0]), array("I")
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of new words. Printable ASCII is cut into its parts here, which only the model sees."""
-        other = [w for w in words if not PRINTABLE.fullmatch(w) or any(m in w for m in self.marks)]
-        odd = dict(zip(other, (e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False))))
-        parts = self.parts
-        for word in words:
-            ids = odd.get(word)
-            if ids is None:
-                ids = []
-                for part in PARTS.findall(word.lower()):
-                    known = parts.get(part)
-                    if known is None:
-                        known = parts[part] = [t.id for t in self.model.tokenize(part)]
-                    ids += known
-            self.codes[word] = len(self.codes)
-            self.ids.extend(ids)
+    def _forget(self, keep: int = 0) -> None:
+        """Remember the `keep` most used parts only."""
+        if not keep:
+            self.codes: dict[str, int] = {}
+            self.starts, self.ids, self.used = array("q", [0]), array("I"), np.zeros(0, dtype=np.int64)
+            return
+        parts, starts, ids = list(self.codes), self.starts, self.ids
+        best = np.sort(np.argpartition(-self.used, keep)[:keep]) if len(parts) > keep else np.arange(len(parts))
+        self.codes, self.starts, self.ids, self.used = {}, array("q", [0]), array("I"), self.used[best] // 2
+        for code in best.tolist():
+            self.codes[parts[code]] = len(self.codes)
+            self.ids.extend(ids[starts[code] : starts[code + 1]])
             self.starts.append(len(self.ids))
 
-    def _ids_of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words (white space after them counts for nothing), one after the other, and the number of each."""
-        known = words.dictionary_encode()
-        distinct = [w.rstrip(" \t\n\v\f\r") for w in known.dictionary.to_pylist()]
-        if len(self.codes) + len(distinct) > KNOWN_WORDS or len(self.parts) > KNOWN_WORDS:
-            self._forget()
-        self._learn([w for w in dict.fromkeys(distinct) if w not in self.codes])
-        code = np.fromiter((self.codes[w] for w in distinct), dtype=np.int64, count=len(distinct))[known.indices.to_numpy()]
+    def _learn(self, parts: list[str]) -> None:
+        other = [p for p in parts if not PART.fullmatch(p) or any(m[:2] in p for m in self.marks)]
+        known = dict(zip(other, (e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False))))
+        for part in parts:
+            self.codes[part] = len(self.codes)
+            self.ids.extend(known[part] if part in known else [t.id for t in self.model.tokenize(part)])
+            self.starts.append(len(self.ids))
+        self.used = np.append(self.used, np.zeros(len(parts), dtype=np.int64))
+
+    def _ids_of_parts(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, one after the other, and the number of each."""
+        found = parts.dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        at = found.indices.to_numpy()
+        if len(self.codes) + len(distinct) > KNOWN_PARTS:
+            self._forget(KNOWN_PARTS // 2)
+        self._learn([p for p in distinct if p not in self.codes])
+        code = np.fromiter(map(self.codes.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self.used[code] += np.bincount(at, minlength=len(code))
         starts, ids = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.ids, dtype=np.uint32) if self.ids else np.zeros(0, np.uint32)
-        sizes = starts[code + 1] - starts[code]
-        before = np.cumsum(sizes) - sizes
-        return ids[np.repeat(starts[code] - before, sizes) + np.arange(sizes.sum())], sizes
+        sizes = (starts[code + 1] - starts[code]).astype(np.int32)[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        shift = starts[code][at] - (ends - sizes)
+        return ids[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _parts(self, data: np.ndarray, firsts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+        """Parts of the words in data, and the byte at which each begins. At `firsts` a word ends if it has not."""
+        kind, lower = KIND[data], LOWER[data]
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        second = second[(data[second] != 0x97) & (data[second] != 0xB7)]  # the signs among Latin-1 letters
+        kind[second] = kind[second - 1] = LETTER
+        lower[second] += np.where(data[second] < 0x9F, 32, 0).astype(np.uint8)
+        blank = kind == BLANK
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        begins[firsts] = ~blank[firsts]
+        words = np.flatnonzero(begins)
+        other = kind == OTHER
+        for mark in self.marks:
+            a, b = mark.encode()[:2]
+            other[:-1] |= (data[:-1] == a) & (data[1:] == b)
+        odd = np.add.reduceat(other, words, dtype=np.int32) > 0 if len(words) else np.zeros(0, dtype=bool)
+        odd = np.concatenate([np.zeros(words[0] if len(words) else len(data), dtype=bool), np.repeat(odd, np.diff(np.append(words, len(data))))])
+        inner = kind == DIGIT
+        inner[1:] |= kind[1:] != kind[:-1]
+        begins |= inner & ~blank & ~odd
+        starts = np.flatnonzero(begins)
+        letters = np.where(odd, data, lower)[~blank]
+        place = np.cumsum(~blank, dtype=np.int32)[starts] - np.int32(1)
+        offsets = np.append(place, np.int32(len(letters))).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]), starts
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without nulls, each text's followed by END, one after the other, and where each text begins (and the last ends)."""
@@ -112,23 +151,10 @@ class Encoder:
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
         offsets -= offsets[0]
-        begins = ~SPACE[data]
-        firsts = offsets[:-1][np.diff(offsets) > 0]
-        own = begins[firsts]
-        begins[1:] &= SPACE[data[:-1]]
-        begins[firsts] = own
-        words = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
-        n = len(words) - 1
-        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for first in range(0, n, CALL_WORDS):
-            cut = words[first : first + CALL_WORDS + 1]
-            call = pa.Array.from_buffers(pa.string(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)])
-            found = self._ids_of_words(call)
-            ids.append(found[0])
-            sizes.append(found[1])
-        totals = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        ends = totals[np.searchsorted(words[:n], offsets)].astype(np.int64)
-        return np.insert(np.concatenate(ids), ends[1:], END), ends + np.arange(len(ends))
+        parts, starts = self._parts(data, offsets[:-1][np.diff(offsets) > 0])
+        ids, ends = self._ids_of_parts(parts)
+        ends = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
+        return np.insert(ids, ends[1:], END), ends + np.arange(len(ends))
 
 
 def _read(path: str) -> bytes:

@@ -192,16 +192,15 @@ def padding(sizes, sequence):
     return sum(0 if n & (n - 1) == 0 else sequence - n for n in sizes)
 
 
-def test_words_give_the_ids_of_whole_texts(monkeypatch):
+def test_parts_give_the_ids_of_whole_texts(monkeypatch):
     import pyarrow as pa
 
     texts = [*ODD, *(t or "" for _, t, _ in TEXTS)]
     want = plain_ids(texts)
     spec = packing._read(PATH)
     assert packing.Encoder(spec).wordwise
-    for words, known in ((1 << 18, 500_000), (7, 500_000), (50, 20)):
-        monkeypatch.setattr(packing, "CALL_WORDS", words)
-        monkeypatch.setattr(packing, "KNOWN_WORDS", known)
+    for known in (400_000, 20):
+        monkeypatch.setattr(packing, "KNOWN_PARTS", known)
         for encoder in (packing.Encoder(spec), packing.Encoder(packing._read(public_tokenizers.path("byte_bpe_50k.json")))):
             ids, bounds = encoder.encode(pa.array(["cut off", *texts]).slice(1))
             got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
