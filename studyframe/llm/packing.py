@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ SMALL_ROOM = 64
 #: Bytes of text that are turned into ids at once.
 CALL_BYTES = 2 << 20
 #: Word parts that a worker remembers; beyond that the less used half is forgotten, and encoded again when met.
-KNOWN_PARTS = 300_000
+KNOWN_PARTS = 400_000
 
 # The steps of the one kind of tokenizer file whose words can be encoded one by one.
 WORDWISE = {
@@ -42,8 +42,10 @@ WORDWISE = {
         ],
     },
 }
-#: A word part that only the model needs to see: the same cuts in lower-case ASCII, without apostrophes.
-PART = re.compile(r"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Signs of ASCII that make parts of their own; an apostrophe may also begin one of letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters that stand for bytes in such a file's vocabulary: printable ones for themselves, the rest from 256 on.
+SPELLED = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Kinds of bytes: white space, letters, digits, signs, and what the tokenizer has to cut itself.
 BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
 KIND = np.full(256, OTHER, dtype=np.uint8)
@@ -57,7 +59,7 @@ class Encoder:
 
     White space separates in such a file, and nothing before or after a word counts. Words of ASCII and Latin-1
     letters, digits and signs are cut here, all at once, where the kind of byte changes; others go to the tokenizer
-    whole. Parts in ASCII need no more than the model."""
+    whole, as do parts with a sign that begins a special token."""
 
     def __init__(self, spec: bytes):
         from tokenizers import Tokenizer
@@ -74,46 +76,51 @@ class Encoder:
             and not given.get("truncation")
             and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"])) for t in given.get("added_tokens", []))
         )
-        self._forget()
+        signs = "".join(re.escape(c) for c in SIGNS if not any(m.startswith(c) for m in self.marks))
+        self.part = re.compile(f"[a-zß-öø-ÿ]+|[0-9]|[{signs}]+")
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self._forget(0)
 
-    def _forget(self, keep: int = 0) -> None:
+    def _forget(self, keep: int) -> None:
         """Remember the `keep` most used parts only."""
         if not keep:
-            self.codes: dict[str, int] = {}
-            self.starts, self.ids, self.used = array("q", [0]), array("I"), np.zeros(0, dtype=np.int64)
-            return
-        parts, starts, ids = list(self.codes), self.starts, self.ids
-        best = np.sort(np.argpartition(-self.used, keep)[:keep]) if len(parts) > keep else np.arange(len(parts))
-        self.codes, self.starts, self.ids, self.used = {}, array("q", [0]), array("I"), self.used[best] // 2
-        for code in best.tolist():
-            self.codes[parts[code]] = len(self.codes)
-            self.ids.extend(ids[starts[code] : starts[code + 1]])
-            self.starts.append(len(self.ids))
-
-    def _learn(self, parts: list[str]) -> None:
-        other = [p for p in parts if not PART.fullmatch(p) or any(m[:2] in p for m in self.marks)]
+            self.known, self.used = pa.array([], pa.string()), np.zeros(0, dtype=np.int64)
+            self.starts, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=self.kind)
+        elif len(self.known) > keep:
+            best = np.sort(np.argpartition(-self.used, keep)[:keep])
+            sizes = np.diff(self.starts)
+            self.ids = self.ids[np.repeat(np.isin(np.arange(len(sizes)), best), sizes)]
+            self.known, self.used, self.starts = self.known.take(pa.array(best)), self.used[best] // 2, np.concatenate([[0], np.cumsum(sizes[best])])
+
+    def _learn(self, parts: pa.StringArray) -> None:
+        words = parts.to_pylist()
+        other = [p for p in words if not self.part.fullmatch(p)]
         known = dict(zip(other, (e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False))))
-        for part in parts:
-            self.codes[part] = len(self.codes)
-            self.ids.extend(known[part] if part in known else [t.id for t in self.model.tokenize(part)])
-            self.starts.append(len(self.ids))
-        self.used = np.append(self.used, np.zeros(len(parts), dtype=np.int64))
+        ids = [known[p] if p in known else [t.id for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(SPELLED))] for p in words]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.known = pa.concat_arrays([self.known, parts])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), dtype=self.kind, count=sizes.sum())])
+        self.used = np.append(self.used, np.zeros(len(ids), dtype=np.int64))
 
     def _ids_of_parts(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of parts, one after the other, and the number of each."""
+        """Ids of parts, one after the other, and where those of each end."""
         found = parts.dictionary_encode()
-        distinct = found.dictionary.to_pylist()
-        at = found.indices.to_numpy()
-        if len(self.codes) + len(distinct) > KNOWN_PARTS:
+        at, distinct = found.indices.to_numpy(), found.dictionary
+        code = pc.index_in(distinct, value_set=self.known)
+        if len(self.known) + code.null_count > KNOWN_PARTS:
             self._forget(KNOWN_PARTS // 2)
-        self._learn([p for p in distinct if p not in self.codes])
-        code = np.fromiter(map(self.codes.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+            code = pc.index_in(distinct, value_set=self.known)
+        first, new = len(self.known), code.is_null().to_numpy(zero_copy_only=False)
+        self._learn(distinct.filter(pa.array(new)))
+        code = code.fill_null(0).to_numpy().astype(np.int64)
+        code[new] = first + np.arange(new.sum())
         self.used[code] += np.bincount(at, minlength=len(code))
-        starts, ids = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.ids, dtype=np.uint32) if self.ids else np.zeros(0, np.uint32)
-        sizes = (starts[code + 1] - starts[code]).astype(np.int32)[at]
+        sizes = np.diff(self.starts)[code].astype(np.int32)[at]
         ends = np.cumsum(sizes, dtype=np.int64)
-        shift = starts[code][at] - (ends - sizes)
-        return ids[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+        place = np.repeat(self.starts[code][at] - (ends - sizes), sizes)
+        place += np.arange(len(place))
+        return self.ids[place], ends
 
     def _parts(self, data: np.ndarray, firsts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
         """Parts of the words in data, and the byte at which each begins. At `firsts` a word ends if it has not."""
@@ -147,7 +154,7 @@ class Encoder:
         if not self.wordwise:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             bounds = np.cumsum([0, *(len(x) + 1 for x in found)])
-            return np.concatenate([np.zeros(0, np.uint32), *(np.array([*x, END], dtype=np.uint32) for x in found)]), bounds
+            return np.fromiter((i for x in found for i in (*x, END)), dtype=self.kind, count=bounds[-1]), bounds
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
         offsets -= offsets[0]
@@ -184,7 +191,9 @@ def _calls(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """doc_id, start, doc_tokens, ids (little-endian unsigned 32-bit) of the ids of each row, cut every `sequence` ids."""
+    """doc_id, start, doc_tokens, width, ids (little-endian, unsigned, of `width` bytes) of each row, cut every `sequence` ids.
+
+    The width follows from the vocabulary and is 2 or 4."""
     sent = docs.sparkSession.sparkContext.broadcast(_read(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,16 +206,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
                 count = -(-tokens // sequence)
                 row = np.repeat(np.arange(len(tokens)), count)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * sequence
-                edges = np.append(bounds[row] + start, bounds[-1]) * 4
-                cut = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
+                width = ids.itemsize
+                edges = np.append(bounds[row] + start, bounds[-1]) * width
+                cut = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))])
                 for at in range(0, len(row), 8192):
                     some = row[at : at + 8192]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(first + some)), pa.array(start[at : at + 8192]), pa.array(tokens[some]), cut.slice(at, 8192).cast(pa.binary())],
-                        ["doc_id", "start", "doc_tokens", "ids"],
+                        [batch.column(0).take(pa.array(first + some)), pa.array(start[at : at + 8192]), pa.array(tokens[some]), pa.array(np.full(len(some), width, dtype=np.int32)), cut.slice(at, 8192).cast(pa.binary())],
+                        ["doc_id", "start", "doc_tokens", "width", "ids"],
                     )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(resting(run), "doc_id long, start long, doc_tokens long, ids binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(resting(run), "doc_id long, start long, doc_tokens long, width int, ids binary")
 
 
 def first_fit(sizes: list[int], room: int) -> list[int]:
@@ -265,7 +275,7 @@ def pack_sizes(sizes: np.ndarray, room: int = SEQUENCE, small: int = SMALL_ROOM)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, start, ids, doc_tokens, sequence_id, offset of every piece of every row of docs.
+    """doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset of every piece of every row of docs.
 
     A row's ids are those of its text (null: empty) and END; so every row has a piece. Rows may repeat or lack an id:
     each is a document of its own. Further columns are ignored. Pieces are whole documents, or stretches of `sequence`
@@ -280,14 +290,13 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, group_d
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table["ids"].combine_chunks() if isinstance(table["ids"], pa.ChunkedArray) else table["ids"]
-        sizes = np.array([len(x) // 4 for x in ids.to_pylist()], dtype=np.int64)
-        doc = table["doc_id"].fill_null(-1).to_numpy()
-        table = table.take(pa.array(np.lexsort((table["start"].to_numpy(), doc, -sizes))))
+        width = table["width"][0].as_py()
+        sizes = pc.binary_length(table["ids"]).to_numpy().astype(np.int64) // width
+        table = table.take(pa.array(np.lexsort((table["start"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy(), -sizes))))
         ids, sizes = table["ids"].to_pylist(), np.sort(sizes)[::-1]
         piece, first, last, bins, offset = pack_sizes(sizes, sequence)
-        taken = table.take(pa.array(piece))
-        cut = [ids[p] if a == 0 and b == n else ids[p][4 * a : 4 * b] for p, a, b, n in zip(piece.tolist(), first.tolist(), last.tolist(), sizes[piece].tolist())]
+        cut = [np.frombuffer(ids[p], f"<u{width}", b - a, a * width).astype("<u4").tobytes() for p, a, b in zip(piece.tolist(), first.tolist(), last.tolist())]
+        taken = table.select(["doc_id", "start", "doc_tokens", "pack_group"]).take(pa.array(piece))
         start = taken["start"].to_numpy() + first
         number = taken["pack_group"].to_numpy() * (1 << 32) + bins
         return pa.table({"doc_id": taken["doc_id"], "start": start, "ids": pa.array(cut, pa.binary()), "doc_tokens": taken["doc_tokens"], "sequence_id": number, "offset": offset})
