@@ -4,6 +4,8 @@
 (ties collapse in the map-side aggregation), cuts the value axis of each key into buckets of bounded
 size, orders each bucket on its own and adds the totals of the lower buckets. Buckets depend on values
 only, never on partition numbers, so recomputed or coalesced partitions give the same answer.
+
+``exact_quantiles`` counts cells of the value axis and descends into the one that holds the wanted row.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from studyframe.functions.columns import join_small, kept
 ROWS_PER_BUCKET = 2_000_000
 # Cut points are looked up in two steps of at most this many comparisons.
 CUT_STEP = 64
-# Distinct values that the built-in exact ``percentile`` may keep in one buffer.
-PERCENTILE_ROWS = 5_000_000
-BRACKET_ACCURACY = 10_000
+# Rows of a value range that one task may order when quantiles are picked, and the cells into which a larger one is cut.
+RANGE_ROWS = 1_000_000
+CELLS = 4096
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -107,60 +109,77 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, ascending: boo
     return totals.withColumn("avg_rank", F.col("before_cnt") + (F.col("cnt") + 1) / F.lit(2.0))
 
 
+def _exponent(v: Column) -> Column:
+    """A number that rises with v: sign and binary exponent, at most some 4,200 of them; infinities and NaN at the ends."""
+    plain = F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1100)
+    ends = F.when(F.isnan(v), 6000).when(F.abs(v) == float("inf"), F.signum(v) * 5000).when(v == 0, 0)
+    return ends.otherwise(plain).cast("int")
+
+
+def _in_ranges(rows: DataFrame, ranges: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Rows whose value lies in one of their key's ranges (disjoint, from _lo to _hi), with that range's _lo, _hi and _start."""
+    ordered = F.array_sort(F.collect_list(F.struct("_start", "_lo", "_hi")))
+    lists = ranges.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, *(F.col(f"_all.{c}").alias(f"{c}s") for c in ("_start", "_lo", "_hi")))
+    placed = join_small(rows, lists, keys, width=3 * width)
+    inside = lambda i: (F.col("_v") >= F.get("_los", i)) & (F.col("_v") <= F.get("_his", i))
+    at = F.get(F.filter(F.sequence(F.lit(0), F.size("_starts") - 1), inside), F.lit(0))
+    placed = placed.withColumn("_at", at).where("_at is not null")
+    return placed.select(*keys, "_v", *(F.get(f"{c}s", F.col("_at")).alias(c) for c in ("_start", "_lo", "_hi")))
+
+
+def _picked(lines: DataFrame, counted: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """lines (keys, _start, _r, n) with the one of counted (keys, _start, order, _c, ...) that holds row _r."""
+    before = W.partitionBy(*keys, "_start").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    counted = counted.withColumn("_first", F.col("_start") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    counted = counted.select(*(F.col(c).alias(f"_k_{c}") for c in (*keys, "_start")), *(c for c in counted.columns if c not in (*keys, "_start")))
+    same = F.col("_start") == F.col("_k__start")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return lines.join(counted, same & (F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_first") + F.col("_c")))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles", limit: int | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles per key as an array column, plus ``n``.
 
-    Up to ``limit`` rows per key the built-in ``percentile`` is used (its buffer is then bounded).
-    Beyond it, approximate quantiles only bracket each answer; the few values inside a bracket are
-    ordered and the exact ones are picked by their position.
+    The rows that answer are found by repeated narrowing. A range of values, at first all of a key's, is cut by
+    binary exponent and from then on into CELLS equal cells; counts per cell tell which cell holds a wanted row, and
+    its smallest and largest value are the next range. That ends, after six counts at most, where a range holds one
+    value, however often, or at most ``limit`` rows, which one task orders as distinct values. NaN counts as the
+    largest value; rows whose value is NULL are left out.
     """
-    limit = PERCENTILE_ROWS if limit is None else limit
-    keys = list(keys)
+    limit = RANGE_ROWS if limit is None else limit
+    keys, probs = list(keys), [float(p) for p in probs]
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    plain = lambda part: part.groupBy(*keys).agg(
-        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(out), F.count("_v").alias("n")
-    )
-    if largest_group(rows, keys) <= limit:
-        return plain(rows)
-    small = None
-    if keys:
-        sizes = kept(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")))
-        small = plain(join_small(rows, sizes.where(F.col("_size") <= limit).drop("_size"), keys))
-        rows = join_small(rows, sizes.where(F.col("_size") > limit).drop("_size"), keys)
-    # Wide enough for the error of the approximation and for the neighbouring ranks.
-    margin = 2.0 / BRACKET_ACCURACY + 2.0 / limit
-    lows = [max(0.0, p - margin) for p in probs]
-    highs = [min(1.0, p + margin) for p in probs]
-    brackets = rows.groupBy(*keys).agg(
-        F.count("_v").alias("n"),
-        F.percentile_approx("_v", lows, BRACKET_ACCURACY).alias("_lo"),
-        F.percentile_approx("_v", highs, BRACKET_ACCURACY).alias("_hi"),
-    )
-    placed = join_small(rows, brackets, keys, width=2 * len(probs))
-    below = placed.groupBy(*keys).agg(
-        F.array(*[F.count_if(F.col("_v") < F.get("_lo", F.lit(i))) for i in range(len(probs))]).alias("_below")
-    )
-    which = F.filter(
-        F.sequence(F.lit(0), F.lit(len(probs) - 1)),
-        lambda i: (F.col("_v") >= F.get("_lo", i)) & (F.col("_v") <= F.get("_hi", i)),
-    )
-    inside = placed.select(*keys, "n", "_v", F.explode(which).alias("_p"))
-    counted = inside.groupBy(*keys, "n", "_p", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    before = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    ordered = join_small(counted.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))), below, keys, width=len(probs))
-    start = F.col("_b") + F.get("_below", F.col("_p"))
-    prob = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_p"))
-    position = prob * (F.col("n") - 1)
-    covers = lambda at: (start <= at) & (at < start + F.col("_c"))
-    picked = ordered.groupBy(*keys, "n", "_p").agg(
-        F.max(F.when(covers(F.floor(position)), F.col("_v"))).alias("_v0"),
-        F.max(F.when(covers(F.ceil(position)), F.col("_v"))).alias("_v1"),
-        F.max(position - F.floor(position)).alias("_f"),
-    )
-    answer = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_f")
-    large = picked.groupBy(*keys, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("_p").alias("p"), answer.alias("v")))), lambda s: s["v"]).alias(out)
-    ).select(*keys, out, "n")
-    return large if small is None else small.select(*keys, out, "n").unionByName(large)
+    sizes = kept(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    wanted = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    ranks = F.array_distinct(F.array(*(end(p).cast("bigint") for p in wanted for end in (F.floor, F.ceil))))
+    lines = sizes.where("n > 0").select(*keys, F.explode(ranks).alias("_r"), F.lit(0).cast("bigint").alias("_start"), F.col("n").alias("_c"), "_lo", "_hi")
+    wide = (F.col("_c") > limit) & (F.col("_lo") < F.col("_hi"))
+    cell = _exponent(F.col("_v"))
+    while lines.where(wide).limit(1).count():
+        ranges = lines.where(wide).select(*keys, "_start", "_lo", "_hi").distinct()
+        inside = _in_ranges(rows, ranges, keys, 2 * len(probs))
+        counted = inside.groupBy(*keys, "_start", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        found = _picked(lines.where(wide).drop("_c"), counted.withColumnRenamed("_n", "_c"), keys, "_cell")
+        found = found.select(*keys, "_r", F.col("_first").alias("_start"), "_c", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"))
+        lines = kept(lines.where(~wide).unionByName(found))
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int")
+    single = F.col("_lo") == F.col("_hi")
+    several = lines.where(~single)
+    inside = _in_ranges(rows, several.select(*keys, "_start", "_lo", "_hi").distinct(), keys, 2 * len(probs))
+    distinct = inside.groupBy(*keys, "_start", "_v").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_n", "_c")
+    values = _picked(several.drop("_c"), distinct, keys, "_v").select(*keys, "_r", F.col("_v").alias("_x"))
+    values = lines.where(single).select(*keys, "_r", F.col("_lo").alias("_x")).unionByName(values)
+    values = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "_x"))).alias("_all"))
+    values = values.select(*keys, F.col("_all._r").alias("_rs"), F.col("_all._x").alias("_xs"))
+    full = join_small(sizes.select(*keys, "n"), values, keys, "left", width=4 * len(probs))
+
+    def answer(p: Column) -> Column:
+        at = lambda rank: F.get("_xs", (F.array_position("_rs", rank.cast("bigint")) - 1).cast("int"))
+        low, high = at(F.floor(p)), at(F.ceil(p))
+        return F.when(low == high, low).otherwise(low + (high - low) * (p - F.floor(p)))
+
+    return full.select(*keys, F.when(F.col("n") > 0, F.array(*map(answer, wanted))).alias(out), "n")

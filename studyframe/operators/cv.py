@@ -1,4 +1,4 @@
-"""Search, nested cross-validation, importances, learning curves and the final holdout score.
+"""Search, importances, learning curves and the final holdout score.
 
 Preprocessing is fitted once per fold and shared by all candidates of a search. Independent fits are
 submitted from a bounded thread pool; every fit and every score is a Spark job over all executors.
@@ -11,7 +11,7 @@ import itertools
 import json
 import math
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -32,6 +32,8 @@ from studyframe.operators.selection import best_per_feature_set
 #: Combinations of a quick search, and those of a random search: drawn if the grid has more than the threshold.
 QUICK_CAP = 20
 RANDOM_SEARCH = {"threshold": 100, "n_iter": 40}
+#: The property that puts a thread's jobs into a scheduler pool.
+POOL = "spark.scheduler.pool"
 # Words of configuration files.
 CONFIG_WORDS = {"none": None, "null": None, "true": True, "yes": True, "false": False, "no": False}
 _INTEGER, _DECIMAL = re.compile(r"[+-]?\d+"), re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
@@ -187,6 +189,8 @@ def grid_search_cv(
     """
     metric = metric or ("r2" if c.task == "regression" else "macro_f1")
     rows = _kept(df, c, [fold])
+    context = df.sparkSession.sparkContext
+    pool_name = context.getLocalProperty(POOL)
     train_scores = np.full((len(grid), k), math.nan)
     test_scores = np.full((len(grid), k), math.nan)
     for f in range(k):
@@ -198,6 +202,7 @@ def grid_search_cv(
         size = _size(train, c)
 
         def run(i: int) -> None:
+            context.setLocalProperty(POOL, pool_name)
             params = grid[i]
             model = _estimator(c, params, size, len(names)).fit(_weighted(train, c, params))
             train_scores[i, f], test_scores[i, f], _, _ = _both(model.transform(ready), F.col(fold) == f, metric, c)
@@ -218,44 +223,6 @@ def grid_search_cv(
     return dict(grid[int(np.nanargmax(mean))]), table
 
 
-def nested_cv(
-    df: DataFrame, c: Candidate, grid: Sequence[Mapping], outer: str, outer_k: int, inner: Callable[[DataFrame, int], DataFrame], inner_k: int,
-    key: str = "row_id", group: str | None = None, metric: str | None = None, parallelism: int = 4,
-) -> tuple[DataFrame, DataFrame]:
-    """Outer folds with a search inside each: (fold rows, held-out predictions).
-
-    ``inner(rows, seed)`` adds the column ``inner_fold`` to the training rows of an outer fold. Error if
-    a group is found in more than one outer fold.
-    """
-    metric = metric or ("r2" if c.task == "regression" else "macro_f1")
-    extra = [key, outer, *([group] if group else [])]
-    rows = _kept(df, c, extra)
-    if group:
-        shared = rows.groupBy(group).agg(F.min(outer).alias("a"), F.max(outer).alias("b")).where("a <> b").limit(1).count()
-        if shared:
-            raise ValueError("a group is in more than one outer fold")
-    held_out, lines = [], []
-    for f in range(outer_k):
-        train = rows.where(F.col(outer) != f)
-        best = dict(grid[0])
-        if len(grid) > 1:
-            best, _ = grid_search_cv(inner(train, c.seed + f), c, grid, "inner_fold", inner_k, metric, parallelism)
-        model = fit(train, c, best)
-        pred = model.transform(rows)
-        train_score, outer_score, n_train, n_test = _both(pred, F.col(outer) == f, metric, c)
-        lines.append((f, n_train, n_test, train_score, outer_score, json.dumps(best, default=str)))
-        held = pred.where(F.col(outer) == f)
-        held_out.append(held.select(key, F.lit(f).alias("fold"), *([group] if group else []), F.col(c.label).alias("y_true"), F.col("prediction").alias("y_pred")))
-    rows.unpersist()
-    folds = df.sparkSession.createDataFrame(
-        lines, f"outer_fold int, n_inner_train bigint, n_outer_validation bigint, train_{metric} double, outer_{metric} double, best_params string"
-    ).withColumn("train_outer_gap", F.col(f"train_{metric}") - F.col(f"outer_{metric}"))
-    predictions = held_out[0]
-    for part in held_out[1:]:
-        predictions = predictions.unionByName(part)
-    return folds, predictions
-
-
 # ------------------------------------------------------------------ permutation importance
 
 # Rows exchanged with one another by one task.

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from studyframe.functions.columns import join_small
-from studyframe.functions.running import PERCENTILE_ROWS, exact_quantiles
+from studyframe.functions.running import exact_quantiles
 from studyframe.operators.schema import _num, column_facts
 
 PERCENT_WORDS = ("rate", "ratio", "percent", "percentage", "pct", "%")
@@ -73,11 +73,7 @@ _STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def _stats(value: Column) -> dict[str, Column]:
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    return {
-        "count": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value),
-        "p25": q[0], "p50": q[1], "p75": q[2], "max": F.max(value),
-    }
+    return {"count": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)}
 
 
 def _long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -85,33 +81,25 @@ def _long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataF
     return df.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
+def _with_quartiles(facts: DataFrame, rows: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+    quartiles = exact_quantiles(rows, keys, "value", [0.25, 0.5, 0.75], limit=limit).drop("n")
+    out = join_small(facts, quartiles, keys, "left", width=3)
+    named = {p: F.get("quantiles", F.lit(i)) for i, p in enumerate(("p25", "p50", "p75"))}
+    return out.select(*keys, *(named[s].alias(s) if s in named else s for s in _STATS))
+
+
 def describe_table(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
-    """count, mean, sd, min, quartiles and max of every column."""
-    limit = PERCENTILE_ROWS if limit is None else limit
-    if df.count() <= limit:
-        return column_facts(df, {c: _stats(_num(df, c)) for c in cols})
-    rows = _long(df, cols)
-    v = F.col("value")
-    plain = rows.groupBy("column").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    quartiles = exact_quantiles(rows, ["column"], "value", [0.25, 0.5, 0.75], limit=limit)
-    out = plain.join(quartiles, "column")
-    return out.select("column", F.col("n").alias("count"), "mean", "std", "min", *[F.col("quantiles")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
+    """count, mean, sd, min, quartiles and max of every column; a column without values has count 0 and NULLs."""
+    facts = column_facts(df, {c: _stats(_num(df, c)) for c in cols})
+    return _with_quartiles(facts, _long(df, cols), ["column"], limit)
 
 
 def group_describe(df: DataFrame, cols: Sequence[str], by: str, total: str | None = "full", limit: int | None = None) -> DataFrame:
-    """The same per value of ``by``; ``total`` names an extra row over all rows."""
-    limit = PERCENTILE_ROWS if limit is None else limit
+    """The same per value of ``by``, of the columns that have values there; ``total`` names an extra row over all rows."""
     shown = F.array(F.col(by).cast("string"), F.lit(total)) if total else F.array(F.col(by).cast("string"))
     rows = _long(df, cols, [by]).select(F.explode(shown).alias(by), "column", "value")
-    v = F.col("value")
-    plain = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
-    if df.count() <= limit:
-        q = F.percentile(v, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias("quantiles")
-        out = rows.groupBy(by, "column").agg(*plain, q)
-    else:
-        quartiles = exact_quantiles(rows, [by, "column"], "value", [0.25, 0.5, 0.75], limit=limit).drop("n")
-        out = rows.groupBy(by, "column").agg(*plain).join(quartiles, [by, "column"])
-    return out.select(by, "column", "count", "mean", "std", "min", *[F.col("quantiles")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
+    facts = rows.groupBy(by, "column").agg(*(x.alias(name) for name, x in _stats(F.col("value")).items()))
+    return _with_quartiles(facts, rows, [by, "column"], limit)
 
 
 def class_counts(df: DataFrame, label: str, split: str, total: str = "full") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from studyframe.operators import aggregates, cv, diagnose, joins, labels, quality, rank, reports, schema, selection, split as sp
+from studyframe.operators import aggregates, cv, diagnose, joins, labels, nested, quality, rank, reports, schema, selection, split as sp
 from studyframe.operators.metrics import classification_metrics, confusion_long
 from studyframe.spec import StudySpec
 
@@ -112,14 +112,16 @@ def train_and_select(
             c = cv.Candidate(task, model, features, y, dict(preprocessing or {}), n_classes, spec.seed)
             k = spec.folds_for(model)
             grid = cv.param_grid(spec.grids.get(model), task, spec.seed)
-            outer = folds(train, spec, key, k, spec.seed, label=stratify)
+            outer, repeats = train, [f"fold_{r}" for r in range(spec.outer_repeats)]
+            for r, column in enumerate(repeats):
+                outer = folds(outer, spec, key, k, spec.seed + 1000 * r, column, stratify)
             inner = lambda rows, seed: folds(rows, spec, key, k, seed, "inner_fold", stratify)
             if stratify:  # small classes allow fewer folds
-                k = int(outer.agg(F.max("fold")).first()[0]) + 1
-            scores, held_out = cv.nested_cv(outer, c, grid, "fold", k, inner, k, key, spec.group_column if spec.grouped else None, metric)
+                k = int(outer.agg(F.max("fold_0")).first()[0]) + 1
+            scores, held_out = nested.nested_cv(outer, c, grid, repeats, k, inner, k, key, spec.group_column if spec.grouped else None, metric)
             best = dict(grid[0])
             if len(grid) > 1:
-                best, _ = cv.grid_search_cv(outer, c, grid, "fold", k, metric)
+                best, _ = cv.grid_search_cv(outer, c, grid, "fold_0", k, metric)
             file = f"{model}_{name}_{target}"
             fitted[file], candidates[file] = cv.fit(train, c, best), c
             summary = scores.agg(
@@ -127,7 +129,7 @@ def train_and_select(
             ).first()
             more = ()
             if stratify:
-                per_fold = classification_metrics(confusion_long(held_out, list(range(n_classes)), ["fold"]), ["fold"])
+                per_fold = classification_metrics(confusion_long(held_out, list(range(n_classes)), nested.FOLD), nested.FOLD)
                 more = tuple(per_fold.agg(F.avg("balanced_accuracy"), F.avg("accuracy")).first())
             lines.append((target, name, model, file, summary["t"], summary["m"], summary["s"], *more))
     spark = next(iter(prepared.values())).sparkSession

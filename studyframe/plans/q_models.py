@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from studyframe.functions.columns import draw32, round_doubles as rd, steady
-from studyframe.operators import cv, fit as ft, prep, split as sp
+from studyframe.operators import cv, fit as ft, nested, prep, split as sp
 from studyframe.operators.labels import class_from_thresholds, encode_labels
 from studyframe.operators.metrics import regression_metrics
 from studyframe.plans.fixtures import F1, FEATURES, samples
@@ -268,10 +268,47 @@ def grid_search_cv(spark, sf):
 def nested_cv(spark, sf):
     c = cv.Candidate("regression", "DT", FEATURES)
     inner = lambda rows, seed: rows.withColumn("inner_fold", (draw32(F.lit(seed), "grp") % 2).cast("int"))
-    folds, _ = cv.nested_cv(_rows(spark, sf), c, cv.param_grid({"max_depth": [2, 4]}), "fold", 3, inner, 2, group="grp")
+    folds, _ = nested.nested_cv(_rows(spark, sf), c, cv.param_grid({"max_depth": [2, 4]}), "fold", 3, inner, 2, group="grp")
     return rd(folds)
 
 
+def _nested_linear(spark, sf):
+    """Two repeats of three outer folds of whole groups, a linear model of two features."""
+    c = cv.Candidate("regression", "MLR", SMALL)
+    rows = _rows(spark, sf).withColumn("again", (draw32(F.lit(6), "grp") % 3).cast("int"))
+    return c, *nested.nested_cv(rows, c, [{}], ["fold", "again"], 3, None, 2, group="grp")
+
+
+#: Least squares in closed form: slopes from the covariances of the rows outside a fold.
+_NESTED = f"""WITH {F1},
+x AS (SELECT row_id, grp, quantity AS a, retail AS b, y * 0.2 + quantity * 1.5 + retail * 0.01 - size * 0.3 AS y FROM f1),
+t AS (SELECT x.*, r.r AS outer_repeat, CAST('0x' || substr(md5((5 + r.r) || '|' || grp), 1, 8) AS BIGINT) % 3 AS own FROM x, (VALUES (0), (1)) r(r)),
+s AS (SELECT t.*, f.f AS fold, own = f.f AS held FROM t, (VALUES (0), (1), (2)) f(f)),
+m AS (SELECT outer_repeat, fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb
+      FROM s WHERE NOT held GROUP BY ALL),
+p AS (SELECT s.*, my + (ay * vb - yb * ab) / (va * vb - ab * ab) * (a - ma) + (yb * va - ay * ab) / (va * vb - ab * ab) * (b - mb) - y AS e FROM s JOIN m USING (outer_repeat, fold))
+"""
+
+
+@query("nested_cv_linear", steady_sql(_NESTED + """, k AS (SELECT outer_repeat, fold, held, count(*) AS n, count(DISTINCT grp) AS g, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse,
+    avg(e) AS bias, avg(y) AS mean, stddev_samp(y) AS sd, min(y) AS lo, max(y) AS hi FROM p GROUP BY ALL)
+SELECT o.outer_repeat, o.fold AS outer_fold, o.n AS n_outer_validation, i.n AS n_inner_train, round(o.r2, 6) AS outer_r2, round(i.r2, 6) AS train_r2, round(i.r2 - o.r2, 6) AS train_outer_gap,
+    round(o.mae, 6) AS outer_mae, round(o.rmse, 6) AS outer_rmse, round(o.bias, 6) AS outer_bias, round(o.mean, 6) AS outer_target_mean, round(o.sd, 6) AS outer_target_std,
+    round(o.lo, 6) AS outer_target_min, round(o.hi, 6) AS outer_target_max, round(i.mean, 6) AS inner_target_mean, round(i.sd, 6) AS inner_target_std,
+    i.g AS n_train_groups, o.g AS n_validation_groups, 0::BIGINT AS group_overlap_count, '{}' AS best_params
+FROM k o JOIN k i ON o.outer_repeat = i.outer_repeat AND o.fold = i.fold AND o.held AND NOT i.held"""))
+def nested_cv_linear(spark, sf):
+    return steady(_nested_linear(spark, sf)[1])
+
+
+@query("nested_group_rows", steady_sql(_NESTED + """SELECT outer_repeat, fold, grp, count(*) AS n_samples, round(avg(y), 6) AS target_mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(y) ELSE 0 END, 6) AS target_std,
+    round(min(y), 6) AS target_min, round(max(y), 6) AS target_max, round(avg(y + e), 6) AS prediction_mean, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias,
+    round(CASE WHEN count(*) >= 2 THEN 1 - sum(e * e) / (var_pop(y) * count(*)) END, 6) AS r2 FROM p WHERE held GROUP BY ALL"""))
+def nested_group_rows(spark, sf):
+    c, _, predictions = _nested_linear(spark, sf)
+    return steady(nested.group_rows(predictions, c, "grp"))
+
+
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     c = cv.Candidate("regression", "MLR", FEATURES)

@@ -18,6 +18,7 @@ class StudySpec:
     test_ratio: float = 0.2
     cv_splits: int = 5
     seed: int = 42
+    outer_repeats: int = 1
     class_boundaries: Mapping[str, Mapping[str, float]] = field(default_factory=dict)
 
     @property
@@ -55,5 +56,6 @@ def load_spec(path: str) -> StudySpec:
         test_ratio=float(split.get("test_ratio", split.get("test_size", 0.2))),
         cv_splits=int(evaluation.get("cv_splits", 5)),
         seed=int(split.get("random_state", evaluation.get("random_state", 42))),
+        outer_repeats=max(1, int(evaluation.get("nested_cv_outer_repeats", 1))),
         class_boundaries=(raw.get("classification", {}) or {}).get("class_boundaries", {}) or {},
     )

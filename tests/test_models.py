@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from studyframe.functions.columns import draw32
-from studyframe.operators import cv, fit as ft, prep
+from studyframe.operators import cv, fit as ft, nested, prep
 from studyframe.plans import flows
 from studyframe.session import scratch_path
 from studyframe.sources import stores
@@ -134,11 +135,13 @@ def test_elastic_net_optimality(data):
     assert np.allclose(gradient + alpha * ratio * np.sign(w) + alpha * (1 - ratio) * w, 0, atol=2e-3)
 
 
-def test_grids():
+def test_grids(spark):
     raw = {"a": [1, "2", "none"], "b": "true", "_cv_": 3, "_n_jobs_": -1}
     assert cv.param_grid(raw) == [{"a": 1, "b": True}, {"a": 2, "b": True}, {"a": None, "b": True}]
     big = {"a": list(range(30)), "b": list(range(30))}
-    assert len(cv.param_grid(big)) == 50 and len(cv.param_grid(big, "classification")) == 100 and cv.param_grid(big, quick=True) == cv.param_grid(big)[:20]
+    assert len(cv.param_grid(big)) == 900 and len(cv.param_grid(big, quick=True)) == 20 and len(cv.param_grid(big, cap=50)) == 50
+    assert len(cv.param_grid(big, "classification", random_search=True)) == 40 and len(cv.param_grid(big, "regression", random_search=True)) == 900
+    assert cv.param_grid(big, cap=50)[:20] == cv.param_grid(big, quick=True) and all(c in cv.param_grid(big) for c in cv.param_grid(big, quick=True))
     with pytest.warns(UserWarning, match="no counterpart"):
         ft.make_estimator("regression", "DT", {"max_depth": None, "ccp_alpha": 0.1})
     with pytest.raises(ValueError, match="unknown"):
@@ -151,11 +154,51 @@ def test_search_and_nested_cv(data):
     best, table = cv.grid_search_cv(df, c, [{"max_depth": 1}, {"max_depth": 6}], "fold", 3)
     assert best == {"max_depth": 6} and table.count() == 2
     inner = lambda rows, seed: rows.withColumn("inner_fold", (draw32(F.lit(seed), "grp") % 2).cast("int"))
-    folds, pred = cv.nested_cv(df, c, [{"max_depth": 1}, {"max_depth": 6}], "fold", 3, inner, 2, group="grp")
+    folds, pred = nested.nested_cv(df, c, [{"max_depth": 1}, {"max_depth": 6}], "fold", 3, inner, 2, group="grp")
     assert folds.count() == 3 and pred.count() == df.count() and pred.select("row_id").distinct().count() == df.count()
+    assert {r["best_params"] for r in folds.collect()} == {'{"max_depth": 6}'}
     leaky = df.withColumn("fold", (draw32(F.lit(1), "row_id") % 3).cast("int"))
     with pytest.raises(ValueError, match="more than one outer fold"):
-        cv.nested_cv(leaky, c, [{}], "fold", 3, inner, 2, group="grp")
+        nested.nested_cv(leaky, c, [{}], "fold", 3, inner, 2, group="grp")
+
+
+def test_nested_fold_rows_equal_numpy(data):
+    """Two repeats of a linear model, every number of a fold row against a fit by hand."""
+    pdf, df = data
+    c = cv.Candidate("regression", "MLR", ["a", "b"])
+    df = df.withColumn("again", (draw32(F.lit(77), "grp") % 3).cast("int"))
+    pdf = pdf.merge(df.select("row_id", "again").toPandas(), on="row_id")
+    pdf["fold"] = pdf["row_id"].map({r["row_id"]: r["fold"] for r in df.collect()})
+    folds, pred = nested.nested_cv(df, c, [{}], ["fold", "again"], 3, None, 2, group="grp", group_lists=True, outer_parallelism=3)
+    rows = {(r["outer_repeat"], r["outer_fold"]): r for r in folds.collect()}
+    assert len(rows) == 6 and pred.count() == 2 * len(pdf)
+    for (repeat, f), r in rows.items():
+        out = (pdf["again"] if repeat else pdf["fold"]) == f
+        x = np.column_stack([np.ones(len(pdf)), pdf["a"], pdf["b"]])
+        beta = np.linalg.lstsq(x[~out], pdf["label"][~out], rcond=None)[0]
+        e, y = x @ beta - pdf["label"], pdf["label"]
+        r2 = lambda m: 1 - (e[m] ** 2).sum() / ((y[m] - y[m].mean()) ** 2).sum()
+        want = {
+            "n_inner_train": (~out).sum(), "n_outer_validation": out.sum(), "train_r2": r2(~out), "outer_r2": r2(out), "outer_mae": e[out].abs().mean(),
+            "outer_rmse": np.sqrt((e[out] ** 2).mean()), "outer_bias": e[out].mean(), "outer_target_mean": y[out].mean(), "outer_target_std": y[out].std(),
+            "outer_target_min": y[out].min(), "outer_target_max": y[out].max(), "inner_target_mean": y[~out].mean(), "inner_target_std": y[~out].std(),
+            "train_outer_gap": r2(~out) - r2(out), "n_train_groups": pdf["grp"][~out].nunique(), "n_validation_groups": pdf["grp"][out].nunique(), "group_overlap_count": 0,
+        }
+        assert {k: r[k] for k in want} == pytest.approx(want, rel=1e-5, abs=1e-6)
+        assert json.loads(r["train_groups"]) == sorted(set(pdf["grp"][~out].astype(str))) and r["best_params"] == "{}"
+    groups = nested.group_rows(pred, c, "grp")
+    assert groups.count() == 2 * pdf["grp"].nunique() and groups.agg(F.sum("n_samples")).first()[0] == 2 * len(pdf)
+
+
+def test_nested_fold_rows_of_classes_and_single_rows(spark):
+    rows = [(0, 0, k % 3 == 0, f"g{k % 3}", float(k % 2), float(k % 4 == 1)) for k in range(12)] + [(0, 1, True, None, 1.0, 1.0), (0, 1, False, "g1", 0.0, 0.0)]
+    tagged = spark.createDataFrame(rows, "outer_repeat int, fold int, held_out boolean, grp string, y_true double, y_pred double")
+    out = {r["fold"]: r for r in nested.fold_rows(tagged, "classification", "macro_f1", 2, "grp").collect()}
+    assert (out[0]["outer_class_counts"], out[0]["inner_class_counts"]) == ("[2,2]", "[4,4]") and out[0]["n_outer_validation"] == 4
+    assert {"train_macro_f1", "outer_macro_f1", "outer_balanced_accuracy", "outer_accuracy"} <= set(out[0].asDict()) and out[1]["n_validation_groups"] == 1
+    reg = {r["fold"]: r for r in nested.fold_rows(tagged, "regression", "r2").collect()}
+    assert reg[1]["outer_target_std"] == 0 and reg[1]["outer_r2"] is None and reg[1]["outer_target_mean"] == 1
+    assert nested.fold_rows(tagged.where("false"), "regression", "r2", group="grp").collect() == []
 
 
 def test_permuted_columns_keep_their_values(data):

@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from studyframe.functions import running
 from studyframe.functions.columns import with_row_id
 from studyframe.functions.hashing import hash_cuts, pieces_by_hash
 from studyframe.functions.running import average_ranks, exact_quantiles, running_totals
@@ -45,15 +48,57 @@ def test_totals_do_not_depend_on_partitions(skewed, parts):
     assert as_dict(running_totals(df.repartition(parts), [], "v", rows_per_bucket=200), ["v"], "before_cnt") == want
 
 
-def test_bracketed_quantiles_are_exact(skewed):
+@pytest.mark.parametrize("limit", [1, 10, 300, None])
+def test_narrowed_quantiles_are_exact(skewed, limit):
     pdf, df = skewed
     probs = [0.0, 0.1, 1 / 3, 0.5, 0.75, 1.0]
-    rows = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, limit=10).collect()}
+    rows = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, limit=limit).collect()}
     for key, group in pdf.dropna().groupby("k"):
         assert rows[key]["n"] == len(group)
         assert np.allclose(rows[key]["quantiles"], np.quantile(group["v"], probs), rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("limit", [1, 7, None])
+def test_quantiles_of_odd_values(spark, limit):
+    """Zeros, infinities, the smallest and largest numbers, near neighbours, NaN, hot ties, null keys and empty keys."""
+    tiny, huge, one = 5e-324, 1.7e308, np.nextafter(1.0, 2.0)
+    groups = {
+        None: [0.0, -0.0, tiny, -tiny, 2 * tiny, huge, -huge, 1.0, one, -1.0], "hot": [3.5] * 900 + [one, 1.0, 4.0, -2.0], "one": [2.0], "same": [7.25] * 50,
+        "near": np.cumsum(np.full(200, np.spacing(1.0))) + 1.0, "ends": [float("-inf"), 1.0, 2.0, float("inf"), float("inf")], "none": [None, None],
+    }
+    df = spark.createDataFrame([(k, None if x is None else float(x)) for k, v in groups.items() for x in v], "k string, v double")
+    probs = [0.0, 0.25, 0.4, 0.5, 1.0]
+    rows = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, limit=limit).collect()}
+    assert set(rows) == set(groups) - {"none"}
+    for k in rows:
+        x = np.sort(np.array(groups[k], dtype=float))
+        at = np.array(probs) * (len(x) - 1)
+        low, high = x[np.floor(at).astype(int)], x[np.ceil(at).astype(int)]
+        with np.errstate(invalid="ignore"):
+            want = np.where(low == high, low, low + (high - low) * (at - np.floor(at)))
+        assert rows[k]["n"] == len(x) and np.array_equal(np.array(rows[k]["quantiles"]), want, equal_nan=True)
+    empty = exact_quantiles(df.where("k = 'none'"), [], "v", probs, limit=limit).collect()
+    assert [tuple(r) for r in empty] == [(None, 0)]
+    nan = spark.createDataFrame([(x,) for x in (1.0, float("nan"), 2.0)], "v double")
+    assert np.array_equal(exact_quantiles(nan, [], "v", [0.0, 0.5, 1.0], limit=limit).first()["quantiles"], [1.0, 2.0, np.nan], equal_nan=True)
+
+
+def test_no_task_orders_more_than_the_limit(spark, monkeypatch):
+    """The rows that reach the last window, of ten million numbers, half of them one value."""
+    seen, real = [], running._picked
+
+    def watched(lines, counted, keys, order):
+        if order == "_v":
+            seen.append(counted.groupBy("_start").count().agg(F.max("count")).first()[0])
+        return real(lines, counted, keys, order)
+
+    monkeypatch.setattr(running, "_picked", watched)
+    df = spark.range(10_000_000).select(F.when(F.col("id") % 2 == 0, 0.25).otherwise((F.col("id") * 7919 % 10_000_019) / 10_000_019).alias("v"))
+    got = exact_quantiles(df, [], "v", [0.1, 0.25, 0.5, 0.9], limit=5000).first()
+    x = np.sort(np.where(np.arange(10_000_000) % 2 == 0, 0.25, (np.arange(10_000_000) * 7919 % 10_000_019) / 10_000_019))
+    assert np.allclose(got["quantiles"], np.quantile(x, [0.1, 0.25, 0.5, 0.9]), rtol=0, atol=1e-15) and seen and seen[0] <= 5000
+
+
 def test_row_ids_are_unique_with_many_copies(spark, monkeypatch):
     from studyframe.functions import columns
 
@@ -72,6 +117,19 @@ def test_hash_cuts_find_the_wanted_ranks(spark):
         assert found[g] == [ordered[0], ordered[776], ordered[-1]]
 
 
+def test_hash_cuts_descend_into_large_buckets(spark):
+    """With 4 rows a task, the third to fifth digits are needed; ranks below 1 and null parts as before."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("h"))
+    ranks = F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(500), F.col("n"))
+    found = {r["g"]: (r["n"], r["cuts"]) for r in hash_cuts(df, ["g"], "h", ranks, digits=1, bound=4).collect()}
+    for g in (None, 1, 2):
+        ordered = sorted(r["h"] for r in df.where(F.col("g").eqNullSafe(F.lit(g))).collect())
+        assert found[g] == (1000, [ordered[0], ordered[1], ordered[499], ordered[-1]])
+    plan = hash_cuts(df, ["g"], "h", ranks, digits=1, bound=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"substring\(.*, 1, [3-9]\)", plan)
+    assert hash_cuts(df.where("false"), ["g"], "h", ranks).collect() == []
+
+
 def test_pieces_are_equal_in_size(spark):
     df = spark.range(1001).select(F.md5(F.col("id").cast("string")).alias("h"))
     ranks = F.array(*[F.ceil(F.col("n") * F.lit(i) / F.lit(4)) for i in (1, 2, 3)])
