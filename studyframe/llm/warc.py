@@ -23,6 +23,8 @@ from studyframe.llm.common import join_groups, kept
 REVISIT_BYTES = 1000
 #: Bytes of an archive before a task begins another, and of the range that a reading task scans.
 FILE_BYTES, RANGE_BYTES = 1 << 30, 8 << 20
+#: Reading tasks per shuffle partition (or half a core), at most.
+RANGE_WAVES = 4
 READ_BYTES = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 _PAGE = "urn:page:"
@@ -196,10 +198,13 @@ def records_in(path: str, start: int, end: int) -> Iterator[tuple]:
 
 
 def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Records of the archives in files (path, bytes), one task per byte range.
+    """Records of the archives in files (path, bytes), read by byte range in as many tasks as there are ranges, or RANGE_WAVES per shuffle partition.
 
     payload is null for revisit records; http_bytes and digest are those of the whole payload either way.
     """
+    spread = "spark.sql.shuffle.partitions"
+    tasks = files.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / range_bytes)), F.lit(0))).first()[0]
+    tasks = max(1, min(int(tasks), max(int(spark.conf.get(spread)), 2 * spark.sparkContext.defaultParallelism) * RANGE_WAVES))
     ranges = files.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +221,8 @@ def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
                 if held:
                     yield _batch(held, names)
 
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(run, RECORD)
+    # Rows say nothing of the bytes that they name, so the number of tasks is fixed: adaptive execution would merge them all.
+    return ranges.repartition(tasks, F.xxhash64("path", "start")).mapInArrow(run, RECORD)
 
 
 def _batch(records: list[tuple], names: list[str]) -> pa.RecordBatch:
