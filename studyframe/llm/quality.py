@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -275,17 +274,18 @@ def quality_rules(docs: DataFrame, model: Model | None, keep_from: float = KEEP_
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that quality_rules keeps, all columns, judged in place: the texts are not shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def good(column: pd.Series) -> pd.Series:
-        model, out = sent.value, []
-        for _, _, data, bounds in tk.texts(pa.array(column, pa.string())):
-            facts = base_facts(data, bounds, tk.words_of(data, bounds, False))
-            n = facts["n_words"]
-            keep = (n >= LEAST_WORDS) & (100 * facts["n_repeat_words"] <= MOST_REPEATED * n)
-            if model:
-                keep &= model.probabilities(data, bounds, tk.words_of(data, bounds, True)) >= KEEP_FROM
-            out.append(keep)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
-
-    return docs.where(good(F.col("text").cast("string")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for first, last, data, bounds in tk.texts(batch.column(at).cast(pa.string())):
+                facts = base_facts(data, bounds, tk.words_of(data, bounds, False))
+                n = facts["n_words"]
+                keep = (n >= LEAST_WORDS) & (100 * facts["n_repeat_words"] <= MOST_REPEATED * n)
+                if model:
+                    keep &= model.probabilities(data, bounds, tk.words_of(data, bounds, True)) >= KEEP_FROM
+                del data, facts
+                yield batch.slice(first, last - first).filter(pa.array(keep))
+
+    return docs.mapInArrow(tk.resting(run), docs.schema)
