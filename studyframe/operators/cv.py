@@ -11,7 +11,7 @@ import itertools
 import json
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -225,45 +225,58 @@ def grid_search_cv(
 
 # ------------------------------------------------------------------ permutation importance
 
-# Rows exchanged with one another by one task.
-BLOCK_ROWS = 100_000
+# Rows among which a feature is exchanged, about.
+BLOCK_ROWS = 4096
 
 
-def permuted(df: DataFrame, features: Sequence[str], n_repeats: int, seed: int, key: str = "row_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def permuted(
+    df: DataFrame, features: Sequence[str], n_repeats: int, seed: int, key: str = "row_id", block_rows: int = BLOCK_ROWS, keep_key: bool = True
+) -> DataFrame:
     """Copies of the rows in which one feature is exchanged among random rows: adds ``feature, repeat``.
 
-    For every (feature, repeat) rows fall into random blocks of bounded size by a hash of their key, and
-    inside a block the feature's values are dealt out in another random order. Each copy is a true
-    permutation of the column, and no task sees more than a block.
+    Rows are dealt once, by a hash of their key, into random blocks. The task that has a block makes all its copies,
+    one (feature, repeat) at a time: so only the rows themselves are shuffled, memory holds one block and one copy,
+    and each copy of a block is a permutation of the column that depends on seed, block, feature and repeat alone.
     """
-    names = list(features)
+    names, spark = list(features), df.sparkSession
     blocks = max(1, math.ceil(df.count() / block_rows))
-    copies = F.explode(F.array(*[F.lit(n) for n in names]))
-    rows = df.withColumn("feature", copies).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-    rows = rows.withColumn("_from", draw32(F.lit(seed), "feature", "repeat", key)).withColumn("_to", draw32(F.lit(seed + 1), "feature", "repeat", key))
-    rows = rows.withColumn("_block", F.pmod(draw32(F.lit(seed + 2), "feature", "repeat", key), F.lit(blocks)).cast("int"))
-    schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_from", "_to", "_block")])
-    kept = [f.name for f in schema.fields]
-
-    def exchange(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["feature"].iloc[0]
-        pdf = pdf.sort_values(["_from", key]).reset_index(drop=True)
-        order = pdf.sort_values(["_to", key]).index.to_numpy()
-        pdf[name] = pdf[name].to_numpy()[order]
-        return pdf[kept]
-
-    return rows.groupBy("feature", "repeat", "_block").applyInPandas(exchange, schema)
+    tasks = min(blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    rows = df.withColumn("_block", F.pmod(draw32(F.lit(seed), F.lit("block"), key), F.lit(blocks)).cast("int")).withColumn("_place", draw32(F.lit(seed), F.lit("place"), key))
+    rows = rows.repartition(tasks, "_block").sortWithinPartitions("_block", "_place", key).drop("_place")
+    kept = [c for c in df.columns if keep_key or c != key]
+    schema = T.StructType([f for f in df.schema.fields if f.name in kept] + [T.StructField("feature", T.StringType()), T.StructField("repeat", T.IntegerType())])
+
+    def copies(block: int, parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(parts, ignore_index=True)[kept]
+        for i, name in enumerate(names):
+            for repeat in range(n_repeats):
+                order = np.random.default_rng([seed, block, i, repeat]).permutation(len(whole))
+                yield whole.assign(**{name: whole[name].to_numpy()[order], "feature": name, "repeat": np.int32(repeat)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held = None, []
+        for batch in batches:
+            for number, part in batch.groupby("_block", sort=True):
+                if held and number != block:
+                    yield from copies(block, held)
+                    held = []
+                block = int(number)
+                held.append(part)
+        if held:
+            yield from copies(block, held)
+
+    return rows.mapInPandas(run, schema)
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, features: Sequence[str], c: Candidate, metric: str | None = None, n_repeats: int = 5, seed: int = 42, key: str = "row_id"
+    model: PipelineModel, df: DataFrame, features: Sequence[str], c: Candidate, metric: str | None = None, n_repeats: int = 30, seed: int = 42, key: str = "row_id"
 ) -> DataFrame:
     """Score lost when a raw feature is permuted: mean, sd (population) and share, largest first."""
     metric = metric or ("r2" if c.task == "regression" else "macro_f1")
     rows = _ready(df, c).select(key, c.label, *features)
     base = _value(model.transform(rows), metric, c)
     lower = metric in ("mse", "mae", "rmse")
-    scored = score(model.transform(permuted(rows, features, n_repeats, seed, key)), metric, c.label, c.n_classes, ["feature", "repeat"])
+    scored = score(model.transform(permuted(rows, features, n_repeats, seed, key, keep_key=False)), metric, c.label, c.n_classes, ["feature", "repeat"])
     loss = F.col("score") - base if lower else base - F.col("score")
     out = scored.groupBy("feature").agg(F.avg(loss).alias("mean_importance"), F.stddev_pop(loss).alias("std_importance"))
     total = out.select(F.abs("mean_importance").alias("a")).agg(F.sum("a").alias("total"))

@@ -314,7 +314,7 @@ def permutation_importance(spark, sf):
     c = cv.Candidate("regression", "MLR", FEATURES)
     rows = _rows(spark, sf)
     model = cv.fit(rows.where("fold <> 0"), c)
-    return rd(cv.permutation_importance(model, rows.where("fold = 0"), FEATURES, c, n_repeats=3))
+    return rd(cv.permutation_importance(model, rows.where("fold = 0"), FEATURES, c, n_repeats=30))
 
 
 @query("learning_curve")

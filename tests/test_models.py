@@ -212,6 +212,32 @@ def test_permuted_columns_keep_their_values(data):
         assert sorted(part[feature]) == sorted(pdf[feature]) and not np.array_equal(part[feature].to_numpy(), pdf[feature].to_numpy())
 
 
+def test_copies_need_one_shuffle_and_repeat(data):
+    _, df = data
+    rows = df.select("row_id", "label", "a", "b")
+    out = cv.permuted(rows, ["a", "b"], 3, 9, block_rows=50)
+    assert str(out._jdf.queryExecution().executedPlan().toString()).count("Exchange ") == 1
+    again = cv.permuted(rows.repartition(3), ["a", "b"], 3, 9, block_rows=50)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
+    assert "row_id" not in cv.permuted(rows, ["a"], 1, 9, keep_key=False).columns
+    assert cv.permuted(rows.where("false"), ["a"], 2, 9).collect() == []
+
+
+def test_importance_equals_numpy(data):
+    """Scores of the same copies by hand: mean and sd of the R2 lost, over 30 repeats."""
+    pdf, df = data
+    c = cv.Candidate("regression", "MLR", ["a", "b"])
+    rows = {r["feature"]: r for r in cv.permutation_importance(cv.fit(df, c), df, ["a", "b"], c).collect()}
+    x = np.column_stack([np.ones(len(pdf)), pdf["a"], pdf["b"]])
+    beta = np.linalg.lstsq(x, pdf["label"], rcond=None)[0]
+    r2 = lambda t: 1 - ((np.column_stack([np.ones(len(t)), t["a"], t["b"]]) @ beta - t["label"]) ** 2).sum() / ((t["label"] - t["label"].mean()) ** 2).sum()
+    copies = cv.permuted(df.select("row_id", "label", "a", "b"), ["a", "b"], 30, 42).toPandas()
+    for name, part in copies.groupby("feature"):
+        lost = np.array([r2(pdf) - r2(t) for _, t in part.groupby("repeat")])
+        assert len(lost) == 30 == rows[name]["n_repeats"]
+        assert (rows[name]["mean_importance"], rows[name]["std_importance"]) == pytest.approx((lost.mean(), lost.std()), rel=1e-5)
+
+
 def test_importance_orders_features(data):
     _, df = data
     c = cv.Candidate("regression", "MLR", ["a", "b"])
