@@ -389,7 +389,7 @@ def build_preprocessor(
     categorical = [c for c in config.get("categorical_columns", []) or [] if config.get("categorical_encoding")]
     numeric = list(config.get("numeric_columns", []) or [f for f in features if f not in categorical])
     if categorical and not config.get("numeric_columns"):
-        raise ValueError("numeric_columns must be given when categorical_columns are configured")
+        raise ValueError("list the numeric columns too: some features are encoded as categories")
     stages: list = [impute_median(numeric)] if impute else []
     stages.append(power(str(config.get("power_transform", "none")).lower(), numeric))
     stages.append(scaler(str(config.get("scaling", "standard")).lower(), numeric))

@@ -167,7 +167,7 @@ ALIASES = {
         "rmse_test": ["rmse_test", "test_rmse"],
     },
     "classification": {
-        "train_macro_f1": ["train_macro_f1", "macro_f1_train", "cv_train_macro_f1"],
+        "train_macro_f1": ["train_macro_f1", "macro_f1_train"],
         "cv_macro_f1": ["cv_macro_f1", "cv_train_macro_f1", "cv_macro_f1_mean"],
         "cv_macro_f1_std": ["cv_macro_f1_std", "cv_train_macro_f1_std", "cv_macro_f1_sd"],
         "val_macro_f1": ["val_macro_f1", "macro_f1_val"],

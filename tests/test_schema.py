@@ -91,3 +91,10 @@ def test_file_names(spark):
     rows = [tuple(r) for r in df.select(*model_name_parts(F.col("f"))).collect()]
     assert rows == [("RF", "fs2", "AC_x"), ("best", None, None), (None, None, None)]
     assert safe_name("PI/FF (%)") == "PI_FF"
+
+
+def test_cv_scores_do_not_stand_for_train_scores(spark):
+    """A leaderboard with cross-validated scores only has no train score, under any of their names."""
+    lb = spark.createDataFrame([("RF", "fs1", 0.7)], "model string, feature_set string, cv_train_macro_f1 double")
+    row = sc.normalize_leaderboard(lb, "classification").first()
+    assert row["cv_macro_f1"] == 0.7 and row["train_macro_f1"] is None
