@@ -128,14 +128,18 @@ def _in_ranges(rows: DataFrame, ranges: DataFrame, keys: list[str], width: int)
 
 
 def _picked(lines: DataFrame, counted: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """lines (keys, _start, _r, n) with the one of counted (keys, _start, order, _c, ...) that holds row _r."""
+    """keys, _start and _r of lines, with the one of counted (keys, _start, order, _c, ...) that holds row _r of its range.
+
+    Wanted rows are ordered among the counted ones by place and take what stands last before them: the work grows with
+    the sum of both, not with their product."""
     before = W.partitionBy(*keys, "_start").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     counted = counted.withColumn("_first", F.col("_start") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    counted = counted.select(*(F.col(c).alias(f"_k_{c}") for c in (*keys, "_start")), *(c for c in counted.columns if c not in (*keys, "_start")))
-    same = F.col("_start") == F.col("_k__start")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return lines.join(counted, same & (F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_first") + F.col("_c")))
+    facts = [c for c in counted.columns if c not in (*keys, "_start")]
+    held = counted.select(*keys, "_start", F.col("_first").alias("_at"), F.lit(0).alias("_wanted"), F.struct(*facts).alias("_facts"))
+    asked = lines.select(*keys, "_start", F.col("_r").alias("_at"), F.lit(1).alias("_wanted"), F.lit(None).cast(held.schema["_facts"].dataType).alias("_facts"))
+    upto = W.partitionBy(*keys, "_start").orderBy("_at", "_wanted").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = held.unionByName(asked).withColumn("_facts", F.last("_facts", ignorenulls=True).over(upto)).where("_wanted = 1")
+    return found.select(*keys, "_start", F.col("_at").alias("_r"), *(F.col("_facts")[c].alias(c) for c in facts))
 
 
 def exact_quantiles(
@@ -153,8 +157,8 @@ def exact_quantiles(
     keys, probs = list(keys), [float(p) for p in probs]
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     sizes = kept(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    wanted = [F.lit(p) * (F.col("n") - 1) for p in probs]
-    ranks = F.array_distinct(F.array(*(end(p).cast("bigint") for p in wanted for end in (F.floor, F.ceil))))
+    wanted = F.transform(F.lit(probs), lambda p: p * (F.col("n") - 1))
+    ranks = F.array_distinct(F.concat(F.transform(wanted, lambda p: F.floor(p).cast("bigint")), F.transform(wanted, lambda p: F.ceil(p).cast("bigint"))))
     lines = sizes.where("n > 0").select(*keys, F.explode(ranks).alias("_r"), F.lit(0).cast("bigint").alias("_start"), F.col("n").alias("_c"), "_lo", "_hi")
     wide = (F.col("_c") > limit) & (F.col("_lo") < F.col("_hi"))
     cell = _exponent(F.col("_v"))
@@ -182,4 +186,4 @@ def exact_quantiles(
         low, high = at(F.floor(p)), at(F.ceil(p))
         return F.when(low == high, low).otherwise(low + (high - low) * (p - F.floor(p)))
 
-    return full.select(*keys, F.when(F.col("n") > 0, F.array(*map(answer, wanted))).alias(out), "n")
+    return full.select(*keys, F.when(F.col("n") > 0, F.transform(wanted, answer)).alias(out), "n")
