@@ -1,4 +1,4 @@
-"""Distribution functions for small result tables, and two Arrow functions for columns.
+"""Distribution functions for small result tables, and sums of normal scores for columns.
 
 The p-values are needed for a handful of rows (one per feature), after Spark has reduced the data.
 """
@@ -12,31 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-def _inverse(p: np.ndarray) -> np.ndarray:
-    inv = NormalDist().inv_cdf
-    return np.array([inv(v) if 0.0 < v < 1.0 else math.nan for v in p.tolist()], dtype=float)
-
-
-def _upper(z: np.ndarray) -> np.ndarray:
-    root = math.sqrt(2.0)
-    return np.array([0.5 * math.erfc(v / root) for v in z.tolist()], dtype=float)
-
-
-@F.pandas_udf(T.DoubleType())
-def norm_cdf(z: pd.Series) -> pd.Series:
-    return pd.Series(_upper(-z.to_numpy(dtype=float)))
-
-
-@F.pandas_udf(T.DoubleType())
-def norm_sf(z: pd.Series) -> pd.Series:
-    """Upper tail, accurate far out."""
-    return pd.Series(_upper(z.to_numpy(dtype=float)))
-
-
-@F.pandas_udf(T.DoubleType())
-def norm_ppf(p: pd.Series) -> pd.Series:
-    return pd.Series(_inverse(p.to_numpy(dtype=float)))
-
+from studyframe.functions.normal import inverse
 
 # ------------------------------------------------------------------ sums of normal scores
 
@@ -45,7 +21,7 @@ RUN_EDGE = 2048
 
 
 def _score_at(rank: np.ndarray, n: float, shift: float, extra: float) -> np.ndarray:
-    return _inverse((rank - shift) / (n + extra))
+    return inverse((rank - shift) / (n + extra))
 
 
 def normal_score_sum(first: int, last: int, n: int, shift: float, extra: float, power: int = 1) -> float:
@@ -69,18 +45,32 @@ def normal_score_sum(first: int, last: int, n: int, shift: float, extra: float,
     return ends + area / width - width / 24.0 * slope
 
 
+# Ranks that one step of ``run_score_sums`` holds, unless a single run is longer.
+STEP_RANKS = 1 << 20
+
+
+def run_score_sums(before: np.ndarray, cnt: np.ndarray, n: np.ndarray, shift: float, extra: float) -> np.ndarray:
+    """Sum of the normal scores of the ranks before+1 .. before+cnt, for many runs of ranks at once."""
+    out = np.empty(len(before))
+    long = cnt > 4 * RUN_EDGE
+    for i in np.flatnonzero(long):
+        out[i] = normal_score_sum(int(before[i]) + 1, int(before[i] + cnt[i]), int(n[i]), shift, extra)
+    short = np.flatnonzero(~long)
+    steps = np.cumsum(cnt[short]) // STEP_RANKS
+    for at in np.split(short, np.flatnonzero(np.diff(steps)) + 1) if len(short) else ():
+        sizes = cnt[at]
+        starts = np.cumsum(sizes) - sizes
+        ranks = np.arange(int(sizes.sum())) - np.repeat(starts - before[at], sizes) + 1.0
+        out[at] = np.add.reduceat(_score_at(ranks, np.repeat(n[at], sizes).astype(float), shift, extra), starts)
+    return out
+
+
 def score_sum_udf(shift: float, extra: float):
     """Arrow function (before, cnt, n) -> sum of the normal scores of the tied ranks."""
 
     @F.pandas_udf(T.DoubleType())
     def score_sum(before: pd.Series, cnt: pd.Series, n: pd.Series) -> pd.Series:
-        b, c, size = (s.to_numpy(dtype=np.int64) for s in (before, cnt, n))
-        out = np.empty(len(b))
-        single = c == 1
-        out[single] = _score_at(b[single] + 1.0, size[single].astype(float), shift, extra)
-        for i in np.flatnonzero(~single):
-            out[i] = normal_score_sum(int(b[i]) + 1, int(b[i] + c[i]), int(size[i]), shift, extra)
-        return pd.Series(out)
+        return pd.Series(run_score_sums(*(s.to_numpy(dtype=np.int64) for s in (before, cnt, n)), shift, extra))
 
     return score_sum
 

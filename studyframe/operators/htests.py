@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from studyframe.functions.running import exact_quantiles, running_totals
-from studyframe.functions.special import chi2_sf, mwu_exact_p, norm_sf
+from studyframe.functions.special import chi2_sf, mwu_exact_p
 from studyframe.operators.quality import _long
 from studyframe.operators.schema import _num
 

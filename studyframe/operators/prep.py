@@ -14,6 +14,7 @@ from pyspark.ml import Estimator
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from studyframe.functions.normal import inverse_normal_sql
 from studyframe.functions.running import exact_quantiles
 from studyframe.operators.quality import _long
 
@@ -175,40 +176,6 @@ class PowerTransform(_SqlStage):
         return _replace({c: f"(({e}) - {_lit(row[f'avg{j}'])}) / {_lit(row[f'stddev_pop{j}'] or 1.0)}" for j, (c, e) in enumerate(shaped.items())})
 
 
-# Coefficients of algorithm AS 241 (inverse normal), highest power first.
-AS241 = {
-    "centre": (
-        (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
-        (5226.495278852545925, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
-    ),
-    "middle": (
-        (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
-        (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0),
-    ),
-    "tail": (
-        (2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093, 0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
-        (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4, 0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0),
-    ),
-}
-
-
-def _horner(coefficients: Sequence[float], r: str) -> str:
-    out = _lit(coefficients[0])
-    for c in coefficients[1:]:
-        out = f"({out} * {r} + {_lit(c)})"
-    return out
-
-
-def inverse_normal_sql(p: str) -> str:
-    """SQL text of the inverse normal distribution function for 0 < p < 1."""
-    q = f"({p} - 0.5D)"
-    centre = f"(0.180625D - {q} * {q})"
-    tail = f"sqrt(-ln(CASE WHEN {q} < 0 THEN {p} ELSE 1 - {p} END))"
-    ratio = lambda part, r: f"{_horner(AS241[part][0], r)} / {_horner(AS241[part][1], r)}"
-    outer = f"CASE WHEN {tail} <= 5 THEN {ratio('middle', f'({tail} - 1.6D)')} ELSE {ratio('tail', f'({tail} - 5D)')} END"
-    return f"CASE WHEN abs({q}) <= 0.425D THEN {q} * {ratio('centre', centre)} ELSE sign({q}) * ({outer}) END"
-
-
 class QuantileTransform(_SqlStage):
     """Values to their place between stored quantiles (uniform), optionally on to normal scores."""
 

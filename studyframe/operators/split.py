@@ -7,11 +7,11 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from studyframe.functions.columns import draw32, join_small, text_key
+from studyframe.functions.columns import draw32, join_small, kept, text_key
 from studyframe.functions.hashing import hash_cuts, pieces_by_hash
 from studyframe.functions.running import running_totals
 
-# Groups up to which fold balancing is decided on the driver from (group, size) lines.
+# (group, class) lines up to which class-balanced group folds are decided on the driver.
 GREEDY_GROUPS = 100_000
 
 
@@ -142,27 +142,60 @@ def _row_fallback(df: DataFrame, key: str | None, k: int, seed: int) -> DataFram
     return kfold(df, key, k, seed)
 
 
+def _fill(load: list[int], size: int, groups: int) -> list[int]:
+    """How many of ``groups`` groups of one size each fold gets when every group goes to the lightest fold (ties: the first).
+
+    A fold offers places at its load, one size more, and so on; the lowest places of all folds are taken. Found by halving
+    the load up to which places are taken, so the number of groups does not matter.
+    """
+    upto = lambda top: [max(0, (top - own) // size + 1) for own in load]
+    low, high = min(load) - 1, min(load) + size * groups
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(upto(middle)) <= groups else (low, middle - 1)
+    taken = upto(low)
+    over = groups - sum(taken)
+    for fold, more in enumerate(upto(low + 1)):
+        if over and more > taken[fold]:
+            taken[fold], over = more, over - 1
+    return taken
+
+
+def _folds_by_size(sizes: DataFrame, group: str, k: int, seed: int) -> DataFrame:
+    """Fold of each group: sizes from the largest down, each group to the lightest fold.
+
+    Groups of equal size are interchangeable, so the driver needs one line per distinct size (at most the root of twice the
+    rows) and decides how many of them each fold gets; a hash of the group decides which.
+    """
+    runs = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("groups")).collect()
+    load, ends = [0] * k, []
+    for run in sorted(runs, key=lambda r: -r["_size"]):
+        taken = _fill(load, run["_size"], run["groups"])
+        load = [own + run["_size"] * got for own, got in zip(load, taken)]
+        ends.append((run["_size"], np.cumsum(taken)[:-1].tolist()))
+    table = sizes.sparkSession.createDataFrame(ends, "_size bigint, _ends array<bigint>")
+    hashed = sizes.withColumn("_h", order_hash(seed, "groups", F.col(group)))
+    cuts = hash_cuts(hashed, ["_size"], "_h", F.array_distinct("_ends"), extra=table)
+    placed = join_small(join_small(hashed, table, ["_size"], width=k), cuts.select("_size", "cuts"), ["_size"], "left", width=k)
+    # Ends in a cut list are distinct and above zero: a fold whose end is zero, or equals the one before, has no group.
+    below = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("_h"))), F.lit(0))
+    marks = F.filter(F.array_sort(F.array_distinct("_ends")), lambda e: e > 0)
+    reached = F.coalesce(F.get(marks, below - 1), F.lit(0))
+    fold = F.when(below == 0, F.size(F.filter("_ends", lambda e: e <= 0))).otherwise(F.size(F.filter("_ends", lambda e: e <= reached)))
+    return placed.select(group, fold.cast("int").alias("fold"))
+
+
 def group_kfold(df: DataFrame, group: str, k: int, mode: str = "greedy", seed: int = 42, key: str | None = None) -> DataFrame:
     """Whole groups to k folds of similar size.
 
-    ``greedy`` puts the largest remaining group on the lightest fold (decided from the list of group
-    sizes while that list is short); ``snake`` deals the groups in order of size back and forth and
-    needs no list. With fewer groups than folds rows are folded by ``key``.
+    ``greedy`` puts the largest remaining group on the lightest fold, for any number of groups; ``snake`` deals the groups
+    in order of size back and forth. With fewer groups than folds rows are folded by ``key``. A missing group is a group.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    known = sizes.limit(max(k, GREEDY_GROUPS) + 1).collect() if mode == "greedy" else sizes.limit(k).collect()
-    if len(known) < k:
+    sizes = kept(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")))
+    if sizes.limit(k).count() < k:
         return _row_fallback(df, key, k, seed)
-    if mode == "greedy" and len(known) <= GREEDY_GROUPS:
-        load = [0] * k
-        placed = []
-        for row in sorted(known, key=lambda r: (-r["_size"], str(r[group]))):
-            fold = min(range(k), key=lambda f: (load[f], f))
-            load[fold] += row["_size"]
-            placed.append((row[group], fold))
-        kind = df.schema[group].dataType.simpleString()
-        table = df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, fold int")
-        return join_small(df, table, [group])
+    if mode == "greedy":
+        return join_small(df, _folds_by_size(sizes, group, k, seed), [group])
     numbered = sizes.withColumn("_v", _size_order(F.col("_size"), seed, group))
     places = running_totals(numbered.select("_v"), [], "_v").select("_v", F.col("before_cnt").alias("_place"))
     table = join_small(numbered, places, ["_v"]).select(group, _snake(F.col("_place"), k).alias("fold"))

@@ -11,9 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from studyframe.functions.columns import join_small, kept, small_side
+from studyframe.functions.columns import SMALL_ROWS, join_small, kept
+from studyframe.functions.normal import norm_cdf, norm_ppf, norm_sf
 from studyframe.functions.running import average_ranks, running_totals
-from studyframe.functions.special import f_sf, norm_cdf, norm_ppf, norm_sf, normal_score_sum, score_sum_udf, shapiro_from_sums
+from studyframe.functions.special import f_sf, normal_score_sum, score_sum_udf, shapiro_from_sums
 from studyframe.operators.quality import _long
 from studyframe.operators.schema import _num, column_facts
 
@@ -50,44 +51,82 @@ def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _matrix(pairs, cols, _diagonal(values, cols))
 
 
-def corr_spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Spearman matrix with average ranks; a pair with missing values is ranked on its common rows.
-
-    All needed rankings are found by one ordering of distinct values. Each value -> rank table is joined
-    beside the values (broadcast when small), and one aggregation yields all coefficients.
-    """
-    values = df.select(*[_num(df, c).alias(f"_{i}") for i, c in enumerate(cols)])
-    index = {c: i for i, c in enumerate(cols)}
+def _rankings(values: DataFrame, cols: Sequence[str]) -> tuple[dict[str, Column], dict[tuple[str, str], tuple[str, str]]]:
+    """The rankings that the pairs of columns need (name -> value that it ranks), and those of each pair."""
     missing = values.agg(*[F.count_if(F.col(f"_{i}").isNull()).alias(f"m{i}") for i in range(len(cols))]).first()
-    whole = [c for c in cols if missing[index[c]] == 0]
-    pairs = list(combinations(cols, 2))
-    # Name of a ranking -> value that it ranks.
-    ranked: dict[str, Column] = {f"r{index[c]}": F.col(f"_{index[c]}") for c in cols}
-    of: dict[tuple[str, str], tuple[str, str]] = {}
-    for a, b in pairs:
-        i, j = index[a], index[b]
-        if a in whole and b in whole:
-            of[a, b] = (f"r{i}", f"r{j}")
-            continue
-        # A column is ranked anew only where the other one has gaps; else its own ranking serves.
+    whole = [missing[f"m{i}"] == 0 for i in range(len(cols))]
+    ranked = {f"r{i}": F.col(f"_{i}") for i in range(len(cols))}
+    of = {}
+    for (i, a), (j, b) in combinations(enumerate(cols), 2):
         sides = []
-        for own, other, other_name in ((i, j, b), (j, i, a)):
-            name = f"r{own}" if other_name in whole else f"r{own}_{other}"
-            if name not in ranked:
-                ranked[name] = F.when(F.col(f"_{other}").isNotNull(), F.col(f"_{own}"))
+        for own, other in ((i, j), (j, i)):
+            # A column is ranked anew only where the other one has gaps; else its own ranking serves.
+            name = f"r{own}" if whole[other] else f"r{own}_{other}"
+            ranked.setdefault(name, F.when(F.col(f"_{other}").isNotNull(), F.col(f"_{own}")))
             sides.append(name)
         of[a, b] = (sides[0], sides[1])
-    long = values.select(F.inline(F.array(*[F.struct(F.lit(n).alias("ranking"), v.alias("value")) for n, v in ranked.items()])))
-    ranks = kept(average_ranks(long, ["ranking"], "value").select("ranking", "value", "avg_rank"))
-    wide = values.select("*", *[v.alias(f"v_{n}") for n, v in ranked.items()])
-    for name in ranked:
-        side = small_side(ranks.where(F.col("ranking") == name).select(F.col("value").alias(f"k_{name}"), F.col("avg_rank").alias(name)))
-        wide = wide.join(side, F.col(f"v_{name}") == F.col(f"k_{name}"), "left").drop(f"k_{name}", f"v_{name}")
+    return ranked, of
+
+
+def _ranks_by_row(rows: DataFrame, ranked: dict[str, Column], ranks: DataFrame, sizes: dict[str, tuple[int, int]], small_rows: int) -> DataFrame:
+    """Rows with one column per ranking: the row's rank less the mean rank.
+
+    Rankings with few distinct values, ``small_rows`` together, are looked up by broadcast. If there are others, the rows
+    become lines (row, ranking, value) without the missing cells, meet the ranks in one join and are put together once.
+    """
+    centred = lambda name, rank: F.col(rank) - F.lit((sizes[name][1] + 1) / 2.0)
+    present = [n for n in ranked if n in sizes]
+    narrow, held = set(), 0
+    for name in sorted(present, key=lambda n: (sizes[n][0], n)):
+        held += sizes[name][0]
+        if held > small_rows:
+            break
+        narrow.add(name)
+    absent = [F.lit(None).cast("double").alias(n) for n in ranked if n not in sizes]
+    if len(narrow) == len(present):
+        wide = rows.select("_w", *[v.alias(f"v_{n}") for n, v in ranked.items()])
+        for name in present:
+            side = ranks.where(F.col("ranking") == name).select(F.col("value").alias(f"k_{name}"), F.col("avg_rank").alias(name))
+            wide = wide.join(F.broadcast(side), F.col(f"v_{name}") == F.col(f"k_{name}"), "left").drop(f"k_{name}", f"v_{name}")
+        return wide.select("_w", *[centred(n, n).alias(n) for n in present], *absent)
+    identity = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns if c != "_w"]))
+    lines = F.inline(F.array(*[F.struct(F.lit(n).alias("ranking"), ranked[n].alias("value")) for n in present]))
+    long = rows.select(identity.alias("_row"), "_w", lines).where(F.col("value").isNotNull())
+    # A value of more than a thousandth of its ranking's rows: at most a thousand in each, so they may be broadcast too.
+    total = F.create_map(*[F.lit(v) for n in present for v in (n, sizes[n][1])])
+    near = F.col("ranking").isin(*narrow) | (F.col("cnt") * 1000 > total[F.col("ranking")])
+    first = long.join(F.broadcast(ranks.where(near).drop("cnt")), ["ranking", "value"], "left")
+    rest = first.where(F.col("avg_rank").isNull()).drop("avg_rank").join(ranks.where(~near).drop("cnt"), ["ranking", "value"])
+    placed = first.where(F.col("avg_rank").isNotNull()).unionByName(rest)
+    cell = lambda name: F.max(F.when(F.col("ranking") == name, F.col("avg_rank"))).alias(name)
+    wide = placed.groupBy("_row", "_w").agg(*[cell(n) for n in present])
+    return wide.select("_w", *[centred(n, n).alias(n) for n in present], *absent)
+
+
+def corr_spearman(df: DataFrame, cols: Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Spearman matrix with average ranks; a pair with missing values is ranked on its common rows.
+
+    Equal rows are counted first, all rankings come from one ordering of distinct values, and however many
+    columns there are, the rows are regrouped at most once to meet their ranks.
+    """
+    names = [f"_{i}" for i in range(len(cols))]
+    values = df.select(*[_num(df, c).alias(n) for n, c in zip(names, cols)])
+    rows = kept(values.groupBy(*names).agg(F.count(F.lit(1)).alias("_w")))
+    ranked, of = _rankings(values, cols)
+    long = rows.select("_w", F.inline(F.array(*[F.struct(F.lit(n).alias("ranking"), v.alias("value")) for n, v in ranked.items()])))
+    ranks = kept(average_ranks(long, ["ranking"], "value", sums={"cnt": F.col("_w")}).select("ranking", "value", "cnt", "avg_rank"))
+    sizes = {r["ranking"]: (r["d"], r["n"]) for r in ranks.groupBy("ranking").agg(F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n")).collect()}
+    wide = _ranks_by_row(rows, ranked, ranks, sizes, small_rows)
     out = None
+    pairs = list(of)
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         block = pairs[start : start + PAIRS_PER_JOB]
-        row = wide.agg(*[F.corr(*of[p]).alias(f"c{i}") for i, p in enumerate(block)])
-        lines = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(block)]
+        # Ranks are centred, so products need no means; both rankings of a pair cover the same rows.
+        product = lambda a, b: F.sum(F.col("_w") * F.col(a) * F.col(b))
+        squares = sorted({name for p in block for name in of[p]})
+        row = wide.agg(*[product(n, n).alias(f"s_{n}") for n in squares], *[product(*of[p]).alias(f"c{i}") for i, p in enumerate(block)])
+        corr = lambda i, a, b: F.when((F.col(f"s_{a}") > 0) & (F.col(f"s_{b}") > 0), F.col(f"c{i}") / (F.sqrt(f"s_{a}") * F.sqrt(f"s_{b}")))
+        lines = [F.struct(F.lit(p[0]).alias("a"), F.lit(p[1]).alias("b"), corr(i, *of[p]).alias("r")) for i, p in enumerate(block)]
         part = row.select(F.inline(F.array(*lines)))
         out = part if out is None else out.unionByName(part)
     return _matrix(out, cols, _diagonal(df, cols))
@@ -163,8 +202,8 @@ def _critical(n: Column) -> Column:
 def anderson_darling_normal(long: DataFrame, keys: Sequence[str] = ("column",)) -> DataFrame:
     """A² against a normal with the sample mean and sd, the 5 % critical value and the decision."""
     rows = _ordered(long, keys).where(F.col("sd") > 0)
-    z = F.col("centred") / F.col("sd")
-    rows = rows.withColumn("_f", norm_cdf(z)).withColumn("_s", norm_sf(z))
+    rows = rows.withColumn("_z", F.col("centred") / F.col("sd"))
+    rows = rows.withColumns({"_f": norm_cdf(F.col("_z")), "_s": norm_sf(F.col("_z"))})
     out = rows.groupBy(*keys, "n").agg(_ad_sum(F.col("_f"), F.col("_s")).alias("_t"))
     a2 = -F.col("n") - F.col("_t") / F.col("n")
     out = out.select(*keys, "n", a2.alias("anderson_statistic"), _critical(F.col("n")).alias("anderson_critical_5pct"))
@@ -176,9 +215,9 @@ def ad_residual(pred: DataFrame, keys: Sequence[str], y: str = "y_true", p: str
     """A² of the residuals with population sd + 1e-12 and clipped tails; NULL below 5 rows."""
     long = pred.select(*keys, (F.col(y) - F.col(p)).alias("value"))
     rows = _ordered(long, keys)
-    z = F.col("centred") / (F.sqrt("var") + 1e-12)
+    rows = rows.withColumn("_z", F.col("centred") / (F.sqrt("var") + 1e-12))
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-12)), F.lit(1 - 1e-12))
-    rows = rows.withColumn("_f", clip(norm_cdf(z)))
+    rows = rows.withColumn("_f", clip(norm_cdf(F.col("_z"))))
     out = rows.groupBy(*keys, "n").agg(_ad_sum(F.col("_f"), 1 - F.col("_f")).alias("_t"))
     return out.select(*keys, "n", F.when(F.col("n") >= 5, -F.col("n") - F.col("_t") / F.col("n")).alias("ad_stat"))
 
@@ -220,8 +259,8 @@ def shapiro_wilk(long: DataFrame, keys: Sequence[str] = ("column",), alpha: floa
 def normality_table(df: DataFrame, cols: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """Moments, Shapiro-Wilk, K² and A² of every column, from one ordering of the distinct values."""
     rows = _ordered(_long(df, cols), ["column"])
-    z = F.col("centred") / F.col("sd")
-    rows = rows.withColumn("_f", norm_cdf(z)).withColumn("_s", norm_sf(z))
+    rows = rows.withColumn("_z", F.col("centred") / F.col("sd"))
+    rows = rows.withColumns({"_f": norm_cdf(F.col("_z")), "_s": norm_sf(F.col("_z"))})
     out = rows.groupBy("column", "n", "mean", "sd", "g1", "g2").agg(_ad_sum(F.col("_f"), F.col("_s")).alias("_t"), *_shapiro_aggs())
     out = dagostino_k2(_corrected(_shapiro_columns(out, alpha)))
     out = out.withColumn("anderson_statistic", F.when(F.col("sd") > 0, -F.col("n") - F.col("_t") / F.col("n")))
@@ -257,8 +296,8 @@ def qq_points(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
     )
     points = rows.select("value", F.explode(ranks).alias("rank"))
     share = F.when(F.col("rank") == n, 0.5 ** (1.0 / n)).when(F.col("rank") == 1, 1 - 0.5 ** (1.0 / n)).otherwise((F.col("rank") - shift) / (n + extra))
-    return points.select(
-        "rank", norm_ppf(share).alias("theoretical"), F.col("value").alias("ordered"), F.lit(cross / square).alias("slope"), F.lit(sums["mean"]).alias("intercept"),
+    return points.withColumn("_share", share).select(
+        "rank", norm_ppf("_share").alias("theoretical"), F.col("value").alias("ordered"), F.lit(cross / square).alias("slope"), F.lit(sums["mean"]).alias("intercept"),
         F.lit(cross / math.sqrt(square * sums["ssq"]) if sums["ssq"] else None).cast("double").alias("r"),
     )
 
@@ -333,9 +372,9 @@ def residual_diagnostics(pred: DataFrame, keys: Sequence[str], y: str = "y_true"
     """Residual (true - predicted) mean, sd, skewness, kurtosis, A² and Shapiro-Wilk (3 to 5000 rows)."""
     long = pred.select(*keys, (F.col(y) - F.col(p)).alias("value"))
     rows = _ordered(long, keys)
-    z = F.col("centred") / (F.sqrt("var") + 1e-12)
+    rows = rows.withColumn("_z", F.col("centred") / (F.sqrt("var") + 1e-12))
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-12)), F.lit(1 - 1e-12))
-    rows = rows.withColumn("_f", clip(norm_cdf(z)))
+    rows = rows.withColumn("_f", clip(norm_cdf(F.col("_z"))))
     out = rows.groupBy(*keys, "n", "mean", "sd", "g1", "g2").agg(_ad_sum(F.col("_f"), 1 - F.col("_f")).alias("_t"), *_shapiro_aggs())
     out = _corrected(_shapiro_columns(out, alpha))
     sized = (F.col("n") >= 3) & (F.col("n") <= 5000)

@@ -115,7 +115,15 @@ def group_kfold(spark, sf):
     return sp.group_kfold(samples(spark, sf), "grp", 5, mode="snake").groupBy("grp", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("group_kfold_greedy")
+GREEDY = """WITH RECURSIVE {f1}, g AS (SELECT grp, count(*) AS s FROM f1 GROUP BY grp), o AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS i FROM g),
+st(i, loads, s, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], 0::BIGINT, 0::BIGINT UNION ALL
+  SELECT o.i, list_transform(range(1, 6), lambda f: loads[f] + CASE WHEN f = list_position(loads, list_min(loads)) THEN o.s ELSE 0 END), o.s, list_position(loads, list_min(loads)) - 1 FROM st JOIN o ON o.i = st.i + 1),
+n AS (SELECT s, fold, sum(c) OVER (PARTITION BY s ORDER BY fold) AS upto, sum(c) OVER (PARTITION BY s ORDER BY fold) - c AS before_ FROM (SELECT s, fold, count(*) AS c FROM st WHERE i > 0 GROUP BY s, fold)),
+r AS (SELECT grp, s, row_number() OVER (PARTITION BY s ORDER BY {h}) AS rn FROM g)
+SELECT grp, CAST(fold AS INTEGER) AS fold, r.s AS n FROM r JOIN n ON r.s = n.s AND rn > before_ AND rn <= upto"""
+
+
+@query("group_kfold_greedy", GREEDY.format(f1=F1, h=H.format(p="groups", k="grp")))
 def group_kfold_greedy(spark, sf):
     return sp.group_kfold(samples(spark, sf), "grp", 5).groupBy("grp", "fold").agg(F.count(F.lit(1)).alias("n"))
 

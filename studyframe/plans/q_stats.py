@@ -64,42 +64,117 @@ def moments(spark, sf):
     return rd(st.moments(samples(spark, sf), COLS).select("column", "n", "mean", "sd", "skew", "exkurt"), 8)
 
 
-@query("dagostino_k2", f"""WITH {F1}, m AS ({MOM}), a AS (SELECT "column", n::DOUBLE AS n, skew * (n - 2) / sqrt(n::DOUBLE * (n - 1)) AS g1, (exkurt * (n - 2)::DOUBLE * (n - 3) / (n - 1) - 6) / (n + 1) AS g2 FROM m),
+DAGOSTINO = f"""m AS ({MOM}), a AS (SELECT "column", n::DOUBLE AS n, skew * (n - 2) / sqrt(n::DOUBLE * (n - 1)) AS g1, (exkurt * (n - 2)::DOUBLE * (n - 3) / (n - 1) - 6) / (n + 1) AS g2 FROM m),
 b AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS yy, 3 * (n*n + 27*n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta2,
   (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
   6 * (n*n - 5*n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rt FROM a),
 c AS (SELECT *, sqrt(2 * (beta2 - 1)) - 1 AS w2, 6 + 8 / rt * (2 / rt + sqrt(1 + 4 / (rt * rt))) AS aa FROM b),
 d AS (SELECT *, asinh(yy / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 1 + x * sqrt(2 / (aa - 4)) AS dn FROM c),
-e AS (SELECT *, (1 - 2 / (9 * aa) - sign(dn) * pow((1 - 2 / aa) / abs(dn), 1.0::DOUBLE / 3)) / sqrt(2 / (9 * aa)) AS z2 FROM d)
-SELECT "column", n::BIGINT AS n, round(z1*z1 + z2*z2, 3) AS dagostino_k2, round(exp(-(z1*z1 + z2*z2) / 2), 6) AS dagostino_p FROM e""")
+e AS (SELECT *, (1 - 2 / (9 * aa) - sign(dn) * pow((1 - 2 / aa) / abs(dn), 1.0::DOUBLE / 3)) / sqrt(2 / (9 * aa)) AS z2 FROM d)"""
+
+
+@query("dagostino_k2", f"""WITH {F1}, {DAGOSTINO} SELECT "column", n::BIGINT AS n, round(z1*z1 + z2*z2, 3) AS dagostino_k2, round(exp(-(z1*z1 + z2*z2) / 2), 6) AS dagostino_p FROM e""")
 def dagostino_k2(spark, sf):
     out = st.dagostino_k2(st.moments(samples(spark, sf), COLS))
     return out.select("column", "n", F.round("dagostino_k2", 3).alias("dagostino_k2"), F.round("dagostino_p", 6).alias("dagostino_p"))
 
 
-@query("anderson_darling_normal")
+def _phi(z: str) -> str:
+    """SQL of the normal distribution function by its power series: z * (1 + z²/3 * (1 + z²/5 * (...)))."""
+    series = "1"
+    for odd in range(161, 1, -2):
+        series = f"(1 + {z} * {z} / {odd} * {series})"
+    return f"CASE WHEN {z} < -7 THEN 0 WHEN {z} > 7 THEN 1 ELSE 0.5::DOUBLE + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {z} * {series} END"
+
+
+def _scores(source: str, share: str, out: str) -> str:
+    """CTEs that add ``z``, the inverse normal of ``share``: a published rough start, mended by Halley steps."""
+    ctes = [f"{out}_0 AS (SELECT *, {share} AS p_, sqrt(-2 * ln(least({share}, 1 - ({share})))) AS t_ FROM {source})"]
+    ctes.append(f"{out}_1 AS (SELECT * EXCLUDE (t_), sign(p_ - 0.5) * (t_ - (2.515517 + 0.802853 * t_ + 0.010328 * t_ * t_) / (1 + 1.432788 * t_ + 0.189269 * t_ * t_ + 0.001308 * t_ * t_ * t_)) AS x_ FROM {out}_0)")
+    for i in (2, 3, 4):
+        ctes.append(f"{out}_{i}s AS (SELECT *, ({_phi('x_')} - p_) * sqrt(2 * pi()) * exp(x_ * x_ / 2) AS e_ FROM {out}_{i - 1})")
+        ctes.append(f"{out}_{i} AS (SELECT * EXCLUDE (e_) REPLACE (x_ - e_ / (1 + x_ * e_ / 2) AS x_) FROM {out}_{i}s)")
+    return ", ".join(ctes) + f", {out} AS (SELECT * EXCLUDE (p_, x_), x_ AS z FROM {out}_4)"
+
+
+def _ordered_sql(source: str, keys: str) -> str:
+    """CTE ``o``: values v of the source with their place i, n, mean and the deviations."""
+    w = f"PARTITION BY {keys}"
+    return f"""o AS (SELECT *, v - m AS c FROM (SELECT {keys}, v, row_number() OVER ({w} ORDER BY v) AS i, count(*) OVER ({w}) AS n, avg(v) OVER ({w}) AS m,
+      stddev_samp(v) OVER ({w}) AS sd, stddev_pop(v) OVER ({w}) AS sp FROM {source} WHERE v IS NOT NULL))"""
+
+
+def _ad_sql(keys: str, z: str, clip: bool = False) -> str:
+    """CTE ``ad``: A² of the ordered rows."""
+    f, s = _phi("zz"), _phi("(-zz)")
+    if clip:
+        f = f"least(greatest({f}, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)"
+        s = f"(1 - {f})"
+    return f"ad AS (SELECT {keys}, n, -n - sum((2 * i - 1) * ln({f}) + (2 * (n - i) + 1) * ln({s})) / n AS a2 FROM (SELECT *, {z} AS zz FROM o WHERE sd > 0) GROUP BY {keys}, n)"
+
+
+def _shapiro_sql(keys: str) -> str:
+    """CTE ``sw``: Shapiro-Wilk W and p of the ordered rows (12 or more per group)."""
+    return _scores("o", "(i - 0.375::DOUBLE) / (n + 0.25::DOUBLE)", "q") + f""", s1 AS (SELECT {keys}, n, sum(z * z) AS ssm, sum(z * c) AS total, sum(c * c) AS ssq, max(z) AS mn, max(CASE WHEN i = n - 1 THEN z END) AS mn1,
+      max(c) - min(c) AS outer_, max(CASE WHEN i = n - 1 THEN c END) - max(CASE WHEN i = 2 THEN c END) AS inner_, 1 / sqrt(n::DOUBLE) AS u FROM q GROUP BY {keys}, n),
+    s2 AS (SELECT *, mn / sqrt(ssm) + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5 AS an,
+      mn1 / sqrt(ssm) + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5 AS an1 FROM s1),
+    s3 AS (SELECT *, least(1, (an * outer_ + an1 * inner_ + (total - mn * outer_ - mn1 * inner_) / sqrt((ssm - 2 * mn**2 - 2 * mn1**2) / (1 - 2 * an**2 - 2 * an1**2)))**2 / ssq) AS w, ln(n::DOUBLE) AS l FROM s2),
+    s4 AS (SELECT *, (ln(1 - w) - (-1.5861 - 0.31082 * l - 0.083751 * l**2 + 0.0038915 * l**3)) / exp(-0.4803 - 0.082676 * l + 0.0030302 * l**2) AS zz FROM s3),
+    sw AS (SELECT {keys}, n, w, {_phi('(-zz)')} AS p FROM s4)"""
+
+
+LONG = "lg AS (" + _per("SELECT '{c}' AS \"column\", {c} AS v FROM f1") + ")"
+def _critical(n: str = "n") -> str:
+    return f"round(0.787::DOUBLE / (1 + 4.0::DOUBLE / {n} - 25.0::DOUBLE / ({n} * {n})), 3)"
+
+
+NORMAL = "CASE WHEN {} THEN 'Approximately normal' ELSE 'Non-normal' END"
+
+
+@query("anderson_darling_normal", f"""WITH {F1}, {LONG}, {_ordered_sql('lg', '"column"')}, {_ad_sql('"column"', 'c / sd')}
+SELECT "column", n, round(a2, 6) AS anderson_statistic, {_critical()} AS anderson_critical_5pct, {NORMAL.format('a2 < ' + _critical())} AS anderson_decision_5pct FROM ad""")
 def anderson_darling_normal(spark, sf):
     return rd(st.anderson_darling_normal(_long(samples(spark, sf), COLS)))
 
 
-@query("ad_residual")
+RESIDUALS = "rs AS (SELECT target, feature_set, model, part, y_true - y_pred AS v FROM f2)"
+GROUP = "target, feature_set, model, part"
+AD_RESIDUAL = f"{RESIDUALS}, {_ordered_sql('rs', GROUP)}, {_ad_sql(GROUP, 'c / (sp + 1e-12::DOUBLE)', True)}"
+
+
+@query("ad_residual", f"WITH {F2}, {AD_RESIDUAL} SELECT {GROUP}, n, CASE WHEN n >= 5 THEN round(a2, 6) END AS ad_stat FROM ad")
 def ad_residual(spark, sf):
     return rd(st.ad_residual(predictions(spark, sf), [*KEYS, "part"]))
 
 
-@query("shapiro_wilk")
+SHAPIRO = f"""{_ordered_sql('lg', '"column"')}, {_shapiro_sql('"column"')}"""
+SHAPIRO_COLUMNS = f"""round(w, 6) AS shapiro_w, round(p, 6) + 0.0::DOUBLE AS shapiro_p, {NORMAL.format('p >= 0.05')} AS normality_decision_shapiro,
+  CASE WHEN sw.n > 5000 THEN 'For n > 5000 the Shapiro-Wilk p-value may be less accurate.' END AS note"""
+
+
+@query("shapiro_wilk", f"""WITH {F1}, {LONG}, {SHAPIRO} SELECT "column", n, {SHAPIRO_COLUMNS} FROM sw""")
 def shapiro_wilk(spark, sf):
-    return st.shapiro_wilk(_long(samples(spark, sf), COLS))
+    return rd(st.shapiro_wilk(_long(samples(spark, sf), COLS)))
 
 
-@query("normality_table")
+@query("normality_table", f"""WITH {F1}, {LONG}, {DAGOSTINO}, {SHAPIRO}, {_ad_sql('"column"', 'c / sd')}
+SELECT m."column", m.n, round(m.mean, 6) AS mean, round(m.sd, 6) AS std, round(m.skew, 6) + 0.0::DOUBLE AS skewness, round(m.exkurt, 6) + 0.0::DOUBLE AS excess_kurtosis, round(z1*z1 + z2*z2, 3) AS dagostino_k2,
+  round(exp(-(z1*z1 + z2*z2) / 2), 6) AS dagostino_p, round(a2, 6) AS anderson_statistic, {_critical('m.n')} AS anderson_critical_5pct,
+  {NORMAL.format('a2 < ' + _critical('m.n'))} AS anderson_decision_5pct, 0.05::DOUBLE AS alpha, {SHAPIRO_COLUMNS}
+FROM m JOIN e ON e."column" = m."column" JOIN sw ON sw."column" = m."column" JOIN ad ON ad."column" = m."column" """)
 def normality_table(spark, sf):
-    return st.normality_table(samples(spark, sf), COLS)
+    out = st.normality_table(samples(spark, sf), COLS)
+    return rd(out.withColumn("dagostino_k2", F.round("dagostino_k2", 3)))
+
+
+QQ_SHARE = "CASE WHEN i = n THEN 0.5::DOUBLE ** (1.0::DOUBLE / n) WHEN i = 1 THEN 1 - 0.5::DOUBLE ** (1.0::DOUBLE / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END"
 
 
-@query("qq_points")
+@query("qq_points", f"""WITH {F1}, lg AS (SELECT 'y' AS k, y AS v FROM f1), {_ordered_sql('lg', 'k')}, {_scores('o', QQ_SHARE, 'q')}, f AS (SELECT regr_slope(v, z) AS slope, avg(v) AS intercept, corr(v, z) AS r FROM q)
+SELECT i AS rank, round(z, 6) + 0.0::DOUBLE AS theoretical, round(v, 6) AS ordered, round(f.slope, 6) AS slope, round(f.intercept, 6) AS intercept, round(f.r, 6) AS r FROM q, f""")
 def qq_points(spark, sf):
-    return st.qq_points(samples(spark, sf), "y")
+    return rd(st.qq_points(samples(spark, sf), "y"))
 
 
 @query("residual_diagnostics", f"""WITH {F2}, r AS (SELECT target, feature_set, model, part, y_true - y_pred AS e FROM f2)
@@ -110,10 +185,12 @@ def residual_diagnostics(spark, sf):
     return rd(out.select(*KEYS, "part", "n", "residual_bias", "residual_sd", "residual_skewness", "residual_kurtosis"))
 
 
-@query("residual_normality")
+@query("residual_normality", f"""WITH {F2}, {AD_RESIDUAL}, {_shapiro_sql(GROUP)}
+SELECT {GROUP}, n, CASE WHEN n >= 5 THEN round(a2, 6) END AS ad_stat, CASE WHEN n BETWEEN 3 AND 5000 THEN round(w, 6) END AS shapiro_w, CASE WHEN n BETWEEN 3 AND 5000 THEN round(p, 6) + 0.0::DOUBLE END AS shapiro_p
+FROM ad JOIN sw USING ({GROUP}, n)""")
 def residual_normality(spark, sf):
     out = st.residual_diagnostics(predictions(spark, sf), [*KEYS, "part"])
-    return out.select(*KEYS, "part", "n", "ad_stat", "shapiro_w", "shapiro_p")
+    return rd(out.select(*KEYS, "part", "n", "ad_stat", "shapiro_w", "shapiro_p"))
 
 
 MWU_COLS = ["quantity", "discount", "size", "retail"]

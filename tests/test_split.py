@@ -137,3 +137,34 @@ def test_labels_and_modes(spark):
     assert labels.target_mode(df, "c", "continuous-threshold") == "threshold"
     edges = spark.createDataFrame([(0.75,), (1.25,), (0.7,), (1.3,), (None,)], "y double")
     assert [r["label"] for r in labels.class_from_thresholds(edges, "y", 0.75, 1.25).collect()] == [1, 1, 0, 2, None]
+
+
+def test_fill_is_the_greedy_step_by_step():
+    import random
+
+    draw = random.Random(3)
+    for _ in range(200):
+        k, size, groups = draw.randint(2, 6), draw.randint(1, 9), draw.randint(1, 40)
+        start = [draw.randint(0, 60) for _ in range(k)]
+        load, want = list(start), [0] * k
+        for _ in range(groups):
+            fold = min(range(k), key=lambda f: (load[f], f))
+            load[fold], want[fold] = load[fold] + size, want[fold] + 1
+        assert sp._fill(start, size, groups) == want
+    # A hot group beside a billion small ones takes no more steps.
+    assert sum(sp._fill([10**9, 0, 0], 1, 4 * 10**9)) == 4 * 10**9
+
+
+def test_group_folds_follow_the_sizes(spark):
+    """Ties, a hot group, a missing group and texts that look alike; loads are those of the greedy over all groups."""
+    names = [None, "", "a", "A", "a "] + [f"g{i}" for i in range(40)]
+    counts = [700, 3, 3, 3, 3] + [1 + i % 4 for i in range(40)]
+    rows = spark.createDataFrame([(g, j) for g, c in zip(names, counts) for j in range(c)], "grp string, fold_ int")
+    got = sp.group_kfold(rows, "grp", 4).groupBy("grp", "fold").count().collect()
+    assert len(got) == len(names)
+    load = [0] * 4
+    for c in sorted(counts, reverse=True):
+        load[load.index(min(load))] += c
+    assert {f: sum(r["count"] for r in got if r["fold"] == f) for f in range(4)} == dict(enumerate(load))
+    again = sp.group_kfold(rows.repartition(5), "grp", 4).groupBy("grp", "fold").count().collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))

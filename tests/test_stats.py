@@ -190,3 +190,61 @@ def test_histogram_counts_every_row(table):
     assert sum(r["n"] for r in rows) == pdf["c"].count()
     one = quality.histogram(df.withColumn("k", F.lit(5.0)), "k").collect()
     assert len(one) == 1 and one[0]["n"] == len(pdf)
+
+
+def test_normal_expressions(spark):
+    from statistics import NormalDist
+
+    from studyframe.functions import normal
+
+    zs = [0.0, -0.0, 0.3, -0.3, 0.66, 2.0, -2.0, 5.7, -5.7, 12.0, 37.0, 60.0, -60.0, None]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double")
+    for r in rows.select("z", normal.norm_sf(F.col("z")).alias("s"), normal.norm_cdf(F.col("z")).alias("c")).collect():
+        if r["z"] is None:
+            assert r["s"] is None and r["c"] is None
+        elif abs(r["z"]) < 38:
+            assert math.isclose(r["s"], 0.5 * math.erfc(r["z"] / math.sqrt(2)), rel_tol=1e-12)
+            assert math.isclose(r["c"], 0.5 * math.erfc(-r["z"] / math.sqrt(2)), rel_tol=1e-12)
+        else:
+            assert {r["s"], r["c"]} == {0.0, 1.0}
+    ps = [0.0, 1.0, 0.5, 1e-12, 0.02, 0.08, 0.6, 0.99, None, -1.0, 2.0]
+    for r in spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal.norm_ppf("p").alias("z")).collect():
+        if r["p"] is None or not 0 < r["p"] < 1:
+            assert r["z"] is None
+        else:
+            assert math.isclose(r["z"], NormalDist().inv_cdf(r["p"]), rel_tol=1e-12, abs_tol=1e-15)
+
+
+def test_run_score_sums_of_many_runs(monkeypatch):
+    rng = np.random.default_rng(4)
+    cnt = rng.integers(1, 60, 500)
+    cnt[7] = 9_000
+    before = np.cumsum(cnt) - cnt
+    n = np.full(500, int(cnt.sum()))
+    want = [special.normal_score_sum(int(b) + 1, int(b + c), int(n[0]), 0.375, 0.25) for b, c in zip(before, cnt)]
+    for step in (1 << 20, 100):
+        monkeypatch.setattr(special, "STEP_RANKS", step)
+        assert np.allclose(special.run_score_sums(before, cnt, n, 0.375, 0.25), want, rtol=1e-9, atol=1e-9)
+    empty = np.array([], dtype=np.int64)
+    assert len(special.run_score_sums(empty, empty, empty, 0.375, 0.25)) == 0
+
+
+def test_spearman_regroups_the_rows_once(spark):
+    """Gaps, ties, a hot value, doubled rows, a constant and an empty column; both ways to look ranks up agree with pandas."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.normal(size=n).round(1), "c": np.where(rng.random(n) < 0.4, 0.0, rng.normal(size=n))})
+    pdf["d"] = np.where(rng.random(n) < 0.1, np.nan, pdf["a"] + rng.normal(size=n))
+    pdf["k"], pdf["e"] = 1.0, np.nan
+    pdf = pd.concat([pdf, pdf.iloc[:500]], ignore_index=True)
+    df = spark.createDataFrame(pdf).repartition(7)
+    cols = list(pdf.columns)
+    want = pdf.corr(method="spearman")
+    for small_rows in (200_000, 200, 0):
+        out = stats.corr_spearman(df, cols, small_rows=small_rows)
+        for r in out.collect():
+            expected = want.loc[r["a"], r["b"]]
+            if r["r"] is None or math.isnan(expected):
+                assert r["r"] is None and math.isnan(expected), (small_rows, r, expected)
+            else:
+                assert math.isclose(r["r"], expected, abs_tol=1e-9), (small_rows, r)
