@@ -29,11 +29,20 @@ def _matrix(pairs: DataFrame, cols: Sequence[str], diagonal: DataFrame) -> DataF
     return mirrored.unionByName(diagonal.select(F.col("column").alias("a"), F.col("column").alias("b"), "r"))
 
 
+def _varied(value: Column) -> Column:
+    """Whether the values differ; a variance merged from several parts may be a little above zero for equal ones."""
+    return F.min(value) < F.max(value)
+
+
+def _sd(value: Column) -> Column:
+    return F.when(_varied(value), F.stddev_samp(value)).when(F.count(value) > 1, 0.0)
+
+
 def _pair_corr(df: DataFrame, pairs: Sequence[tuple[str, str]], of) -> DataFrame:
     out = None
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         block = pairs[start : start + PAIRS_PER_JOB]
-        row = df.agg(*[F.corr(of(a), of(b)).alias(f"_{i}") for i, (a, b) in enumerate(block)])
+        row = df.agg(*[F.when(_varied(of(a)) & _varied(of(b)), F.corr(of(a), of(b))).alias(f"_{i}") for i, (a, b) in enumerate(block)])
         lines = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(block)]
         part = row.select(F.inline(F.array(*lines)))
         out = part if out is None else out.unionByName(part)
@@ -41,7 +50,7 @@ def _pair_corr(df: DataFrame, pairs: Sequence[tuple[str, str]], of) -> DataFrame
 
 
 def _diagonal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return column_facts(df, {c: {"r": F.when(F.var_pop(_num(df, c)) > 0, 1.0)} for c in cols})
+    return column_facts(df, {c: {"r": F.when(_varied(_num(df, c)), 1.0)} for c in cols})
 
 
 def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -140,7 +149,7 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     facts = {}
     for c in cols:
         v = _num(df, c)
-        facts[c] = {"n": F.count(v), "mean": F.avg(v), "sd": F.stddev_samp(v), "g1": F.skewness(v), "g2": F.kurtosis(v)}
+        facts[c] = {"n": F.count(v), "mean": F.avg(v), "sd": _sd(v), "g1": F.skewness(v), "g2": F.kurtosis(v)}
     return _corrected(column_facts(df, facts))
 
 
@@ -180,7 +189,8 @@ def _ordered(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct values with their places, centred values and the facts of their group."""
     totals = running_totals(long, keys, "value")
     facts = long.where(F.col("value").isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.var_pop("value").alias("var"),
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), _sd(F.col("value")).alias("sd"),
+        F.when(_varied(F.col("value")), F.var_pop("value")).otherwise(0.0).alias("var"),
         F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"),
     )
     return join_small(totals, facts, keys).withColumn("centred", F.col("value") - F.col("mean"))
@@ -202,7 +212,7 @@ def _critical(n: Column) -> Column:
 def anderson_darling_normal(long: DataFrame, keys: Sequence[str] = ("column",)) -> DataFrame:
     """A² against a normal with the sample mean and sd, the 5 % critical value and the decision."""
     rows = _ordered(long, keys).where(F.col("sd") > 0)
-    rows = rows.withColumn("_z", F.col("centred") / F.col("sd"))
+    rows = rows.withColumn("_z", F.when(F.col("sd") > 0, F.col("centred") / F.col("sd")))
     rows = rows.withColumns({"_f": norm_cdf(F.col("_z")), "_s": norm_sf(F.col("_z"))})
     out = rows.groupBy(*keys, "n").agg(_ad_sum(F.col("_f"), F.col("_s")).alias("_t"))
     a2 = -F.col("n") - F.col("_t") / F.col("n")
@@ -259,7 +269,7 @@ def shapiro_wilk(long: DataFrame, keys: Sequence[str] = ("column",), alpha: floa
 def normality_table(df: DataFrame, cols: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """Moments, Shapiro-Wilk, K² and A² of every column, from one ordering of the distinct values."""
     rows = _ordered(_long(df, cols), ["column"])
-    rows = rows.withColumn("_z", F.col("centred") / F.col("sd"))
+    rows = rows.withColumn("_z", F.when(F.col("sd") > 0, F.col("centred") / F.col("sd")))
     rows = rows.withColumns({"_f": norm_cdf(F.col("_z")), "_s": norm_sf(F.col("_z"))})
     out = rows.groupBy("column", "n", "mean", "sd", "g1", "g2").agg(_ad_sum(F.col("_f"), F.col("_s")).alias("_t"), *_shapiro_aggs())
     out = dagostino_k2(_corrected(_shapiro_columns(out, alpha)))

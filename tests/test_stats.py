@@ -248,3 +248,10 @@ def test_spearman_regroups_the_rows_once(spark):
                 assert r["r"] is None and math.isnan(expected), (small_rows, r, expected)
             else:
                 assert math.isclose(r["r"], expected, abs_tol=1e-9), (small_rows, r)
+
+
+def test_a_constant_in_many_parts_has_no_spread(spark):
+    df = spark.range(3500).select(F.lit(1.0).alias("k"), F.col("id").cast("double").alias("v")).repartition(7)
+    assert {(r["a"], r["b"]): r["r"] for r in stats.corr_pearson(df, ["k", "v"]).collect()} == {("k", "k"): None, ("k", "v"): None, ("v", "k"): None, ("v", "v"): 1.0}
+    row = {r["column"]: r for r in stats.normality_table(df, ["k", "v"]).collect()}["k"]
+    assert row["std"] == 0.0 and row["shapiro_w"] is None and row["anderson_statistic"] is None and row["skewness"] is None
