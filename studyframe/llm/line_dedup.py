@@ -88,16 +88,17 @@ class Lines:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line (its position), digest, simhash, chars of every line with LEAST_WORDS words."""
+    """doc_id, text_id (hash of the whole text), line (its position), digest, simhash, chars of every line with LEAST_WORDS words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, bounds in tk.texts(batch.column(1)):
                 x = Lines(data, bounds)
-                ids = batch.column(0).slice(first, last - first).take(pa.array(x.text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(x.number.astype(np.int32)), pa.array(x.digests, pa.binary()), pa.array(x.simhash.view(np.int64)), pa.array((x.end - x.start).astype(np.int64))], ["doc_id", "line", "digest", "simhash", "chars"])
+                ids, texts = (batch.column(c).slice(first, last - first).take(pa.array(x.text)) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(x.number.astype(np.int32)), pa.array(x.digests, pa.binary()), pa.array(x.simhash.view(np.int64)), pa.array((x.end - x.start).astype(np.int64))], ["doc_id", "text_id", "line", "digest", "simhash", "chars"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tk.resting(run), "doc_id long, line int, digest binary, simhash long, chars long")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) text_id")
+    return rows.mapInArrow(tk.resting(run), "doc_id long, text_id long, line int, digest binary, simhash long, chars long")
 
 
 def block_count(n: int) -> int:
@@ -208,10 +209,10 @@ def _line_texts(docs: DataFrame, carriers: Filter) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, task_chars: int = TASK_CHARS) -> DataFrame:
-    """doc_id, line of every line that goes: all of a group of similar lines but the first by (doc_id, line)."""
+    """doc_id, text_id, line of every line that goes: all of a group of similar lines but the first by (doc_id, line, text_id)."""
     lines = kept(line_table(docs))
     classes = kept(
-        lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("simhash").alias("simhash"), F.max("chars").alias("weight"))
+        lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "text_id")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("simhash").alias("simhash"), F.max("chars").alias("weight"))
     )
     hashes = kept(classes.groupBy("simhash").agg(F.count(F.lit(1)).alias("n")))
     groups = connected(similar_simhashes(hashes.select("simhash"), hashes.count()))
@@ -229,8 +230,8 @@ def removed_lines(docs: DataFrame, task_chars: int = TASK_CHARS) -> DataFrame:
     group_first = firsts.groupBy("root").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("n_classes"))
     linked = join_groups(links, group_first, "root", "n_classes", max(1, links.count()), "node").select(F.col("node").alias("digest"), "stays")
     stays = classes.join(linked, "digest", "left").where("n > 1 or stays is not null").select("digest", "n", F.coalesce("stays", "first").alias("stays"))
-    gone = join_groups(lines.select("doc_id", "line", "digest"), kept(stays), "digest", "n", lines.count(), "doc_id")
-    return gone.where("stays is not null and not struct(doc_id, line) <=> stays").select("doc_id", "line").distinct()
+    gone = join_groups(lines.select("doc_id", "text_id", "line", "digest"), kept(stays), "digest", "n", lines.count(), "doc_id")
+    return gone.where("stays is not null and not struct(doc_id, line, text_id) <=> stays").select("doc_id", "text_id", "line").distinct()
 
 
 @F.pandas_udf(StringType())
@@ -249,12 +250,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Lines with fewer than LEAST_WORDS words stay, null text stays null and an empty one empty; a text that loses
     every line becomes empty. Of occurrences in the same group the one with the smallest (doc_id, line) stays,
-    rows without id first. Rows that repeat an id share their decisions: a line goes from all of them or none.
+    rows without id first; among rows with the same id, that whose text has the smaller hash. Rows with the same id
+    and text share their decisions: a line goes from all of them or none.
     Linked are lines whose SimHashes differ in DISTANCE bits at most and whose edit similarity, 1 - Levenshtein
     distance / longer length, is SIMILAR or more. A column n_removed of docs is replaced.
     """
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))
-    out = packed(docs).join(gone, F.col("_key").eqNullSafe(F.col("doc_id")), "left").withColumn("_text", _without(F.col("_row")["text"].cast("string"), F.col("_gone")))
+    gone = removed_lines(docs).groupBy("doc_id", "text_id").agg(F.collect_list("line").alias("_gone"))
+    rows = packed(docs).withColumn("_text_key", F.xxhash64(F.col("_row")["text"].cast("string")))
+    same = F.col("_key").eqNullSafe(F.col("doc_id")) & (F.col("_text_key") == F.col("text_id"))
+    out = rows.join(gone, same, "left").withColumn("_text", _without(F.col("_row")["text"].cast("string"), F.col("_gone")))
     out = out.withColumn("_n", F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)))
     columns = [c for c in docs.columns if c != "n_removed"]
     return unpacked(out, [*columns, "n_removed"], text=F.col("_text"), n_removed=F.col("_n"))

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from text_samples import TEXTS, documents
+from text_samples import TEXTS, clashing, documents
 
 from studyframe.llm import line_dedup as ld
 from studyframe.llm import ngram_join as nj
@@ -145,15 +145,16 @@ def test_bounded_edit_distance():
         assert ld.distance_within(a, b, m) == (lev(a, b) <= m), (a, b, m)
 
 
-def brute_lines(rows):
+def brute_lines(rows, spark):
     """Rows with their texts after removal, by all pairs of distinct lines."""
     import pyarrow as pa
 
     from studyframe.llm import textkernel as tk
 
     first, hashes = {}, {}
-    order = sorted((((r[0] is not None, r[0] or 0), n, line) for r in rows for n, line in enumerate((r[1] or "").split("\n"))), key=lambda x: x[:2])
-    lines = [(i, n, ld.normalise(line.encode())) for i, n, line in order if len(WORD.findall(line)) >= ld.LEAST_WORDS]
+    named = {r["text"]: r["h"] for r in documents(spark, rows).selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted((((r[0] is not None, r[0] or 0), n, named[r[1]], line) for r in rows for n, line in enumerate((r[1] or "").split("\n"))), key=lambda x: x[:3])
+    lines = [(i, (n, h), ld.normalise(line.encode())) for i, n, h, line in order if len(WORD.findall(line)) >= ld.LEAST_WORDS]
     distinct = list(dict.fromkeys(x for *_, x in lines))
     for line in distinct:
         for *_, data, bounds in tk.texts(pa.array([line.decode()])):
@@ -171,7 +172,7 @@ def brute_lines(rows):
     out = Counter()
     for i, t, _ in rows:
         key = (i is not None, i or 0)
-        kept = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (key, n) not in gone)
+        kept = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (key, (n, named[t])) not in gone)
         out[i, kept] += 1
     return out, len(links)
 
@@ -189,7 +190,7 @@ def test_line_dedup_against_all_pairs(spark, docs, empty):
                 words[k] = words[k][:-1] + random.choice("0x")
             lines.append(random.choice((" ", "  ")).join(words))
         rows.append((i, "\n".join([*lines, "short one", ""]), "s"))
-    want, links = brute_lines(rows)
+    want, links = brute_lines(rows, spark)
     assert links > 5
     for chars in (ld.TASK_CHARS, 300):  # the latter cuts groups into parts
         gone = ld.removed_lines(documents(spark, rows), task_chars=chars)
@@ -197,10 +198,21 @@ def test_line_dedup_against_all_pairs(spark, docs, empty):
     got = Counter((r["doc_id"], r["text"]) for r in ld.dedup_lines(documents(spark, rows)).collect())
     assert got == want
     short = [r for r in TEXTS if len(r[1] or "") < 10_000]
-    assert Counter((r["doc_id"], r["text"]) for r in ld.dedup_lines(docs.where("text is null or length(text) < 10000")).collect()) == brute_lines(short)[0]
+    assert Counter((r["doc_id"], r["text"]) for r in ld.dedup_lines(docs.where("text is null or length(text) < 10000")).collect()) == brute_lines(short, spark)[0]
     assert ld.dedup_lines(empty).count() == 0
 
 
 def test_more_hashes_take_longer_keys():
     assert ld.block_count(10) == ld.DISTANCE + 2
     assert ld.block_count(10**9) > ld.block_count(10**6)
+
+
+def test_lines_of_repeated_ids(spark):
+    """Rows that share an id, or have none, keep their own lines; doubled rows share decisions; long lines count whole."""
+    same, one, two = "the same line stands here twice", "unique words stand in this line", "nothing else is like these words"
+    long = "x" * 12_000 + " and two more words"
+    rows = [(3, same, "s"), (7, f"{same}\n{one}", "s"), (7, f"{two}\n{same}", "s"), (None, f"{one} but other\n{two}", "s"), (None, long, "s"), (None, "null ids are\nmany rows each", "s")]
+    rows += [(8, f"{long}\na line of its own", "s")] * 2
+    got = Counter((r["doc_id"], r["text"]) for r in ld.dedup_lines(clashing(documents(spark, rows))).collect())
+    want = Counter({(3, same): 1, (7, one): 1, (7, ""): 1, (None, f"{one} but other\n{two}"): 1, (None, long): 1, (None, "null ids are\nmany rows each"): 1, (8, "a line of its own"): 2})
+    assert got == want and got == brute_lines(rows, spark)[0]
