@@ -42,6 +42,17 @@ NO_ARTICLE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments respond replies cookie cookies consent gdpr notice popup modal newsletter subscribe signup "
     "menu nav navbar navigation footer sidebar side widget related recommended share sharing social sponsor sponsored promo promotion masthead pagination pager tags skip".split()
 )
+#: Names that tell a role as a part of any name outside of articles: acme-sidebar, footer-copyright. The others are words
+#: of many meanings (share-price, ad-hoc) and count alone or beside COMPANIONS.
+SURE_NAMES = frozenset(
+    "advert adverts advertisement banner breadcrumb breadcrumbs cookie cookies consent gdpr popup modal newsletter subscribe signup nav navbar navigation footer sidebar widget "
+    "sponsored masthead pagination pager".split()
+)
+COMPANIONS = frozenset(
+    "site page main top bottom left right primary secondary global inner outer wrapper wrap container box block slot unit section area list bar links link items item form field "
+    "buttons button icons icon post posts article articles story stories header content body col column row mobile desktop sticky fixed floating overlay policy text title heading "
+    "count thread cloud to".split()
+)
 #: Parts of a name that speak of another element, or of none: has-sidebar, no-comments.
 NO_ROLE = frozenset("has with without no not non is layout hide hidden".split())
 #: Roles that are often most of a page's text.
@@ -55,12 +66,20 @@ _XMP_END = re.compile(r"</xmp(?:\s[^>]*|/)?(?:>|\Z)", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def roles_of(called: str) -> frozenset[str]:
-    """The NO_ARTICLE_NAMES among class names and id, or among their parts: sidebar, site-footer, but not has-sidebar."""
-    if not called:
-        return frozenset()
-    parts = [re.split("[-_]+", name) for name in called.split()]
-    return frozenset(p for own in parts if NO_ROLE.isdisjoint(own) for p in own if p in NO_ARTICLE_NAMES)
+def roles_of(called: str, article: bool = False) -> frozenset[str]:
+    """The NO_ARTICLE_NAMES that class names and id consist of: sidebar, site-footer, but not has-sidebar or share-price.
+
+    Outside of articles SURE_NAMES count as parts of other names too.
+    """
+    found: set[str] = set()
+    for name in called.split():
+        parts = {p for p in re.split("[-_]+", name) if p}
+        if own := parts & NO_ARTICLE_NAMES:
+            if parts <= NO_ARTICLE_NAMES | COMPANIONS:
+                found |= own
+            elif not article and NO_ROLE.isdisjoint(parts):
+                found |= own & SURE_NAMES
+    return frozenset(found)
 
 
 class Page:
@@ -199,8 +218,8 @@ class Page:
         _, path, cut, article, children = self.stack[-1]
         role = names.get("role", "")
         no_article = tag in NO_ARTICLE or role in NO_ARTICLE_ROLES
-        named = roles_of(called)
-        if tag == "header" and article and not called and not role:
+        named = roles_of(called, article)
+        if tag == "header" and article and not named and not role and "site" not in re.split(r"[-_\s]+", called):
             no_article = False  # the heading of an article
         if tag in ("body", "html", "main"):
             no_article, named = False, frozenset()

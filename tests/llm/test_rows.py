@@ -167,6 +167,12 @@ def test_main_text(html, text):
         (page("<nav class='sidebar'><article>a long menu</article></nav><p>x</p>"), "x"),
         (page("<article><p>as <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> says</p><xmp>if a < b: <b> &amp;</xmp><p>z <object data=x><param name=y>in its place</object></p></article>"), "as E=m says\nif a < b: <b> &amp;\nz in its place"),
         ("<p>a</p><xmp>no end <p>", "a\nno end <p>"),
+        (page("<article><p>a</p><div class='side-by-side'><p>Compared side by side.</p></div><p class='share-price'>The share price.</p></article>"), "a\nCompared side by side.\nThe share price."),
+        (page("<p class='ad-hoc'>An ad-hoc query is one.</p><p>b</p>"), "An ad-hoc query is one.\nb"),
+        (page("<article><header class='entry-header'><h1>Title</h1></header><p>a</p></article>"), "Title\na"),
+        (page("<main><header class='site-header'>Our site</header><p>a</p></main><header class='entry-header'>x</header>"), "a"),
+        (page("<article><p>a long text</p><div class='share-buttons'>s</div><div class='post-tags'>t</div><div id='ad_slot'>ad</div><p class='cookie-recipe'>Bake it.</p></article>"), "a long text\nBake it."),
+        (page("<div class='acme-sidebar'>s</div><p>a long text</p><p>b</p><div class='footer-copyright'>c</div>"), "a long text\nb"),
     ],
 )
 def test_names_do_not_cut_the_article(html, text):
