@@ -1,18 +1,16 @@
-"""Model registry: study model names to Spark ML estimators, and exact nearest neighbours."""
+"""Model registry: study model names to Spark ML estimators; nearest neighbours come from ``neighbors``."""
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml import classification as C, regression as R
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from studyframe.functions.columns import join_small
+from studyframe.operators.neighbors import knn_predict  # noqa: F401
 
 
 def _depth(value) -> int:
@@ -138,72 +136,3 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     k, n = F.count(F.lit(1)).over(everything), F.sum("_c").over(everything)
     weights = sizes.select(label, (n / (k * F.col("_c"))).alias(out))
     return join_small(df, weights, [label])
-
-
-# ------------------------------------------------------------------ nearest neighbours
-
-# Rows of one side of a block comparison.
-TILE_ROWS = 4_000
-
-
-def knn_predict(
-    train: DataFrame, query: DataFrame, features: str, key: str, label: str, k: int = 5, weights: str = "uniform", p: int = 2,
-    task: str = "classification", exclude_self: bool = False, tile_rows: int = TILE_ROWS,
-) -> DataFrame:
-    """Exact k nearest neighbours: ``key, prediction``.
-
-    Both tables are cut into blocks by a hash of their key. A task holds one query block and one train
-    block and writes at most k candidates per query, never all pairs; the best k of a query's candidates
-    are then chosen. Ties in distance are broken by the train key, ties in votes by the smaller label.
-    """
-    blocks = lambda df: max(1, math.ceil(df.count() / tile_rows))
-    nt, nq = blocks(train), blocks(query)
-    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    t = train.select(F.col(key).alias("tkey"), F.col(features).alias("tvec"), F.col(label).cast("double").alias("tlabel"), block(nt).alias("_t"), spread(nq).alias("_q"))
-    q = query.select(F.col(key).alias("qkey"), F.col(features).alias("qvec"), block(nq).alias("_q"), spread(nt).alias("_t"))
-    schema = T.StructType(
-        [T.StructField("qkey", query.schema[key].dataType), T.StructField("tkey", train.schema[key].dataType), T.StructField("tlabel", T.DoubleType()), T.StructField("dist", T.DoubleType())]
-    )
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qkey": [], "tkey": [], "tlabel": [], "dist": []})
-        if a.empty or b.empty:
-            return empty
-        b = b.sort_values("tkey", kind="stable")
-        x = np.stack([np.asarray(v, dtype=float) for v in a["qvec"]])
-        z = np.stack([np.asarray(v, dtype=float) for v in b["tvec"]])
-        tkeys, tlabels, qkeys = b["tkey"].to_numpy(), b["tlabel"].to_numpy(), a["qkey"].to_numpy()
-        step = max(1, 4_000_000 // max(1, z.size))
-        found = []
-        for start in range(0, len(x), step):
-            part = x[start : start + step]
-            gap = part[:, None, :] - z[None, :, :]
-            dist = np.sqrt((gap * gap).sum(axis=2)) if p == 2 else np.abs(gap).sum(axis=2)
-            if exclude_self:
-                dist[qkeys[start : start + step][:, None] == tkeys[None, :]] = np.inf
-            first = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            rows = np.arange(len(part))[:, None]
-            near = dist[rows, first]
-            found.append(pd.DataFrame({
-                "qkey": np.repeat(qkeys[start : start + step], first.shape[1]), "tkey": tkeys[first].ravel(), "tlabel": tlabels[first].ravel(), "dist": near.ravel(),
-            }))
-        out = pd.concat(found)
-        return out[np.isfinite(out["dist"])]
-
-    pairs = q.groupBy("_q", "_t").cogroup(t.groupBy("_q", "_t")).applyInPandas(nearest, schema)
-    place = F.row_number().over(W.partitionBy("qkey").orderBy("dist", "tkey"))
-    best = pairs.withColumn("_place", place).where(F.col("_place") <= k)
-    if weights == "distance":
-        # A neighbour at distance zero outweighs all others.
-        exact = F.max((F.col("dist") == 0).cast("int")).over(W.partitionBy("qkey"))
-        weight = F.when(exact == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
-    else:
-        weight = F.lit(1.0)
-    best = best.withColumn("_w", weight)
-    if task == "regression":
-        out = best.groupBy("qkey").agg((F.sum(F.col("_w") * F.col("tlabel")) / F.sum("_w")).alias("prediction"))
-    else:
-        votes = best.groupBy("qkey", "tlabel").agg(F.sum("_w").alias("_v"))
-        out = votes.groupBy("qkey").agg(F.min_by("tlabel", F.struct(-F.round("_v", 12), F.col("tlabel"))).alias("prediction"))
-    return out.withColumnRenamed("qkey", key)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from studyframe.functions.columns import draw32, round_doubles as rd, steady
-from studyframe.operators import cv, fit as ft, nested, prep, split as sp
+from studyframe.operators import cv, fit as ft, neighbors as nb, nested, prep, split as sp
 from studyframe.operators.labels import class_from_thresholds, encode_labels
 from studyframe.operators.metrics import regression_metrics
 from studyframe.plans.fixtures import F1, FEATURES, samples
@@ -241,6 +241,36 @@ def knn_regress_l1(spark, sf):
     return rd(ft.knn_predict(rows, rows, "e", "vec_id", "label", 5, p=1, task="regression", exclude_self=True))
 
 
+KNN_K = 5
+
+
+@query("knn_neighbors", KNN.replace("b.label, {dist} AS d", "b.vec_id AS neighbor, {dist} AS d").format(dist=L2) + " SELECT vec_id, neighbor, rn AS place, round(d, 6) AS dist FROM n")
+def knn_neighbors(spark, sf):
+    """The neighbours themselves, in order."""
+    rows = _vectors(spark, sf)
+    found = nb.PivotSearch(rows, "e", "vec_id", "label", KNN_K, exclude_self=True).neighbors(rows)
+    place = F.row_number().over(W.partitionBy("qkey").orderBy("dist", "tkey"))
+    return rd(found.select(F.col("qkey").alias("vec_id"), F.col("tkey").alias("neighbor"), place.alias("place"), "dist"))
+
+
+@query("knn_visits")
+def knn_visits(spark, sf):
+    """What exact search compares: per query the train vectors met, next to all of them."""
+    rows = _vectors(spark, sf)
+    cells = nb.PivotSearch(rows, "e", "vec_id", "label", KNN_K, exclude_self=True).visits(rows)
+    met = (F.col("n_home") + F.col("n_far")) * F.col("n_train")
+    share = F.sum(met) / (F.sum("n_train") * rows.count())
+    return rd(cells.agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n_train").alias("n_train"), F.sum(met).alias("n_compared"), share.alias("share")))
+
+
+@query("knn_recall")
+def knn_recall(spark, sf):
+    """Neighbours that the approximate search finds, of all exact ones."""
+    rows = _vectors(spark, sf)
+    exact = nb.PivotSearch(rows, "e", "vec_id", "label", KNN_K, exclude_self=True).neighbors(rows)
+    return rd(nb.recall_of(nb.nearest_approximate(rows, rows, "e", "vec_id", "label", KNN_K, exclude_self=True, bucket_rows=128), exact))
+
+
 # ------------------------------------------------------------------ search and cross-validation
 
 GRID = {"max_depth": [2, 4], "min_samples_leaf": [1, "20"], "_cv_": 3}
