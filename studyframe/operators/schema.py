@@ -206,33 +206,57 @@ def normalize_leaderboard(lb: DataFrame, task: str) -> DataFrame:
     return out
 
 
-# Names under which an importance may be stored, best first.
-IMPORTANCE_NAMES = [
-    "mean_importance", "importance_mean", "permutation_importance", "importance", "sensitivity", "mean_decrease", "score",
-]
+# Names under which the columns of an importance table may be stored, best first.
+IMPORTANCE_COLUMNS = {
+    "feature": ["feature", "features", "feature_name", "variable", "predictor", "input_feature", "column"],
+    "mean_importance": [
+        "mean_importance", "importance_mean", "mean_permutation_importance", "permutation_importance_mean", "mean_importance_score",
+        "permutation_importance", "importance", "sensitivity", "mean_decrease", "score", "mean_score",
+    ],
+    "importance_std": [
+        "importance_std", "std", "sd", "importance_sd", "importance_stddev", "std_importance", "permutation_importance_std", "standard_deviation",
+    ],
+    "relative_contribution_pct": [
+        "relative_contribution_pct", "relative_importance", "relative_contribution", "relative_contribution_percent",
+        "relative_contribution_percentage", "relative_importance_percent", "contribution_pct", "contribution_percent",
+    ],
+}
 
 
 def normalize_importances(df: DataFrame, source: Sequence[str] = ("file",)) -> DataFrame:
-    """snake_case names, one ``mean_importance`` column, fractions of a source file scaled to percent."""
+    """snake_case names and the columns of IMPORTANCE_COLUMNS, whatever each source file calls them.
+
+    ``importance_pct`` scales a file of fractions to percent, as does ``relative_contribution_pct`` where a file
+    has it; elsewhere that is the share of the positive importances of the file, or of the absolute ones if none
+    is positive. ``importance_rank_within_model`` is dense, the largest first; rows without a number have none.
+    """
     import re
 
+    from studyframe.operators.aggregates import contribution
+
     def snake(name: str) -> str:
         return re.sub(r"[^a-z0-9]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip()).lower()).strip("_")
 
     out = df.toDF(*[snake(c) for c in df.columns])
     source = [snake(c) for c in source]
-    found = next((c for c in IMPORTANCE_NAMES if c in out.columns), None)
-    if found is None:
+    have = {name: [a for a in aliases if a in out.columns and a not in source] for name, aliases in IMPORTANCE_COLUMNS.items()}
+    if not have["mean_importance"]:
         raise ValueError("no importance column")
-    if "feature" not in out.columns:
-        other = next((c for c in ("variable", "predictor", "feature_name", "column") if c in out.columns), None)
-        if other is None:
-            raise ValueError("no feature column")
-        out = out.withColumnRenamed(other, "feature")
-    value = _num(out, found)
-    out = out.withColumn("mean_importance", value)
-    top = F.max(F.abs("mean_importance")).over(W.partitionBy(*source))
-    return out.withColumn("importance_pct", F.when(top <= 1.0, F.col("mean_importance") * 100.0).otherwise(F.col("mean_importance")))
+    if not have["feature"]:
+        raise ValueError("no feature column")
+    # Files differ, and a row has a value under the names of its own file only.
+    number = lambda name: F.coalesce(*[_num(out, a) for a in have[name]], F.lit(None).cast("double"))
+    out = out.withColumns({"feature": F.coalesce(*[F.col(a) for a in have["feature"]]), **{c: number(c) for c in IMPORTANCE_COLUMNS if c != "feature"}})
+    file, value, share = W.partitionBy(*source), F.col("mean_importance"), F.col("relative_contribution_pct")
+    percent = lambda c: F.when(F.max(F.abs(c)).over(file) <= 1.0, c * 100.0).otherwise(c)
+    rank = F.dense_rank().over(file.orderBy(value.desc_nulls_last()))
+    return out.withColumns(
+        {
+            "importance_pct": percent(value),
+            "relative_contribution_pct": F.when(F.max(share).over(file).isNull(), contribution(value, source)).otherwise(percent(share)),
+            "importance_rank_within_model": F.when(value.isNotNull(), rank).cast("long"),
+        }
+    )
 
 
 def flatten_results(df: DataFrame, parts: Sequence[str] = ("validation", "test"), prefixes: Sequence[str] = ("val_", "test_")) -> DataFrame:

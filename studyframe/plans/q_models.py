@@ -250,7 +250,7 @@ def knn_neighbors(spark, sf):
     rows = _vectors(spark, sf)
     found = nb.PivotSearch(rows, "e", "vec_id", "label", KNN_K, exclude_self=True).neighbors(rows)
     place = F.row_number().over(W.partitionBy("qkey").orderBy("dist", "tkey"))
-    return rd(found.select(F.col("qkey").alias("vec_id"), F.col("tkey").alias("neighbor"), place.alias("place"), "dist"))
+    return rd(found.select(F.col("qkey").alias("vec_id"), F.col("tkey").alias("neighbor"), place.cast("long").alias("place"), "dist"))
 
 
 @query("knn_visits")

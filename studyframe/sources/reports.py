@@ -2,37 +2,54 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from studyframe.functions.columns import join_small
 from studyframe.operators.schema import normalize_importances
 from studyframe.sources.delimited import clean_header
 
-MAX_FILES = 100_000
+#: Different header lines of one collection; each is a layout that the driver has to know, however many files share it.
+MAX_LAYOUTS = 1_000
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return found
+def _names(head: str) -> list[str]:
+    """Clean column names of a header line; unnamed and repeated ones get their place."""
+    found = [clean_header(c) or f"_c{i}" for i, c in enumerate(next(csv.reader([head]), []))]
+    seen = [c.lower() for c in found]
+    return [f"{c}{i}" if seen.count(c.lower()) > 1 else c for i, c in enumerate(found)]
 
 
 def _read_all(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:
-    """Rows of all files, with ``_path``. Files that share a header are read by one scan."""
-    head = F.substring_index(F.decode("content", "UTF-8"), "\n", 1)
-    listed = _files(spark, path, pattern).select("path", head.alias("head")).limit(MAX_FILES + 1).collect()
-    if len(listed) > MAX_FILES:
-        raise ValueError(f"more than {MAX_FILES} report files under {path}")
-    groups: dict[str, list[str]] = {}
-    for row in listed:
-        groups.setdefault(row["head"], []).append(row["path"])
-    out = None
-    for paths in groups.values():
-        frame = spark.read.option("header", True).csv(sorted(paths))
-        frame = frame.withColumn("_path", F.col("_metadata.file_path"))
-        frame = frame.toDF(*[clean_header(c) for c in frame.columns])
-        out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
-    return out
+    """Rows of all files, with ``_path``; a column that a file lacks is null there.
+
+    Files are read line by line, in splits, and the list of files stays on the executors. A file's header is its
+    first line that is not blank; lines equal to it are no rows. Lines are parsed once, into as many fields as the
+    widest header has, and a field is named by the header of its file.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_no"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    lines = lines.where(F.trim("value") != "")
+    heads = lines.groupBy("_path").agg(F.min_by("value", F.struct("_start", "_no")).alias("_head"))
+    known = heads.select("_head").distinct().limit(MAX_LAYOUTS + 1).collect()
+    if not known:
+        return None
+    if len(known) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different headers under {path}")
+    layouts = {r["_head"]: _names(r["_head"]) for r in known}
+    width = max(len(names) for names in layouts.values())
+    table = spark.createDataFrame([(head, [c.lower() for c in names]) for head, names in layouts.items()], "_head string, _names array<string>")
+    rows = join_small(lines, heads, ["_path"]).where(F.col("value") != F.col("_head")).join(F.broadcast(table), "_head")
+    fields = F.from_csv("value", ", ".join(f"_{i} string" for i in range(width)))
+    rows = rows.select("_path", "_names", F.array(*[fields[f"_{i}"] for i in range(width)]).alias("_fields"))
+    columns: dict[str, str] = {}
+    for head in sorted(layouts):
+        for name in layouts[head]:
+            columns.setdefault(name.lower(), name)
+    # get() beyond the header, at place -1, is null
+    return rows.select("_path", *[F.get("_fields", F.array_position("_names", low) - 1).alias(name) for low, name in columns.items()])
 
 
 def _part(path: Column, back: int) -> Column:

@@ -72,3 +72,27 @@ def test_late_rows_are_dropped(spark):
     got = sorted((r["window_start"].hour, r["n"], r["neg"]) for r in out.collect())
     # The row at minute 10 came after its window was closed.
     assert got == [(0, 2, 1), (5, 2, 1)]
+
+
+def test_report_lines_of_many_layouts(spark, tmp_path):
+    write(f"{tmp_path}/r/fs1/A_nested_cv_folds.csv", '\n﻿"fold", Outer_R2 \r\n0,"1,5"\r\n1\r\n2,3,surplus\r\n\r\n"fold", Outer_R2 \r\n')
+    write(f"{tmp_path}/r/fs1/B_nested_cv_folds.csv", "outer_r2,x,x,\n9,a,b,c\n")
+    write(f"{tmp_path}/r/fs2/C_nested_cv_folds.csv", "fold,outer_r2\n")
+    write(f"{tmp_path}/r/fs2/D_nested_cv_folds.csv", "")
+    write(f"{tmp_path}/r/fs2/other.csv", "fold\n7\n")
+    many = "".join(f"{i},{i}.5\n" for i in range(2000))
+    write(f"{tmp_path}/r/fs3/E_nested_cv_folds.csv", "outer_r2,fold\n" + many)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        table = reports.collect_reports(spark, str(tmp_path / "r"))
+        rows = table.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    small = sorted((r["Model"], r["Feature_Set"], r["fold"], r["Outer_R2"], r["x1"], r["x2"], r["_c3"]) for r in rows if r["Model"] != "E")
+    assert [tuple(v or "-" for v in r) for r in sorted(map(lambda r: tuple(v or "" for v in r), small))] == [
+        ("A", "fs1", "0", "1,5", "-", "-", "-"), ("A", "fs1", "1", "-", "-", "-", "-"), ("A", "fs1", "2", "3", "-", "-", "-"), ("B", "fs1", "-", "9", "a", "b", "c"),
+    ]
+    assert {(r["Outer_R2"], r["fold"]) for r in rows if r["Model"] == "E"} == {(str(i), f"{i}.5") for i in range(2000)}
+    with pytest.raises(FileNotFoundError):
+        reports.collect_reports(spark, str(tmp_path / "r"), "*.none")

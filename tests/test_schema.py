@@ -57,6 +57,16 @@ def test_importance_names(spark):
     assert got == [20.0, -50.0, 30.0]
 
 
+def test_importances_of_files_with_other_names(spark):
+    rows = [("f1", "a", 0.3, None, "0.25", None, None), ("f1", "b", -0.5, None, "0.75", None, None), ("f2", None, None, "5", None, "c", "0.1"), ("f2", None, None, "15", None, "d", "x"), ("f2", None, None, "15", None, "e", None)]
+    df = spark.createDataFrame(rows, "file string, Variable string, MeanImportance double, importance string, `Contribution %` string, feature_name string, sd string")
+    df = df.withColumnRenamed("Contribution %", "Relative Contribution")
+    got = {r["feature"]: (r["mean_importance"], r["importance_std"], round(r["relative_contribution_pct"], 4), r["importance_rank_within_model"]) for r in sc.normalize_importances(df).collect()}
+    assert got == {"a": (0.3, None, 25.0, 1), "b": (-0.5, None, 75.0, 2), "c": (5.0, 0.1, 14.2857, 2), "d": (15.0, None, 42.8571, 1), "e": (15.0, None, 42.8571, 1)}
+    with pytest.raises(ValueError, match="no feature"):
+        sc.normalize_importances(df.select("file", "importance"))
+
+
 def test_quality_of_a_tiny_table(spark):
     df = spark.createDataFrame([(1, -1.0, 5.0), (2, 2.0, 101.0), (3, None, 5.0), (4, 2.0, 101.0)], "id int, a double, rate double")
     checks = {r["rule"]: r for r in quality.constraint_checks(df, ["a", "rate"], "id").collect()}
