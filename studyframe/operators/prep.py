@@ -1,7 +1,8 @@
 """Preprocessing stages. Each is fitted by aggregations and becomes a SQL projection.
 
-The fitted form of every stage is a ``SQLTransformer``: it runs inside the JVM with the rest of the
-plan, has no Python at scoring time, and is saved and loaded with the pipeline like any built-in stage.
+The fitted form of every stage is a ``SQLTransformer``, for quantiles with isotonic models beside it: it runs
+inside the JVM with the rest of the plan, has no Python at scoring time, and is saved and loaded with the
+pipeline like any built-in stage.
 """
 
 from __future__ import annotations
@@ -9,9 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations, combinations_with_replacement
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from studyframe.functions.normal import inverse_normal_sql
@@ -176,41 +180,62 @@ class PowerTransform(_SqlStage):
         return _replace({c: f"(({e}) - {_lit(row[f'avg{j}'])}) / {_lit(row[f'stddev_pop{j}'] or 1.0)}" for j, (c, e) in enumerate(shaped.items())})
 
 
+def _share_points(knots: Sequence[float]) -> list[tuple[float, float]]:
+    """Points (value, share) of the piecewise linear map through sorted knots.
+
+    A value that several knots share maps to the middle of their shares, values right beside it to the first and
+    the last; the smallest knot is 0 and the largest 1.
+    """
+    last = max(1, len(knots) - 1)
+    ties: dict[float, list[int]] = {}
+    for i, v in enumerate(knots):
+        ties.setdefault(v + 0.0, []).append(i)
+    points = {v: (at[0] + at[-1]) / 2 / last for v, at in ties.items()}
+    points[max(points)], points[min(points)] = 1.0, 0.0
+    for v, at in ties.items():
+        if len(at) > 1:
+            if at[0] > 0:
+                points.setdefault(math.nextafter(v, -math.inf), at[0] / last)
+            if at[-1] < last or len(ties) == 1:
+                points.setdefault(math.nextafter(v, math.inf), at[-1] / last)
+    return sorted(points.items())
+
+
 class QuantileTransform(_SqlStage):
-    """Values to their place between stored quantiles (uniform), optionally on to normal scores."""
+    """Values to their place between stored quantiles (uniform), optionally on to normal scores.
+
+    The knots of a column are the boundaries of an isotonic model, which finds a value's stretch by binary search
+    and interpolates; the SQL around it does not grow with them. A column without a number stays null.
+    """
 
-    def __init__(self, cols: Sequence[str], normal: bool = False, knots: int = 1000):
+    def __init__(self, cols: Sequence[str], normal: bool = False, knots: int = 1000, parallelism: int = 8):
         super().__init__(cols)
-        self.normal, self.knots = normal, knots
+        self.normal, self.knots, self.parallelism = normal, knots, parallelism
 
-    def _fit(self, df: DataFrame) -> SQLTransformer:
+    def _fit(self, df: DataFrame) -> PipelineModel:
         m = max(2, min(self.knots, df.limit(self.knots).count()))
         found = _quantiles(df, self.cols, [i / (m - 1) for i in range(m)])
-        exprs = {}
-        step = max(2, math.isqrt(m))
-        for c in self.cols:
-            table = "array(" + ", ".join(f"{v!r}D" for v in found[c]) + ")"
-            marks = "array(" + ", ".join(f"{v!r}D" for v in found[c][step - 1 :: step]) + ")"
-            x = f"CAST({_q(c)} AS DOUBLE)"
-
-            def place(op: str) -> str:
-                """Number of knots k with ``k op x``: coarse marks first, then one stretch of knots."""
-                skip = f"size(filter({marks}, k -> k {op} {x})) * {step}"
-                return f"({skip} + size(filter(slice({table}, {skip} + 1, {step}), k -> k {op} {x})))"
-
-            at, below = place("<="), place("<")
-            low, high = f"get({table}, {at} - 1)", f"get({table}, {at})"
-            share = (
-                f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {_lit(found[c][0])} THEN 0D WHEN {x} >= {_lit(found[c][-1])} THEN 1D "
-                f"WHEN {at} > {below} THEN ({below} + {at} - 1) / 2D / {m - 1} ELSE ({at} - 1 + ({x} - {low}) / ({high} - {low})) / {m - 1} END"
-            )
-            exprs[c] = share
-        if not self.normal:
-            return _replace(exprs)
-        inner = ", ".join(f"greatest(1e-7D, least(1 - 1e-7D, {e})) AS {_q('_p_' + c)}" for c, e in exprs.items())
-        outer = ", ".join(f"{inverse_normal_sql(_q('_p_' + c))} AS {_q(c)}" for c in exprs)
-        drop = ", ".join([_q(c) for c in exprs] + [_q("_p_" + c) for c in exprs])
-        return SQLTransformer(statement=f"SELECT * EXCEPT ({drop}), {outer} FROM (SELECT *, {inner} FROM __THIS__)")
+        raw, share = (lambda i: f"_value_{i}"), (lambda i: f"_share_{i}")
+
+        def curve(i: int):
+            points = df.sparkSession.createDataFrame(_share_points(found[self.cols[i]]), "value double, share double").coalesce(1)
+            return IsotonicRegression(featuresCol="value", labelCol="share").fit(points).setFeaturesCol(raw(i)).setPredictionCol(share(i))
+
+        have = [i for i, c in enumerate(self.cols) if found.get(c)]
+        with ThreadPool(self.parallelism) as pool:
+            curves = pool.map(inheritable_thread_target(df.sparkSession)(curve), have)
+        place = {i: f"greatest(1e-7D, least(1 - 1e-7D, {share(i)}))" if self.normal else share(i) for i in have}
+        if self.normal:  # the place is a column first: the inverse names it many times
+            middle = [SQLTransformer(statement="SELECT *, " + ", ".join(f"{e} AS {_q(f'_place_{i}')}" for i, e in place.items()) + " FROM __THIS__")] if have else []
+            exprs = {c: inverse_normal_sql(_q(f"_place_{i}")) if i in have else _lit(None) for i, c in enumerate(self.cols)}
+        else:
+            middle, exprs = [], {c: place.get(i, _lit(None)) for i, c in enumerate(self.cols)}
+        helpers = [name(i) for i in have for name in (raw, share, *([lambda j: f"_place_{j}"] if self.normal else []))]
+        gone = ", ".join(map(_q, [*self.cols, *helpers]))
+        news = ", ".join(f"{e} AS {_q(c)}" for c, e in exprs.items())
+        # Binary search tells -0.0 from 0.0; the sum does not.
+        first = [_append({raw(i): f"CAST({_q(self.cols[i])} AS DOUBLE) + 0D" for i in have})] if have else []
+        return PipelineModel([*first, *curves, *middle, SQLTransformer(statement=f"SELECT * EXCEPT ({gone}), {news} FROM __THIS__")])
 
 
 # ------------------------------------------------------------------ row-wise and basis expansions

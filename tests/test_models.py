@@ -59,6 +59,32 @@ def test_power_transforms_find_the_best_exponent(data):
         prep.power("box-cox", ["a"]).fit(df)
 
 
+def test_quantile_transform_of_ties_and_many_columns(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(400, 12)), 1)
+    x[:, 1], x[:, 2] = 7.0, np.where(x[:, 2] > 0, 1.0, 0.0)
+    x[3, 0] = np.nan
+    cols = [f"c {j}" for j in range(12)]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row], None) for i, row in enumerate(x)], "id int, " + ", ".join(f"`{c}` double" for c in cols) + ", none double")
+    stage = prep.QuantileTransform([*cols, "none"], knots=50)
+    model = stage.fit(df)
+    assert max(len(s.getStatement()) for s in model.stages if hasattr(s, "getStatement")) < 3000
+    got = model.transform(df).orderBy("id").toPandas()
+    knots = prep._quantiles(df, cols, [i / 49 for i in range(50)])
+    for j, c in enumerate(cols):
+        v = x[:, j][~np.isnan(x[:, j])]
+        q = np.array(knots[c])
+        assert q == pytest.approx(np.quantile(v, np.linspace(0, 1, 50)))
+        want = (np.interp(v, q, np.linspace(0, 1, 50)) - np.interp(-v, -q[::-1], -np.linspace(0, 1, 50)[::-1])) / 2
+        want = np.where(v == q[0], 0.0, np.where(v == q[-1], 1.0, want))
+        assert got[c].dropna().to_numpy() == pytest.approx(want, abs=1e-9), c
+    assert got["none"].isna().all() and got["c 0"].isna().sum() == 1
+    new = spark.createDataFrame([(1, *[-99.0] * 12, 1.0), (2, *[99.0] * 12, 1.0)], df.schema)
+    model.write().save(str(tmp_path / "q"))
+    from pyspark.ml import PipelineModel
+    assert [set(r[1:13]) for r in PipelineModel.load(str(tmp_path / "q")).transform(new).select("id", *[f"`{c}`" for c in cols]).orderBy("id").collect()] == [{0.0}, {1.0}]
+
+
 def test_quantile_transform(data):
     from statistics import NormalDist
 
