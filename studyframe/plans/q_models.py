@@ -9,6 +9,7 @@ from studyframe.operators import cv, fit as ft, neighbors as nb, nested, prep, s
 from studyframe.operators.labels import class_from_thresholds, encode_labels
 from studyframe.operators.metrics import regression_metrics
 from studyframe.plans.fixtures import F1, FEATURES, samples
+from studyframe.plans.q_stats import _scores
 from studyframe.plans.registry import query, steady_sql
 from studyframe.sources.tables import read_table
 
@@ -125,13 +126,25 @@ def power_box_cox(spark, sf):
     return _profile(out, cols)
 
 
-@query("power_quantile_uniform")
+_PLACES = f"""WITH {F1}, v AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS x FROM f1" for c in SMALL) + """),
+s AS (SELECT col, list(x ORDER BY x) AS xs, count(*) AS n FROM v GROUP BY col),
+p AS (SELECT col, i, xs, i / 999.0::DOUBLE * (n - 1) AS pos FROM s, range(1000) t(i)),
+k AS (SELECT col, i, xs[floor(pos)::BIGINT + 1] AS a, xs[ceil(pos)::BIGINT + 1] AS b, pos - floor(pos) AS part FROM p),
+g AS (SELECT col, CASE WHEN a = b THEN a ELSE a + (b - a) * part END AS knot, min(i) / 999.0::DOUBLE AS lo, max(i) / 999.0::DOUBLE AS hi FROM k GROUP BY ALL),
+w AS (SELECT *, lead(knot) OVER o AS next_knot, lead(lo) OVER o AS next_lo FROM g WINDOW o AS (PARTITION BY col ORDER BY knot)),
+u AS (SELECT v.col, CASE WHEN w.lo = 0 AND v.x = w.knot THEN 0 WHEN w.next_knot IS NULL THEN 1 WHEN v.x = w.knot THEN (w.lo + w.hi) / 2 ELSE w.hi + (w.next_lo - w.hi) * (v.x - w.knot) / (w.next_knot - w.knot) END AS place
+  FROM v ASOF JOIN w ON v.col = w.col AND v.x >= w.knot)
+"""
+
+
+@query("power_quantile_uniform", steady_sql(_PLACES + """SELECT col AS "column", count(*) AS n, round(avg(place), 5) AS mean, round(stddev_pop(place), 5) AS sd, round(min(place), 5) AS min, round(max(place), 5) AS max FROM u GROUP BY col"""))
 def power_quantile_uniform(spark, sf):
     _, out = _prepared(spark, sf, prep.power("quantile_uniform", SMALL), SMALL)
     return _profile(out, SMALL)
 
 
-@query("power_quantile_normal")
+@query("power_quantile_normal", steady_sql(_PLACES + f""", {_scores('u', 'greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, place))', 'sc')}
+SELECT col AS "column", count(*) AS n, round(avg(z), 5) AS mean, round(stddev_pop(z), 5) AS sd, round(min(z), 5) AS min, round(max(z), 5) AS max FROM sc GROUP BY col"""))
 def power_quantile_normal(spark, sf):
     _, out = _prepared(spark, sf, prep.power("quantile_normal", SMALL), SMALL)
     return _profile(out, SMALL)
