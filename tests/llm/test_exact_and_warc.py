@@ -45,6 +45,25 @@ def test_index_remembers_earlier_batches(spark):
     assert "Bucketed: true" in plan and plan.count("Exchange") == 1  # the index is read in place
 
 
+def test_batches_of_one_call_meet_in_the_index(docs, doubled, empty, spark):
+    columns = "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    for batches in (1, 2, 5):
+        index = DigestIndex(spark)
+        found = index.deduplicate_in_batches(docs, batches=batches)
+        index.drop()  # results outlive the name
+        assert not spark.catalog.tableExists(index.name)
+        assert Counter(map(tuple, found.select(*columns).collect())) == brute(TEXTS)
+    assert Counter(map(tuple, DigestIndex(spark).deduplicate_in_batches(doubled).select(*columns).collect())) == brute(TEXTS * 2)
+    assert DigestIndex(spark).deduplicate_in_batches(empty).count() == 0
+    rows = [(i, f"t{i % 7}" if i % 3 else "hot", "s") for i in range(-40, 60)] + [(None, "t1", "s"), (None, "alone", "s")]
+    assert Counter(map(tuple, DigestIndex(spark).deduplicate_in_batches(documents(spark, rows), batches=3).select(*columns).collect())) == brute(rows)
+    index = DigestIndex(spark)
+    index.deduplicate(documents(spark, [(500, "T1", "s")]))
+    got = index.deduplicate_in_batches(documents(spark, rows)).where("text_sha256 = sha2('t1', 256)").collect()
+    assert {(r["keep_id"], r["kept"], r["known"]) for r in got} == {(500, False, True)} and len({r["group_size"] for r in got}) == 1
+    assert sorted(r["n"] for r in index.read().where("digest = unhex(sha2('t1', 256))").collect()) == [1]
+
+
 def test_hot_keys_are_broadcast_and_others_joined(spark):
     rows = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 100 = 1 then null else cast(id as string) end as k")
     groups = rows.where("k is not null").groupBy("k").count().selectExpr("k", "`count` as n", "concat('v', k) as v")
