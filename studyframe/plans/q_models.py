@@ -307,6 +307,22 @@ def grid_search_cv(spark, sf):
     return rd(table.withColumn("params", F.to_json("params")))
 
 
+@query("crossvalidator_regression")
+def crossvalidator_regression(spark, sf):
+    """The search of grid_search_cv by Spark's own tuning class."""
+    c = cv.Candidate("regression", "DT", FEATURES)
+    _, table, _ = cv.cross_validate(_rows(spark, sf, False), c, cv.param_grid(GRID), "fold", 3)
+    return rd(table.withColumn("params", F.to_json("params")))
+
+
+@query("crossvalidator_balanced")
+def crossvalidator_balanced(spark, sf):
+    """Classes, judged by balanced accuracy."""
+    c = cv.Candidate("classification", "DT", FEATURES, n_classes=3)
+    _, table, _ = cv.cross_validate(_class_rows(spark, sf), c, cv.param_grid({"max_depth": [2, 4]}), "fold", 3, "balanced_accuracy")
+    return rd(table.withColumn("params", F.to_json("params")))
+
+
 @query("nested_cv")
 def nested_cv(spark, sf):
     c = cv.Candidate("regression", "DT", FEATURES)

@@ -295,6 +295,25 @@ def test_evaluator_works_with_spark_tuning(data):
     assert tuned.bestModel.getMaxDepth() == 4 and max(tuned.avgMetrics) > 0.8
 
 
+def test_spark_tuning_agrees_with_the_search(data):
+    _, df = data
+    grid = cv.param_grid({"max_depth": [1, 3], "min_samples_leaf": [1, 5]})
+    c = cv.Candidate("regression", "DT", ["a", "b"])
+    best, table = cv.grid_search_cv(df, c, grid, "fold", 3)
+    same, other, model = cv.cross_validate(df, c, grid, "fold", 3)
+    key = lambda rows: {tuple(sorted(r["params"].items())): r["mean_test"] for r in rows.collect()}
+    assert same == best and key(other) == pytest.approx(key(table)) and other.where("best").count() == 1
+    assert model.stages[-1].getMaxDepth() == best["max_depth"]
+    rows = df.withColumn("label", (F.col("label") > 0).cast("int"))
+    c = cv.Candidate("classification", "DT", ["a", "b"], n_classes=2)
+    for metric in ("macro_f1", "balanced_accuracy"):
+        best, table = cv.grid_search_cv(rows, c, grid, "fold", 3, metric)
+        same, other, _ = cv.cross_validate(rows, c, grid, "fold", 3, metric)
+        assert key(other) == pytest.approx(key(table)) and same == best
+    with pytest.raises(ValueError, match="class weights"):
+        cv.cross_validate(rows, c, [{"class_weight": "balanced"}], "fold", 3)
+
+
 def test_study_flow(data):
     _, df = data
     spec = StudySpec(targets={"label": {"fs1": ["a"], "fs2": ["a", "b"]}}, group_column="grp", cv_splits=2)
