@@ -103,3 +103,31 @@ def test_band_accuracy_variants(spark):
     df = spark.createDataFrame([(1.0, 1.0), (5.0, 1.1), (5.0, 6.0)], "y_true double, y_pred double").withColumn("k", F.lit(1))
     assert m.band_metrics(df, 0.5, 2.0, ["k"]).first()["band_accuracy"] == 1.0
     assert math.isclose(m.band_metrics(df, 0.5, 2.0, ["k"], truth_based=True).first()["band_accuracy"], 2 / 3)
+
+
+def test_auc_and_roc_read_the_predictions_once(spark, monkeypatch):
+    from studyframe.functions import running
+
+    rng = np.random.default_rng(5)
+    rows = [(f"m{i % 2}", int(y), [float(v) for v in np.round(p, 2)]) for i, (y, p) in enumerate(zip(rng.integers(0, 3, 600), rng.dirichlet([1, 1, 1], 600)))]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    frame = lambda: spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).map(seen), "model string, y_true int, probability array<double>")
+    plain = {(r["model"], r["scope"]): r["auc"] for r in m.auc_ovr(frame(), [0, 1, 2], ["model"]).collect()}
+    assert read.value == 600 and len(plain) == 12
+    monkeypatch.setattr(running, "ROWS_PER_BUCKET", 10)
+    cut = {(r["model"], r["scope"]): r["auc"] for r in m.auc_ovr(frame(), [0, 1, 2], ["model"]).collect()}
+    assert cut == pytest.approx(plain) and read.value == 1200
+    for model in ("m0", "m1"):
+        y = np.array([[int(t == c) for c in range(3)] for who, t, _ in rows if who == model])
+        p = np.array([v for who, _, v in rows if who == model])
+        gap = lambda a, b: ((a[:, None] > b) + (a[:, None] == b) / 2).mean()
+        for c in range(3):
+            assert cut[model, str(c)] == pytest.approx(gap(p[y[:, c] == 1, c], p[y[:, c] == 0, c]))
+        assert cut[model, "micro"] == pytest.approx(gap(p[y == 1], p[y == 0]))
+    points = m.roc_points(frame(), [0, 1, 2], ["model"]).collect()
+    assert read.value == 1800 and max(r["tpr"] for r in points) == 1.0

@@ -48,6 +48,27 @@ def test_totals_do_not_depend_on_partitions(skewed, parts):
     assert as_dict(running_totals(df.repartition(parts), [], "v", rows_per_bucket=200), ["v"], "before_cnt") == want
 
 
+def test_rows_are_read_once_however_many_buckets(spark):
+    """Counting, cutting and ordering work on the kept distinct values."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        read.add(1)
+        return (i % 7, float(i % 900))
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(3000), 4).map(seen), "k int, v double")
+    lines = running_totals(df, ["k"], "v", rows_per_bucket=20).collect()
+    assert read.value == 3000 and sum(r["cnt"] for r in lines) == 3000
+    assert all(r["before_cnt"] == sum(o["cnt"] for o in lines if o["k"] == r["k"] and o["v"] < r["v"]) for r in lines if r["k"] == 3)
+
+
+def test_keys_without_a_drawn_line_are_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(running, "DRAWN_PER_BUCKET", 1)
+    df = spark.range(4000).select(F.when(F.col("id") < 3900, "large").when(F.col("id") < 3990, "small").alias("k"), (F.col("id") * 7919 % 4001).cast("double").alias("v"))
+    plain = as_dict(running_totals(df, ["k"], "v"), ["k", "v"], "before_cnt")
+    assert as_dict(running_totals(df, ["k"], "v", rows_per_bucket=500), ["k", "v"], "before_cnt") == plain and len(plain) == 4000
+
+
 @pytest.mark.parametrize("limit", [1, 10, 300, None])
 def test_narrowed_quantiles_are_exact(skewed, limit):
     pdf, df = skewed
