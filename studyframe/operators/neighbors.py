@@ -19,13 +19,16 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 #: Rows of one side of a block comparison.
-TILE_ROWS = 4_000
+TILE_ROWS = 16_000
 #: Cells or buckets of one table: the driver holds a pivot and a count for each.
 MAX_CELLS = 4_096
 #: Relative slack of the bounds, for rounding.
 SLACK = 1e-9
-#: Numbers of a block of differences.
+#: Numbers of a block of differences, and of one that stays near the processor.
 STEP = 4_000_000
+CACHED = 32_768
+#: Pairs per query and neighbour, about, that are worth working out.
+FEW = 8
 
 
 def _distances(x: np.ndarray, z: np.ndarray, p: int) -> np.ndarray:
@@ -36,6 +39,65 @@ def _distances(x: np.ndarray, z: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
+def _nearly(x: np.ndarray, z: np.ndarray, p: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of all pairs (squared if p = 2) by fast formulas in numbers of a kind, and per row of x how far off they may be."""
+    middle = z.mean(axis=0)
+    x, z = (x - middle).astype(kind), np.ascontiguousarray((z - middle).astype(kind))
+    if p == 2:
+        a, b = (x * x).sum(axis=1), (z * z).sum(axis=1)
+        out = x @ z.T
+        out *= -2
+        out += a[:, None]
+        out += b
+    else:
+        a, b = np.abs(x).sum(axis=1), np.abs(z).sum(axis=1)
+        out, columns, step = np.zeros((len(x), len(z)), kind), np.ascontiguousarray(z.T), max(1, CACHED // len(z))
+        for at in range(0, len(x), step):
+            some, part = out[at : at + step], np.empty_like(out[at : at + step])
+            for i, column in enumerate(columns):
+                np.subtract(x[at : at + step, i, None], column, out=part)
+                some += np.abs(part, out=part)
+    return out, 2.0 * float(np.finfo(kind).eps) * (x.shape[1] + 10) * (a.astype(float) + float(b.max()))
+
+
+def _candidates(x: np.ndarray, z: np.ndarray, k: int, p: int, bound: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs among which are the k nearest of each row of x; numbers of half the size first, if they tell enough pairs apart."""
+    for kind in (np.float32, np.float64):
+        with np.errstate(over="ignore", invalid="ignore"):
+            near, off = _nearly(x, z, p, kind)
+            reach = bound**p * (1 + SLACK) + off
+        if not np.isfinite(off).all() or np.isnan(near).any():  # beyond the range of these numbers
+            continue
+        if same is not None:
+            near[same] = np.inf
+        up = lambda r: np.nextafter(r.astype(kind), kind(np.inf))[:, None]
+        hit = near <= up(reach)
+        if k < len(z) and np.count_nonzero(hit) > FEW * k * len(x):
+            kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+            hit = near <= up(np.minimum(reach, kth + 2 * off))
+        hit &= near < np.inf
+        if kind is np.float64 or np.count_nonzero(hit) <= max(FEW * k * len(x), hit.size // 50):
+            return np.nonzero(hit)
+    return np.nonzero(np.ones((len(x), len(z)), bool) if same is None else ~same)
+
+
+def _k_nearest(x: np.ndarray, z: np.ndarray, k: int, p: int, bound: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, rows of z and distances of the k nearest within ``bound``; of equal distances the first rows of z; pairs in ``same`` are left out.
+
+    A fast formula with a bound on its error tells which pairs may be among them; only theirs are worked out as in ``_distances``."""
+    i, j = _candidates(x, z, k, p, bound, same)
+    dist, step = np.empty(len(i)), max(1, STEP // max(1, x.shape[1]))
+    for at in range(0, len(i), step):
+        gap = x[i[at : at + step]] - z[j[at : at + step]]
+        dist[at : at + step] = np.sqrt((gap * gap).sum(axis=1)) if p == 2 else np.abs(gap).sum(axis=1)
+    good = np.isfinite(dist) & (dist <= bound[i])
+    i, j, dist = i[good], j[good], dist[good]
+    order = np.lexsort((j, dist, i))
+    i, j, dist = i[order], j[order], dist[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k], dist[place < k]
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in vectors])
 
@@ -67,38 +129,69 @@ def _train_rows(train: DataFrame, features: str, key: str, label: str, need: int
     return rows.withColumn("_place", place).where(F.col("_place") <= need).drop("_place").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _compare(q: DataFrame, t: DataFrame, k: int, p: int, exclude_self: bool, tile_rows: int) -> DataFrame:
-    """qkey, tkey, tlabel, dist: at most k candidates per query and block of a cell that it visits, none beyond its ``bound``."""
+def _packs(sizes: dict[int, int], tile_rows: int) -> dict[int, int]:
+    """Cell -> the first cell of its pack: neighbouring cells that hold at most ``tile_rows`` rows together, or one larger cell."""
+    pack, first, held = {}, None, 0
+    for cell in sorted(sizes):
+        if first is None or held + sizes[cell] > tile_rows:
+            first, held = cell, 0
+        pack[cell], held = first, held + sizes[cell]
+    return pack
+
+
+def _compare(q: DataFrame, t: DataFrame, k: int, p: int, exclude_self: bool, tile_rows: int, packed: bool = False) -> DataFrame:
+    """qkey, tkey, tlabel, dist: at most k candidates per query and block of the ``cells`` that it visits, none beyond its ``bound``.
+
+    With ``packed`` small cells are met together: a query travels once per pack, and is compared with all rows of the
+    pack but those of its ``homes``, which it met before."""
     spark = q.sparkSession
     sizes = {r["cell"]: r["count"] for r in t.groupBy("cell").count().collect()}
-    visits = {r["cell"]: r["count"] for r in q.groupBy("cell").count().collect()}
-    blocks = [(c, math.ceil(sizes[c] / tile_rows), math.ceil(visits[c] / tile_rows)) for c in sizes if c in visits]
+    pack = _packs(sizes, tile_rows) if packed else {c: c for c in sizes}
     # A line per cell, and the number of cells is bounded.
-    table = F.broadcast(spark.createDataFrame(blocks, "cell int, nt int, nq int"))
+    into = F.broadcast(spark.createDataFrame(list(pack.items()), "cell int, pack int"))
+    lookup = np.full(max(pack, default=0) + 1, -1, dtype=np.int32)
+    lookup[list(pack)] = list(pack.values())
+    held = spark.sparkContext.broadcast(lookup)
+
+    @F.pandas_udf("array<int>")
+    def packs(cells: pd.Series) -> pd.Series:
+        table = held.value
+        found = ([c for c in np.unique(table[cs[cs < len(table)]]) if c >= 0] for cs in cells)
+        return pd.Series([np.array(cs, dtype=np.int32) for cs in found], dtype=object)
+
+    q = q.select("qkey", "qvec", "bound", "homes", F.explode(packs("cells")).alias("pack"))
+    t = t.join(into, "cell")
+    rows = dict.fromkeys(pack.values(), 0)
+    for cell, first in pack.items():
+        rows[first] += sizes[cell]
+    visits = {r["pack"]: r["count"] for r in q.groupBy("pack").count().collect()}
+    blocks = [(c, math.ceil(rows[c] / tile_rows), math.ceil(visits[c] / tile_rows)) for c in rows if c in visits]
+    table = F.broadcast(spark.createDataFrame(blocks, "pack int, nt int, nq int"))
     number = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    t = t.join(table, "cell").select("cell", "tkey", "tvec", "tlabel", number("tkey", "nt").alias("_t"), every("nq").alias("_q"))
-    q = q.join(table, "cell").select("cell", "qkey", "qvec", "bound", number("qkey", "nq").alias("_q"), every("nt").alias("_t"))
+    t = t.join(table, "pack").select("pack", "cell", "tkey", "tvec", "tlabel", number("tkey", "nt").alias("_t"), every("nq").alias("_q"))
+    q = q.join(table, "pack").select("pack", "qkey", "qvec", "bound", "homes", number("qkey", "nq").alias("_q"), every("nt").alias("_t"))
     schema = T.StructType([q.schema["qkey"], t.schema["tkey"], T.StructField("tlabel", T.DoubleType()), T.StructField("dist", T.DoubleType())])
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"qkey": [], "tkey": [], "tlabel": [], "dist": []})
         b = b.sort_values("tkey", kind="stable")
-        x, z, bound = _matrix(a["qvec"]), _matrix(b["tvec"]), a["bound"].to_numpy()
-        tkeys, tlabels, qkeys = b["tkey"].to_numpy(), b["tlabel"].to_numpy(), a["qkey"].to_numpy()
-        found, step = [], max(1, STEP // max(1, z.size))
+        x, z, bound, homes = _matrix(a["qvec"]), _matrix(b["tvec"]), a["bound"].to_numpy(), a["homes"].to_numpy()
+        tkeys, tlabels, qkeys, cells = b["tkey"].to_numpy(), b["tlabel"].to_numpy(), a["qkey"].to_numpy(), b["cell"].to_numpy()
+        here = set(cells.tolist())
+        found, step = [], max(1, STEP // max(1, len(z)))
         for at in range(0, len(x), step):
-            dist, own = _distances(x[at : at + step], z, p), qkeys[at : at + step]
-            if exclude_self:
-                dist[own[:, None] == tkeys[None, :]] = np.inf
-            first = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(dist, first, axis=1)
-            good = np.isfinite(near) & (near <= bound[at : at + step, None])
-            found.append(pd.DataFrame({"qkey": np.repeat(own, first.shape[1])[good.ravel()], "tkey": tkeys[first][good], "tlabel": tlabels[first][good], "dist": near[good]}))
+            own = qkeys[at : at + step]
+            same = own[:, None] == tkeys[None, :] if exclude_self else np.zeros((len(own), len(z)), bool)
+            for i, met in enumerate(homes[at : at + step]):
+                for cell in here.intersection(met):
+                    same[i] |= cells == cell
+            i, j, dist = _k_nearest(x[at : at + step], z, k, p, bound[at : at + step], same)
+            found.append(pd.DataFrame({"qkey": own[i], "tkey": tkeys[j], "tlabel": tlabels[j], "dist": dist}))
         return pd.concat(found)
 
-    keys = ["cell", "_t", "_q"]
+    keys = ["pack", "_t", "_q"]
     return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(nearest, schema)
 
 
@@ -177,13 +270,13 @@ class PivotSearch:
         """Candidates of the home cells, queries with bounds and visits, candidates of the visited cells."""
         args = (self.rows.drop("gap"), self.k, self.p, self.exclude_self, self.tile_rows)
         queries = self._queries(query).persist(StorageLevel.MEMORY_AND_DISK)
-        at_home = queries.select("qkey", "qvec", F.lit(math.inf).alias("bound"), F.explode("homes").alias("cell"))
+        at_home = queries.select("qkey", "qvec", F.lit(math.inf).alias("bound"), F.array().cast("array<int>").alias("homes"), F.col("homes").alias("cells"))
         near = _best(_compare(at_home, *args), self.k).persist(StorageLevel.MEMORY_AND_DISK)
         bounds = near.groupBy("qkey").agg(F.max("dist").alias("worst"), F.count(F.lit(1)).alias("n")).withColumnRenamed("qkey", "_key")
         reach = F.when(F.col("n") >= self.k, F.col("worst")).otherwise(F.lit(math.inf))
         bounded = queries.join(bounds, F.col("qkey") == F.col("_key"), "left").select("qkey", "qvec", "homes", reach.alias("bound"))
         bounded = self._others(bounded).persist(StorageLevel.MEMORY_AND_DISK)
-        far = _compare(bounded.select("qkey", "qvec", "bound", F.explode("visits").alias("cell")), *args)
+        far = _compare(bounded.select("qkey", "qvec", "bound", "homes", F.col("visits").alias("cells")), *args, packed=True)
         return near, bounded, far
 
     def neighbors(self, query: DataFrame) -> DataFrame:
@@ -246,7 +339,7 @@ def nearest_approximate(
 
     t = _with(rows, "cells array<int>", own).select("tkey", "tvec", "tlabel", F.explode("cells").alias("cell")).persist(StorageLevel.MEMORY_AND_DISK)
     q = _with(_rows(query, qkey=F.col(key), qvec=F.col(features)).where(F.lit(n > 0)), "cells array<int>", probed)
-    q = q.select("qkey", "qvec", F.lit(math.inf).alias("bound"), F.explode("cells").alias("cell")).persist(StorageLevel.MEMORY_AND_DISK)
+    q = q.select("qkey", "qvec", F.lit(math.inf).alias("bound"), F.array().cast("array<int>").alias("homes"), "cells").persist(StorageLevel.MEMORY_AND_DISK)
     found = _compare(q, t, k, p, exclude_self, tile_rows)
     return _best(found.dropDuplicates(["qkey", "tkey"]), k)
 

@@ -43,6 +43,31 @@ def test_pivots_give_the_exact_neighbours(spark, clustered, p, cells, tile, own)
     assert got.keys() == want.keys() and got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("p", [1, 2])
+@pytest.mark.parametrize("k", [1, 4, 40])
+@pytest.mark.parametrize("kind", ["plain", "far off", "wide", "huge", "ties"])
+def test_fast_formulas_give_the_nearest_of_a_block(p, k, kind):
+    rng = np.random.default_rng(11)
+    x, z = rng.normal(size=(30, 6)), rng.normal(size=(37, 6))
+    x, z = {"plain": (x, z), "far off": (x + 1e6, z + 1e6), "wide": (np.concatenate([x * 1e-6, x + 1e5])[::2], np.concatenate([z * 1e-6, z + 1e5])), "huge": (x * 1e200, z * 1e200), "ties": (np.round(x), np.round(z))}[kind]
+    with np.errstate(over="ignore", invalid="ignore"):
+        dist = nb._distances(x, z, p)
+        same = rng.random(dist.shape) < 0.1
+        want, bound = np.where(same, np.inf, dist), np.where(rng.random(len(x)) < 0.5, np.inf, np.sort(dist, axis=1)[:, 3])
+        i, j, found = nb._k_nearest(x, z, k, p, bound, same)
+    rows = [(a, b, want[a, b]) for a in range(len(x)) for b in np.argsort(want[a], kind="stable")[:k] if np.isfinite(want[a, b]) and want[a, b] <= bound[a]]
+    assert list(zip(i, j, found)) == rows
+
+
+def test_a_query_travels_once_per_pack(spark, clustered):
+    """Small cells are met together, and copies of a key stay rows of their own."""
+    assert nb._packs({0: 3, 1: 4, 2: 9, 5: 1, 6: 2}, 7) == {0: 0, 1: 0, 2: 2, 5: 5, 6: 5}
+    df = frame(spark, clustered).unionByName(frame(spark, clustered[:9]))
+    once = {(r["qkey"], r["tkey"], round(r["dist"], 9)): r["count"] for r in nb.PivotSearch(df, "v", "id", "label", 4, cells=30).neighbors(df).groupBy("qkey", "tkey", "dist").count().collect()}
+    alone = {(r["qkey"], r["tkey"], round(r["dist"], 9)): r["count"] for r in nb.PivotSearch(df, "v", "id", "label", 4, cells=30, tile_rows=1).neighbors(df).groupBy("qkey", "tkey", "dist").count().collect()}
+    assert once == alone and sum(once.values()) == 4 * len(clustered)
+
+
 def test_more_neighbours_than_rows(spark):
     x = np.arange(6.0).reshape(3, 2)
     df = frame(spark, x)
