@@ -130,6 +130,18 @@ def test_row_ids_are_unique_with_many_copies(spark, monkeypatch):
     assert sorted(map(tuple, out.drop("row_id").collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_only_rows_with_many_copies_move_again(spark, monkeypatch):
+    from studyframe.functions import columns
+
+    plan = with_row_id(spark.range(300).select((F.col("id") % 4).alias("a")))._jdf.queryExecution().optimizedPlan().toString()
+    moved = re.split(r"RepartitionByExpression", plan)
+    assert len(moved) == 2 and re.search(r"Filter .*_copies#\d+L? > 100000", moved[1])
+    monkeypatch.setattr(columns, "COPIES_PER_TASK", 7)
+    df = spark.range(40).select(F.when(F.col("id") < 20, 0).when(F.col("id") < 27, 1).otherwise(F.when(F.col("id") < 35, 2)).alias("a"))
+    ids = [(r["a"], int(r["row_id"].split("#")[1])) for r in with_row_id(df).collect()]
+    assert sorted(ids, key=str) == sorted([(a, i + 1) for a, n in ((0, 20), (1, 7), (2, 8), (None, 5)) for i in range(n)], key=str)
+
+
 def test_hash_cuts_find_the_wanted_ranks(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("h"))
     found = {r["g"]: r["cuts"] for r in hash_cuts(df, ["g"], "h", F.array(F.lit(1), F.lit(777), F.col("n"))).collect()}
