@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from studyframe.functions.running import exact_quantiles, running_totals
+from studyframe.functions.running import distinct_totals, exact_quantiles, running_totals
 from studyframe.functions.special import chi2_sf, mwu_exact_p
 from studyframe.operators.quality import _long
 from studyframe.operators.schema import _num
@@ -33,6 +33,13 @@ def _mwu_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, z: pd.Se
     return pd.Series(out, dtype=float)
 
 
+def _plus(names: Sequence[str]) -> Column:
+    total = F.lit(0).cast("bigint")
+    for name in names:
+        total = total + F.col(name)
+    return total
+
+
 def _u_table(totals: DataFrame, keys: Sequence[str], exact: bool = True) -> DataFrame:
     """U of the first group from running totals with ``cnt`` and ``first`` counts."""
     d = lambda c: F.col(c).cast("double")
@@ -65,13 +72,18 @@ def mann_whitney_median(df: DataFrame, target: str, features: Sequence[str]) ->
     return out.select(F.col("column").alias("feature"), "U", "Z", "p", F.col("n1").alias("n_low"), F.col("n2").alias("n_high"))
 
 
+def _class_totals(df: DataFrame, label: str, features: Sequence[str], classes: Sequence[int]) -> DataFrame:
+    """Distinct (column, value) with the rows of each class (``c<class>``), kept: tests of the same rows share them."""
+    long = _long(df.where(F.col(label).isin(list(classes))), features, [label])
+    return distinct_totals(long, ["column"], "value", {f"c{c}": (F.col(label) == c).cast("bigint") for c in classes})
+
+
 def kruskal_wallis(df: DataFrame, label: str, features: Sequence[str], classes: Sequence[int] = (0, 1, 2)) -> DataFrame:
     """Tie-corrected H over the classes with its p-value; not run when a class is empty."""
     classes = list(classes)
-    long = _long(df.where(F.col(label).isin(classes)), features, [label])
-    sums = {"cnt": F.lit(1).cast("bigint")}
-    sums |= {f"c{c}": (F.col(label) == c).cast("bigint") for c in classes}
-    totals = running_totals(long, ["column"], "value", sums)
+    each = [f"c{c}" for c in classes]
+    counts = _class_totals(df, label, features, classes).withColumn("cnt", _plus(each))
+    totals = running_totals(None, ["column"], "value", {c: F.col(c) for c in ("cnt", *each)}, distinct=counts)
     d = lambda c: F.col(c).cast("double")
     rank = d("before_cnt") + (d("cnt") + 1) / 2.0
     agg = totals.groupBy("column").agg(
@@ -102,21 +114,21 @@ def kruskal_wallis(df: DataFrame, label: str, features: Sequence[str], classes:
 def pairwise_mwu(
     df: DataFrame, label: str, features: Sequence[str], kw: DataFrame, alpha: float = 0.05, classes: Sequence[int] = (0, 1, 2)
 ) -> DataFrame:
-    """Pairwise U tests of the features whose omnibus test is significant, with Holm-adjusted p-values."""
+    """Pairwise U tests of the features whose omnibus test is significant, with Holm-adjusted p-values.
+
+    One ordering of the distinct values serves all pairs; where the omnibus test had the same rows and features, its counts do.
+    """
     wanted = [r["feature"] for r in kw.where(F.col("p_value") < alpha).select("feature").collect()]
     classes = list(classes)
     pairs = [(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]]
-    if not wanted:
-        wanted = []
-        long = _long(df.where(F.lit(False)), list(features)[:1], [label])
-    else:
-        long = _long(df.where(F.col(label).isin(classes)), wanted, [label])
-    copies = F.array(*[F.when(F.col(label).isin(a, b), F.struct(F.lit(a).alias("group_1"), F.lit(b).alias("group_2"))) for a, b in pairs])
-    rows = long.select("column", "value", label, F.explode(F.filter(copies, lambda v: v.isNotNull())).alias("_p"))
-    rows = rows.select("column", "value", "_p.group_1", "_p.group_2", (F.col(label) == F.col("_p.group_1")).cast("bigint").alias("_first"))
-    keys = ["column", "group_1", "group_2"]
-    totals = running_totals(rows, keys, "value", {"cnt": F.lit(1).cast("bigint"), "first": F.col("_first")})
-    out = _u_table(totals, keys).select(
+    counts = _class_totals(df, label, features, classes).where(F.col("column").isin(wanted) if wanted else F.lit(False))
+    ordered = running_totals(None, ["column"], "value", {f"c{c}": F.col(f"c{c}") for c in classes}, distinct=counts)
+    of = lambda a, b: F.struct(
+        F.lit(a).alias("group_1"), F.lit(b).alias("group_2"), (F.col(f"c{a}") + F.col(f"c{b}")).alias("cnt"), F.col(f"c{a}").alias("first"),
+        (F.col(f"before_c{a}") + F.col(f"before_c{b}")).alias("before_cnt"),
+    )
+    totals = ordered.select("column", F.inline(F.array(*[of(a, b) for a, b in pairs]))).where("cnt > 0")
+    out = _u_table(totals, ["column", "group_1", "group_2"]).select(
         F.col("column").alias("feature"), "group_1", "group_2", F.col("n1").alias("n_group_1"), F.col("n2").alias("n_group_2"), "U", F.col("p").alias("p_raw")
     )
     out = holm_adjust(out, "p_raw", ["feature"])

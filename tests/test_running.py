@@ -168,3 +168,18 @@ def test_pieces_are_equal_in_size(spark):
     ranks = F.array(*[F.ceil(F.col("n") * F.lit(i) / F.lit(4)) for i in (1, 2, 3)])
     sizes = [r["count"] for r in pieces_by_hash(df, [], "h", ranks, "p").groupBy("p").count().collect()]
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+
+
+def test_many_rows_of_few_values_are_not_narrowed(spark):
+    """The sizes and the distinct values: two readings, however many rows a value has."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        read.add(1)
+        return (i % 2, float(i * i % 97) if i % 2 else float(i % 50))
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(4000), 4).map(seen), "k int, v double")
+    found = {r["k"]: r["quantiles"] for r in exact_quantiles(df, ["k"], "v", [0.1, 0.5, 0.77], limit=500).collect()}
+    assert read.value == 8000
+    for k, group in df.toPandas().groupby("k"):
+        assert np.allclose(found[k], np.quantile(group["v"], [0.1, 0.5, 0.77]), rtol=0, atol=1e-12)
