@@ -337,3 +337,25 @@ def test_classification_study_flow(data):
     train = prepared["fs2"].where("split = 'train'")
     share = flows.folds(train, spec, "row_id", 3, 1, label="label").groupBy("fold").agg(F.avg("label").alias("m")).toPandas().m
     assert share.max() - share.min() < 0.05
+
+
+def test_spark_tuning_prepares_each_fold_once(data, monkeypatch):
+    from studyframe.operators import prep
+
+    fits, real = [], prep.Scaler._fit
+    monkeypatch.setattr(prep.Scaler, "_fit", lambda self, df: fits.append(1) or real(self, df))
+    _, df = data
+    c = cv.Candidate("regression", "DT", ["a", "b"])
+    _, table, model = cv.cross_validate(df, c, cv.param_grid({"max_depth": [1, 2, 3]}), "fold", 3)
+    assert len(fits) == 4 and table.count() == 3 and "prediction" in model.transform(df.withColumn("label", F.col("label").cast("double"))).columns
+
+
+def test_fits_of_many_rows_run_one_after_another(data, monkeypatch):
+    _, df = data
+    c, grid = cv.Candidate("regression", "DT", ["a", "b"]), [{"max_depth": 1}, {"max_depth": 2}, {"max_depth": 3}]
+    together = cv.grid_search_cv(df, c, grid, "fold", 3)[1].collect()
+    used, real = [], cv.ThreadPool
+    monkeypatch.setattr(cv, "ROWS_SIDE_BY_SIDE", 1)
+    monkeypatch.setattr(cv, "ThreadPool", lambda n: used.append(n) or real(n))
+    alone = cv.grid_search_cv(df, c, grid, "fold", 3)[1].collect()
+    assert used == [1, 1, 1] and alone == together
