@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from studyframe.functions import special
+from studyframe.functions import normal, special
 from studyframe.operators import htests, quality, stats
 from studyframe.operators.quality import _long
 
@@ -255,3 +255,49 @@ def test_a_constant_in_many_parts_has_no_spread(spark):
     assert {(r["a"], r["b"]): r["r"] for r in stats.corr_pearson(df, ["k", "v"]).collect()} == {("k", "k"): None, ("k", "v"): None, ("v", "k"): None, ("v", "v"): 1.0}
     row = {r["column"]: r for r in stats.normality_table(df, ["k", "v"]).collect()}["k"]
     assert row["std"] == 0.0 and row["shapiro_w"] is None and row["anderson_statistic"] is None and row["skewness"] is None
+
+
+@pytest.fixture
+def counted(spark):
+    """3,000 rows with three classes, and how many of them were read so far."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        read.add(1)
+        return (i % 3, float(i * 7919 % 3001) + i % 3 * 400, float(i % 40), None if i % 11 == 0 else float(i % 17))
+
+    return read, spark.createDataFrame(spark.sparkContext.parallelize(range(3000), 4).map(seen), "cls int, a double, b double, c double")
+
+
+def test_omnibus_and_pairwise_tests_share_one_reading(counted):
+    read, df = counted
+    pairs = htests.pairwise_mwu(df, "cls", ["a", "b", "c"], htests.kruskal_wallis(df, "cls", ["a", "b", "c"])).collect()
+    assert read.value == 3000 and [r["feature"] for r in pairs] == ["a"] * 3
+    x = df.toPandas()
+    for r in pairs:
+        assert r["U"] == brute_u(x.a[x.cls == r["group_1"]], x.a[x.cls == r["group_2"]]) and r["n_group_1"] == r["n_group_2"] == 1000
+
+
+def test_spearman_reads_the_rows_once(counted):
+    read, df = counted
+    got = {(r["a"], r["b"]): r["r"] for r in stats.corr_spearman(df, ["a", "b", "c"], small_rows=50).collect()}
+    assert read.value == 3000
+    want = df.select("a", "b", "c").toPandas().corr(method="spearman")
+    assert all(math.isclose(r, want.loc[k], abs_tol=1e-9) for k, r in got.items())
+
+
+def test_ordered_statistics_read_the_rows_once(counted):
+    read, df = counted
+    rows = {r["column"]: r for r in stats.normality_table(df, ["a", "c"]).collect()}
+    assert read.value == 3000
+    x = df.toPandas()
+    for c in ("a", "c"):
+        assert rows[c]["n"] == x[c].count() and math.isclose(rows[c]["std"], x[c].std(), rel_tol=1e-12)
+        assert math.isclose(rows[c]["skewness"], x[c].skew(), rel_tol=1e-9, abs_tol=1e-12) and math.isclose(rows[c]["excess_kurtosis"], x[c].kurt(), rel_tol=1e-9)
+
+
+def test_array_tails_are_the_column_tails(spark):
+    z = [0.0, 0.3, -0.3, 0.6628, 2.0, -2.0, 5.656, 5.7, -9.0, 37.0, 39.0, -39.0, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(x,) for x in z], "z double").select(normal.norm_cdf(F.col("z")).alias("c"), normal.norm_sf(F.col("z")).alias("s")).collect()
+    lower, upper = normal.tails(np.array(z))
+    assert np.allclose(lower, [r["c"] for r in rows], rtol=1e-13, atol=0) and np.allclose(upper, [r["s"] for r in rows], rtol=1e-13, atol=0)
