@@ -36,6 +36,8 @@ _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
 _NORMAL[48:58] = 48
 _BIT = np.arange(64, dtype=_U)
+# The bits of a byte, each as a byte of one number.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8").ravel()
 
 
 def normalise(line: bytes) -> bytes:
@@ -71,13 +73,21 @@ class Lines:
             place = np.arange(int(count.sum())) - np.repeat(cuts, count)
             h = words.hashes[np.repeat(first[at:end], count) + place]
             if hashed:
-                kind = np.int16 if count.max() < 32_768 else np.int64
                 line = np.repeat(np.arange(len(count)), count)
-                order = np.lexsort((h, line))
-                once = np.append(True, (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1]))
-                votes = np.unpackbits(h[order][once].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(kind)
-                voters = np.bincount(line[order][once], minlength=len(count))
-                more = 2 * np.add.reduceat(votes, np.cumsum(voters) - voters, axis=0).astype(np.int64) > voters[:, None]
+                # ordered by line and the leading bits of the words, and by all of them where those do not tell two words apart
+                mark = line.astype(_U) << _U(50) | h >> _U(14)
+                order = np.argsort(mark)
+                if len(count) > 1 << 14 or bool(((mark[order[1:]] == mark[order[:-1]]) & (h[order[1:]] != h[order[:-1]])).any()):
+                    order = np.lexsort((h, line))
+                sorted_h, line = h[order], line[order]
+                once = np.append(True, (sorted_h[1:] != sorted_h[:-1]) | (line[1:] != line[:-1]))
+                voters = np.bincount(line[once], minlength=len(count))
+                voting, first_vote = sorted_h[once].astype("<u8").view(np.uint8).reshape(-1, 8), np.cumsum(voters) - voters
+                if voters.max() < 256:  # the votes of eight bits at a time, a byte each
+                    votes = np.add.reduceat(_LANES[voting], first_vote, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
+                else:
+                    votes = np.add.reduceat(np.unpackbits(voting, axis=1, bitorder="little").astype(np.int64), first_vote, axis=0)
+                more = 2 * votes > voters[:, None]
                 simhash[at:end] = np.packbits(more, axis=1, bitorder="little").view("<u8").ravel()
             with np.errstate(over="ignore"):
                 for k, seed in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):

@@ -216,3 +216,22 @@ def test_lines_of_repeated_ids(spark):
     got = Counter((r["doc_id"], r["text"]) for r in ld.dedup_lines(clashing(documents(spark, rows))).collect())
     want = Counter({(3, same): 1, (7, one): 1, (7, ""): 1, (None, f"{one} but other\n{two}"): 1, (None, long): 1, (None, "null ids are\nmany rows each"): 1, (8, "a line of its own"): 2})
     assert got == want and got == brute_lines(rows, spark)[0]
+
+
+def test_simhash_votes_of_short_and_long_lines():
+    """Votes counted by byte lanes are those of the single bits; lines of 256 distinct words and more take the wide way."""
+    import numpy as np
+
+    from studyframe.llm import line_dedup, textkernel as tk
+
+    assert line_dedup._LANES.view(np.uint8).reshape(256, 8).sum(axis=1).tolist() == [x.bit_count() for x in range(256)]
+    rng = np.random.default_rng(3)
+    for sizes in ((3, 40, 255, 7), (3, 256, 700, 5)):
+        lines = [" ".join(f"w{x}" for x in rng.integers(0, 2 * n, n)) for n in sizes]
+        lines[0] = "same same other"
+        data = np.frombuffer("\n".join(lines).encode(), dtype=np.uint8)
+        got = line_dedup.Lines(data, np.array([0, len(data)])).simhash
+        for line, simhash in zip(lines, got.tolist()):
+            own = np.frombuffer(line.encode(), dtype=np.uint8)
+            words = set(tk.words_of(line_dedup._NORMAL[own], np.array([0, len(own)]), False).hashes.tolist())
+            assert simhash == sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in words) > len(words))
