@@ -10,7 +10,9 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,6 +153,37 @@ def encode_texts(data: bytes, texts: list[str]) -> list[list[int]]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _piece_bytes(data: bytes) -> tuple[pa.Array, np.ndarray, bool]:
+    """What each id stands for in a text, which ids decode by joining that, and whether a leading marker is dropped."""
+    model = Model(data)
+    by_value = {f"<0x{b:02X}>": bytes([b]) for b in range(256)} if model.byte_fallback else {}
+    joins = [kind in (NORMAL, USER_DEFINED) and not (len(p) == 6 and p.startswith("<0x")) or kind == BYTE and p in by_value for p, _, kind in model.pieces]
+    texts = [by_value.get(p) if kind == BYTE and p in by_value else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+    return pa.array(texts, pa.binary()), np.array(joins, dtype=bool), model.dummy_prefix
+
+
+def decode_ids(data: bytes, ids: pa.ListArray) -> pa.Array:
+    """The texts that lists of ids of the model decode to: their pieces joined. Lists with other ids, and bytes that are
+    no characters, are left to the library."""
+    pieces, joins, dropped = _piece_bytes(data)
+    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pieces.take(ids.values)), b"")
+    library = np.zeros(len(ids), dtype=bool)
+    library[np.searchsorted(offsets, np.flatnonzero(~joins[flat]), side="right") - 1] = True
+    try:
+        texts = joined.cast(pa.string())
+        if dropped:
+            texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+    except pa.ArrowInvalid:
+        library[:] = True
+        texts = pa.array([""] * len(ids), pa.string())
+    if library.any():
+        again = _built(data).decode_batch([x for x, due in zip(ids.to_pylist(), library) if due], skip_special_tokens=False)
+        texts = pc.replace_with_mask(texts, pa.array(library), pa.array(again, pa.string()))
+    return texts
+
+
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """One line per row of docs: doc_id, ids, n_tokens. Null and empty texts have no ids. Rows may repeat or lack an id;
     further columns are ignored. Texts are encoded whole, and special tokens written in them are ordinary text."""
@@ -190,10 +223,9 @@ def encode_and_decode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataF
         for batch in batches:
             texts, first = batch.column(1).fill_null(""), 0
             for call in _calls(texts):
-                ids = encode_texts(sent.value, call)
-                back = _built(sent.value).decode_batch(ids, skip_special_tokens=False)
-                whole = [a == b for a, b in zip(call, back)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(call)), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32()), pa.array(back, pa.string()), pa.array(whole, pa.bool_())], ["doc_id", "ids", "n_tokens", "text", "whole"])
+                ids = pa.array(encode_texts(sent.value, call), pa.list_(pa.int32()))
+                back = decode_ids(sent.value, ids)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(call)), ids, pc.list_value_length(ids), back, pc.equal(pa.array(call, pa.string()), back)], ["doc_id", "ids", "n_tokens", "text", "whole"])
                 first += len(call)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(resting(run), "doc_id long, ids array<int>, n_tokens int, text string, whole boolean")

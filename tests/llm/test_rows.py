@@ -387,3 +387,17 @@ def test_values_are_not_batch_dependent():
     whole = [s for *_, data, bounds in tk.texts(col) for s in tk.shingle_sets(tk.words_of(data, bounds, True), 5)]
     one = [s for i in range(len(col)) for *_, data, bounds in tk.texts(col.slice(i, 1)) for s in tk.shingle_sets(tk.words_of(data, bounds, True), 5)]
     assert len(whole) == len(one) and all((a == b).all() for a, b in zip(whole, one))
+
+
+def test_joined_pieces_are_what_the_library_decodes():
+    """Byte runs whole, broken and at the ends, control and unknown ids, markers, no ids; for both models."""
+    for data in (sp.read_model(sp.DEFAULT_MODEL), unigram_bytes()):
+        model, made = sp.Model(data), sp._built(data)
+        byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == sp.BYTE}
+        plain = [i for i, p in enumerate(model.pieces) if p[2] == sp.NORMAL][:40]
+        mark = next(i for i, p in enumerate(model.pieces) if p[0] == sp.MARK)
+        good = [*sp.encode_texts(data, [" ab  a", "é\n\U0001f600 ba", "▁ a"]), [], [mark], [mark, mark], plain, [byte[0x20], plain[0]]]
+        odd = [[model.unknown(), plain[1]], [0, 1, 2, plain[2]], [byte[0xC3], plain[0], byte[0xA9]], [byte[0xFF]], [plain[0], byte[0xE2], byte[0x96]]]
+        for lists in (good, good + odd[:2], good + odd, [[]]):
+            want = made.decode_batch(lists, skip_special_tokens=False)
+            assert sp.decode_ids(data, pa.array(lists, pa.list_(pa.int32()))).to_pylist() == want
