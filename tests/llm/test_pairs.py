@@ -96,6 +96,46 @@ def test_local_join_finds_all_links_in_any_order():
     assert groups(nj.local_links(sets, parts)) == groups([(a, b) for a, b in full if parts[a] != parts[b]])
 
 
+def test_sharing_with_many_is_not_sharing_with_one(spark, monkeypatch):
+    """Texts made of passages of other texts, each of another one's, are not sent to be compared. As in a large corpus,
+    the counters do not tell which shingles are rare."""
+    texts = [[] for _ in range(60)]
+    for k, (a, b) in enumerate(((1, 5), (2, 11), (3, 17), (7, 22))):
+        for i in range(60):
+            for j in (i, i + a, i + b):
+                texts[j % 60].append(" ".join(f"p{k}x{i}w{n}" for n in range(24)))
+    rows = [(i, " ".join(x), "s") for i, x in enumerate(texts)]
+    rows += [(100, rows[3][1] + " one", "s"), (101, rows[3][1] + " two", "s")]
+    monkeypatch.setattr(nj, "frequency_classes", lambda counts: np.zeros(len(counts), np.uint8))
+    sent, tasks_of = [], nj.tasks_of
+    monkeypatch.setattr(nj, "tasks_of", lambda members, *a: sent.append(members.count()) or tasks_of(members, *a))
+    assert result(nj.near_duplicates(documents(spark, rows))) == brute(rows)
+    assert sent == [3]
+
+
+def test_lists_give_pairs_or_lead_to_their_first_node():
+    import pyarrow as pa
+
+    random.seed(5)
+    rows, node = [], 0
+    for shingle, m in enumerate((1, 2, 5, nj.PAIRED, nj.PAIRED + 1, 90, 1, 3, 40)):
+        for n in sorted(random.choice((50, 55, 60, 100)) for _ in range(m)):
+            rows.append((shingle, n, node, random.randint(1, 9)))
+            node = (node + 37) % 1009
+    want = Counter()
+    for shingle in {r[0] for r in rows}:
+        for sizes in ((50, 55, 60), (100,)):
+            own = [r for r in rows if r[0] == shingle and r[1] in sizes]
+            if len(own) > nj.PAIRED:
+                want.update((r[2], own[0][2], min(x[3] for x in own), r[3]) for r in own)
+            else:
+                want.update((min(a[2], b[2]), max(a[2], b[2]), min(a[3], b[3]), None) for i, a in enumerate(own) for b in own[:i])
+    for step in (1, 7, len(rows)):
+        table = pa.Table.from_pylist([dict(zip(("shingle", "n", "node", "ell"), r)) for r in rows])
+        got = Counter(tuple(r.values()) for batch in nj._list_links(iter(table.to_batches(max_chunksize=step))) for r in batch.to_pylist())
+        assert got == want
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_components(spark, few):
     random.seed(2)
