@@ -136,6 +136,22 @@ def test_lists_give_pairs_or_lead_to_their_first_node():
         assert got == want
 
 
+def test_counters_reach_the_driver_compressed(spark, monkeypatch):
+    """The table of a few ids is small on its way to the driver, however many slots it has."""
+    import pyspark.sql.classic.dataframe as classic
+
+    from studyframe.llm.bits import Filter
+
+    sizes, collect = [], classic.DataFrame.collect
+    monkeypatch.setattr(classic.DataFrame, "collect", lambda self: [r for r in collect(self) if sizes.append(sum(len(x) for x in r if isinstance(x, (bytes, bytearray)))) or True])
+    ids = spark.range(0, 3000, 7)
+    found = Filter.of(ids)
+    import pyarrow as pa
+
+    assert found.has(pa.array(range(0, 3000, 7))).all() and not found.has(pa.array(range(1, 3000, 7))).all()
+    assert 0 < sum(sizes) < 1_000_000
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_components(spark, few):
     random.seed(2)
