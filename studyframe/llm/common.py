@@ -39,11 +39,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a Parquet table in the shared folder. For loops: what the planner infers about a checkpoint grows with
+def written(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder; options are those of the writer. For loops: what the planner infers about a checkpoint grows with
     every round, and a file's size is known when the next join is planned."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

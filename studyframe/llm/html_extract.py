@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ from studyframe.llm.common import join_groups, written
 LEAST_PAGES, CUT_BELOW = 8, 0.2
 #: How fast the weight of a node's own arrangement grows with the number of arrangements.
 DAMPING = 0.9
-#: Lines of counts that a task holds before it passes them on.
-HELD_COUNTS = 100_000
+#: Characters of pages that a task parses before it passes them on, and pages whose nodes it counts at once.
+HELD_CHARS, COUNTED_PAGES = 1_000_000, 1000
 
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,28 +242,43 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Page]]:
-    for batch in batches:
-        for url, source in zip(*(c.to_pylist() for c in batch.columns)):
-            if (host := host_of(url)) and source:
-                yield host, Page(source)
-
-
 def article_digest(host: str, page: Page) -> int:
     """Names the text that the roles of elements alone leave of a page, within its host, as a signed long."""
     text = article_of(page.blocks)
     return (hash_text(f"{host}\n{text}") + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-    for host, page in _pages(batches):
-        held[article_digest(host, page)] += 1
-        if len(held) > HELD_COUNTS:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["digest", "pages"])
-            held.clear()
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["digest", "pages"])
+#: What style_tree and extract_text need of a page: its distinct paths, by place among them the distinct arrangements
+#: (kind 1) and hashed texts (kind 2) of its nodes, and its blocks. host and digest are null where a page counts for no site.
+PARSED = (
+    "page_id long, url string, host string, digest long, paths array<string>, node_at array<int>, kind array<int>, key array<string>, "
+    "block_at array<int>, article array<boolean>, text array<string>"
+)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PARSED of rows (page_id, url, html)."""
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.string())]
+    names = [x.split()[0] for x in PARSED.split(", ")]
+    for batch in batches:
+        held, first, chars = [], 0, 0
+        for row, (url, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()), 1):
+            page, host = Page(source or ""), (source and host_of(url)) or None
+            at = {path: i for i, path in enumerate(dict.fromkeys(x[0] for x in (*page.styles, *page.blocks)))}
+            nodes = {(at[path], 1, style): None for path, style in page.styles} | {(at[path], 2, f"{hash_text(text):016x}"): None for path, _, text in page.blocks} if host else {}
+            held.append(
+                (host, article_digest(host, page) if host else None, list(at), *([x[i] for x in nodes] for i in range(3)), [at[x[0]] for x in page.blocks], [x[1] for x in page.blocks], [x[2] for x in page.blocks])
+            )
+            chars += len(source or "")
+            if row == batch.num_rows or chars > HELD_CHARS:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, row - first) for c in (0, 1)), *(pa.array(x, kind) for x, kind in zip(zip(*held), kinds))], names)
+                held, first, chars = [], row, 0
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """PARSED of every row of pages, read once and kept in the shared folder; as it holds most of the text, in small files."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return written(rows.mapInArrow(_parsed, PARSED), "parsed-pages", compression="zstd")
 
 
 def _counts(batches: Iterator[pa.RecordBatch], copied: Filter) -> Iterator[pa.RecordBatch]:
@@ -271,25 +286,25 @@ def _counts(batches: Iterator[pa.RecordBatch], copied: Filter) -> Iterator[pa.Re
 
     copy is the digest of an article that other pages may have too, and null where there are none.
     """
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        rows = list(zip(*held))
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([*(pa.array(x, kind) for x, kind in zip(rows, kinds)), pa.array(list(held.values()), pa.int64())], ["host", "path", "kind", "key", "copy", "pages"])
-
-    for host, page in _pages(batches):
-        digest = article_digest(host, page)
-        copy = digest if copied.has(pa.array([digest], pa.int64()))[0] else None
-        found = {(host, path, 0, "", copy) for path, _ in page.styles} | {(host, path, 0, "", copy) for path, _, _ in page.blocks}
-        found |= {(host, path, 1, style, copy) for path, style in page.styles}
-        found |= {(host, path, 2, f"{hash_text(text):016x}", copy) for path, _, text in page.blocks}
-        held.update(found)
-        if len(held) > HELD_COUNTS:
-            yield out()
-            held.clear()
-    if held:
-        yield out()
+    for whole in batches:
+        for at in range(0, whole.num_rows, COUNTED_PAGES):
+            batch = whole.slice(at, COUNTED_PAGES)
+            host, digest, paths, node_at, kind, key = batch.columns
+            copy = pc.if_else(pa.array(copied.has(digest)), digest, pa.scalar(None, pa.int64()))
+            n_paths, n_nodes = (x.value_lengths().to_numpy() for x in (paths, node_at))
+            path, page = paths.flatten(), np.arange(batch.num_rows)
+            node_path = path.take(pa.array(np.repeat(np.cumsum(n_paths) - n_paths, n_nodes) + node_at.flatten().to_numpy()))
+            of = pa.array(np.concatenate((np.repeat(page, n_paths), np.repeat(page, n_nodes))))
+            lines = pa.table(
+                {
+                    "host": host.take(of),
+                    "path": pa.chunked_array([path, node_path]),
+                    "kind": pa.chunked_array([pa.array(np.zeros(len(path), np.int32)), kind.flatten()]),
+                    "key": pa.chunked_array([pa.array([""], pa.string()).take(pa.array(np.zeros(len(path), np.int64))), key.flatten()]),
+                    "copy": copy.take(of),
+                }
+            )
+            yield from lines.group_by(lines.column_names).aggregate([([], "count_all")]).select([*lines.column_names, "count_all"]).rename_columns([*lines.column_names, "pages"]).to_batches()
 
 
 def hash_text(text: str) -> int:
@@ -323,10 +338,14 @@ def _tree(nodes: pd.DataFrame) -> pd.DataFrame:
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, pages, importance of every style node of the hosts of pages."""
-    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
-    copies = rows.mapInArrow(_digests, "digest long, pages long").groupBy("digest").agg(F.sum("pages").alias("n")).where("n > 1").select("digest")
-    sent = pages.sparkSession.sparkContext.broadcast(Filter.of(copies))
-    counts = rows.mapInArrow(lambda batches: _counts(batches, sent.value), "host string, path string, kind int, key string, copy long, pages long")
+    return _style_tree(parsed_pages(pages))
+
+
+def _style_tree(parsed: DataFrame) -> DataFrame:
+    rows = parsed.where("host is not null")
+    copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    sent = parsed.sparkSession.sparkContext.broadcast(Filter.of(copies))
+    counts = rows.select("host", "digest", "paths", "node_at", "kind", "key").mapInArrow(lambda batches: _counts(batches, sent.value), "host string, path string, kind int, key string, copy long, pages long")
     counts = counts.groupBy("host", "path", "kind", "key", "copy").agg(F.sum("pages").alias("pages"))
     pages_once = F.sum(F.when(F.col("copy").isNull(), F.col("pages")).otherwise(F.lit(1)))
     counts = written(counts.groupBy("host", "path", "kind", "key").agg(pages_once.alias("pages")), "style-counts")
@@ -354,12 +373,28 @@ def article_of(blocks: list[tuple[str, bool, str]]) -> str:
     return "\n".join(text for _, _, text in blocks)
 
 
+def is_cut(path: str, cut: frozenset[str]) -> bool:
+    """Whether the path or one above it is in cut."""
+    while path not in cut:
+        if not path:
+            return False
+        path = path.rpartition("/")[0]
+    return True
+
+
+def without_cut(blocks: list[tuple[str, bool, str]], cut: frozenset[str]) -> list[tuple[str, bool, str]]:
+    return [b for b in blocks if b[1] or not is_cut(b[0], cut)] if cut else blocks
+
+
 def main_text(source: str | None, cut: frozenset[str] = frozenset()) -> str:
     """The article of one page; cut: paths of branches to leave out, save for what stands in an article or main element."""
-    blocks = Page(source or "").blocks
-    if cut:
-        blocks = [b for b in blocks if b[1] or not any(b[0] == c or b[0].startswith(c + "/") for c in cut)]
-    return article_of(blocks)
+    return article_of(without_cut(Page(source or "").blocks, cut))
+
+
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column; null is empty."""
+    values, ends = column.flatten().to_pylist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+    return (values[a:b] for a, b in zip([0, *ends], ends))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -370,17 +405,20 @@ def extract_text(pages: DataFrame) -> DataFrame:
     article or main elements, only their text counts, and only roles cut it. Rows may repeat or lack an id. Further
     columns are ignored.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    low = written(style_tree(rows), "style-tree").where(f"pages >= {LEAST_PAGES} and importance < {CUT_BELOW}")
+    rows = parsed_pages(pages)
+    low = written(_style_tree(rows), "style-tree").where(f"pages >= {LEAST_PAGES} and importance < {CUT_BELOW}")
     cuts = written(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("cut"), F.max("pages").alias("n")), "style-cuts")
 
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    total = pages.count()
-    judged = join_groups(rows.withColumn("_host", host), cuts.withColumnRenamed("host", "_host"), "_host", "n", total, "page_id")
+    blocks = rows.select("page_id", "url", "paths", "block_at", "article", "text").withColumn("_host", host)
+    judged = join_groups(blocks, cuts.withColumnRenamed("host", "_host"), "_host", "n", rows.count(), "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(source, frozenset(cut or ())) for source, cut in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [
+                article_of(without_cut([(paths[i], inside, text) for i, inside, text in zip(at, article, text)], frozenset(cut)))
+                for paths, at, article, text, cut in zip(*(_lists(batch.column(c)) for c in range(2, 7)))
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return judged.select("page_id", "url", "html", "cut").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return judged.select("page_id", "url", "paths", "block_at", "article", "text", "cut").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -212,6 +212,23 @@ def test_copies_of_an_article_are_no_frame(spark):
     assert tree["mix.org", "/html/body/div.box/p"] == 11 and tree["mirror.org", "/html/body/div.story/p"] == 1
 
 
+def test_pages_are_parsed_once(spark, tmp_path):
+    """Site tree and texts both come from the parsed pages; the html is not read for each of them."""
+    rows = [(i, f"http://a.org/{i}", page(f"<div class='story'><p>Story {i}</p></div><div class='box'><p>Terms</p></div>")) for i in range(12)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    out = html_extract.extract_text(spark.read.parquet(f"{tmp_path}/pages"))
+    assert out.inputFiles() and not any(str(tmp_path) in f for f in out.inputFiles())
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {i: f"Story {i}" for i in range(12)}
+
+
+@pytest.mark.parametrize("cut", [set(), {""}, {"/html/body"}, {"/html/body/div.a"}, {"/html/body/div.w-", "/p"}])
+def test_cut_branches(cut):
+    paths = ["", "/p", "/html", "/html/body", "/html/body/div.a/p", "/html/body/div.ab", "/html/body/div.w-/", "/html/body/div.w-/x/p"]
+    blocks = [(path, inside, path) for path in paths for inside in (False, True)]
+    want = [b for b in blocks if b[1] or not any(b[0] == c or b[0].startswith(c + "/") for c in cut)]
+    assert html_extract.without_cut(blocks, frozenset(cut)) == want
+
+
 def test_quality_sample_is_drawn_among_documents(spark):
     rows = [(i, "good words here " * 5 + str(i) if i % 2 else "junk zzz qqq " * 5 + str(i), "s") for i in range(12)]
     labels = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")  # most have no document
