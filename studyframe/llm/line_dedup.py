@@ -244,8 +244,7 @@ def removed_lines(docs: DataFrame, task_chars: int = TASK_CHARS) -> DataFrame:
     return gone.where("stays is not null and not struct(doc_id, line, text_id) <=> stays").select("doc_id", "text_id", "line").distinct()
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
+def _cut_lines(text: pd.Series, lines: pd.Series) -> pd.Series:
     def one(t: str | None, gone) -> str | None:
         if t is None or gone is None or not len(gone):
             return t
@@ -255,6 +254,11 @@ def _without(text: pd.Series, lines: pd.Series) -> pd.Series:
     return pd.Series([one(t, g) for t, g in zip(text, lines)], dtype=object)
 
 
+# A filter on the new text would be pushed below it and cut the lines a second time, in a second worker beside the first;
+# Spark leaves functions that it thinks random where they are.
+_without = F.pandas_udf(_cut_lines, StringType()).asNondeterministic()
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs, all columns and rows, with the removed lines cut out of text, and n_removed behind them.
 

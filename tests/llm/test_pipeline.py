@@ -61,6 +61,12 @@ def test_run_of_whole_and_empty_tables(spark, folder):
     assert corpus_pipeline.run(spark, f"{folder}/empty").collect() == []
 
 
+def test_lines_are_cut_by_one_worker_per_task(spark, folder):
+    """The stage's filter reads the text that is left; it must not have the lines cut a second time."""
+    out = corpus_pipeline.without_repeated_lines(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_kept_rows_are_those_of_the_rules(spark, folder):
     """The stage judges in place; the operator says the same of every row, with a model and without one."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
