@@ -136,6 +136,34 @@ def test_lists_give_pairs_or_lead_to_their_first_node():
         assert got == want
 
 
+def test_prefixes_are_not_kept_and_candidates_travel_as_texts(spark, monkeypatch):
+    """What takes most disk: no table has the prefixes besides the shuffle that makes lists of them, and candidates are
+    sent as compressed texts, but for texts that are longer than their shingles."""
+    from pyspark.sql import functions as F
+
+    rows = varied()
+    rows += [(1000 + i, "a b c d e f g h " * 3000 + f"end{i}", "s") for i in range(3)]
+    tables, sent, per_task, kept, written = [], [], nj.per_task, nj.kept, nj.written
+    monkeypatch.setattr(nj, "kept", lambda df: tables.append(df.columns) or kept(df))
+    monkeypatch.setattr(nj, "written", lambda df: tables.append(df.columns) or written(df))
+    size = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    monkeypatch.setattr(nj, "per_task", lambda df, *a: sent.append(df.agg(size("shingles"), size("packed"), F.max(F.octet_length("packed"))).first()) or per_task(df, *a))
+    assert result(nj.near_duplicates(documents(spark, rows))) == brute(rows)
+    assert not any({"cold", "hot", "shingle", "shingles"} & set(columns) for columns in tables)
+    shingles, packed, longest = sent[0]
+    assert 0 < shingles < 1000 and 0 < packed and longest < 2000
+
+
+def test_names_rise_with_the_size_class():
+    n = np.array([1, 2, 20, 21, 22, 500, 20_000, 10**6, 10**9])
+    nodes = np.array([-1, 5, 7, -9, 0, 1 << 62, 3, 4, 2**63 - 1])
+    names = nj.names_of(nodes, n)
+    assert (np.diff(names) > 0).all()
+    least, bare, ell = nj._told(names | 6 << nj.HASH_BITS)
+    assert (bare == names).all() and (least <= n).all() and (ell <= np.maximum(1, n * 12 // 40)).all()
+    assert (least[:4] == n[:4]).all() and (nj.MOST[nj.size_class(n)] >= n).all() and (nj.MOST[:-1] + 1 == nj.LEAST[1:]).all()
+
+
 def test_counters_reach_the_driver_compressed(spark, monkeypatch):
     """The table of a few ids is small on its way to the driver, however many slots it has."""
     import pyspark.sql.classic.dataframe as classic
