@@ -8,7 +8,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from studyframe.operators import aggregates, cv, diagnose, joins, labels, nested, quality, rank, reports, schema, selection, split as sp
-from studyframe.operators.metrics import classification_metrics, confusion_long
 from studyframe.spec import StudySpec
 
 KEYS = ["target", "feature_set", "model"]
@@ -118,7 +117,7 @@ def train_and_select(
             inner = lambda rows, seed: folds(rows, spec, key, k, seed, "inner_fold", stratify)
             if stratify:  # small classes allow fewer folds
                 k = int(outer.agg(F.max("fold_0")).first()[0]) + 1
-            scores, held_out = nested.nested_cv(outer, c, grid, repeats, k, inner, k, key, spec.group_column if spec.grouped else None, metric)
+            scores, _ = nested.nested_cv(outer, c, grid, repeats, k, inner, k, key, spec.group_column if spec.grouped else None, metric)
             best = dict(grid[0])
             if len(grid) > 1:
                 best, _ = cv.grid_search_cv(outer, c, grid, "fold_0", k, metric)
@@ -129,8 +128,7 @@ def train_and_select(
             ).first()
             more = ()
             if stratify:
-                per_fold = classification_metrics(confusion_long(held_out, list(range(n_classes)), nested.FOLD), nested.FOLD)
-                more = tuple(per_fold.agg(F.avg("balanced_accuracy"), F.avg("accuracy")).first())
+                more = tuple(scores.agg(F.avg("outer_balanced_accuracy"), F.avg("outer_accuracy")).first())
             lines.append((target, name, model, file, summary["t"], summary["m"], summary["s"], *more))
     spark = next(iter(prepared.values())).sparkSession
     columns = ["target string", "feature_set string", "model string", "file string", *[f"{c} double" for c in names["columns"]]]

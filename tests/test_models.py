@@ -359,3 +359,27 @@ def test_fits_of_many_rows_run_one_after_another(data, monkeypatch):
     monkeypatch.setattr(cv, "ThreadPool", lambda n: used.append(n) or real(n))
     alone = cv.grid_search_cv(df, c, grid, "fold", 3)[1].collect()
     assert used == [1, 1, 1] and alone == together
+
+
+def test_nested_cv_writes_no_predictions(spark, data):
+    """All rows times all folds were written, with their keys; now the held-out ones are worked out when they are read."""
+    import os
+
+    from studyframe.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    names = lambda: {f for _, _, files in os.walk(folder) for f in files}
+    before = names()
+    df = spark.createDataFrame(data[0]).withColumns({"fold": (draw32(F.lit(1), "grp") % 3).cast("int"), "again": (draw32(F.lit(77), "grp") % 3).cast("int")})
+    c = cv.Candidate("regression", "MLR", ["a", "b"])
+    for rows in (df, df.persist()):
+        folds, pred = nested.nested_cv(rows, c, [{}], ["fold", "again"], 3, None, 2, group="grp")
+        sizes = {(r["outer_repeat"], r["outer_fold"]): r["n_outer_validation"] for r in folds.collect()}
+        got = pred.groupBy("outer_repeat", "fold").agg(F.count("row_id").alias("n"), F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae")).collect()
+        assert sizes == {(r["outer_repeat"], r["fold"]): r["n"] for r in got} and sum(sizes.values()) == 2 * df.count()
+        maes = {(r["outer_repeat"], r["outer_fold"]): r["outer_mae"] for r in folds.collect()}
+        assert all(abs(maes[r["outer_repeat"], r["fold"]] - r["mae"]) < 1e-9 for r in got)
+        assert pred.columns == ["outer_repeat", "fold", "row_id", "grp", "y_true", "y_pred"]
+    df.unpersist()
+    assert names() == before
