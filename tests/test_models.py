@@ -383,3 +383,23 @@ def test_nested_cv_writes_no_predictions(spark, data):
         assert pred.columns == ["outer_repeat", "fold", "row_id", "grp", "y_true", "y_pred"]
     df.unpersist()
     assert names() == before
+
+
+def test_importances_of_a_linear_model_make_no_copies(spark, data, monkeypatch):
+    """The numbers of the scored copies, from sums: with infinite labels, a feature that the model has not, a constant label."""
+    pdf = data[0].copy()
+    pdf["c"] = np.arange(len(pdf)) % 7 * 1.0
+    pdf.loc[3, "label"] = np.inf
+    df, same = spark.createDataFrame(pdf), spark.createDataFrame(pdf.assign(label=2.0))
+    c = cv.Candidate("regression", "MLR", ["a", "b"])
+    model = cv.fit(df.where("label < 1000"), c)
+    monkeypatch.setattr(cv, "BLOCK_ROWS", 50)
+    table = lambda rows, metric: {r["feature"]: (r["mean_importance"], r["std_importance"]) for r in cv.permutation_importance(model, rows, ["a", "b", "c"], c, metric, n_repeats=4).collect()}
+    cases = [(rows, metric) for rows in (df, same) for metric in ("r2", "mae", "rmse")]
+    with monkeypatch.context() as m:
+        m.setattr(cv, "_additive", lambda *a: None)
+        want = [table(*case) for case in cases]
+    monkeypatch.setattr(cv, "permuted", None)
+    for got, one in zip([table(*case) for case in cases], want):
+        assert got.keys() == one.keys() and all(got[f] == pytest.approx(one[f], rel=1e-9, abs=1e-9) for f in one)
+    assert cv._additive(cv.fit(df.where("label < 1000"), cv.Candidate("regression", "MLR", ["a", "b"], preprocessing={"polynomial_features": True})), c, "r2") is None
