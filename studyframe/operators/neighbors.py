@@ -27,6 +27,10 @@ SLACK = 1e-9
 #: Numbers of a block of differences, and of one that stays near the processor.
 STEP = 4_000_000
 CACHED = 32_768
+#: Short numbers of a block, of which more stay near; the largest one; levels of a component that are worth a try.
+SHORTS, TOP, FEWEST_LEVELS = 262_144, 32_767, 16
+#: Of the rows of a block, the part whose k-th distance bounds what is looked at.
+PART = 4
 #: Pairs per query and neighbour, about, that are worth working out.
 FEW = 8
 
@@ -60,8 +64,51 @@ def _nearly(x: np.ndarray, z: np.ndarray, p: int, kind: type) -> tuple[np.ndarra
     return out, 2.0 * float(np.finfo(kind).eps) * (x.shape[1] + 10) * (a.astype(float) + float(b.max()))
 
 
+def _in_steps(x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """L1 distances of all pairs in steps, as short numbers, and the length of a step: each is off by as many steps as there
+    are components, at most."""
+    d = x.shape[1]
+    levels = TOP // max(1, d + 1)
+    low, high = min(x.min(), z.min()), max(x.max(), z.max())
+    step = (high - low) / levels if levels >= FEWEST_LEVELS else 0.0
+    if not (np.isfinite(step) and step > np.finfo(float).tiny * TOP):
+        return None
+    x, z = (np.minimum(np.rint((v - low) / step), levels).astype(np.int16) for v in (x, z))
+    out, columns, rows = np.zeros((len(x), len(z)), np.int16), np.ascontiguousarray(z.T), max(1, SHORTS // len(z))
+    for at in range(0, len(x), rows):
+        some = out[at : at + rows]
+        part = np.empty_like(some)
+        for i, column in enumerate(columns):
+            np.subtract(x[at : at + rows, i, None], column, out=part)
+            some += np.abs(part, out=part)
+    return out, float(step)
+
+
+def _candidates_in_steps(x: np.ndarray, z: np.ndarray, k: int, bound: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """As `_candidates` for L1, or None if steps do not tell enough pairs apart."""
+    found = _in_steps(x, z)
+    if found is None:
+        return None
+    near, step = found
+    off = x.shape[1] + 2
+    if same is not None:
+        near[same] = TOP
+    with np.errstate(over="ignore"):
+        reach = np.minimum(np.ceil(bound * (1 + SLACK) / step) + off, TOP - 1).astype(np.int16)
+    hit = near <= reach[:, None]
+    if k < len(z) and np.count_nonzero(hit) > FEW * k * len(x):
+        some = max(k, len(z) // PART)
+        kth = np.partition(near[:, :some], k - 1, axis=1)[:, k - 1].astype(np.int64)
+        hit = near <= np.minimum(reach, np.minimum(kth + 2 * off, TOP - 1)).astype(np.int16)[:, None]
+    if np.count_nonzero(hit) <= max(FEW * k * len(x), hit.size // 50):
+        return np.nonzero(hit)
+    return None
+
+
 def _candidates(x: np.ndarray, z: np.ndarray, k: int, p: int, bound: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs among which are the k nearest of each row of x; numbers of half the size first, if they tell enough pairs apart."""
+    if p == 1 and len(x) and len(z) and (found := _candidates_in_steps(x, z, k, bound, same)) is not None:
+        return found
     for kind in (np.float32, np.float64):
         with np.errstate(over="ignore", invalid="ignore"):
             near, off = _nearly(x, z, p, kind)

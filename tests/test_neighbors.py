@@ -99,3 +99,24 @@ def test_random_projections_find_most(spark):
     row = nb.recall_of(found, exact).first()
     assert row["n_exact"] == 5 * len(x) and row["recall"] >= 0.9
     assert found.groupBy("qkey").count().where(F.col("count") > 5).count() == 0
+
+
+def test_l1_in_steps_finds_the_nearest(monkeypatch):
+    """Short whole numbers tell which pairs may be nearest; larger ones are not needed on plain vectors."""
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=(60, 64)), rng.normal(size=(4000, 64))
+    near, step = nb._in_steps(x, z)
+    exact = nb._distances(x, z, 1)
+    assert near.dtype == np.int16 and (np.abs(near * step - exact) <= 65 * step).all()
+    assert nb._in_steps(np.ones((2, 3)), np.ones((4, 3))) is None and nb._in_steps(x, np.full((1, 64), 1e308) * [[1]]) is not None
+    same = np.zeros(exact.shape, bool)
+    same[:, :7] = True
+    wanted = np.argsort(np.where(same, np.inf, exact), axis=1, kind="stable")[:, :5]
+    with monkeypatch.context() as m:
+        m.setattr(nb, "_nearly", None)
+        for bound in (np.full(60, np.inf), np.sort(np.where(same, np.inf, exact), axis=1)[:, 4]):
+            i, j, dist = nb._k_nearest(x, z, 5, 1, bound, same)
+            assert (j.reshape(60, 5) == wanted).all() and (dist == exact[i, j]).all()
+    z[0] = 1e9  # one outlier makes the steps long
+    i, j, _ = nb._k_nearest(x, z, 5, 1, np.full(60, np.inf), same)
+    assert (j.reshape(60, 5) == wanted).all()
